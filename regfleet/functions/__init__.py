@@ -9,8 +9,8 @@ from regfleet.functions.addresses import (
     expand_str_type,
     is_negative,
     register_count,
-    storable_address,
     valid_address,
+    valid_register,
 )
 from regfleet.functions.codes import action_code, default_register_type, known_register_type, register_code
 from regfleet.functions.datatypes import normalize_type, valid_type
@@ -22,6 +22,6 @@ __all__ = [
     "action_code", "apply_offset", "base_register", "bits_address", "coefficient_a", "decimal_part",
     "default_register_type", "definition_slug", "expand_str_address", "expand_str_type", "fixed6",
     "is_negative", "known_register_type", "normalize_type", "parse_number", "register_code",
-    "register_count", "scale_exponent", "storable_address", "strip", "tag_base", "text",
-    "valid_address", "valid_type",
+    "register_count", "scale_exponent", "strip", "tag_base", "text",
+    "valid_address", "valid_register", "valid_type",
 ]

@@ -8,7 +8,6 @@ fits a BIGINT; longer ones fail validation.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from regfleet.functions.datatypes import SIZED_STRING
 from regfleet.functions.text import WHITESPACE, strip
 
 # One address base, and the two compound address forms.
@@ -28,25 +27,41 @@ IPV6_REGISTERS = 8
 DECIMAL = r"^[+-]?0*[0-9]{1,18}$"
 HEXADECIMAL = r"^(?:0x(?!.*h$)|[+-](?:0x)?(?=.*h$))?0*[0-9a-f]{1,15}\s*h?$"
 INTEGER = r"^-?[0-9]{1,18}$"
-STORABLE = r"^-?[0-9]{1,18}(_[0-9]{1,18}){0,2}$"
 
 
-def _matched(c: Column, pattern: str) -> Column:
-    """The text if all of it matches, else the empty string."""
-    return F.regexp_extract(c, pattern, 0)
+def without_thousands(address: Column) -> Column:
+    """Drop commas that group digits by three."""
+    return F.regexp_replace(address, r"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))", "")
+
+
+def part_number(s: Column) -> Column:
+    """Decimal text of a cleaned part, null when it is no number.
+
+    A ``0x`` prefix or an ``h`` suffix makes it hexadecimal, plain digits are
+    decimal, and other hex digits hexadecimal.
+    """
+    low = F.lower(s)
+    digits = F.translate(low, "+xh" + WHITESPACE, "")
+    return (
+        F.when(s.rlike(DECIMAL), s.try_cast("bigint"))
+        .when(low.rlike(HEXADECIMAL), F.conv(digits, 16, -10).try_cast("bigint"))
+        .cast("string")
+    )
 
 
 def decimal_part(c: Column) -> Column:
     """One address part to decimal text; text that is no number is unchanged.
 
-    Thousands commas go first. Then a ``0x`` prefix or an ``h`` suffix makes the
-    part hexadecimal, plain digits are decimal, and other hex digits hexadecimal.
+    Thousands commas go first.
     """
-    s = F.regexp_replace(strip(c), r"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))", "")
-    decimal = _matched(s, DECIMAL).try_cast("bigint").cast("string")
-    digits = F.translate(_matched(F.lower(s), HEXADECIMAL), "+xh" + WHITESPACE, "")
-    hexadecimal = F.conv(F.nullif(digits, F.lit("")), 16, -10).try_cast("bigint").cast("string")
-    return F.coalesce(decimal, hexadecimal, s)
+    s = without_thousands(strip(c))
+    return F.coalesce(part_number(s), s)
+
+
+def shifted_base(base: Column, offset: Column) -> Column:
+    """A numeric base moved by ``offset``; other text is unchanged, a negative result kept."""
+    moved = base.try_cast("bigint") + offset.cast("bigint")
+    return F.when(base.rlike(INTEGER), moved.cast("string")).otherwise(base)
 
 
 def _part(address: Column, n: int) -> Column:
@@ -56,19 +71,15 @@ def _part(address: Column, n: int) -> Column:
 def apply_offset(address: Column, offset: Column) -> Column:
     """Normalize the parts of an address and shift its base by ``offset``.
 
-    A base that is no number stays as it is, a negative result is kept. No valid
-    address has more than three parts, so text past the third is left alone.
+    No valid address has more than three parts; text past the third is left alone.
     """
     parts = F.split(address, "_")
-    base = decimal_part(F.get(parts, F.lit(0)))
-    shifted = (_matched(base, INTEGER).try_cast("bigint") + offset.cast("bigint")).cast("string")
-    return F.concat_ws(
-        "_",
-        F.coalesce(shifted, base),
-        decimal_part(F.get(parts, F.lit(1))),
-        decimal_part(F.get(parts, F.lit(2))),
-        F.slice(parts, 4, 2**31 - 1),
-    )
+    base, second, third = [decimal_part(F.get(parts, F.lit(n))) for n in range(3)]
+    return F.concat_ws("_", shifted_base(base, offset), second, third, rest_of(parts))
+
+
+def rest_of(parts: Column) -> Column:
+    return F.slice(parts, 4, 2**31 - 1)
 
 
 def is_negative(address: Column) -> Column:
@@ -85,19 +96,23 @@ def valid_address(address: Column, dtype: Column) -> Column:
     )
 
 
-def storable_address(address: Column) -> Column:
-    """True when every part is a decimal number that fits a BIGINT."""
-    return address.rlike(STORABLE)
+def valid_register(address: Column, dtype: Column) -> Column:
+    """``valid_address`` for a normalized address, whose numbers must also fit a BIGINT."""
+    number = "[0-9]{1,18}"
+    shapes = f"STRING:-?{number}_{number}|BITS:-?{number}_{number}_{number}|(?!STRING:|BITS:)[^:]*:-?{number}"
+    return F.concat_ws(":", dtype, address).rlike(f"^({shapes})$")
 
 
 def expand_str_type(dtype: Column) -> Column:
-    return F.when(F.upper(dtype).rlike(SIZED_STRING), F.lit("STRING")).otherwise(dtype)
+    return F.regexp_replace(dtype, "(?i)^STR[0-9]+$", "STRING")
 
 
 def expand_str_address(dtype: Column, address: Column) -> Column:
     """Append the length of ``STR<n>`` to an address that carries none."""
-    size = F.regexp_extract(F.upper(dtype), r"^STR0*([0-9]+)$", 1)
-    return F.when((size != "") & ~address.contains("_"), F.concat_ws("_", address, size)).otherwise(address)
+    size = F.regexp_extract(dtype, "(?i)^STR0*([0-9]+)$", 1)
+    # With no size, the added separator is all there is to strip.
+    extended = F.rtrim(F.concat_ws("_", address, size), F.lit("_"))
+    return F.when(address.contains("_"), address).otherwise(extended)
 
 
 def bits_address(dtype: Column, address: Column, start_bit: Column, length: Column) -> Column:
@@ -108,13 +123,14 @@ def bits_address(dtype: Column, address: Column, start_bit: Column, length: Colu
 
 def base_register(address: Column) -> Column:
     """First register of a storable address."""
-    return _matched(_part(address, 1), INTEGER).try_cast("bigint")
+    return F.substring_index(address, "_", 1).try_cast("bigint")
 
 
 def register_count(dtype: Column, address: Column) -> Column:
     """Registers a value occupies; a STRING without a usable length uses none."""
     u = F.upper(dtype)
-    chars = _matched(_part(address, 2), r"^[+-]?[0-9]{1,18}$").try_cast("bigint")
+    length = _part(address, 2)
+    chars = F.when(length.rlike(r"^[+-]?[0-9]{1,18}$"), length.try_cast("bigint"))
     return (
         F.when(u.rlike(ONE_REGISTER), F.lit(1))
         .when(u.rlike(TWO_REGISTERS), F.lit(2))

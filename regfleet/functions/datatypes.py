@@ -1,7 +1,5 @@
 """Device data types: synonyms, byte-order suffixes and validity."""
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,7 +36,7 @@ def synonym_table() -> list[tuple[str, list[str]]]:
 
 
 def _contains_any(c: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
+    return c.rlike("|".join(words)) if len(words) > 1 else c.contains(words[0])
 
 
 def _first_match(c: Column, table: list[tuple[str, list[str]]]) -> Column:
@@ -48,15 +46,22 @@ def _first_match(c: Column, table: list[tuple[str, list[str]]]) -> Column:
     return expr
 
 
-def normalize_type(c: Column) -> Column:
-    """Type text to a device type; unknown text is cleaned and upper-cased."""
-    t = strip(F.lower(c))
-    code = _first_match(t, synonym_table())
+def type_of(t: Column) -> Column:
+    """Device type of lower-cased, stripped text; give it a column, not a formula."""
+    code = F.when(t.rlike("int|float|double"), _first_match(t, synonym_table()))
     suffix = F.coalesce(_first_match(t, SUFFIX_WORDS), F.lit(""))
     cleaned = F.upper(F.regexp_replace(t, "[^a-z0-9_]+", ""))
     return F.coalesce(F.concat(code, suffix), F.nullif(cleaned, F.lit("")), F.lit(DEFAULT_TYPE))
 
 
+def type_text(c: Column) -> Column:
+    return strip(F.lower(c))
+
+
+def normalize_type(c: Column) -> Column:
+    """Type text to a device type; unknown text is cleaned and upper-cased."""
+    return type_of(type_text(c))
+
+
 def valid_type(c: Column) -> Column:
-    u = F.upper(c)
-    return u.isin(PLAIN_TYPES) | u.rlike(NUMERIC_TYPE) | u.rlike(SIZED_STRING)
+    return c.rlike(f"(?i)^({'|'.join(PLAIN_TYPES)})$|{NUMERIC_TYPE}|{SIZED_STRING}")

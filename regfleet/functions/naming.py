@@ -6,13 +6,9 @@ from pyspark.sql import functions as F
 
 def tag_base(name: Column) -> Column:
     """Name to tag text: ``[a-z0-9_]`` only, never empty, never digit-first."""
-    words = F.regexp_replace(F.lower(name), " ", "_")
-    slug = F.btrim(F.regexp_replace(F.regexp_replace(words, "[^a-z0-9_]", ""), "_+", "_"), F.lit("_"))
-    return (
-        F.when(slug == "", F.lit("var"))
-        .when(slug.rlike("^[0-9]"), F.concat(F.lit("v_"), slug))
-        .otherwise(slug)
-    )
+    words = F.regexp_replace(F.translate(F.lower(name), " ", "_"), "[^a-z0-9_]+", "")
+    slug = F.btrim(F.regexp_replace(words, "_+", "_"), F.lit("_"))
+    return F.regexp_replace(F.regexp_replace(slug, "^$", "var"), "^(?=[0-9])", "v_")
 
 
 def _slug(c: Column) -> Column:

@@ -12,32 +12,39 @@ GROUPED = r"^-?[0-9]{1,3}(,[0-9]{3})+$"
 COMMA_BEFORE_DOT = r"^[^.]*,.*\."
 
 
-def _to_double(c: Column) -> Column:
-    return F.regexp_extract(strip(c), FLOAT, 0).try_cast("double")
+def _to_double(s: Column) -> Column:
+    # Text outside the grammar becomes '', for which a cast fails cheaply.
+    return F.regexp_extract(s, FLOAT, 0).try_cast("double")
 
 
-def parse_number(c: Column, default: float) -> Column:
-    """Number text to DOUBLE: fractions, 1,234.5 and 1.234,5; else the default."""
-    s = F.coalesce(strip(c), F.lit(""))
-    fraction = F.try_divide(
-        _to_double(F.split_part(s, F.lit("/"), F.lit(1))), _to_double(F.split_part(s, F.lit("/"), F.lit(2)))
-    )
+def number_of(s: Column) -> Column:
+    """Number in stripped text, null or infinite when it is none; give it a column."""
+    top = _to_double(strip(F.split_part(s, F.lit("/"), F.lit(1))))
+    bottom = _to_double(strip(F.split_part(s, F.lit("/"), F.lit(2))))
     plain = (
         F.when(~s.contains(","), s)
         .when(s.rlike(f"{COMMA_BEFORE_DOT}|{GROUPED}"), F.replace(s, F.lit(","), F.lit("")))
         .otherwise(F.translate(s, ",.", "."))
     )
-    value = F.when(s.contains("/"), fraction).otherwise(_to_double(plain))
+    return F.when(s.contains("/"), F.try_divide(top, bottom)).otherwise(_to_double(plain))
+
+
+def finite_or(value: Column, default: float) -> Column:
     return F.when(F.abs(value) < float("inf"), value).otherwise(F.lit(float(default)))
 
 
+def parse_number(c: Column, default: float) -> Column:
+    """Number text to DOUBLE: fractions, 1,234.5 and 1.234,5; else the default."""
+    return finite_or(number_of(F.coalesce(strip(c), F.lit(""))), default)
+
+
 def scale_exponent(c: Column) -> Column:
     """Power of ten as INT, truncated toward zero; unusable text gives 0.
 
     Exponents below any double are held at -400 (the power is 0 either way);
     above 308 the power does not exist and the text counts as unusable.
     """
-    value = _to_double(F.coalesce(c, F.lit("")))
+    value = _to_double(strip(F.coalesce(c, F.lit(""))))
     held = F.when(value < 309, F.greatest(value, F.lit(-400.0)))
     return F.coalesce(held.cast("int"), F.lit(0))
 

@@ -84,7 +84,8 @@ def ordered_scan(
             *[F.least(n + "_c", n + "_b").alias(n + "_carry") for n in minima],
         )
     )
-    return local.join(carry, [*keys, _CHUNK]).select(
+    # The rows already lie by (keys, chunk), so a merge join moves only the totals.
+    return local.hint("merge").join(carry, [*keys, _CHUNK]).select(
         *[c for c in df.columns if c not in names],
         *[(F.col(n) + F.col(n + "_carry")).alias(n) for n in sums],
         *[F.least(n, n + "_carry").alias(n) for n in minima],

@@ -4,6 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regfleet import functions as R
+from regfleet.functions import addresses as A
+from regfleet.functions import datatypes as D
+from regfleet.functions import numbers as N
 from regfleet.operators.lookup import salted_lookup
 from regfleet.operators.ordering import ordered_scan
 from regfleet.schemas import REGISTER_COLUMNS
@@ -39,48 +42,79 @@ def with_offset(rows: DataFrame, params: DataFrame, salt: str = "line_num") -> D
 
 
 def stage(rows: DataFrame) -> DataFrame:
-    """Clean and judge every register row.
+    """Clean name, address and type of every register row, judge it, derive its tag text.
 
     Expects ``map_id``, ``line_num`` and the ten register columns; optional
     ``address_offset`` (default 0) and ``blank`` (true when the whole source row
-    was empty). The first rule a row breaks decides its ``status``.
+    was empty). The first rule a row breaks decides its ``status``. All other
+    columns are left raw, only survivors need them.
     """
     if "address_offset" not in rows.columns:
         rows = rows.withColumn("address_offset", F.lit(0).cast("bigint"))
     if "blank" not in rows.columns:
         rows = rows.withColumn("blank", F.concat_ws("", *REGISTER_COLUMNS) == "")
 
-    cells = rows.select(
-        "map_id", "line_num", "address_offset", "blank", *[R.text(F.col(c)).alias(c) for c in REGISTER_COLUMNS]
+    # One projection per step: a formula used twice is a column of the step before,
+    # so that it is evaluated once.
+    cells = rows.withColumns(
+        {"name": R.text(F.col("name")), "address": R.text(F.col("address")), "_t": D.type_text(F.col("type"))}
     )
-    typed = cells.withColumn("dtype", R.normalize_type(F.col("type")))
-    addressed = typed.withColumn(
+    typed = cells.withColumn("dtype", D.type_of(F.col("_t"))).drop("_t")
+    parts = with_normalized_address(
+        typed.withColumn("_address", R.expand_str_address(F.col("dtype"), F.col("address"))),
+        "_address",
+        F.col("address_offset"),
         "info2",
-        R.apply_offset(
-            R.expand_str_address(F.col("dtype"), F.col("address")), F.col("address_offset")
-        ),
-    ).withColumn("info3", F.upper(R.expand_str_type(F.col("dtype"))))
+    ).withColumn("info3", R.expand_str_type(F.col("dtype")))
     status = (
         F.when(F.col("blank"), BLANK)
         .when((F.col("name") == "") & (F.col("address") == ""), MISSING)
         .when(~R.valid_type(F.col("dtype")), INVALID_TYPE)
-        .when(
-            ~(R.valid_address(F.col("info2"), F.col("info3")) & R.storable_address(F.col("info2"))), INVALID_ADDRESS
-        )
+        .when(~R.valid_register(F.col("info2"), F.col("info3")), INVALID_ADDRESS)
         .otherwise(OK)
     )
-    return addressed.withColumns(
+    return parts.withColumns({"status": status, "base": R.tag_base(F.col("name"))}).drop(
+        "address_offset", "blank", "_address"
+    )
+
+
+def with_normalized_address(rows: DataFrame, address: str, offset: Column, out: str) -> DataFrame:
+    """``functions.apply_offset`` as steps, each text worked out once per row."""
+    split = rows.withColumn("_parts", F.split(A.without_thousands(F.col(address)), "_"))
+    cut = split.withColumns({f"_p{n}": R.strip(F.get("_parts", F.lit(n))) for n in range(3)})
+    read = cut.withColumns({f"_p{n}": F.coalesce(A.part_number(F.col(f"_p{n}")), F.col(f"_p{n}")) for n in range(3)})
+    joined = F.concat_ws("_", A.shifted_base(F.col("_p0"), offset), "_p1", "_p2", A.rest_of(F.col("_parts")))
+    return read.withColumn(out, joined).drop("_p0", "_p1", "_p2", "_parts")
+
+
+def surviving(staged: DataFrame) -> DataFrame:
+    """Rows that become definition rows, with clean tag and register code."""
+    kept = staged.filter(F.col("status") == OK).withColumns(
+        {"tag": R.text(F.col("tag")), "register_type": R.text(F.col("register_type"))}
+    )
+    return kept.withColumn("info1", R.register_code(F.col("register_type"))).drop(
+        "status", "register_type", "address", "type", "dtype"
+    )
+
+
+def with_values(rows: DataFrame) -> DataFrame:
+    """Parse scaling to DOUBLE coefficients, clean unit and action."""
+    texts = rows.withColumns({c: R.text(F.col(c)) for c in ("factor", "offset_raw", "scale_factor", "unit", "action")})
+    read = texts.withColumns(
         {
-            "status": status,
-            "info1": R.register_code(F.col("register_type")),
-            "coef_a_num": R.coefficient_a(
-                R.parse_number(F.col("factor"), 1.0), R.scale_exponent(F.col("scale_factor"))
-            ),
-            "coef_b_num": R.parse_number(F.col("offset_raw"), 0.0),
+            "_a": N.number_of(F.col("factor")),
+            "_b": N.number_of(F.col("offset_raw")),
+            "_e": R.scale_exponent(F.col("scale_factor")),
             "action": R.action_code(F.col("action")),
         }
-    ).drop("factor", "offset_raw", "scale_factor", "address_offset", "blank")
+    )
+    return read.withColumns(
+        {
+            "coef_a_num": R.coefficient_a(N.finite_or(F.col("_a"), 1.0), F.col("_e")),
+            "coef_b_num": N.finite_or(F.col("_b"), 0.0),
+        }
+    ).drop("factor", "offset_raw", "scale_factor", "_a", "_b", "_e")
 
 
-def surviving(staged: DataFrame) -> DataFrame:
-    return staged.filter(F.col("status") == OK)
+def with_coefficient_text(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"coef_a": R.fixed6(F.col("coef_a_num")), "coef_b": R.fixed6(F.col("coef_b_num"))})

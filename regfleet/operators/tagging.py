@@ -17,7 +17,6 @@ and is decided as soon as the bounds agree. No group is ever collected.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regfleet.functions import tag_base
 from regfleet.operators.lookup import salted_lookup
 from regfleet.operators.ordering import ordered_scan
 from regfleet.session import freeze
@@ -28,7 +27,7 @@ SKIPPED, TAKEN, OPEN = 1, 0, None
 
 
 def _requests(rows: DataFrame) -> DataFrame:
-    return rows.filter((F.col("tag") == "") & (F.col("name") != "")).withColumn("base", tag_base(F.col("name")))
+    return rows.filter((F.col("tag") == "") & (F.col("name") != ""))
 
 
 def _first_uses(rows: DataFrame) -> DataFrame:
@@ -59,28 +58,34 @@ def _numbered_claims(uses: DataFrame) -> DataFrame:
     return salted_lookup(claims, bases, _KEYS, "n", how="inner")
 
 
-def _claims(rows: DataFrame) -> DataFrame:
+def _bare_claims(uses: DataFrame) -> DataFrame:
+    """Bases whose bare text was typed in before they were first requested."""
+    return uses.filter(F.col("typed") < F.col("asked")).select(
+        "map_id", F.col("text").alias("base"), F.lit(0).cast("bigint").alias("n"), "text",
+        F.lit(0).cast("bigint").alias("slack"), F.lit(False).alias("by_request"), F.lit(SKIPPED).alias("state"),
+    )
+
+
+def _claims(rows: DataFrame, uses: DataFrame, numbered: DataFrame) -> DataFrame:
     """All claims with their slack ``n - y``; number 0 is the bare base text.
 
-    ``state`` is SKIPPED where the base text was typed before its first request,
-    and open (null) for all others. ``text`` is what a numbered claim spells.
+    ``state`` is SKIPPED for bare claims and open (null) for all others. ``text``
+    is what a numbered claim spells.
     """
-    uses = freeze(_first_uses(rows), "tag-texts")
-    numbered = _numbered_claims(uses)
-    marks = _requests(rows).select(*_KEYS, "line_num", F.lit(None).cast("bigint").alias("n"), F.lit(None).alias("text"),
-                                   F.lit(False).alias("by_request"))
+    marks = _requests(rows).select(
+        *_KEYS, "line_num", F.lit(None).cast("bigint").alias("n"), F.lit("").alias("text"),
+        F.lit(False).alias("by_request"),
+    )
     asked = F.col("n").isNull()
     slack = (
         ordered_scan(marks.unionByName(numbered), _KEYS, "line_num", counts={"y": asked})
         .filter(~asked)
-        .select(*_KEYS, "n", "text", (F.col("n") - F.col("y")).alias("slack"), "by_request",
-                F.lit(None).cast("int").alias("state"))
+        .select(
+            *_KEYS, "n", "text", (F.col("n") - F.col("y")).alias("slack"), "by_request",
+            F.lit(None).cast("int").alias("state"),
+        )
     )
-    bare = uses.filter(F.col("typed") < F.col("asked")).select(
-        "map_id", F.col("text").alias("base"), F.lit(0).cast("bigint").alias("n"), "text",
-        F.lit(0).cast("bigint").alias("slack"), F.lit(False).alias("by_request"), F.lit(SKIPPED).alias("state"),
-    )
-    return slack.unionByName(bare)
+    return slack.unionByName(_bare_claims(uses))
 
 
 def _with_bare_entries(claims: DataFrame) -> DataFrame:
@@ -140,20 +145,21 @@ def _tagged(requests: DataFrame, number) -> DataFrame:
 def allocate_tags(rows: DataFrame) -> DataFrame:
     """Fill ``tag`` for the surviving rows of every map; typed tags are kept.
 
-    ``rows`` is read several times and should be a stored table. Whether any base
-    has claims at all is decided by a job, so that fleets without them get the
-    one-scan plan.
+    ``rows`` (with ``base``, the tag text of the name) is read several times and
+    should be a stored table. Whether any base has claims at all is decided by a
+    job, so that fleets without them get the one-scan plan.
     """
-    columns = rows.columns
-    given = rows.filter((F.col("tag") != "") | (F.col("name") == ""))
+    columns = [c for c in rows.columns if c != "base"]
+    given = rows.filter((F.col("tag") != "") | (F.col("name") == "")).select(columns)
     requests = _requests(rows)
-    claims = freeze(_claims(rows), "tag-claims")
+    uses = freeze(_first_uses(rows), "tag-texts")
+    numbered = freeze(_numbered_claims(uses), "tag-claims")
 
-    if claims.isEmpty():
+    if numbered.isEmpty() and _bare_claims(uses).isEmpty():
         ranked = ordered_scan(requests, _KEYS, "line_num", counts={"rank": F.lit(True)})
         return given.unionByName(_tagged(ranked, F.col("rank") - 1).select(columns))
 
-    skips = freeze(_settle(claims), "tag-skips")
+    skips = freeze(_settle(_claims(rows, uses, numbered)), "tag-skips")
     # A marker before line 1 tells every request whether its base has skips.
     markers = skips.select(*_KEYS).distinct().withColumn("line_num", F.lit(0).cast("bigint"))
     ranked = ordered_scan(

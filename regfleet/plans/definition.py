@@ -3,9 +3,15 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regfleet import functions as R
 from regfleet.operators.ordering import ordered_scan
-from regfleet.operators.staging import number_lines, stage, surviving, with_offset
+from regfleet.operators.staging import (
+    number_lines,
+    stage,
+    surviving,
+    with_coefficient_text,
+    with_offset,
+    with_values,
+)
 from regfleet.operators.tagging import allocate_tags
 from regfleet.schemas import DEFINITION_SCHEMA
 from regfleet.session import freeze
@@ -26,25 +32,9 @@ def staged_table(rows: DataFrame, params: DataFrame | None = None, order: str |
 
 def definition(staged: DataFrame) -> DataFrame:
     """Definition rows: tags allocated, indexed from 1 in line order per map."""
-    rows = surviving(staged).select(
-        "map_id", "line_num", "name", "tag", "info1", "info2", "info3", "coef_a_num", "coef_b_num", "unit", "action"
-    )
-    indexed = ordered_scan(allocate_tags(rows), ["map_id"], "line_num", counts={"idx": F.lit(True)})
-    return indexed.select(
-        "map_id",
-        "idx",
-        "info1",
-        "info2",
-        "info3",
-        F.lit("").alias("info4"),
-        "name",
-        "tag",
-        R.fixed6(F.col("coef_a_num")).alias("coef_a"),
-        R.fixed6(F.col("coef_b_num")).alias("coef_b"),
-        "unit",
-        "action",
-        "line_num",
-    ).to(DEFINITION_SCHEMA)
+    rows = allocate_tags(with_values(surviving(staged)))
+    indexed = ordered_scan(rows, ["map_id"], "line_num", counts={"idx": F.lit(True)})
+    return with_coefficient_text(indexed).withColumn("info4", F.lit("")).to(DEFINITION_SCHEMA)
 
 
 def generate(rows: DataFrame, params: DataFrame | None = None, order: str | None = None) -> DataFrame:

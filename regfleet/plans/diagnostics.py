@@ -30,7 +30,7 @@ def row_findings(staged: DataFrame) -> DataFrame:
     """Findings that need one row only; a single pass over the staged table."""
     status, judged = F.col("status"), F.col("status").isin(S.OK, S.INVALID_ADDRESS)
     skip_detail = (
-        F.when(status == S.INVALID_TYPE, F.concat_ws(" -> ", "type", "dtype"))
+        F.when(status == S.INVALID_TYPE, F.concat_ws(" -> ", R.text(F.col("type")), F.col("dtype")))
         .when(status == S.INVALID_ADDRESS, F.concat_ws(" as ", "info2", "info3"))
         .otherwise(F.lit(""))
     )
@@ -44,14 +44,15 @@ def row_findings(staged: DataFrame) -> DataFrame:
         finding(status.isin(S.MISSING, S.INVALID_TYPE, S.INVALID_ADDRESS), status, SKIP, skip_detail),
         finding(judged & R.is_negative(F.col("info2")), F.lit("NEGATIVE_ADDRESS"), WARNING, F.col("info2")),
         finding(
-            (status == S.OK) & ~R.known_register_type(F.col("register_type")),
+            (status == S.OK) & ~R.known_register_type(F.col("_register_type")),
             F.lit("UNKNOWN_REGISTER_TYPE"),
             WARNING,
-            F.col("register_type"),
+            F.col("_register_type"),
         ),
     )
     return (
-        staged.withColumn("f", F.explode(found))
+        staged.withColumn("_register_type", R.text(F.col("register_type")))
+        .withColumn("f", F.explode(found))
         .filter(F.col("f").isNotNull())
         .select(
             "map_id",
@@ -73,13 +74,13 @@ def diagnostics(staged: DataFrame) -> DataFrame:
     ADDRESS_OVERLAP, which has one row per register row with the number of earlier
     rows it overlaps and the first of them. :func:`overlap_pairs` lists the pairs.
     """
-    rows = S.surviving(staged).select("map_id", "line_num", "name", "tag", "info1", "info2", "info3")
-    tagged = freeze(allocate_tags(rows.select("map_id", "line_num", "name", "tag")), "tagged")
+    rows = S.surviving(staged)
+    tagged = freeze(allocate_tags(rows.select("map_id", "line_num", "name", "tag", "base")), "tagged")
     spans = intervals(rows)
     overlaps = overlap_counts(spans).join(spans.drop("info1"), ["map_id", "line_num"])
     return (
         row_findings(staged)
-        .unionByName(_finding(duplicates(rows, "name"), "DUPLICATE_NAME", WARNING, F.col("name"), F.col("ref_line")))
+        .unionByName(_finding(duplicates(rows.select("map_id", "line_num", "name"), "name"), "DUPLICATE_NAME", WARNING, F.col("name"), F.col("ref_line")))
         .unionByName(_finding(duplicates(tagged, "tag"), "DUPLICATE_TAG", WARNING, F.col("tag"), F.col("ref_line")))
         .unionByName(
             _finding(

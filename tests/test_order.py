@@ -41,6 +41,11 @@ def test_ordered_scan_equals_window(spark):
     assert scanned.exceptAll(plain).isEmpty()
 
 
+def with_base(spark, rows):
+    df = spark.createDataFrame(rows, "map_id string, line_num bigint, name string, tag string")
+    return freeze(df.withColumn("base", tag_base(F.col("name"))), "test")
+
+
 MIXED = [("A", ""), ("x", "a_1"), ("A", ""), ("A 1", ""), ("y", "a")]
 
 
@@ -62,8 +67,8 @@ def random_rows(seed, n_maps, length):
 def test_tags_equal_sequential(spark, seed, n_maps, length):
     rows = random_rows(seed, n_maps, length)
     rows += [("golden", i + 2, n, t) for i, (n, t) in enumerate(MIXED)]
-    df = freeze(spark.createDataFrame(rows, "map_id string, line_num bigint, name string, tag string"), "test")
-    bases = {(r.map_id, r.line_num): r.b for r in df.select("map_id", "line_num", tag_base(F.col("name")).alias("b")).collect()}
+    df = with_base(spark, rows)
+    bases = {(r.map_id, r.line_num): r.base for r in df.collect()}
     maps = defaultdict(list)
     for m, line, name, tag in rows:
         maps[m].append((line, name, tag, bases[m, line]))
@@ -82,7 +87,7 @@ def test_tags_equal_sequential(spark, seed, n_maps, length):
 
 def test_tags_without_claims(spark):
     rows = [("m", i, "Test Variable" if i % 2 else "Other", "") for i in range(2, 300)]
-    df = freeze(spark.createDataFrame(rows, "map_id string, line_num bigint, name string, tag string"), "test")
+    df = with_base(spark, rows)
     got = {r.line_num: r.tag for r in allocate_tags(df).collect()}
     assert got[3] == "test_variable" and got[5] == "test_variable_1" and got[299] == "test_variable_148"
 
