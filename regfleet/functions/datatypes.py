@@ -47,7 +47,7 @@ def _first_match(c: Column, table: list[tuple[str, list[str]]]) -> Column:
 
 
 def type_of(t: Column) -> Column:
-    """Device type of lower-cased, stripped text; give it a column, not a formula."""
+    """Device type of lower-cased, stripped text (null: none); give it a column, not a formula."""
     code = F.when(t.rlike("int|float|double"), _first_match(t, synonym_table()))
     suffix = F.coalesce(_first_match(t, SUFFIX_WORDS), F.lit(""))
     cleaned = F.upper(F.regexp_replace(t, "[^a-z0-9_]+", ""))
