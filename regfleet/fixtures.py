@@ -4,11 +4,13 @@ Every row of the source table becomes one register row, so the work of a query
 grows with the table. The texts cover every spelling the rules know.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regfleet.functions import tag_base
 from regfleet.operators.ordering import ordered_scan
 from regfleet.operators.staging import FIRST_LINE
+from regfleet.schemas import REGISTER_COLUMNS
 
 #: Register columns from ``k``, ``p_name``, ``p_type`` and ``line_num``; the same
 #: text also runs in the checking engine.
@@ -50,6 +52,24 @@ ADDRESS_RULE = "40000 + 2 * line_num"
 FLEET_NAME = "'signal ' || CAST((l_partkey + l_linenumber) % 97 AS STRING)"
 FLEET_TYPE = "l_returnflag || l_linestatus"
 
+#: Documents: the part rows in maps of bounded size, as a file is one map.
+DOCUMENT_ID = "p_brand || '-' || CAST(CAST(floor(p_partkey / 50000) AS BIGINT) AS STRING)"
+
+#: Names and tags that mix families: typed tags and longer names spell numbered tags.
+MIXED_NAME = """CASE k % 7 WHEN 2 THEN 'Phase ' || CAST(k % 5 AS STRING)
+  WHEN 3 THEN 'phase 1 ' || CAST(k % 3 AS STRING) ELSE 'Phase' END"""
+MIXED_TAG = """CASE WHEN k % 11 = 0 THEN 'phase_' || CAST(k % 23 AS STRING) WHEN k % 13 = 0 THEN 'phase' ELSE '' END"""
+
+#: Header wordings of the ten register columns, and which maps use which.
+HEADER_VARIANTS = {
+    1: ["Name", "Tag", "RegisterType", "Address", "Type", "Factor", "Offset", "Unit", "Action", "ScaleFactor"],
+    2: ["Signal Name", "Tag", "Register Type", "Register Address", "Data Format",
+        "Ratio", "Bias", "Measurement Unit", "Access", "Scale Factor"],
+    3: ["Parameter", "tag id", "Modbus Type", "Addr\nHex", "Data\nType",
+        "Multiplier", "Coefficient B", "Units", "Access Mode", "ScaleFactor"],
+}
+VARIANT = "CASE WHEN map_id LIKE 'Brand#1%' THEN 1 WHEN map_id LIKE 'Brand#2%' THEN 2 ELSE 3 END"
+
 #: Parameters of a map, from the text of its id.
 PARAMETER_RULES = """
   map_id,
@@ -77,12 +97,68 @@ def _registers(rows: DataFrame) -> DataFrame:
     return rules.sparkSession.sql(f"SELECT {ROW_RULES} FROM {view}", rows=rules)
 
 
-def registers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def registers(spark: SparkSession, sf_dir: str, map_id: str = "p_brand") -> DataFrame:
     """Simplified registers from ``part``: one map per brand."""
-    part = table(spark, sf_dir, "part").selectExpr("p_brand AS map_id", "p_partkey AS k", "p_name", "p_type")
+    part = table(spark, sf_dir, "part").selectExpr(f"{map_id} AS map_id", "p_partkey AS k", "p_name", "p_type")
     return _registers(_numbered(part, "k"))
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registers(spark, sf_dir, DOCUMENT_ID)
+
+
+def mixed_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").selectExpr("p_brand AS map_id", "p_partkey AS k")
+    rows = _numbered(part, "k").selectExpr("map_id", "line_num", f"{MIXED_NAME} AS name", f"{MIXED_TAG} AS tag")
+    return rows.withColumn("base", tag_base(F.col("name")))
+
+
+def header_cells(map_ids: DataFrame) -> DataFrame:
+    """(map_id, header) in the wording of each map."""
+    wordings = F.create_map(
+        *[v for i, h in HEADER_VARIANTS.items() for v in (F.lit(i), F.array(*[F.lit(t) for t in h]))]
+    )
+    return map_ids.withColumn("header", F.element_at(wordings, F.expr(VARIANT)))
+
+
+def cells(registers: DataFrame) -> DataFrame:
+    """Long table cells: the registers on page 1, and a header-only table on page 2."""
+    maps = registers.select("map_id").distinct()
+    heads = header_cells(maps).select(
+        "map_id", F.lit(0).alias("table_id"), F.lit(0).cast("bigint").alias("row_ord"), F.posexplode("header").alias("col_ord", "value")
+    )
+    body = registers.select(
+        "map_id",
+        F.lit(0).alias("table_id"),
+        (F.col("line_num") - 1).alias("row_ord"),
+        F.posexplode(F.array(*REGISTER_COLUMNS)).alias("col_ord", "value"),
+    )
+    notes = maps.select(
+        "map_id", F.lit(1).alias("table_id"), F.lit(0).cast("bigint").alias("row_ord"), F.lit(0).alias("col_ord"), F.lit("Notes").alias("value")
+    )
+    return (
+        heads.unionByName(body)
+        .unionByName(notes)
+        .withColumns(
+            {
+                "page_number": F.col("table_id") + 1,
+                "table_name": F.when(F.col("table_id") == 0, F.lit("Registers")).otherwise(F.lit("Notes")),
+            }
+        )
+    )
+
+
+def document_lines(registers: DataFrame, delimiter: Column, headers: DataFrame) -> DataFrame:
+    """Text lines of delimited files; ``delimiter`` may depend on ``map_id``."""
+
+    def field(c):
+        return F.when(c.rlike('[,;\t"\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+    body = registers.select("map_id", (F.col("line_num") - 1).alias("line_ord"), F.array(*REGISTER_COLUMNS).alias("c"))
+    head = headers.select("map_id", F.lit(0).cast("bigint").alias("line_ord"), F.col("header").alias("c"))
+    return head.unionByName(body).select("map_id", "line_ord", F.array_join(F.transform("c", field), delimiter).alias("line"))
+
+
 def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simplified registers from ``lineitem``: one map per supplier."""
     ties = ["l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice", "l_quantity"]
@@ -98,8 +174,4 @@ def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parameters(registers: DataFrame) -> DataFrame:
-    return registers.select("map_id").distinct().selectExpr(*_split_rules())
-
-
-def _split_rules() -> list[str]:
-    return [rule.strip() for rule in PARAMETER_RULES.strip().split(",\n")]
+    return registers.select("map_id").distinct().selectExpr(*[r.strip() for r in PARAMETER_RULES.strip().split(",\n")])
