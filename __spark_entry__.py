@@ -279,9 +279,19 @@ def register_files(spark, d):
 
 
 def xml_roundtrip(spark, d):
-    rows = X.documents(spark, d).select("map_id", *[col(c).alias(REGISTER_HEADERS[c]) for c in REGISTER_COLUMNS])
+    """Every record is written twice, in line order, and read back once."""
+    rows = X.documents(spark, d)
     path = new_path(spark, "xml")
-    rows.unionByName(rows).write.format("xml").options(rootTag="map", rowTag="row").partitionBy("map_id").save(path)
+    (
+        rows.unionByName(rows)
+        .repartitionByRange("map_id")
+        .sortWithinPartitions("map_id", "line_num")
+        .select("map_id", *[col(c).alias(REGISTER_HEADERS[c]) for c in REGISTER_COLUMNS])
+        .write.format("xml")
+        .options(rootTag="map", rowTag="row")
+        .partitionBy("map_id")
+        .save(path)
+    )
     headers, records = read_xml(spark, f"{path}/*", "row", map_id=partition_value)
     projected = project_records(records, resolve_columns(source_columns(headers, records)))
     return projected.select("map_id", *[F.coalesce(c, F.lit("")).alias(c) for c in REGISTER_COLUMNS])

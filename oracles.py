@@ -315,9 +315,13 @@ def oracle_sql():
         "reg_csv_roundtrip": select(f"{D}, {no_commas()}", f"SELECT map_id, line_num, {ALL} FROM plain"),
         "reg_simplified_csv": select(f"{D}, {staged()}", "SELECT map_id, line_num, status, info2, info3 FROM staged"),
         "reg_register_files": select(f"{D}, {run_ctes('raw', '0')}", "SELECT * FROM definition"),
+        # Only child tags found in the first five distinct records of a map exist.
         "reg_xml_roundtrip": select(
-            D,
-            f"SELECT DISTINCT map_id, {ALL} FROM raw WHERE {' + '.join(f'CAST({c} <> {chr(39)}{chr(39)} AS INTEGER)' for c in COLUMNS)} >= 2",
+            f"""{D}, distinct_rows AS (SELECT map_id, {ALL}, min(line_num) AS line_num FROM raw
+                WHERE {" + ".join(f"CAST({c} <> '' AS INTEGER)" for c in COLUMNS)} >= 2 GROUP BY ALL),
+              heads AS (SELECT map_id, {", ".join(f"bool_or({c} <> '') AS has_{c}" for c in COLUMNS)} FROM
+                (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY line_num) AS n FROM distinct_rows) WHERE n <= 5 GROUP BY map_id)""",
+            f"SELECT map_id, {', '.join(f'CASE WHEN has_{c} THEN {c} ELSE {chr(39)}{chr(39)} END AS {c}' for c in COLUMNS)} FROM distinct_rows JOIN heads USING (map_id)",
         ),
         "reg_fleet_definition": select(f"{FLEET}, {staged()}", "SELECT * FROM definition"),
         "reg_fleet_diagnostic_counts": select(

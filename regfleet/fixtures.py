@@ -156,7 +156,8 @@ def document_lines(registers: DataFrame, delimiter: Column, headers: DataFrame)
 
     body = registers.select("map_id", (F.col("line_num") - 1).alias("line_ord"), F.array(*REGISTER_COLUMNS).alias("c"))
     head = headers.select("map_id", F.lit(0).cast("bigint").alias("line_ord"), F.col("header").alias("c"))
-    return head.unionByName(body).select("map_id", "line_ord", F.array_join(F.transform("c", field), delimiter).alias("line"))
+    line = F.call_function("array_join", F.transform("c", field), delimiter)
+    return head.unionByName(body).select("map_id", "line_ord", line.alias("line"))
 
 
 def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:

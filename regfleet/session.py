@@ -7,6 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 
+#: Session settings the jobs are tuned for; they run with any others.
+RECOMMENDED = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The JVM interprets methods above this size; split projections instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables that every executor can reach.
