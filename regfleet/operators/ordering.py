@@ -2,11 +2,10 @@
 
 A window ``PARTITION BY map_id ORDER BY line`` puts a whole map into one task.
 Here the order column, a BIGINT, also cuts each group into chunks of 2^16
-consecutive values: rows are scanned inside their chunk, chunk totals are scanned
-inside blocks of 2^24 chunks, block totals inside the group, and the carried
-totals are joined back by (keys, chunk). Chunk totals are pre-aggregated before
-they are shuffled. With at most a few rows per order value, no task sees more
-than a chunk, however large one group grows.
+consecutive values: rows are scanned inside their chunk, and what earlier chunks
+carry over is worked out on one row per chunk and joined back by (keys, chunk).
+Chunk totals are combined before they are shuffled. With at most a few rows per
+order value, no task sees more than a chunk of rows, however large a group grows.
 """
 
 from collections.abc import Mapping, Sequence
@@ -20,16 +19,28 @@ BLOCK_BITS = 24
 _CHUNK, _BLOCK = "_chunk", "_block"
 
 
-def chunk_of(order: Column) -> Column:
-    return F.shiftright(order, CHUNK_BITS)
-
-
 def _carried(totals: DataFrame, group: list[str], order: str, sums, minima, suffix: str) -> DataFrame:
     """Totals of everything before each row of ``totals`` inside ``group``."""
     before = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.withColumns(
-        {n + suffix: F.coalesce(F.sum(n).over(before), F.lit(0)) for n in sums}
-        | {n + suffix: F.min(n).over(before) for n in minima}
+    return totals.select(
+        *[c for c in totals.columns if c not in sums and c not in minima],
+        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n + suffix) for n in sums],
+        *[F.min(n).over(before).alias(n + suffix) for n in minima],
+    )
+
+
+def _block_carried(chunks: DataFrame, keys: list[str], sums, minima) -> DataFrame:
+    """The same in two steps, over blocks of 2^24 chunks and inside each block."""
+    chunks = chunks.withColumn(_BLOCK, F.shiftright(_CHUNK, BLOCK_BITS))
+    blocks = chunks.groupBy(*keys, _BLOCK).agg(
+        *[F.sum(n).alias(n) for n in sums], *[F.min(n).alias(n) for n in minima]
+    )
+    inside = _carried(chunks, [*keys, _BLOCK], _CHUNK, sums, minima, "_c")
+    return inside.join(_carried(blocks, keys, _BLOCK, sums, minima, "_b"), [*keys, _BLOCK]).select(
+        *keys,
+        _CHUNK,
+        *[(F.col(n + "_c") + F.col(n + "_b")).alias(n + "_carry") for n in sums],
+        *[F.least(n + "_c", n + "_b").alias(n + "_carry") for n in minima],
     )
 
 
@@ -42,8 +53,9 @@ def ordered_scan(
     sums: Mapping[str, Column] | None = None,
     minima: Mapping[str, Column] | None = None,
     ties: Sequence[str | Column] = (),
+    totals: DataFrame | None = None,
+    sparse: bool = False,
     chunk_bits: int = CHUNK_BITS,
-    block_bits: int = BLOCK_BITS,
 ) -> DataFrame:
     """Add running values per ``keys`` in ``order``, the current row included.
 
@@ -51,38 +63,33 @@ def ordered_scan(
     which it holds, ``sums`` adds up a BIGINT expression, ``minima`` keeps the
     smallest value so far. ``ties`` order the rows of an equal ``order``; the
     order must be close to unique per key. Keys must not be null.
+
+    ``totals`` is a cheaper frame with the same rows for the chunk totals. With
+    ``sparse``, order values may lie so far apart that chunks hold few rows, and
+    the chunks of a key are scanned in blocks.
     """
     keys, minima = list(keys), dict(minima or {})
     sums = {n: F.when(c, 1).otherwise(0).cast("bigint") for n, c in (counts or {}).items()} | dict(sums or {})
     names = [*sums, *minima]
+    chunk = F.shiftright(F.col(order), chunk_bits).alias(_CHUNK)
 
-    chunked = df.withColumn(_CHUNK, F.shiftright(F.col(order), chunk_bits))
     so_far = (
         Window.partitionBy(*keys, _CHUNK)
         .orderBy(order, *ties)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = chunked.withColumns(
+    local = df.withColumn(_CHUNK, chunk).withColumns(
         {n: F.sum(e).over(so_far) for n, e in sums.items()} | {n: F.min(e).over(so_far) for n, e in minima.items()}
     )
-
     chunks = (
-        chunked.groupBy(*keys, _CHUNK)
+        (df if totals is None else totals)
+        .groupBy(*keys, chunk)
         .agg(*[F.sum(e).alias(n) for n, e in sums.items()], *[F.min(e).alias(n) for n, e in minima.items()])
-        .withColumn(_BLOCK, F.shiftright(_CHUNK, block_bits))
-    )
-    blocks = chunks.groupBy(*keys, _BLOCK).agg(
-        *[F.sum(n).alias(n) for n in sums], *[F.min(n).alias(n) for n in minima]
     )
     carry = (
-        _carried(chunks, [*keys, _BLOCK], _CHUNK, sums, minima, "_c")
-        .join(_carried(blocks, keys, _BLOCK, sums, minima, "_b").drop(*names), [*keys, _BLOCK])
-        .select(
-            *keys,
-            _CHUNK,
-            *[(F.col(n + "_c") + F.col(n + "_b")).alias(n + "_carry") for n in sums],
-            *[F.least(n + "_c", n + "_b").alias(n + "_carry") for n in minima],
-        )
+        _block_carried(chunks, keys, sums, minima)
+        if sparse
+        else _carried(chunks, keys, _CHUNK, sums, minima, "_carry")
     )
     # The rows already lie by (keys, chunk), so a merge join moves only the totals.
     return local.hint("merge").join(carry, [*keys, _CHUNK]).select(

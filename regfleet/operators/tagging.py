@@ -55,7 +55,9 @@ def _numbered_claims(uses: DataFrame) -> DataFrame:
         F.coalesce(F.col("asked") <= F.least("typed", "asked"), F.lit(False)).alias("by_request"),
     ).filter(F.col("n").isNotNull())
     bases = uses.filter(F.col("asked").isNotNull()).select("map_id", F.col("text").alias("base"))
-    return salted_lookup(claims, bases, _KEYS, "n", how="inner")
+    # One row per base on both sides; most fleets end here with nothing left.
+    claimed = freeze(claims.select(*_KEYS).distinct().join(bases, _KEYS, "left_semi"), "tag-bases")
+    return salted_lookup(claims, claimed, _KEYS, "n", how="inner")
 
 
 def _bare_claims(uses: DataFrame) -> DataFrame:
@@ -111,7 +113,7 @@ def _settle_round(claims: DataFrame) -> DataFrame:
         .when((F.col("n") == 0) & (F.col("spelled") == SKIPPED), F.lit(TAKEN)),
     ).drop("spelled")
     skipped, open_ = F.col("state") == SKIPPED, F.col("state").isNull()
-    bounded = ordered_scan(known, _KEYS, "n", counts={"sure": skipped, "maybe": skipped | open_})
+    bounded = ordered_scan(known, _KEYS, "n", counts={"sure": skipped, "maybe": skipped | open_}, sparse=True)
     low = F.col("sure") - F.when(skipped, 1).otherwise(0)
     high = F.col("maybe") - F.when(skipped | open_, 1).otherwise(0)
     return bounded.withColumn(
@@ -129,7 +131,7 @@ def _settle(claims: DataFrame) -> DataFrame:
         settled = freeze(_settle_round(settled.drop("s")), "tag-claims")
     skipped = F.col("state") == SKIPPED
     # All states are known now, so one more scan gives the exact count below each number.
-    exact = ordered_scan(settled.drop("s"), _KEYS, "n", counts={"s": skipped}).filter(skipped)
+    exact = ordered_scan(settled.drop("s"), _KEYS, "n", counts={"s": skipped}, sparse=True).filter(skipped)
     return (
         exact.withColumn("rank", F.col("n") - (F.col("s") - 1) + 1)
         .groupBy(*_KEYS, "rank")

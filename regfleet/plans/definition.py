@@ -32,8 +32,14 @@ def staged_table(rows: DataFrame, params: DataFrame | None = None, order: str |
 
 def definition(staged: DataFrame) -> DataFrame:
     """Definition rows: tags allocated, indexed from 1 in line order per map."""
-    rows = allocate_tags(with_values(surviving(staged)))
-    indexed = ordered_scan(rows, ["map_id"], "line_num", counts={"idx": F.lit(True)})
+    rows = surviving(staged)
+    indexed = ordered_scan(
+        allocate_tags(with_values(rows)),
+        ["map_id"],
+        "line_num",
+        counts={"idx": F.lit(True)},
+        totals=rows.select("map_id", "line_num"),
+    )
     return with_coefficient_text(indexed).withColumn("info4", F.lit("")).to(DEFINITION_SCHEMA)
 
 

@@ -9,7 +9,7 @@ from regfleet.operators.headers import union_tables
 from regfleet.operators.ordering import ordered_scan
 from regfleet.operators.records import split_header
 from regfleet.session import freeze
-from regfleet.sources.files import MapId, driver_paths, file_stem, scan_order, with_table
+from regfleet.sources.files import FILE_CHUNK_BITS, MapId, driver_paths, file_stem, scan_order, with_table
 
 #: Files above this many bytes are read by lines, in splits.
 WHOLE_FILE_LIMIT = 64 << 20
@@ -67,12 +67,18 @@ def _lines(spark: SparkSession, path) -> DataFrame:
         spark.read.option("lineSep", "\n")
         .text(path)
         .filter(F.col("_metadata.file_size") > WHOLE_FILE_LIMIT)
-        .select(F.col("_metadata.file_path").alias("file"), scan_order().alias("row_ord"), "value")
+        .select(
+            F.col("_metadata.file_path").alias("file"),
+            scan_order().alias("row_ord"),
+            "value",
+            F.col("_metadata.file_block_start").alias("split"),
+        )
     )
 
 
 def _large_heads(lines: DataFrame) -> DataFrame:
-    """The first 1024 lines of each large file as one text."""
+    """The first 1024 lines of each large file as one text; only first splits are looked at."""
+    lines = lines.filter(F.col("split") == 0)
     start = lines.groupBy("file").agg(F.min("row_ord").alias("start"))
     first = lines.join(start, "file").filter(F.col("row_ord") < F.col("start") + SNIFF_CHARACTERS)
     return (
@@ -125,9 +131,9 @@ def _split_files(lines: DataFrame, delimiter: str, width: int) -> DataFrame:
     running counts decide that without reading a file in one task.
     """
     quotes = _occurrences(F.col("value"), '"').cast("bigint")
-    counted = ordered_scan(lines, ["file"], "row_ord", sums={"_quotes": quotes})
+    counted = ordered_scan(lines, ["file"], "row_ord", sums={"_quotes": quotes}, chunk_bits=FILE_CHUNK_BITS)
     starts = (F.col("_quotes") - quotes) % 2 == 0
-    numbered = ordered_scan(counted, ["file"], "row_ord", counts={"_record": starts})
+    numbered = ordered_scan(counted, ["file"], "row_ord", counts={"_record": starts}, chunk_bits=FILE_CHUNK_BITS)
     schema = ", ".join(f"{c} STRING" for c in _columns(width))
     return (
         numbered.groupBy("file", "_record")
@@ -160,7 +166,7 @@ def read_delimited(
     for (in_splits, utf16, delimiter), files in groups.items():
         width = max(f.width for f in files)
         if in_splits:
-            lines = _lines(spark, driver_paths(files))
+            lines = _lines(spark, driver_paths(files)).drop("split")
             parts.append(_split_files(freeze(lines, "lines"), delimiter, width))
         else:
             parts.append(_whole_files(spark, driver_paths(files), utf16, delimiter, width))

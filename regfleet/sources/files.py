@@ -6,6 +6,9 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: File orders count bytes, so a chunk of them spans 4 MB.
+FILE_CHUNK_BITS = 22
+
 #: Rows of one scan task are numbered in the low 33 bits of this id.
 _ROW_BITS = (1 << 33) - 1
 

@@ -42,6 +42,6 @@ def read_xml(
     records = rows.select(
         F.col("_metadata.file_path").alias("file"), scan_order().alias("row_ord"), F.array(*present).alias("cells")
     ).filter(F.size(F.array_compact("cells")) >= MIN_LEAVES)
-    stored = drop_repeats(freeze(with_table(records, map_id), "records"))
+    stored = freeze(drop_repeats(with_table(records, map_id)), "records")
     header = F.array(*[F.lit(name) for name in leaves])
     return stored.select("map_id", "table_id").distinct().withColumn("header", header), stored

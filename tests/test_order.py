@@ -10,12 +10,15 @@ from rowwise import allocate, overlaps
 
 from regfleet.functions import tag_base
 from regfleet.operators.checks import duplicates, overlap_counts, overlap_pairs
+from regfleet.operators import ordering
 from regfleet.operators.ordering import ordered_scan
 from regfleet.operators.tagging import allocate_tags
 from regfleet.session import freeze
 
 
-def test_ordered_scan_equals_window(spark):
+@pytest.mark.parametrize("sparse", [False, True])
+def test_ordered_scan_equals_window(spark, sparse, monkeypatch):
+    monkeypatch.setattr(ordering, "BLOCK_BITS", 3)
     df = spark.range(20000).select(
         F.pmod(F.xxhash64("id"), F.lit(5)).alias("m"), (F.col("id") * 37 % 20011 - 400).alias("o"), "id"
     )
@@ -26,8 +29,8 @@ def test_ordered_scan_equals_window(spark):
         counts={"rn": F.lit(True), "odd": F.col("id") % 2 == 1},
         sums={"total": F.col("id")},
         minima={"low": F.when(F.col("id") > 50, F.col("id"))},
+        sparse=sparse,
         chunk_bits=6,
-        block_bits=3,
     )
     w = Window.partitionBy("m").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
     plain = df.select(
