@@ -17,7 +17,7 @@ from regfleet import functions as R  # noqa: E402
 from regfleet.operators.checks import duplicates, intervals, overlap_counts, overlap_pairs  # noqa: E402
 from regfleet.operators.headers import project_records, resolve_columns, source_columns  # noqa: E402
 from regfleet.operators.records import grid_records, select_tables  # noqa: E402
-from regfleet.operators.staging import number_lines, stage, surviving  # noqa: E402
+from regfleet.operators.staging import number_lines, surviving  # noqa: E402
 from regfleet.operators.tagging import allocate_tags  # noqa: E402
 from regfleet.plans.definition import definition, generate, staged_table  # noqa: E402
 from regfleet.plans.diagnostics import diagnostics  # noqa: E402
@@ -83,7 +83,7 @@ def bits_compose(spark, d):
 
 
 def register_count(spark, d):
-    rows = surviving(stage(X.registers(spark, d)))
+    rows = _plain_rows(spark, d)
     return rows.select(*LINE, "info3", "info2", R.register_count(col("info3"), col("info2")).alias("registers"))
 
 
@@ -153,11 +153,11 @@ def duplicate_tags(spark, d):
 
 
 def overlaps(spark, d):
-    return overlap_pairs(intervals(_plain_rows(spark, d)))
+    return overlap_pairs(freeze(intervals(_plain_rows(spark, d)), "spans"))
 
 
 def overlap_numbers(spark, d):
-    return overlap_counts(intervals(_plain_rows(spark, d)))
+    return overlap_counts(freeze(intervals(_plain_rows(spark, d)), "spans"))
 
 
 def diagnostic_rows(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from regfleet import functions as R
 from regfleet.operators.lookup import salted_lookup
 from regfleet.operators.ordering import ordered_scan
+from regfleet.session import freeze
 
 
 def duplicates(rows: DataFrame, column: str) -> DataFrame:
@@ -35,10 +36,14 @@ def intervals(rows: DataFrame) -> DataFrame:
 
 
 # Overlaps without comparing rows that do not overlap. Level k cuts the register
-# axis into nodes of 2^k registers. An interval is the union of a few whole nodes,
-# at most two per level; a register lies in exactly one node per level. So "start
-# of b lies in a" is one equality match of (level, node), and two intervals
-# overlap exactly when one holds the start of the other.
+# axis into nodes of 2^k registers. An interval is the union of whole nodes: its
+# single registers while it is narrow, else at most two nodes per level. A register
+# lies in exactly one node per level. So "start of b lies in a" is one equality
+# match of (level, node), and two intervals overlap exactly when one holds the
+# start of the other.
+
+#: Intervals up to this many registers are covered register by register.
+NARROW = 16
 
 
 def _shift(value: Column, level: Column) -> Column:
@@ -47,28 +52,32 @@ def _shift(value: Column, level: Column) -> Column:
 
 def _covering_nodes(spans: DataFrame, first: str, last: str) -> DataFrame:
     """One row per node of the union of whole nodes that makes up ``[first, last]``."""
-    width = F.col(last) - F.col(first) + 1
+    start, end = F.col(first), F.col(last)
+    width = end - start + 1
+    narrow = F.when(width <= NARROW, F.sequence(start, end))
+    registers = spans.filter((width >= 1) & (width <= NARROW)).select(
+        "*", F.lit(0).alias("level"), F.explode(narrow).alias("node")
+    )
     # At each level: the first whole node, and the one past the last whole node.
-    low = -_shift(-F.col(first), F.col("level"))
-    high = _shift(F.col(last) + 1, F.col("level"))
-    odd_low = F.pmod("_low", F.lit(2)) == 1
-    odd_high = F.pmod("_high", F.lit(2)) == 1
-    left = F.when((F.col("_low") < F.col("_high")) & odd_low, F.col("_low"))
-    right = F.when(odd_high & (F.col("_low") + F.when(odd_low, 1).otherwise(0) < F.col("_high")), F.col("_high") - 1)
-    return (
-        spans.filter(F.col(last) >= F.col(first))
+    low, high = F.col("_low"), F.col("_high")
+    odd_low, odd_high = F.pmod(low, F.lit(2)) == 1, F.pmod(high, F.lit(2)) == 1
+    left = F.when((low < high) & odd_low, low)
+    right = F.when(odd_high & (low + F.when(odd_low, 1).otherwise(0) < high), high - 1)
+    nodes = (
+        spans.filter(width > NARROW)
         .withColumn("level", F.explode(F.sequence(F.lit(0), F.length(F.bin(width)) - 1)))
-        .withColumns({"_low": low, "_high": high})
+        .withColumns({"_low": -_shift(-start, F.col("level")), "_high": _shift(end + 1, F.col("level"))})
         .withColumn("node", F.explode(F.array(left, right)))
         .filter(F.col("node").isNotNull())
         .drop("_low", "_high")
     )
+    return registers.unionByName(nodes)
 
 
 def _start_nodes(spans: DataFrame, used: DataFrame) -> DataFrame:
     """The node of each interval start on every level ``used`` in its register space."""
     levels = used.select("map_id", "info1", "level").distinct()
-    return salted_lookup(spans, levels, ["map_id", "info1"], "line_num", how="inner").withColumn(
+    return salted_lookup(spans, levels, ["map_id", "info1"], "line_num").withColumn(
         "node", _shift(F.col("reg_start"), F.col("level"))
     )
 
@@ -119,6 +128,8 @@ def overlap_pairs(spans: DataFrame) -> DataFrame:
 def overlap_counts(spans: DataFrame) -> DataFrame:
     """Per row: how many earlier rows it overlaps, and the first of them.
 
+    ``spans`` is read several times and should be a stored table.
+
     The same pairs as :func:`overlap_pairs`, counted instead of listed. An earlier
     row overlaps either by holding the start of this one, or by starting inside
     the rest of it. Both are running counts in line order per node, so the cost
@@ -126,7 +137,6 @@ def overlap_counts(spans: DataFrame) -> DataFrame:
     """
     held = _covering_nodes(spans, "reg_start", "reg_end")
     rest = _covering_nodes(spans.withColumn("_second", F.col("reg_start") + 1), "_second", "reg_end").drop("_second")
-    starts = _start_nodes(spans, held.select("map_id", "info1", "level").unionByName(rest.select("map_id", "info1", "level")))
     keys = ["map_id", "info1", "side", "level", "node"]
 
     def events(nodes, side, asks):
@@ -134,11 +144,12 @@ def overlap_counts(spans: DataFrame) -> DataFrame:
             "map_id", "info1", F.lit(side).alias("side"), "level", "node", "line_num", "is_bits", F.lit(asks).alias("asks")
         )
 
-    log = (
+    log = freeze(
         events(held, "holds", False)
-        .unionByName(events(starts, "holds", True))
-        .unionByName(events(starts, "starts", False))
-        .unionByName(events(rest, "starts", True))
+        .unionByName(events(_start_nodes(spans, held), "holds", True))
+        .unionByName(events(_start_nodes(spans, rest).filter(F.col("level").isNotNull()), "starts", False))
+        .unionByName(events(rest, "starts", True)),
+        "register-events",
     )
     given = ~F.col("asks")
     plain = given & ~F.col("is_bits")

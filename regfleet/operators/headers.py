@@ -110,7 +110,7 @@ def project_records(records: DataFrame, resolved: DataFrame) -> DataFrame:
     """Cells of the resolved columns; a target without a column is null."""
     targets = list(TARGET_COLUMNS.values())
     ordinals = resolved.select(*TABLE, *[F.col(t).alias(f"_{t}") for t in targets])
-    joined = salted_lookup(records, ordinals, TABLE, "row_ord", how="inner")
+    joined = salted_lookup(records, ordinals, TABLE, "row_ord")
     return joined.select(
         *TABLE, "row_ord", *[F.when(F.col(f"_{t}").isNotNull(), F.get("cells", F.col(f"_{t}"))).alias(t) for t in targets]
     )
@@ -132,7 +132,7 @@ def resolve_exact(headers: DataFrame) -> DataFrame:
 def project_registers(records: DataFrame, resolved: DataFrame) -> DataFrame:
     """Register rows of a simplified file, with a flag for rows that are all empty."""
     ordinals = resolved.select(*TABLE, *[F.col(c).alias(f"_{c}") for c in REGISTER_COLUMNS])
-    joined = salted_lookup(records, ordinals, TABLE, "row_ord", how="inner")
+    joined = salted_lookup(records, ordinals, TABLE, "row_ord")
     return joined.select(
         *TABLE,
         "row_ord",

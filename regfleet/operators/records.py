@@ -14,7 +14,7 @@ def split_header(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     headers = heads.select(
         *TABLE, F.transform("head.cells", lambda c: F.coalesce(c, F.lit(""))).alias("header"), F.col("head.row_ord").alias("_first")
     )
-    records = salted_lookup(rows, headers.select(*TABLE, "_first"), TABLE, "row_ord", how="inner")
+    records = salted_lookup(rows, headers.select(*TABLE, "_first"), TABLE, "row_ord")
     return headers.drop("_first"), records.filter(F.col("row_ord") > F.col("_first")).drop("_first")
 
 
@@ -41,7 +41,7 @@ def grid_records(cells: DataFrame, style: str = "sheet") -> tuple[DataFrame, Dat
     rows = grid_rows(cells, style)
     headers = rows.filter(F.col("row_ord") == 0).select(*TABLE, F.col("cells").alias("header"))
     widths = headers.select(*TABLE, F.size("header").alias("_width"))
-    body = salted_lookup(rows.filter(F.col("row_ord") > 0), widths, TABLE, "row_ord", how="inner")
+    body = salted_lookup(rows.filter(F.col("row_ord") > 0), widths, TABLE, "row_ord")
     records = body.withColumn("cells", F.slice("cells", F.lit(1), F.col("_width"))).drop("_width")
     filled = records.select(*TABLE).distinct()
     return headers.join(filled, TABLE, "left_semi"), records

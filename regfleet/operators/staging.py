@@ -47,7 +47,8 @@ def stage(rows: DataFrame) -> DataFrame:
     Expects ``map_id``, ``line_num`` and the ten register columns; optional
     ``address_offset`` (default 0) and ``blank`` (true when the whole source row
     was empty). The first rule a row breaks decides its ``status``. All other
-    columns are left raw, only survivors need them.
+    columns are left raw, only survivors need them. Store the result before
+    filtering it, or the filter is pushed below and repeats every rule.
     """
     if "address_offset" not in rows.columns:
         rows = rows.withColumn("address_offset", F.lit(0).cast("bigint"))

@@ -57,7 +57,8 @@ def _numbered_claims(uses: DataFrame) -> DataFrame:
     bases = uses.filter(F.col("asked").isNotNull()).select("map_id", F.col("text").alias("base"))
     # One row per base on both sides; most fleets end here with nothing left.
     claimed = freeze(claims.select(*_KEYS).distinct().join(bases, _KEYS, "left_semi"), "tag-bases")
-    return salted_lookup(claims, claimed, _KEYS, "n", how="inner")
+    looked_up = salted_lookup(claims, claimed.withColumn("_claimed", F.lit(True)), _KEYS, "n")
+    return looked_up.filter("_claimed").drop("_claimed")
 
 
 def _bare_claims(uses: DataFrame) -> DataFrame:

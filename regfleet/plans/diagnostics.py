@@ -76,8 +76,9 @@ def diagnostics(staged: DataFrame) -> DataFrame:
     """
     rows = S.surviving(staged)
     tagged = freeze(allocate_tags(rows.select("map_id", "line_num", "name", "tag", "base")), "tagged")
-    spans = intervals(rows)
-    overlaps = overlap_counts(spans).join(spans.drop("info1"), ["map_id", "line_num"])
+    spans = freeze(intervals(rows), "spans")
+    # Merge join: the counts already lie by this key, and rows are never broadcast.
+    overlaps = overlap_counts(spans).join(spans.hint("merge"), ["map_id", "info1", "line_num"])
     return (
         row_findings(staged)
         .unionByName(_finding(duplicates(rows.select("map_id", "line_num", "name"), "name"), "DUPLICATE_NAME", WARNING, F.col("name"), F.col("ref_line")))
