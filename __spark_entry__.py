@@ -216,9 +216,7 @@ def header_detect(spark, d):
 
 def header_mapping(spark, d):
     headers, records = _grid(spark, d)
-    mapping = headers.limit(1).select(
-        F.lit(None).cast("string").alias("map_id"), F.lit("Factor").alias("target"), F.lit("ScaleFactor").alias("source")
-    )
+    mapping = spark.createDataFrame([(None, "Factor", "ScaleFactor")], "map_id string, target string, source string")
     return _long(resolve_columns(source_columns(headers, records), mapping))
 
 

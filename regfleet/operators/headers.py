@@ -61,15 +61,9 @@ def _explicit(columns: DataFrame, mapping: DataFrame | None) -> DataFrame:
     if mapping is None:
         return columns.withColumn("wanted", F.lit(None).cast("map<string,string>"))
     per_map = mapping.groupBy("map_id").agg(F.map_from_entries(F.collect_list(F.struct("target", "source"))).alias("own"))
-    common = per_map.filter(F.col("map_id").isNull()).select(F.col("own").alias("common"))
+    common = per_map.filter(F.col("map_id").isNull()).select("own").scalar()
     own = per_map.filter(F.col("map_id").isNotNull())
-    # `common` is a single row, so its broadcast has a fixed size.
-    return (
-        columns.join(own, "map_id", "left")
-        .join(F.broadcast(common), F.lit(True), "left")
-        .withColumn("wanted", F.coalesce("own", "common"))
-        .drop("own", "common")
-    )
+    return columns.join(own, "map_id", "left").withColumn("wanted", F.coalesce(F.col("own"), common)).drop("own")
 
 
 def resolve_columns(columns: DataFrame, mapping: DataFrame | None = None) -> DataFrame:

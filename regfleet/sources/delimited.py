@@ -19,8 +19,8 @@ WHOLE_FILE_LIMIT = 64 << 20
 DELIMITERS = [",", ";", "\t"]
 SNIFF_CHARACTERS = 1024
 
-#: A record up to its line end; line breaks inside quotes belong to it.
-_FIRST_RECORD = r'^(?:[^"\n]++|"(?:[^"]|"")*+"?)*+'
+#: A record up to its line end; line breaks inside closed quotes belong to it.
+_FIRST_RECORD = r'^(?:[^"\n]++|"[^"]*+")*+'
 
 _UTF16 = "(hex(substring(cast({} AS BINARY), 1, 2)) IN ('FFFE', 'FEFF'))"
 
@@ -43,22 +43,19 @@ def _register_delimiter(first: Column) -> Column:
 def _judge(heads: DataFrame, simplified: bool) -> DataFrame:
     """(file, large, utf16, delimiter, width) from the text at the start of each file."""
     utf16 = F.expr(_UTF16.format("head"))
-    binary = F.col("head").cast("binary")
     even = F.expr("substring(cast(head AS BINARY), 1, 2 * CAST(floor(octet_length(head) / 2) AS INT))")
-    text = F.when(utf16, F.decode(even, "UTF-16")).otherwise(F.regexp_replace(F.decode(binary, "UTF-8"), "^﻿", ""))
+    text = F.when(utf16, F.decode(even, "UTF-16")).otherwise(F.ltrim(F.col("head"), F.lit("\ufeff")))
     first = F.regexp_extract("text", _FIRST_RECORD, 0)
     delimiter = _register_delimiter(F.col("first")) if simplified else _document_delimiter(F.col("text"))
+    delimiters = [
+        F.length(c) - F.length(F.replace(F.col(c), F.col("delimiter"), F.lit(""))) for c in ("first", "line")
+    ]
     return (
         heads.withColumns({"utf16": utf16, "text": text})
-        .withColumn("first", first)
+        .withColumns({"first": first, "line": F.regexp_extract("text", r"^[^\n]*", 0)})
         .withColumn("delimiter", delimiter)
-        .select(
-            "file",
-            "large",
-            "utf16",
-            "delimiter",
-            (F.length("first") - F.length(F.replace("first", F.col("delimiter"), F.lit(""))) + 1).alias("width"),
-        )
+        # With a stray quote in the header only its line end is sure.
+        .select("file", "large", "utf16", "delimiter", (F.greatest(*delimiters) + 1).alias("width"))
     )
 
 
@@ -128,7 +125,8 @@ def _split_files(lines: DataFrame, delimiter: str, width: int) -> DataFrame:
     """Records of large files from lines read in splits.
 
     A line starts a record when the quotes before it in the file are balanced;
-    running counts decide that without reading a file in one task.
+    running counts decide that without reading a file in one task. Quotes inside
+    unquoted cells have to be balanced for that.
     """
     quotes = _occurrences(F.col("value"), '"').cast("bigint")
     counted = ordered_scan(lines, ["file"], "row_ord", sums={"_quotes": quotes}, chunk_bits=FILE_CHUNK_BITS)

@@ -49,6 +49,7 @@ def docs(tmp_path):
     (folder / "bom.csv").write_bytes(SAMPLE.replace(",", ";").encode("utf-8-sig"))
     (folder / "wide.csv").write_bytes(SAMPLE.replace(",", "\t").encode("utf-16"))
     (folder / "big_endian.csv").write_bytes(b"\xfe\xff" + SAMPLE.encode("utf-16-be"))
+    (folder / "stray.csv").write_text('Size 5",Name,Address\n1,a,2\n')
     (folder / "broken lines.csv").write_bytes(
         b'Address;Name;Type\r\n1;"two\r\nlines; ""quoted""";U16\r\n\r\n2;plain;U16\r\n'
     )
@@ -64,6 +65,7 @@ def test_dialects(spark, docs):
         "wide.csv": (True, "\t", 6),
         "big_endian.csv": (True, ",", 6),
         "broken%20lines.csv": (False, ";", 3),
+        "stray.csv": (False, ",", 3),
     }
 
 
