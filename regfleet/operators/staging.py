@@ -75,7 +75,7 @@ def stage(rows: DataFrame) -> DataFrame:
         .otherwise(OK)
     )
     return parts.withColumns({"status": status, "base": R.tag_base(F.col("name"))}).drop(
-        "address_offset", "blank", "_address"
+        "address", "address_offset", "blank", "_address"
     )
 
 
@@ -94,7 +94,7 @@ def surviving(staged: DataFrame) -> DataFrame:
         {"tag": R.text(F.col("tag")), "register_type": R.text(F.col("register_type"))}
     )
     return kept.withColumn("info1", R.register_code(F.col("register_type"))).drop(
-        "status", "register_type", "address", "type", "dtype"
+        "status", "register_type", "type", "dtype"
     )
 
 

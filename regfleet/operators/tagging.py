@@ -43,21 +43,27 @@ def _first_uses(rows: DataFrame) -> DataFrame:
     )
 
 
-def _numbered_claims(uses: DataFrame) -> DataFrame:
-    """Texts ``base_n`` whose ``base`` is requested in the same map: (base, n, line)."""
+def _numbered_texts(uses: DataFrame) -> DataFrame:
+    """Texts that spell ``base_n``: what they may claim, from which line on."""
     pattern = r"^(.*)_([1-9][0-9]{0,17})$"
-    claims = uses.select(
+    return uses.filter(F.col("text").rlike(pattern)).select(
         "map_id",
         "text",
         F.regexp_extract("text", pattern, 1).alias("base"),
-        F.regexp_extract("text", pattern, 2).try_cast("bigint").alias("n"),
+        F.regexp_extract("text", pattern, 2).cast("bigint").alias("n"),
         F.least("typed", "asked").alias("line_num"),
         F.coalesce(F.col("asked") <= F.least("typed", "asked"), F.lit(False)).alias("by_request"),
-    ).filter(F.col("n").isNotNull())
+    )
+
+
+def _claimed_bases(uses: DataFrame) -> DataFrame:
+    """Requested bases that some numbered text claims; one row per base on both sides."""
     bases = uses.filter(F.col("asked").isNotNull()).select("map_id", F.col("text").alias("base"))
-    # One row per base on both sides; most fleets end here with nothing left.
-    claimed = freeze(claims.select(*_KEYS).distinct().join(bases, _KEYS, "left_semi"), "tag-bases")
-    looked_up = salted_lookup(claims, claimed.withColumn("_claimed", F.lit(True)), _KEYS, "n")
+    return _numbered_texts(uses).select(*_KEYS).distinct().join(bases, _KEYS, "left_semi")
+
+
+def _numbered_claims(uses: DataFrame, claimed: DataFrame) -> DataFrame:
+    looked_up = salted_lookup(_numbered_texts(uses), claimed.withColumn("_claimed", F.lit(True)), _KEYS, "n")
     return looked_up.filter("_claimed").drop("_claimed")
 
 
@@ -156,12 +162,13 @@ def allocate_tags(rows: DataFrame) -> DataFrame:
     given = rows.filter((F.col("tag") != "") | (F.col("name") == "")).select(columns)
     requests = _requests(rows)
     uses = freeze(_first_uses(rows), "tag-texts")
-    numbered = freeze(_numbered_claims(uses), "tag-claims")
+    claimed = freeze(_claimed_bases(uses), "tag-bases")
 
-    if numbered.isEmpty() and _bare_claims(uses).isEmpty():
+    if claimed.isEmpty() and _bare_claims(uses).isEmpty():
         ranked = ordered_scan(requests, _KEYS, "line_num", counts={"rank": F.lit(True)})
         return given.unionByName(_tagged(ranked, F.col("rank") - 1).select(columns))
 
+    numbered = freeze(_numbered_claims(uses, claimed), "tag-claims")
     skips = freeze(_settle(_claims(rows, uses, numbered)), "tag-skips")
     # A marker before line 1 tells every request whether its base has skips.
     markers = skips.select(*_KEYS).distinct().withColumn("line_num", F.lit(0).cast("bigint"))
