@@ -93,8 +93,7 @@ def _numbered(rows: DataFrame, order: str, ties=()) -> DataFrame:
 
 def _registers(rows: DataFrame) -> DataFrame:
     rules = rows.selectExpr("*", f"{ADDRESS_RULE} AS addr", f"{TYPE_RULE} AS dtype")
-    view = "{rows}"
-    return rules.sparkSession.sql(f"SELECT {ROW_RULES} FROM {view}", rows=rules)
+    return rules.sparkSession.sql("SELECT " + ROW_RULES + " FROM {rows}", rows=rules)
 
 
 def registers(spark: SparkSession, sf_dir: str, map_id: str = "p_brand") -> DataFrame:

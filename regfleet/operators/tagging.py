@@ -23,7 +23,8 @@ from regfleet.session import freeze
 
 _KEYS = ["map_id", "base"]
 
-SKIPPED, TAKEN, OPEN = 1, 0, None
+#: States of a claim; null while it is open.
+SKIPPED, TAKEN = 1, 0
 
 
 def _requests(rows: DataFrame) -> DataFrame:
