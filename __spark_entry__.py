@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -32,6 +33,13 @@ from regfleet.sources.xml import read_xml  # noqa: E402
 
 LINE = ["map_id", "line_num"]
 
+#: The text operators and their pipeline are optional.
+llm = corpus_pipeline = None
+if importlib.util.find_spec("regfleet.llm"):
+    from regfleet.llm import queries as llm
+if importlib.util.find_spec("corpus_pipeline"):
+    import corpus_pipeline
+
 
 def col(name):
     return F.col(name)
@@ -312,6 +320,15 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = _register_queries()
+    if llm:
+        found |= llm.queries()
+    if corpus_pipeline:
+        found["pipeline"] = corpus_pipeline.run
+    return found
+
+
+def _register_queries():
     return {
         "reg_type_normalize": type_normalize,
         "reg_address_normalize": address_normalize,
@@ -350,4 +367,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    found = oracles.oracle_sql()
+    if llm:
+        found |= llm.oracle_sql()
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
