@@ -3,8 +3,10 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, table
+from .decontaminate import contamination
 from .jaccard_join import Threshold, jaccard_components
 
 
@@ -12,9 +14,22 @@ def op1_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return jaccard_components(table(spark, d, "documents"), width=3, threshold=Threshold(90, 100))
 
 
+def op3_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    found = contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("hit_words").cast("bigint").alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("hit_words") > 0).alias("contaminated"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
+        "op3_decontamination": op3_decontamination,
     }
 
 
@@ -40,7 +55,28 @@ SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, (SELECT min(b) FROM reach WHERE
 """
 
 
+_BENCHMARK_WORDS = rf"list_filter(string_split_regex({_FOLDED}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+OP3 = f"""
+WITH d AS (SELECT doc_id, {_BENCHMARK_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_BENCHMARK_WORDS} AS w FROM benchmark),
+g AS (
+  SELECT item_id, least(len(w), 10) AS n,
+    unnest(list_transform(range(1, greatest(len(w) - 10, 0) + 2), lambda i: array_to_string(w[i : i + 9], ' '))) AS gram
+  FROM b WHERE len(w) > 0),
+lens AS (SELECT DISTINCT n FROM g),
+p AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS pos FROM d, lens WHERE len(w) >= n),
+hits AS (SELECT p.doc_id, p.pos, p.n, g.item_id FROM p JOIN g ON array_to_string(p.w[p.pos : p.pos + p.n - 1], ' ') = g.gram AND g.n = p.n),
+places AS (SELECT doc_id, count(DISTINCT pos) AS c FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS pos FROM hits) GROUP BY 1),
+found AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM hits GROUP BY 1)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(c, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard": OP1,
+        "op3_decontamination": OP3,
     }
