@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, table
 from .decontaminate import contamination
+from .line_dedup import deduplicate_lines
 from .jaccard_join import Threshold, jaccard_components
 
 
@@ -26,10 +27,15 @@ def op3_decontamination(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op9_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return deduplicate_lines(table(spark, d, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op3_decontamination": op3_decontamination,
+        "op9_line_dedup": op9_line_dedup,
     }
 
 
@@ -75,8 +81,36 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+OP9 = r"""
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+u AS (SELECT doc_id, i, trim(ls[i], concat(' ', chr(9), chr(11), chr(12), chr(13))) AS line
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l)),
+n AS (
+  SELECT doc_id, i, line, len(string_split_regex(line, '[\x20\x09-\x0D]+')) AS w,
+    row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM u WHERE line <> ''),
+c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY p) AS upto FROM n),
+whole AS (SELECT doc_id, list(line ORDER BY p) AS ls, list(i ORDER BY p) AS rows FROM n GROUP BY 1),
+grown AS (
+  SELECT a.doc_id, a.p AS s, min(b.p) AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.p >= a.p AND b.upto - a.upto + a.w >= 30
+  GROUP BY 1, 2
+  UNION
+  SELECT a.doc_id, max(b.p), a.p FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.p <= a.p AND a.upto - b.upto + b.w >= 30
+  GROUP BY a.doc_id, a.p),
+runs AS (
+  SELECT doc_id, s, rows[s] AS lo, rows[e] AS hi, array_to_string(ls[s:e], chr(10)) AS content FROM grown JOIN whole USING (doc_id)),
+marked AS (SELECT *, first_value(doc_id) OVER o AS fd, first_value(s) OVER o AS fs FROM runs
+  WINDOW o AS (PARTITION BY content ORDER BY doc_id, s)),
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(lo, hi + 1)))) AS g FROM marked WHERE (doc_id, s) <> (fd, fs) GROUP BY 1)
+SELECT l.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(g), 0)::BIGINT AS n_removed,
+  CASE WHEN g IS NULL THEN text
+    ELSE coalesce(array_to_string(list_filter(ls, lambda x, i: NOT list_contains(g, i)), chr(10)), '') END AS text
+FROM l LEFT JOIN gone USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard": OP1,
         "op3_decontamination": OP3,
+        "op9_line_dedup": OP9,
     }
