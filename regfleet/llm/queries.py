@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, table
 from .decontaminate import contamination
-from .line_dedup import deduplicate_lines
 from .jaccard_join import Threshold, jaccard_components
+from .line_dedup import deduplicate_lines
+from .mixing import mix_sources
 
 
 def op1_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
@@ -27,6 +28,14 @@ def op3_decontamination(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op8_mix_sources(spark: SparkSession, d: str) -> DataFrame:
+    mixed = mix_sources(table(spark, d, "documents"))
+    rows = mixed.select(
+        "doc_id", "size", "source_size", "target", "taken", F.expr("get(copies, 0).position").alias("position")
+    )
+    return rows.repartitionByRange("position").sortWithinPartitions("position")
+
+
 def op9_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return deduplicate_lines(table(spark, d, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -35,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op3_decontamination": op3_decontamination,
+        "op8_mix_sources": op8_mix_sources,
         "op9_line_dedup": op9_line_dedup,
     }
 
@@ -81,6 +91,34 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+OP8 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5(coalesce(doc_id::VARCHAR, md5(text), '')) AS name FROM documents),
+t AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+n AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS no FROM t),
+w AS (SELECT *, [1.0::DOUBLE, 2.0, 3.0][1 + no % 3] AS weight, [-0.5::DOUBLE, 0.0, 0.5][1 + no % 3] AS ramp FROM n),
+f AS (
+  SELECT *, row_number() OVER o AS place,
+    ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(3 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w WINDOW o AS (ORDER BY 3 * source_size / weight, no)),
+l AS (SELECT min_by(level, place) AS level FROM f WHERE level * weight <= 3 * source_size),
+s AS (SELECT source, source_size, ramp, least(l.level * weight, (3 * source_size)::DOUBLE) AS target FROM f, l),
+p AS (
+  SELECT d.*, source_size, target, ramp, round(target)::BIGINT AS take,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY name, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+c AS (
+  SELECT *, (greatest(least(take - before, size), 0) + greatest(least(take - before - source_size, size), 0)
+    + greatest(least(take - before - 2 * source_size, size), 0))::BIGINT AS taken,
+    least(before::DOUBLE / greatest(take, 1)::DOUBLE, 1.0::DOUBLE) AS u FROM p)
+SELECT doc_id, size, source_size, target, taken,
+  CASE WHEN taken > 0 THEN
+    CASE WHEN ramp = 0 THEN u ELSE (sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * u) - (1 - ramp)) / (2 * ramp) END END AS position
+FROM c
+"""
+
 OP9 = r"""
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 u AS (SELECT doc_id, i, trim(ls[i], concat(' ', chr(9), chr(11), chr(12), chr(13))) AS line
@@ -112,5 +150,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard": OP1,
         "op3_decontamination": OP3,
+        "op8_mix_sources": OP8,
         "op9_line_dedup": OP9,
     }
