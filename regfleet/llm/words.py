@@ -95,3 +95,34 @@ def split_words(texts: pa.Array, word_bytes: np.ndarray, fold: np.ndarray = FOLD
     end = np.flatnonzero(closes) + 1
     text = np.searchsorted(begins, start, side="right") - 1
     return Words(data, start, end, text, len(texts))
+
+
+class WordCache:
+    """Values of words, worked out once per word and task.
+
+    ``compute(words, chosen)`` gives an array with one row for each chosen word.
+    The cache holds at most ``limit`` words and starts anew beyond; results do
+    not depend on it.
+    """
+
+    def __init__(self, compute, width: int = 1, limit: int = 1_000_000):
+        self.compute, self.limit = compute, limit
+        self.hashes = np.zeros(0, dtype=np.uint64)
+        self.rows = np.zeros((0, width))
+
+    def values(self, words: Words) -> np.ndarray:
+        hashes, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), dtype=bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == hashes[inside]
+        rows = np.zeros((len(hashes), self.rows.shape[1]))
+        rows[known] = self.rows[at[known]]
+        if not known.all():
+            rows[~known] = self.compute(words, first[~known])
+            if len(self.hashes) > self.limit:
+                self.hashes, self.rows = hashes, rows
+            else:
+                self.hashes = np.insert(self.hashes, at[~known], hashes[~known])
+                self.rows = np.insert(self.rows, at[~known], rows[~known], axis=0)
+        return rows[back]
