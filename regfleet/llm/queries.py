@@ -10,6 +10,7 @@ from .decontaminate import contamination
 from .jaccard_join import Threshold, jaccard_components
 from .line_dedup import deduplicate_lines
 from .mixing import mix_sources
+from .toxicity import toxicity
 
 
 def op1_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
@@ -28,6 +29,10 @@ def op3_decontamination(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op8_mix_sources(spark: SparkSession, d: str) -> DataFrame:
     mixed = mix_sources(table(spark, d, "documents"))
     rows = mixed.select(
@@ -44,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op3_decontamination": op3_decontamination,
+        "op5_toxicity": op5_toxicity,
         "op8_mix_sources": op8_mix_sources,
         "op9_line_dedup": op9_line_dedup,
     }

@@ -8,9 +8,12 @@ classes says nothing about the class. Where an n-gram was seen in neither class,
 the shared lower order cancels from the ratio, hence scoring needs a table of
 log ratios by n-gram and one by context.
 
-A document's score is a logistic function of its log-likelihood ratio per word,
-with ``SMOOTH`` words added to the length, fitted on a part of the sample that
-the models have not seen.
+A toxic document is mostly made of ordinary words, so its likelihood takes each
+word from the toxic model with the probability ``TOXIC_SHARE`` and from the
+ordinary one otherwise. A document's score is a logistic function of its
+log-likelihood ratio per word, with ``SMOOTH`` words added to the length, fitted
+with models of three quarters of the sample on the last quarter; the counts of
+both make the final models.
 """
 
 from collections.abc import Iterator
@@ -27,6 +30,7 @@ from .words import LETTERS, WordCache, Words, mix, split_words
 
 ORDER = 6
 SMOOTH = 20
+TOXIC_SHARE = 0.01
 DISCOUNT = 0.75
 
 #: Labelled documents of each class that the models are fitted on, at most.
@@ -77,7 +81,8 @@ def _word_ratios(gram_keys, gram_ratio, context_keys, context_ratio):
         ratio = _lookup(gram_keys, gram_ratio, grams[ORDER])
         rest = np.isnan(ratio)
         ratio[rest] = np.nan_to_num(_lookup(context_keys, context_ratio, contexts[ORDER][rest]))
-        return np.bincount(word, weights=ratio, minlength=len(chosen))[:, None]
+        total = np.bincount(word, weights=ratio, minlength=len(chosen))
+        return np.log1p(TOXIC_SHARE * np.expm1(np.minimum(total, 500)))[:, None]
 
     return compute
 
@@ -92,23 +97,26 @@ def _mean_ratios(texts: pa.Array, cache: WordCache) -> np.ndarray:
 _COUNT_COLUMNS = [f"{kind}_{n}" for n in range(1, ORDER + 1) for kind in ("gram", "context")]
 
 
-def _count_rows(text: str, label: str):
-    """Distinct highest-order n-grams of a task with their lower orders and counts by class."""
+_PARTS = ["ordinary", "toxic", "ordinary_check", "toxic_check"]
+
+
+def _count_rows(text: str, part: str):
+    """Distinct highest-order n-grams of a piece with their lower orders and counts by part (of ``_PARTS``)."""
 
     def rows(batches):
         for piece in pieces(batches, text):
             words = split_words(piece.column(text), LETTERS)
             if not len(words.start):
                 continue
-            toxic = np.asarray(piece.column(label).to_numpy(zero_copy_only=False), dtype=np.int64)[words.text]
+            part_of = np.asarray(piece.column(part).to_numpy(zero_copy_only=False), dtype=np.int64)[words.text]
             _, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
-            per_word = np.stack([np.bincount(back, weights=toxic == c, minlength=len(first)) for c in (0, 1)])
+            per_word = np.stack([np.bincount(back, weights=part_of == c, minlength=len(first)) for c in range(4)])
             word, grams, contexts = letter_grams(words, first, list(range(1, ORDER + 1)))
             top, place, back = np.unique(grams[ORDER], return_index=True, return_inverse=True)
-            counts = [np.bincount(back, weights=per_word[c][word], minlength=len(top)).astype(np.int64) for c in (0, 1)]
+            counts = [np.bincount(back, weights=per_word[c][word], minlength=len(top)).astype(np.int64) for c in range(4)]
             columns = [x[n][place].view(np.int64) for n in range(1, ORDER + 1) for x in (grams, contexts)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in [*columns, *counts]], names=[*_COUNT_COLUMNS, "ordinary", "toxic"]
+                [pa.array(x) for x in [*columns, *counts]], names=[*_COUNT_COLUMNS, *_PARTS]
             )
 
     return rows
@@ -202,16 +210,19 @@ def fit_toxicity(
         .join(F.broadcast(chosen), docs[doc] == F.col("_id"))
         .select(F.col(text).alias("_text"), "_toxic", (F.pmod(F.xxhash64(F.lit("part"), "_id"), F.lit(4)) == 0).alias("_check"))
     )
-    schema = ", ".join(f"{c} bigint" for c in [*_COUNT_COLUMNS, "ordinary", "toxic"])
-    counts = sample.filter("NOT _check").select("_text", "_toxic").mapInArrow(_count_rows("_text", "_toxic"), schema)
-    table = (
-        counts.groupBy(*_COUNT_COLUMNS).agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    ).toPandas()
-    if not len(table):
+    schema = ", ".join(f"{c} bigint" for c in [*_COUNT_COLUMNS, *_PARTS])
+    part = (F.col("_toxic") + F.when(F.col("_check"), 2).otherwise(0)).cast("int").alias("_part")
+    counts = sample.select("_text", part).mapInArrow(_count_rows("_text", "_part"), schema)
+    table = counts.groupBy(*_COUNT_COLUMNS).agg(*[F.sum(c).alias(c) for c in _PARTS]).toPandas()
+    fitted = table[(table["ordinary"] > 0) | (table["toxic"] > 0)]
+    if not len(fitted):
         return None
-    model = ToxicityModel(*_ratios(table), 1.0, 0.0)
-    ratio = _ratio_udf(docs.sparkSession, model)
+    trial = ToxicityModel(*_ratios(fitted), 1.0, 0.0)
+    ratio = _ratio_udf(docs.sparkSession, trial)
     points = sample.filter("_check").select("_toxic", ratio("_text").alias("x")).toPandas()
+    for c in ("ordinary", "toxic"):
+        table[c] += table[f"{c}_check"]
+    model = ToxicityModel(*_ratios(table), 1.0, 0.0)
     if points["_toxic"].nunique() == 2:
         y = points["_toxic"].to_numpy(dtype=float)
         share = {c: sizes[c] / min(sizes[c], per_class) for c in (0, 1)}
