@@ -37,6 +37,9 @@ from .words import NOT_SPACE, mix, split_words
 #: Fragments of the global order in which overlaps are counted.
 COUNT_FRAGMENTS = 8
 
+#: Rounds in which a group's members are compared with one of them, before pairs are formed.
+STAR_ROUNDS = 1
+
 _ROWS = "kind int, doc bigint, set_id bigint, n int, sig bigint, fragment int, grams array<bigint>"
 _MEMBER, _SIGNATURE, _SEGMENT = 0, 1, 2
 
@@ -206,38 +209,44 @@ def _near_sizes(n_a, n_b, threshold):
     return f"{threshold.over} * least({n_a}, {n_b}) >= {threshold.part} * greatest({n_a}, {n_b})"
 
 
-def _star_pairs(sigs: DataFrame, threshold: Threshold) -> DataFrame:
-    """Each member of a group with an equal segment, with the member that shares most segments."""
-    popular = (
-        sigs.join(sigs.groupBy("sig").agg(F.count("*").alias("members")), "sig")
-        .groupBy("set_id")
-        .agg(F.sum("members").alias("fame"))
-    )
-    centres = (
-        sigs.join(popular, "set_id")
-        .groupBy("sig")
-        .agg(F.max(F.struct("fame", "set_id", "n")).alias("centre"))
-        .select("sig", F.col("centre.set_id").alias("b"), F.col("centre.n").alias("n_b"))
-    )
-    near = F.expr(_near_sizes("n", "n_b", threshold)) & F.expr("set_id != b")
-    return sigs.join(centres, "sig").filter(near).select(F.col("set_id").alias("a"), "b").distinct()
+def _famous(sigs: DataFrame) -> DataFrame:
+    """Adds ``fame``: with how many members a set shares segments."""
+    members = sigs.groupBy("sig").agg(F.count("*").alias("members"))
+    fame = sigs.join(members, "sig").groupBy("set_id").agg(F.sum("members").alias("fame"))
+    return sigs.join(fame, "set_id").select("sig", "set_id", "n", "fame", F.col("set_id").alias("component"))
 
 
-def _open_pairs(sigs: DataFrame, segments: DataFrame, found: DataFrame, threshold: Threshold, label: str) -> DataFrame:
-    """Pairs of different components that may be linked: they share one of their rarest n-grams."""
+def _star(sigs: DataFrame, threshold: Threshold) -> tuple[DataFrame, DataFrame]:
+    """Pairs of each member of a group with its most famous member, and the groups without these."""
+    centres = sigs.groupBy("sig").agg(F.max(F.struct("fame", "set_id", "n", "component")).alias("c"))
+    centred = sigs.join(centres, "sig").filter("set_id != c.set_id")
+    near = f"component != c.component AND {_near_sizes('n', 'c.n', threshold)}"
+    pairs = centred.filter(near).select(F.col("set_id").alias("a"), F.col("c.set_id").alias("b")).distinct()
+    return pairs, centred.select(*sigs.columns)
+
+
+def _still_open(sigs: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of groups that lie in several components, with their components."""
     named = sigs.join(found, sigs["set_id"] == found["node"], "left").select(
-        "sig", "set_id", F.coalesce("component", "set_id").alias("component")
+        "sig", "set_id", "n", "fame", F.coalesce(found["component"], "set_id").alias("component")
     )
-    open_sigs = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    open_sets = named.join(open_sigs.select("sig"), "sig", "left_semi").select("set_id", "component").distinct()
+    several = named.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    return named.join(several.select("sig"), "sig", "left_semi")
+
+
+def _open_pairs(sigs: DataFrame, segments: DataFrame, threshold: Threshold) -> DataFrame:
+    """Pairs of different components that may be linked: they share one of their rarest n-grams."""
+    open_sets = sigs.select("set_id", "component").distinct()
     grams = freeze(
-        segments.join(open_sets, "set_id").select("set_id", "component", "n", F.explode("grams").alias("gram")), label
+        segments.join(open_sets, "set_id").select("set_id", "component", "n", F.explode("grams").alias("gram")),
+        "open-grams",
     )
     several = F.expr("lo < hi")
     counts = grams.groupBy("gram").agg(
         F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")
     )
     # A set keeps its n - ceil(t n) + 1 rarest n-grams; those of one set or one component make no pair.
+    # No pair shares more than what follows the first n-gram that both have.
     rarest = Window.partitionBy("set_id").orderBy("df", "gram")
     kept = f"place <= n - ceil(n * {threshold.part} / {threshold.over}) + 1"
     prefix = (
@@ -245,12 +254,17 @@ def _open_pairs(sigs: DataFrame, segments: DataFrame, found: DataFrame, threshol
         .withColumn("place", F.row_number().over(rarest))
         .filter(kept)
         .filter(several)
-        .select("gram", "set_id", "component", "n")
+        .select("gram", "set_id", "component", "n", "place")
     )
     other = prefix.select(
-        "gram", F.col("set_id").alias("b"), F.col("component").alias("component_b"), F.col("n").alias("n_b")
+        "gram",
+        F.col("set_id").alias("b"),
+        F.col("component").alias("component_b"),
+        F.col("n").alias("n_b"),
+        F.col("place").alias("place_b"),
     )
-    near = F.expr("component < component_b AND " + _near_sizes("n", "n_b", threshold))
+    enough = f"{threshold.over + threshold.part} * (1 + least(n - place, n_b - place_b)) >= {threshold.part} * (n + n_b)"
+    near = F.expr(f"component < component_b AND {enough} AND {_near_sizes('n', 'n_b', threshold)}")
     return prefix.join(other, "gram").filter(near).select(F.col("set_id").alias("a"), "b").distinct()
 
 
@@ -290,10 +304,14 @@ def jaccard_components(
     segments = segments.join(sigs.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id", "fragment"])
     segments = freeze(segments, "segments")
 
-    links = freeze(_linked(_star_pairs(sigs, threshold), segments, threshold), "star-links")
-    found = components(links)
-    more = _linked(_open_pairs(sigs, segments, found, threshold, "open-grams"), segments, threshold)
-    found = components(links.union(more))
+    open_sigs, links, found = freeze(_famous(sigs), "famous"), None, None
+    for _ in range(STAR_ROUNDS):
+        pairs, rest = _star(open_sigs, threshold)
+        star = freeze(_linked(pairs, segments, threshold), "star-links")
+        links = star if links is None else links.union(star)
+        found = components(links)
+        open_sigs = freeze(_still_open(rest, found), "open-groups")
+    found = components(links.union(_linked(_open_pairs(open_sigs, segments, threshold), segments, threshold)))
 
     named = members.join(found, members["set_id"] == found["node"], "left").select(
         "doc", "n", F.coalesce("component", "set_id").alias("component")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, table
 from .decontaminate import contamination
 from .jaccard_join import Threshold, jaccard_components
+from .language import identify_languages
 from .line_dedup import deduplicate_lines
 from .mixing import mix_sources
 from .toxicity import toxicity
@@ -29,6 +30,10 @@ def op3_decontamination(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op4_language(spark: SparkSession, d: str) -> DataFrame:
+    return identify_languages(table(spark, d, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
 
@@ -49,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op3_decontamination": op3_decontamination,
+        "op4_language": op4_language,
         "op5_toxicity": op5_toxicity,
         "op8_mix_sources": op8_mix_sources,
         "op9_line_dedup": op9_line_dedup,

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, pieces
-from .words import LETTERS, WordCache, Words, mix, split_words
+from .words import LETTERS, WordCache, Words, letter_grams, look_up, split_words
 
 ORDER = 6
 SMOOTH = 20
@@ -36,9 +36,6 @@ DISCOUNT = 0.75
 #: Labelled documents of each class that the models are fitted on, at most.
 SAMPLE_PER_CLASS = 20_000
 
-_START, _END = np.uint64(0x51ED270B6A09E667), np.uint64(0x3C6EF372FE94F82B)
-
-
 @dataclass
 class ToxicityModel:
     grams: np.ndarray  # sorted hashes
@@ -49,38 +46,12 @@ class ToxicityModel:
     intercept: float
 
 
-def letter_grams(words: Words, chosen: np.ndarray, orders: list[int]) -> tuple[np.ndarray, dict, dict]:
-    """For every letter of the chosen words, and their ends: word, hashes by order, context hashes by order."""
-    start, end = words.start[chosen], words.end[chosen]
-    sizes = end - start + 1
-    word = np.repeat(np.arange(len(chosen)), sizes)
-    step = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    begin, stop = start[word], end[word]
-    at = begin + step
-    last = at == stop
-    until = np.where(last, at, at + 1)
-    grams, contexts = {}, {}
-    for n in orders:
-        low = np.maximum(at - (n - 1), begin)
-        mark = np.where(at - (n - 1) < begin, _START, np.uint64(0)) + np.uint64(n)
-        contexts[n] = mix(words.span_hash(low, at) ^ mark)
-        grams[n] = mix(words.span_hash(low, until) + mark + np.where(last, _END, np.uint64(0)))
-    return word, grams, contexts
-
-
-def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    found = keys[at] == wanted if len(keys) else np.zeros(len(wanted), dtype=bool)
-    return np.where(found, values[at] if len(keys) else np.nan, np.nan)
-
-
 def _word_ratios(gram_keys, gram_ratio, context_keys, context_ratio):
     def compute(words: Words, chosen: np.ndarray) -> np.ndarray:
         word, grams, contexts = letter_grams(words, chosen, [ORDER])
-        ratio = _lookup(gram_keys, gram_ratio, grams[ORDER])
+        ratio = look_up(gram_keys, gram_ratio, grams[ORDER])
         rest = np.isnan(ratio)
-        ratio[rest] = np.nan_to_num(_lookup(context_keys, context_ratio, contexts[ORDER][rest]))
+        ratio[rest] = np.nan_to_num(look_up(context_keys, context_ratio, contexts[ORDER][rest]))
         total = np.bincount(word, weights=ratio, minlength=len(chosen))
         return np.log1p(TOXIC_SHARE * np.expm1(np.minimum(total, 500)))[:, None]
 

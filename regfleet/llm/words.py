@@ -126,3 +126,33 @@ class WordCache:
                 self.hashes = np.insert(self.hashes, at[~known], hashes[~known])
                 self.rows = np.insert(self.rows, at[~known], rows[~known], axis=0)
         return rows[back]
+
+
+_START, _END = np.uint64(0x51ED270B6A09E667), np.uint64(0x3C6EF372FE94F82B)
+
+
+def letter_grams(words: Words, chosen: np.ndarray, orders: list[int]) -> tuple[np.ndarray, dict, dict]:
+    """For every letter of the chosen words, and their ends: word, hashes by order, context hashes by order."""
+    start, end = words.start[chosen], words.end[chosen]
+    sizes = end - start + 1
+    word = np.repeat(np.arange(len(chosen)), sizes)
+    step = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    begin, stop = start[word], end[word]
+    at = begin + step
+    last = at == stop
+    until = np.where(last, at, at + 1)
+    grams, contexts = {}, {}
+    for n in orders:
+        low = np.maximum(at - (n - 1), begin)
+        mark = np.where(at - (n - 1) < begin, _START, np.uint64(0)) + np.uint64(n)
+        contexts[n] = mix(words.span_hash(low, at) ^ mark)
+        grams[n] = mix(words.span_hash(low, until) + mark + np.where(last, _END, np.uint64(0)))
+    return word, grams, contexts
+
+
+def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The value of each wanted hash in a table sorted by ``keys``, NaN where it has none."""
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    found = keys[at] == wanted if len(keys) else np.zeros(len(wanted), dtype=bool)
+    return np.where(found, values[at] if len(keys) else np.nan, np.nan)
