@@ -10,6 +10,7 @@ from .decontaminate import contamination
 from .jaccard_join import Threshold, jaccard_components
 from .language import identify_languages
 from .line_dedup import deduplicate_lines
+from .lm_score import score_documents
 from .mixing import mix_sources
 from .toxicity import toxicity
 
@@ -50,6 +51,13 @@ def op9_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return deduplicate_lines(table(spark, d, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op10_lm_score(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by how much closer they are to those labelled as good than to all."""
+    good = table(spark, d, "labels").filter("quality = 1").select("doc_id")
+    scored = score_documents(table(spark, d, "documents").select("doc_id", "text"), good)
+    return scored.select("doc_id", "n_tokens", "loss_target", "loss_background", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -58,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op8_mix_sources": op8_mix_sources,
         "op9_line_dedup": op9_line_dedup,
+        "op10_lm_score": op10_lm_score,
     }
 
 
