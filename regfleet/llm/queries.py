@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, table
 from .decontaminate import contamination
+from .embedding_dedup import near_vectors
 from .jaccard_join import Threshold, jaccard_components
 from .language import identify_languages
 from .line_dedup import deduplicate_lines
@@ -19,6 +20,10 @@ def op1_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return jaccard_components(table(spark, d, "documents"), width=3, threshold=Threshold(90, 100))
 
 
+def op2_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return near_vectors(table(spark, d, "embeddings"))
+
+
 def op3_decontamination(spark: SparkSession, d: str) -> DataFrame:
     found = contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
     return found.select(
@@ -61,6 +66,7 @@ def op10_lm_score(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
+        "op2_embedding_dedup": op2_embedding_dedup,
         "op3_decontamination": op3_decontamination,
         "op4_language": op4_language,
         "op5_toxicity": op5_toxicity,
@@ -92,6 +98,21 @@ SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, (SELECT min(b) FROM reach WHERE
 """
 
 
+OP2 = f"""
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+v AS (
+  SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS norm FROM e
+  WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+links AS (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id <> q.vec_id
+  WHERE p.norm > 0 AND q.norm > 0 AND list_dot_product(p.x, q.x) / (p.norm * q.norm) >= 0.93),
+ids AS (SELECT vec_id AS id FROM embeddings),
+{_REACH}
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id)::BIGINT AS n_links,
+  (SELECT min(b) FROM reach WHERE a = vec_id) AS component_id, vec_id = (SELECT min(b) FROM reach WHERE a = vec_id) AS kept
+FROM embeddings
+"""
+
 _BENCHMARK_WORDS = rf"list_filter(string_split_regex({_FOLDED}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 OP3 = f"""
@@ -170,6 +191,7 @@ FROM l LEFT JOIN gone USING (doc_id)
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard": OP1,
+        "op2_embedding_dedup": OP2,
         "op3_decontamination": OP3,
         "op8_mix_sources": OP8,
         "op9_line_dedup": OP9,
