@@ -13,6 +13,7 @@ from .language import identify_languages
 from .line_dedup import deduplicate_lines
 from .lm_score import score_documents
 from .mixing import mix_sources
+from .pii import digest, personal_data
 from .toxicity import toxicity
 
 
@@ -44,6 +45,10 @@ def op5_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op6_pii(spark: SparkSession, d: str) -> DataFrame:
+    return digest(personal_data(table(spark, d, "documents")))
+
+
 def op8_mix_sources(spark: SparkSession, d: str) -> DataFrame:
     mixed = mix_sources(table(spark, d, "documents"))
     rows = mixed.select(
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_language": op4_language,
         "op5_toxicity": op5_toxicity,
+        "op6_pii": op6_pii,
         "op8_mix_sources": op8_mix_sources,
         "op9_line_dedup": op9_line_dedup,
         "op10_lm_score": op10_lm_score,
