@@ -10,6 +10,7 @@ from .decontaminate import contamination
 from .embedding_dedup import near_vectors
 from .jaccard_join import Threshold, jaccard_components
 from .language import identify_languages
+from .licences import KNOWN, SPELLINGS, find_licences, known_licences
 from .line_dedup import deduplicate_lines
 from .lm_score import score_documents
 from .mixing import mix_sources
@@ -49,6 +50,13 @@ def op6_pii(spark: SparkSession, d: str) -> DataFrame:
     return digest(personal_data(table(spark, d, "documents")))
 
 
+def op7_licences(spark: SparkSession, d: str) -> DataFrame:
+    found = find_licences(table(spark, d, "documents"), known_licences(spark))
+    return found.select(
+        "doc_id", "licence", F.array_join("notices", ",").alias("notices"), F.size("notices").cast("bigint").alias("n_notices")
+    )
+
+
 def op8_mix_sources(spark: SparkSession, d: str) -> DataFrame:
     mixed = mix_sources(table(spark, d, "documents"))
     rows = mixed.select(
@@ -76,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language": op4_language,
         "op5_toxicity": op5_toxicity,
         "op6_pii": op6_pii,
+        "op7_licences": op7_licences,
         "op8_mix_sources": op8_mix_sources,
         "op9_line_dedup": op9_line_dedup,
         "op10_lm_score": op10_lm_score,
@@ -139,6 +148,30 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+def _canonical_sql(text: str) -> str:
+    out = rf"regexp_replace(lower({text}), '(?m)^[^\p{{L}}\p{{N}}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$', '', 'g')"
+    for old, new in SPELLINGS.items():
+        out = f"replace({out}, '{old}', '{new}')"
+    return rf"regexp_replace({out}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+
+
+def _licence_sql() -> str:
+    quoted = [text.replace("'", "''") for _, text in KNOWN]
+    known = ", ".join(f"('{name}', '{text}')" for (name, _), text in zip(KNOWN, quoted, strict=True))
+    line = r"trim(regexp_replace({}, '[\n ]+', ' ', 'g'))"
+    return rf"""
+WITH known AS (
+  SELECT {line.format(_canonical_sql("t"))} AS canon, min(licence) AS licence FROM (VALUES {known}) k(licence, t) GROUP BY 1),
+d AS (SELECT doc_id, coalesce({_canonical_sql("text")}, '') AS canon FROM documents),
+parts AS (
+  SELECT doc_id, unnest(list_concat(string_split(canon, chr(10)), string_split_regex(canon, '\n *\n[\n ]*'))) AS part FROM d),
+notices AS (
+  SELECT doc_id, list_sort(list(DISTINCT licence)) AS ls FROM parts JOIN known ON {line.format("part")} = known.canon GROUP BY 1)
+SELECT d.doc_id, k.licence, coalesce(array_to_string(ls, ','), '') AS notices, coalesce(len(ls), 0)::BIGINT AS n_notices
+FROM d LEFT JOIN known k ON {line.format("d.canon")} = k.canon AND k.canon <> '' LEFT JOIN notices USING (doc_id)
+"""
+
+
 OP8 = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -199,6 +232,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_ngram_jaccard": OP1,
         "op2_embedding_dedup": OP2,
         "op3_decontamination": OP3,
+        "op7_licences": _licence_sql(),
         "op8_mix_sources": OP8,
         "op9_line_dedup": OP9,
     }
