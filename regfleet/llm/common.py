@@ -47,28 +47,35 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
 
 # --- bounded filters -------------------------------------------------------
 
-_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+_SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(hashes * np.uint64(seed)) >> np.uint64(64 - bits) for seed in _SEEDS]
+def _place(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit word of each hash, and the three bits that it sets there."""
+    spread = hashes * _SEED
+    ones = np.zeros(len(hashes), dtype=np.uint64)
+    for shift in (0, 6, 12):
+        ones |= np.uint64(1) << ((spread >> np.uint64(shift + 8)) & np.uint64(63))
+    return spread >> np.uint64(64 - (bits - 6)), ones
 
 
-def bloom_filter(keys: DataFrame, key: str, max_bits: int = 28) -> np.ndarray:
-    """Bloom filter of a BIGINT column of hashes, as 64-bit words.
+def bloom_filter(keys: DataFrame, key: str, max_bits: int = 27) -> np.ndarray:
+    """Blocked Bloom filter of a BIGINT column of hashes, as 64-bit words.
 
-    It has at most 2^max_bits bits (32 MB), whatever the number of keys. A full
+    It has at most 2^max_bits bits (16 MB), whatever the number of keys. A full
     filter lets more rows pass, so it may only save work, never decide a result.
     """
     bits = min(max_bits, max(16, int(keys.count()).bit_length() + 5))
 
     def words(batches):
         for batch in batches:
-            places = np.concatenate(_places(batch.column(0).to_numpy().view(np.uint64), bits))
-            word, at = np.unique(places >> np.uint64(6), return_inverse=True)
-            ones = np.zeros(len(word), dtype=np.uint64)
-            np.bitwise_or.at(ones, at, np.uint64(1) << (places & np.uint64(63)))
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(ones.view(np.int64))], ["word", "ones"])
+            place, ones = _place(batch.column(0).to_numpy().view(np.uint64), bits)
+            word, at = np.unique(place, return_inverse=True)
+            together = np.zeros(len(word), dtype=np.uint64)
+            np.bitwise_or.at(together, at, ones)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(word.view(np.int64)), pa.array(together.view(np.int64))], ["word", "ones"]
+            )
 
     set_words = (
         keys.select(key).mapInArrow(words, "word bigint, ones bigint").groupBy("word").agg(F.bit_or("ones").alias("ones"))
@@ -80,8 +87,5 @@ def bloom_filter(keys: DataFrame, key: str, max_bits: int = 28) -> np.ndarray:
 
 def in_bloom(filled: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which of the uint64 hashes may be in the filter."""
-    bits = len(filled).bit_length() - 1 + 6
-    found = np.ones(len(hashes), dtype=bool)
-    for place in _places(hashes, bits):
-        found &= (filled[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-    return found
+    place, ones = _place(hashes, len(filled).bit_length() - 1 + 6)
+    return filled[place] & ones == ones

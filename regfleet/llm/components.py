@@ -15,7 +15,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are linked to the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     smallest = down.groupBy("u").agg(F.min("v").alias("m"))
     joined = down.join(smallest, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return joined.union(smallest.select("u", "m")).distinct()

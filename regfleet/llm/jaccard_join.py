@@ -3,11 +3,14 @@
 The global order of n-grams is the order of their 64-bit hashes; it is cut into
 fragments, so each set falls into segments that lie in different fragments.
 
-1. Candidates. Linked sets differ in at most d n-grams (d follows from their
+1. Candidates. At high thresholds they share a segment: linked sets differ in at most d n-grams (d follows from their
    sizes and the threshold), so when the order is cut into d + 1 fragments they
    agree on the whole segment of at least one. Sets are put into classes of
    sizes; two linked sets lie in the same class or in neighbouring ones, and
    each set sends one signature per fragment for its own class and the next.
+   At lower thresholds they share one of their rarest n-grams: the order then
+   begins with the n-grams of a single set, and each set sends those of its
+   first n - ceil(t n) + 1 that are in others too.
 2. Count. For a pair of candidates the overlap is counted separately in each
    fragment of a fixed cut and the partial counts are summed per pair.
 
@@ -37,8 +40,11 @@ from .words import NOT_SPACE, mix, split_words
 #: Fragments of the global order in which overlaps are counted.
 COUNT_FRAGMENTS = 8
 
-#: Rounds in which a group's members are compared with one of them, before pairs are formed.
-STAR_ROUNDS = 1
+#: Thresholds from which candidates are found by equal segments; a lower one cuts segments too short to tell sets apart.
+SEGMENTS_FROM = 0.85
+
+#: Sets that a frequent n-gram is in, at least; these come last in the order.
+FREQUENT = 16
 
 _ROWS = "kind int, doc bigint, set_id bigint, n int, sig bigint, fragment int, grams array<bigint>"
 _MEMBER, _SIGNATURE, _SEGMENT = 0, 1, 2
@@ -153,11 +159,44 @@ def _signature_rows(text: str, width: int, threshold: Threshold):
     return rows
 
 
-def _set_rows(doc: str, text: str, width: int, threshold: Threshold, repeated):
+def _gram_rows(text: str, width: int):
+    """Every n-gram of every set, once per set and task."""
+
+    def rows(batches):
+        seen = set()
+        for piece in pieces(batches, text):
+            found = []
+            for grams in gram_sets(piece.column(text), width):
+                name = set_digest(grams)
+                if name not in seen:
+                    if len(seen) < 1_000_000:
+                        seen.add(name)
+                    found.append(grams)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["sig"])
+
+    return rows
+
+
+def rarest(grams: np.ndarray, filters: list[np.ndarray], threshold: Threshold) -> np.ndarray:
+    """The n-grams of a set's prefix that other sets may have.
+
+    The order is: n-grams in none of the filters, then those in the first, in the
+    first two, ..., each by hash. Those in none occur in no other set.
+    """
+    rank = np.zeros(len(grams), dtype=np.int64)
+    for filled in filters:
+        rank += in_bloom(filled, grams)
+    length = len(grams) + 1 + (-len(grams) * threshold.part) // threshold.over
+    order = np.argsort(rank, kind="stable")[:length]
+    return grams[order][rank[order] > 0]
+
+
+def _set_rows(doc: str, text: str, width: int, threshold: Threshold, repeated, by_segment: bool):
     """Membership of every text, and signatures and segments of sets with a repeated signature."""
 
     def rows(batches):
-        seen, filled = set(), repeated.value
+        seen, filters = set(), repeated.value
         for piece in pieces(batches, text):
             ids, names, sizes = [], [], []
             for doc_id, grams in zip(piece.column(doc).to_pylist(), gram_sets(piece.column(text), width), strict=True):
@@ -167,8 +206,11 @@ def _set_rows(doc: str, text: str, width: int, threshold: Threshold, repeated):
                 sizes.append(len(grams))
                 if name in seen or not len(grams):
                     continue
-                sigs = signatures(grams, threshold)
-                sigs = sigs[in_bloom(filled, sigs)].view(np.int64)
+                if by_segment:
+                    sigs = signatures(grams, threshold)
+                    sigs = sigs[in_bloom(filters[0], sigs)].view(np.int64)
+                else:
+                    sigs = rarest(grams, filters, threshold).view(np.int64)
                 if not len(sigs):
                     continue
                 if len(seen) < 1_000_000:
@@ -274,6 +316,7 @@ def jaccard_components(
     text: str = "text",
     width: int = 5,
     threshold: Threshold = Threshold(80),  # noqa: B008
+    by_segment: bool | None = None,
 ) -> DataFrame:
     """(doc, n_shingles, component_id) of every row of ``docs``.
 
@@ -286,31 +329,36 @@ def jaccard_components(
     """
     spark = docs.sparkSession
     source = docs.select(F.col(doc).cast("bigint").alias("_doc"), F.col(text).alias("_text"))
-    sig_rows = source.select("_text").mapInArrow(
-        _signature_rows("_text", width, threshold), "sig bigint, set_id bigint"
-    )
-    repeated = freeze(
-        sig_rows.groupBy("sig").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo < hi").select("sig"),
-        "repeated-segments",
-    )
-    filled = spark.sparkContext.broadcast(bloom_filter(repeated, "sig"))
-    rows = freeze(source.mapInArrow(_set_rows("_doc", "_text", width, threshold, filled), _ROWS), "gram-sets")
+    if by_segment is None:
+        by_segment = threshold.part >= SEGMENTS_FROM * threshold.over
+    texts = source.select("_text")
+    if by_segment:
+        sig_rows = texts.mapInArrow(_signature_rows("_text", width, threshold), "sig bigint, set_id bigint").groupBy("sig")
+        several = sig_rows.agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo < hi").select("sig")
+    else:
+        gram_rows = texts.mapInArrow(_gram_rows("_text", width), "sig bigint").groupBy("sig")
+        several = gram_rows.agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = freeze(several, "repeated")
+    filters = [bloom_filter(repeated, "sig")]
+    if not by_segment:
+        filters.append(bloom_filter(repeated.filter(F.col("n") > FREQUENT), "sig", 24))
+    filled = spark.sparkContext.broadcast(filters)
+    rows = freeze(source.mapInArrow(_set_rows("_doc", "_text", width, threshold, filled, by_segment), _ROWS), "gram-sets")
     members = rows.filter(F.col("kind") == _MEMBER).select("doc", "set_id", "n")
     segments = rows.filter(F.col("kind") == _SEGMENT).select("set_id", "fragment", "n", "grams")
     sigs = freeze(
-        rows.filter(F.col("kind") == _SIGNATURE).select("sig", "set_id", "n").distinct().join(repeated, "sig", "left_semi"),
+        rows.filter(F.col("kind") == _SIGNATURE).select("sig", "set_id", "n").distinct().join(repeated.select("sig"), "sig", "left_semi"),
         "shared-segments",
     )
     segments = segments.join(sigs.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id", "fragment"])
     segments = freeze(segments, "segments")
 
-    open_sigs, links, found = freeze(_famous(sigs), "famous"), None, None
-    for _ in range(STAR_ROUNDS):
-        pairs, rest = _star(open_sigs, threshold)
-        star = freeze(_linked(pairs, segments, threshold), "star-links")
-        links = star if links is None else links.union(star)
-        found = components(links)
-        open_sigs = freeze(_still_open(rest, found), "open-groups")
+    open_sigs = freeze(_famous(sigs), "famous")
+    pairs, rest = _star(open_sigs, threshold)
+    links = freeze(_linked(pairs, segments, threshold), "star-links")
+    # Sets linked with one centre are connected; what else connects them is found at the end.
+    near = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    open_sigs = freeze(_still_open(rest, near), "open-groups")
     found = components(links.union(_linked(_open_pairs(open_sigs, segments, threshold), segments, threshold)))
 
     named = members.join(found, members["set_id"] == found["node"], "left").select(
