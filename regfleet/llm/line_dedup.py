@@ -43,7 +43,11 @@ def _runs(docs: DataFrame, doc: str, text: str, min_words: int) -> DataFrame:
         *KEY, "row", F.xxhash64("line").alias("id"), F.size(F.split("line", r"[\x20\x09-\x0D]+")).alias("w")
     )
     place = F.struct(*KEY, "row")
-    repeated = lines.groupBy("id").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo < hi")
+    # Written first, so that the join below can split a line that is everywhere.
+    repeated = freeze(
+        lines.groupBy("id").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo < hi").select("id"),
+        "repeated-lines",
+    )
     inside = Window.partitionBy(*KEY).orderBy("row")
     marked = (
         lines.join(repeated.select("id", F.lit(True).alias("again")), "id", "left")
