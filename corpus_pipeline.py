@@ -45,7 +45,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes, sorted by range of the first training position."""
     mixed = mix_sources(docs).withColumn("position", F.expr("get(copies, 0).position")).drop("copies")
-    return mixed.repartitionByRange("position").sortWithinPartitions("position")
+    return mixed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 STAGES = [

@@ -62,7 +62,7 @@ def op8_mix_sources(spark: SparkSession, d: str) -> DataFrame:
     rows = mixed.select(
         "doc_id", "size", "source_size", "target", "taken", F.expr("get(copies, 0).position").alias("position")
     )
-    return rows.repartitionByRange("position").sortWithinPartitions("position")
+    return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 def op9_line_dedup(spark: SparkSession, d: str) -> DataFrame:
