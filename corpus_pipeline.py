@@ -8,7 +8,7 @@ from regfleet.llm.decontaminate import decontaminate
 from regfleet.llm.jaccard_join import Threshold, jaccard_components
 from regfleet.llm.line_dedup import deduplicate_lines
 from regfleet.llm.mixing import mix_sources
-from regfleet.llm.toxicity import fit_toxicity, with_toxicity
+from regfleet.llm.toxicity import fit_toxicity, toxicity_score
 
 #: Documents with a higher score are rejected.
 TOXIC = 0.3
@@ -17,7 +17,7 @@ TOXIC = 0.3
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below ``TOXIC``; learned from the table ``labels``."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return with_toxicity(docs, model, score="_score").filter(F.col("_score") < TOXIC).drop("_score")
+    return docs.filter(toxicity_score(spark, model) < TOXIC)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

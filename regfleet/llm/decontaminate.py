@@ -13,7 +13,6 @@ from .common import fold_ascii, freeze
 
 #: Words are runs of digits, letters and characters beyond ASCII.
 _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_NO_RAW_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Most windows in one broadcast table (some 150 bytes each); a larger benchmark is scanned for in several passes.
@@ -144,13 +143,17 @@ def decontaminate(
     keys = found.select(F.col(doc).alias("_doc"), F.col("digest").alias("_digest"), "hit_words").dropDuplicates(
         ["_doc", "_digest"]
     )
-    same = docs[doc].eqNullSafe(F.col("_doc")) & (F.coalesce(F.xxhash64(docs[text]), F.lit(0)) == F.col("_digest"))
+    # The columns of ``docs`` may have any names, so they travel as one.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    body = F.col("_row")[text]
+    same = F.col("_row")[doc].eqNullSafe(F.col("_doc")) & (F.coalesce(F.xxhash64(body), F.lit(0)) == F.col("_digest"))
     if remove == "documents":
-        return docs.join(keys, same, "left_anti")
-    raw = F.regexp_extract_all(docs[text], F.lit(_RAW_WORD), F.lit(0))
-    cut = docs.join(keys, same, "left").withColumns({"_raw": raw, "_gaps": F.split(docs[text], _RAW_WORD)})
+        return rows.join(keys, same, "left_anti").select("_row.*")
+    raw = F.regexp_extract_all(body, F.lit(_RAW_WORD), F.lit(0))
+    cut = rows.join(keys, same, "left").withColumns({"_raw": raw, "_gaps": F.split(body, _RAW_WORD)})
     rest = F.expr(
         "concat(_gaps[0], array_join(transform(_raw, (x, i) ->"
         " concat(IF(array_contains(hit_words, i), '', x), _gaps[i + 1])), ''))"
     )
-    return cut.withColumn(text, F.when(F.col("hit_words").isNull(), F.col(text)).otherwise(rest)).select(*docs.columns)
+    cleaned = F.when(F.col("hit_words").isNull(), body).otherwise(rest).alias(text)
+    return cut.select(*[cleaned if c == text else F.col("_row")[c].alias(c) for c in docs.columns])

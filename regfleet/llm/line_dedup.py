@@ -163,18 +163,20 @@ def deduplicate_lines(
             F.expr("array_distinct(flatten(transform(runs, r -> sequence(r.start, r.stop))))").alias("_gone"),
         )
     )
-    same = docs[doc].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs[text]) == F.col("_digest"))
-    joined = docs.join(found, same, "left").withColumn("_lines", F.split(docs[text], "\n"))
+    # The columns of ``docs`` may have any names, so they travel as one.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    body = F.col("_row")[text]
+    same = F.col("_row")[doc].eqNullSafe(F.col("_doc")) & (F.xxhash64(body) == F.col("_digest"))
+    joined = rows.join(found, same, "left").withColumn("_lines", F.split(body, "\n"))
     rest = F.expr(
         "array_join(transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> _lines[i]), '\n')"
     )
-    out = joined.withColumns(
-        {
-            text: F.when(F.col("_gone").isNull(), docs[text]).otherwise(rest),
-            "n_lines": F.coalesce(F.when(docs[text].isNotNull(), F.size("_lines")), F.lit(0)).cast("bigint"),
-            "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"),
-        }
-    )
+    cleaned = joined.withColumn("_rest", F.when(F.col("_gone").isNull(), body).otherwise(rest))
     if drop_empty:
-        out = out.filter(F.col("_gone").isNull() | (F.btrim(F.col(text), F.lit(" \t\r\n\f\v")) != ""))
-    return out.drop("_doc", "_digest", "_gone", "_lines")
+        cleaned = cleaned.filter(F.col("_gone").isNull() | (F.btrim("_rest", F.lit(" \t\r\n\f\v")) != ""))
+    added = {"n_lines": F.when(body.isNotNull(), F.size("_lines")), "n_removed": F.size("_gone")}
+    kept = [c for c in docs.columns if c not in added]
+    return cleaned.select(
+        *[F.col("_rest").alias(c) if c == text else F.col("_row")[c].alias(c) for c in kept],
+        *[F.coalesce(n, F.lit(0)).cast("bigint").alias(c) for c, n in added.items()],
+    )

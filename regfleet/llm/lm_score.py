@@ -141,9 +141,9 @@ def score_documents(
     stay; those of the four names are replaced.
     """
     context = docs.sparkSession.sparkContext
-    texts = docs.filter(F.col(text).isNotNull())
+    texts = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).filter("_text IS NOT NULL")
     common = (
-        texts.select(F.col(text).alias("_text"))
+        texts.select("_text")
         .mapInArrow(_word_rows("_text"), "word bigint, n bigint")
         .groupBy("word")
         .agg(F.sum("n").alias("n"))
@@ -156,8 +156,8 @@ def score_documents(
         targets.filter(F.col(doc).isNotNull()).select(F.col(doc).alias("_id")).distinct()
         .orderBy(F.xxhash64("_id"), "_id").limit(target_documents).withColumn("_target", F.lit(True))
     )
-    marked = texts.join(F.broadcast(chosen), texts[doc] == F.col("_id"), "left").select(
-        F.col(text).alias("_text"), F.coalesce("_target", F.lit(False)).alias("_target")
+    marked = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"), "left").select(
+        "_text", F.coalesce("_target", F.lit(False)).alias("_target")
     )
     shared = context.broadcast(known)
     counts = (

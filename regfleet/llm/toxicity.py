@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, pieces
@@ -177,9 +177,10 @@ def fit_toxicity(
         part = known.filter(F.col("_toxic") == c).orderBy(mixed, "_id").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
     sample = (
-        docs.filter(F.col(text).isNotNull())
-        .join(F.broadcast(chosen), docs[doc] == F.col("_id"))
-        .select(F.col(text).alias("_text"), "_toxic", (F.pmod(F.xxhash64(F.lit("part"), "_id"), F.lit(4)) == 0).alias("_check"))
+        docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text"))
+        .filter("_text IS NOT NULL")
+        .join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
+        .select("_text", "_toxic", (F.pmod(F.xxhash64(F.lit("part"), "_id"), F.lit(4)) == 0).alias("_check"))
     )
     schema = ", ".join(f"{c} bigint" for c in [*_COUNT_COLUMNS, *_PARTS])
     part = (F.col("_toxic") + F.when(F.col("_check"), 2).otherwise(0)).cast("int").alias("_part")
@@ -214,17 +215,16 @@ def _ratio_udf(spark, model: ToxicityModel):
     return F.arrow_udf(ratios, "double")
 
 
-def with_toxicity(docs: DataFrame, model: ToxicityModel | None, text: str = "text", score: str = "score") -> DataFrame:
-    """``docs`` with a column ``score`` between 0 and 1; higher: more likely toxic.
+def toxicity_score(spark: SparkSession, model: ToxicityModel | None, text: str = "text") -> Column:
+    """Score of a text between 0 and 1; higher: more likely toxic.
 
     Null and empty texts get the score of a ratio of zero. Without a model (no
     labels of both classes) every score is 0.
     """
     if model is None:
-        return docs.withColumn(score, F.lit(0.0))
-    ratio = _ratio_udf(docs.sparkSession, model)
-    exponent = ratio(F.col(text)) * model.slope + model.intercept
-    return docs.withColumn(score, 1 / (1 + F.exp(-exponent)))
+        return F.lit(0.0)
+    ratio = _ratio_udf(spark, model)
+    return 1 / (1 + F.exp(-(ratio(F.col(text)) * model.slope + model.intercept)))
 
 
 def toxicity(
@@ -237,9 +237,9 @@ def toxicity(
     remainder: int = 2,
     **options,
 ) -> DataFrame:
-    """(doc, held_out, score, predicted) of every row; see ``fit_toxicity`` and ``with_toxicity``."""
+    """(doc, held_out, score, predicted) of every row; see ``fit_toxicity`` and ``toxicity_score``."""
     model = fit_toxicity(docs, labels, doc, text, modulus=modulus, remainder=remainder, **options)
-    scored = with_toxicity(docs.select(doc, text), model, text)
+    scored = docs.select(doc, text).withColumn("score", toxicity_score(docs.sparkSession, model, text))
     return scored.select(
         doc,
         held_out(doc, modulus, remainder).alias("held_out"),

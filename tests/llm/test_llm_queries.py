@@ -10,7 +10,7 @@ from compare import difference, engine
 import __spark_entry__ as entry
 import corpus_pipeline
 from regfleet.llm.common import freeze, table
-from regfleet.llm.toxicity import fit_toxicity, with_toxicity
+from regfleet.llm.toxicity import fit_toxicity, toxicity_score
 
 SF = "/root/testdata/sf0.001"
 CHECKED = [n for n in entry.llm.queries() if n in entry.oracle_sql()]
@@ -198,7 +198,8 @@ def plain_mix(rows, most=3):
 def test_pipeline_equals_plain_version(spark):
     """Every stage over the whole table; the scores come from the model, what follows from plain Python."""
     docs = freeze(table(spark, SF, "documents"), "raw")
-    scored = with_toxicity(docs, fit_toxicity(docs, table(spark, SF, "labels"))).select("doc_id", "text", "source", "score")
+    score = toxicity_score(spark, fit_toxicity(docs, table(spark, SF, "labels")))
+    scored = docs.select("doc_id", "text", "source", score.alias("score"))
     raw = {r["doc_id"]: r for r in scored.collect()}
     texts = {d: r["text"] for d, r in raw.items() if r["score"] < corpus_pipeline.TOXIC}
     texts = plain_copies(plain_lines(texts))
