@@ -213,7 +213,7 @@ def test_mix_targets_and_schedule(spark):
 
 def test_contexts_find_unseen_identifiers(spark):
     """Local numbers after a word that otherwise stands before full numbers are added; after other words not."""
-    rows = [(k, f"some words here. dial: +1 (555) 555-{1000 + k} then") for k in range(24)]
+    rows = [(100 + k, f"some words here. dial: +1 (555) 555-{1000 + k} then") for k in range(24)]
     rows += [(20, "more words dial: 555-7777 end"), (21, "we counted 555-8888 of them"), (22, "we counted many, counted more")]
     rows += [(30 + k, f"please dial: 555-7777 or +1 555 555 {2000 + k}") for k in range(3)]
     found = {r["doc_id"]: r for r in digest(personal_data(frame(spark, rows))).collect()}
