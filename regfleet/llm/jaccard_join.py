@@ -356,15 +356,13 @@ def jaccard_components(
     open_sigs = freeze(_famous(sigs), "famous")
     pairs, rest = _star(open_sigs, threshold)
     links = freeze(_linked(pairs, segments, threshold), "star-links")
-    # Sets linked with one centre are connected; what else connects them is found at the end.
-    near = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    open_sigs = freeze(_still_open(rest, near), "open-groups")
+    open_sigs = freeze(_still_open(rest, components(links)), "open-groups")
     found = components(links.union(_linked(_open_pairs(open_sigs, segments, threshold), segments, threshold)))
 
     named = members.join(found, members["set_id"] == found["node"], "left").select(
         "doc", "n", F.coalesce("component", "set_id").alias("component")
     )
-    smallest = named.filter("n > 0").groupBy("component").agg(F.min("doc").alias("first"))
+    smallest = freeze(named.filter("n > 0").groupBy("component").agg(F.min("doc").alias("first")), "first-documents")
     return named.join(smallest, "component", "left").select(
         F.col("doc").alias(doc),
         F.col("n").cast("bigint").alias("n_shingles"),
