@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +33,7 @@ TOXIC_SHARE = 0.01
 DISCOUNT = 0.75
 
 #: Labelled documents of each class that the models are fitted on, at most.
-SAMPLE_PER_CLASS = 20_000
+SAMPLE_PER_CLASS = 10_000
 
 @dataclass
 class ToxicityModel:
@@ -93,43 +92,49 @@ def _count_rows(text: str, part: str):
     return rows
 
 
-def _continuation(table: pd.DataFrame, n: int) -> pd.Series:
-    """Shared probability of each row's order-n gram, from the distinct grams that extend it to the left."""
-    seen = table.drop_duplicates([f"gram_{n}", f"gram_{n + 1}"])
-    count = seen.groupby(f"gram_{n}").size()
-    grams = table.drop_duplicates(f"gram_{n}").set_index(f"gram_{n}")
-    context = grams[f"context_{n}"]
-    total = count.groupby(context.loc[count.index].to_numpy()).agg(["sum", "size"])
-    own = count.loc[table[f"gram_{n}"]].to_numpy()
-    of = total.loc[table[f"context_{n}"]]
-    if n == 1:
-        return own / float(count.sum())
-    lower = _continuation(table, n - 1)
-    return (np.maximum(own - DISCOUNT, 0) + DISCOUNT * of["size"].to_numpy() * lower) / of["sum"].to_numpy()
+def _per(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and numbers of positive ``values`` of each key, row by row."""
+    _, back = np.unique(keys, return_inverse=True)
+    return np.bincount(back, weights=values)[back], np.bincount(back, weights=values > 0)[back]
 
 
-def _ratios(table: pd.DataFrame):
+def _shared(table: dict[str, np.ndarray]) -> np.ndarray:
+    """Probability of each row's n-gram of the order below the highest, from continuation counts.
+
+    An n-gram counts once for each distinct n-gram that extends it to the left.
+    """
+    lower = None
+    for n in range(1, ORDER):
+        gram, context = table[f"gram_{n}"], table[f"context_{n}"]
+        _, extended = np.unique(table[f"gram_{n + 1}"], return_index=True)
+        kinds, back = np.unique(gram, return_inverse=True)
+        count = np.bincount(back[extended], minlength=len(kinds)).astype(float)
+        # Totals of a context are taken over its distinct n-grams.
+        _, first = np.unique(gram, return_index=True)
+        contexts, of = np.unique(context[first], return_inverse=True)
+        total, number = np.bincount(of, weights=count), np.bincount(of)
+        place = np.searchsorted(contexts, context)
+        if lower is None:
+            lower = count[back] / count.sum()
+        else:
+            lower = (np.maximum(count[back] - DISCOUNT, 0) + DISCOUNT * number[place] * lower) / total[place]
+    return lower
+
+
+def _ratios(table: dict[str, np.ndarray], ordinary: np.ndarray, toxic: np.ndarray):
     """Log ratios toxic / ordinary by n-gram and by context."""
-    shared = _continuation(table, ORDER - 1)
-    key = f"context_{ORDER}"
-    logs, rest = {}, {}
-    for c in ("ordinary", "toxic"):
-        by = table.groupby(key)[c]
-        total = by.sum().astype(float)
-        kinds = table[c].gt(0).groupby(table[key]).sum().astype(float)
+    shared = _shared(table)
+    context = table[f"context_{ORDER}"]
+    gram_log, rest_log = 0.0, 0.0
+    for sign, count in ((-1, ordinary), (1, toxic)):
+        total, kinds = _per(context, count)
         back = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-        back = pd.Series(back, index=total.index)
-        of_total = np.maximum(total.loc[table[key]].to_numpy(), 1)
-        logs[c] = np.log(np.maximum(table[c].to_numpy() - DISCOUNT, 0) / of_total + back.loc[table[key]].to_numpy() * shared)
-        rest[c] = np.log(back)
-    grams = table[f"gram_{ORDER}"].to_numpy().view(np.uint64)
+        rest_log = rest_log + sign * np.log(back)
+        gram_log = gram_log + sign * np.log(np.maximum(count - DISCOUNT, 0) / np.maximum(total, 1) + back * shared)
+    grams = table[f"gram_{ORDER}"].view(np.uint64)
     order = np.argsort(grams)
-    context = rest["toxic"].index.to_numpy().view(np.uint64)
-    by_context = np.argsort(context)
-    return (
-        grams[order], (logs["toxic"] - logs["ordinary"])[order],
-        context[by_context], (rest["toxic"] - rest["ordinary"]).to_numpy()[by_context],
-    )
+    contexts, first = np.unique(context.view(np.uint64), return_index=True)
+    return grams[order], gram_log[order], contexts, rest_log[first]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -185,16 +190,19 @@ def fit_toxicity(
     schema = ", ".join(f"{c} bigint" for c in [*_COUNT_COLUMNS, *_PARTS])
     part = (F.col("_toxic") + F.when(F.col("_check"), 2).otherwise(0)).cast("int").alias("_part")
     counts = sample.select("_text", part).mapInArrow(_count_rows("_text", "_part"), schema)
-    table = counts.groupBy(*_COUNT_COLUMNS).agg(*[F.sum(c).alias(c) for c in _PARTS]).toPandas()
-    fitted = table[(table["ordinary"] > 0) | (table["toxic"] > 0)]
-    if not len(fitted):
+    found = counts.groupBy(*_COUNT_COLUMNS).agg(*[F.sum(c).alias(c) for c in _PARTS]).toArrow()
+    table = {c: found.column(c).to_numpy() for c in found.column_names}
+    del found
+    seen = (table["ordinary"] > 0) | (table["toxic"] > 0)
+    if not seen.any():
         return None
-    trial = ToxicityModel(*_ratios(fitted), 1.0, 0.0)
+    fitted = {c: x[seen] for c, x in table.items()}
+    trial = ToxicityModel(*_ratios(fitted, fitted["ordinary"], fitted["toxic"]), 1.0, 0.0)
+    del fitted
     ratio = _ratio_udf(docs.sparkSession, trial)
     points = sample.filter("_check").select("_toxic", ratio("_text").alias("x")).toPandas()
-    for c in ("ordinary", "toxic"):
-        table[c] += table[f"{c}_check"]
-    model = ToxicityModel(*_ratios(table), 1.0, 0.0)
+    both = [table[c] + table[f"{c}_check"] for c in ("ordinary", "toxic")]
+    model = ToxicityModel(*_ratios(table, *both), 1.0, 0.0)
     if points["_toxic"].nunique() == 2:
         y = points["_toxic"].to_numpy(dtype=float)
         share = {c: sizes[c] / min(sizes[c], per_class) for c in (0, 1)}
