@@ -209,8 +209,8 @@ def file_slug(spark, d):
 
 
 def _grid(spark, d):
-    cells = freeze(X.cells(X.registers(spark, d)), "cells")
-    return grid_records(select_tables(cells, pages=[1]), style="page")
+    """Every table of every document; those with a header only have no records."""
+    return grid_records(freeze(X.cells(X.registers(spark, d)), "cells"), style="page")
 
 
 def _long(resolved):
@@ -229,7 +229,16 @@ def header_mapping(spark, d):
 
 
 def cell_grid(spark, d):
-    headers, records = _grid(spark, d)
+    return _projected(*_grid(spark, d))
+
+
+def selected_pages(spark, d):
+    """The tables of page 1, read like those of a workbook's sheet."""
+    cells = freeze(X.cells(X.registers(spark, d)), "cells")
+    return _projected(*grid_records(select_tables(cells, pages=[1], sheet="Registers"), style="sheet"))
+
+
+def _projected(headers, records):
     return project_records(records, resolve_columns(source_columns(headers, records))).select(
         "map_id", "row_ord", *REGISTER_COLUMNS
     )
@@ -279,7 +288,7 @@ def simplified_csv(spark, d):
 def register_files(spark, d):
     cells = freeze(X.cells(X.documents(spark, d)), "cells")
     path = new_path(spark, "registers")
-    write_registers(extract(*grid_records(select_tables(cells, sheet="Registers"), style="page")), path)
+    write_registers(extract(*grid_records(cells, style="page")), path)
     headers, records = read_delimited(spark, f"{path}/*", simplified=True, map_id=partition_value)
     return generate(simplified(headers, records), order="record")
 
@@ -355,6 +364,7 @@ def _register_queries():
         "reg_header_detect": header_detect,
         "reg_header_mapping": header_mapping,
         "reg_cell_grid": cell_grid,
+        "reg_select_pages": selected_pages,
         "reg_extract": grid_extract,
         "reg_run": grid_run,
         "reg_csv_roundtrip": csv_roundtrip,

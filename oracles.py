@@ -307,6 +307,7 @@ def oracle_sql():
               WHERE NOT (t.target = 'scale_factor' AND m.variant IN (1, 3))""",
         ),
         "reg_cell_grid": select(R, f"SELECT map_id, line_num - 1 AS row_ord, {ALL} FROM raw"),
+        "reg_select_pages": select(R, f"SELECT map_id, line_num - 1 AS row_ord, {ALL} FROM raw"),
         "reg_extract": select(
             f"{RP}, {run_ctes('raw', OFFSETS.format('raw'))}",
             f"SELECT map_id, line_num, name, tag, register_type, address, type, {n_number('factor', 1.0)} AS factor, offset_raw, unit, action, scale_factor FROM extracted",

@@ -69,17 +69,15 @@ def _part(address: Column, n: int) -> Column:
 
 
 def apply_offset(address: Column, offset: Column) -> Column:
-    """Normalize the parts of an address and shift its base by ``offset``.
-
-    No valid address has more than three parts; text past the third is left alone.
-    """
+    """Normalize the parts of an address and shift its base by ``offset``."""
     parts = F.split(address, "_")
     base, second, third = [decimal_part(F.get(parts, F.lit(n))) for n in range(3)]
     return F.concat_ws("_", shifted_base(base, offset), second, third, rest_of(parts))
 
 
 def rest_of(parts: Column) -> Column:
-    return F.slice(parts, 4, 2**31 - 1)
+    """The parts past the third, which no valid address has."""
+    return F.transform(F.slice(parts, F.lit(4), F.greatest(F.size(parts), F.lit(0))), decimal_part)
 
 
 def is_negative(address: Column) -> Column:

@@ -54,16 +54,38 @@ def coefficient_a(factor: Column, exponent: Column) -> Column:
     return factor * F.concat(F.lit("1e"), exponent.cast("string")).cast("double")
 
 
+def _whole_text(units: Column) -> Column:
+    """Exact digits of a whole, non-negative DOUBLE up to 1e38.
+
+    From 2^53 on a double is whole; from 2^63 on its parts above and below 2^64
+    are worked out apart, which is exact, and put together as decimals.
+    """
+    low = units % 2.0**64
+    high = (units - low) / 2.0**64
+    low_low = low % 2.0**32
+    low_high = (low - low_low) / 2.0**32
+
+    def part(x, power):
+        return (x.cast("bigint").cast("decimal(19,0)") * F.lit(power).cast("decimal(20,0)")).cast("decimal(38,0)")
+
+    large = part(high, str(2**64)) + part(low_high, str(2**32)) + part(low_low, "1")
+    return F.when(units < 2.0**63, units.cast("bigint").cast("string")).otherwise(large.cast("decimal(38,0)").cast("string"))
+
+
 def fixed6(x: Column) -> Column:
     """Six-decimal text of a DOUBLE, rounding its exact binary value half-even.
 
     ``format_string('%.6f')`` rounds the shortest decimal instead, which differs
-    on ties. The fraction of a double is exact; ``fraction * 10^7`` is formed as
-    product plus error term (Dekker splitting), which settles every tie.
+    on ties and shows other digits of large numbers. The fraction of a double is
+    exact; ``fraction * 10^7`` is formed as product plus error term (Dekker
+    splitting), which settles every tie. Only beyond 1e38, which DECIMAL does not
+    hold, the digits after the seventeenth are zeros.
     """
     a = F.abs(x)
-    units = F.floor(a)
-    fraction = a - units
+    held = F.when(a < 1e38, a).otherwise(F.lit(0.0))
+    # Not F.floor: that is a BIGINT.
+    units = held - held % 1.0
+    fraction = held % 1.0
     product = fraction * 1e7
     scaled = fraction * 134217729.0
     high = scaled - (scaled - fraction)
@@ -71,12 +93,12 @@ def fixed6(x: Column) -> Column:
     whole = F.floor(product / 10.0)
     rest = (product - whole * 10.0 - 5.0) + error
     round_up = F.signum(rest) * 2 + whole % 2 > 0
-    micros = units * 1000000 + whole + round_up.cast("int")
-    padded = F.concat(F.lit("000000"), micros.cast("string"))
-    digits = F.regexp_replace(padded, "^0*([0-9]+)([0-9]{6})$", "$1.$2")
+    micros = whole + round_up.cast("int")
+    carried = units + (micros >= 1000000).cast("double")
+    digits = F.concat(_whole_text(carried), F.lit("."), F.lpad((micros % 1000000).cast("string"), 6, "0"))
     sign = F.when(x.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
     return (
-        F.when(a < 9e12, F.concat(sign, digits))
+        F.when(a < 1e38, F.concat(sign, digits))
         .when(a == float("inf"), F.concat(sign, F.lit("inf")))
         .otherwise(F.format_string("%.6f", x))
     )

@@ -10,15 +10,20 @@ from regfleet.session import freeze
 
 
 def duplicates(rows: DataFrame, column: str) -> DataFrame:
-    """Rows whose non-empty ``column`` was used on an earlier line, with that first line."""
-    scanned = ordered_scan(
-        rows.filter(F.col(column) != ""),
-        ["map_id", column],
-        "line_num",
-        counts={"_rank": F.lit(True)},
-        minima={"ref_line": F.col("line_num")},
+    """Rows whose non-empty ``column`` was used on an earlier line, with that first line.
+
+    First lines are combined before their shuffle and only texts that repeat are
+    joined back, so a text that fills a map is never gathered for them.
+    """
+    used = rows.filter(F.col(column) != "")
+    first = (
+        used.groupBy("map_id", column)
+        .agg(F.min("line_num").alias("ref_line"), F.count("*").alias("_uses"))
+        .filter(F.col("_uses") > 1)
+        .drop("_uses")
     )
-    return scanned.filter(F.col("_rank") > 1).drop("_rank")
+    repeated = used.join(first, ["map_id", column]).filter(F.col("line_num") > F.col("ref_line"))
+    return repeated.select(*rows.columns, "ref_line")
 
 
 def intervals(rows: DataFrame) -> DataFrame:

@@ -57,9 +57,13 @@ def _rank(header: Column, patterns: list[str]) -> Column:
 
 
 def _explicit(columns: DataFrame, mapping: DataFrame | None) -> DataFrame:
-    """Attach the user's mapping as ``wanted``: target to source header, own map first."""
+    """Attach the user's mapping as ``wanted``: target to source header, own map first.
+
+    Of several headers for one target the first by name holds.
+    """
     if mapping is None:
         return columns.withColumn("wanted", F.lit(None).cast("map<string,string>"))
+    mapping = mapping.groupBy("map_id", "target").agg(F.min("source").alias("source"))
     per_map = mapping.groupBy("map_id").agg(F.map_from_entries(F.collect_list(F.struct("target", "source"))).alias("own"))
     common = per_map.filter(F.col("map_id").isNull()).select("own").scalar()
     own = per_map.filter(F.col("map_id").isNotNull())

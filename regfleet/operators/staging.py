@@ -25,8 +25,15 @@ TABLE_SHIFT = 46
 
 
 def record_order(table_id: Column, row_ord: Column) -> Column:
-    """One BIGINT that sorts the records of a map by table, then by position."""
-    return F.shiftleft(table_id.cast("bigint"), TABLE_SHIFT) + row_ord
+    """One BIGINT that sorts the records of a map by table, then by position.
+
+    Table numbers beyond its bits raise an error instead of mixing tables up.
+    """
+    table = table_id.cast("bigint")
+    held = F.when((table >= 0) & (table < 1 << (63 - TABLE_SHIFT)), table).otherwise(
+        F.raise_error(F.lit("table_id does not fit the record order")).cast("bigint")
+    )
+    return F.shiftleft(held, TABLE_SHIFT) + row_ord
 
 
 def number_lines(rows: DataFrame, order: str) -> DataFrame:
@@ -36,8 +43,8 @@ def number_lines(rows: DataFrame, order: str) -> DataFrame:
 
 
 def with_offset(rows: DataFrame, params: DataFrame, salt: str = "line_num") -> DataFrame:
-    """Attach the address offset of each map; maps without parameters get 0."""
-    offsets = params.select("map_id", "address_offset")
+    """Attach the address offset of each map; maps without parameters get 0, of several rows the smallest holds."""
+    offsets = params.groupBy("map_id").agg(F.min("address_offset").alias("address_offset"))
     return salted_lookup(rows, offsets, ["map_id"], salt).fillna(0, ["address_offset"])
 
 

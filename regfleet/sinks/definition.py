@@ -10,6 +10,11 @@ from regfleet.schemas import DEFINITION_COLUMNS
 # Separator, and how many empty fields end the header line.
 SEPARATOR = ";"
 HEADER_PADDING = 6
+# Protocol and category of a map that states none.
+DEFAULTS = {"protocol": "modbusRTU", "category": "Inverter"}
+
+
+HEADER_COLUMNS = ["protocol", "category", "manufacturer", "model", "forced_write"]
 
 
 def _field(c: Column) -> Column:
@@ -23,9 +28,15 @@ def _line(*columns: Column) -> Column:
 
 
 def definition_lines(definition: DataFrame, params: DataFrame) -> DataFrame:
-    """Lines of the files, ``line_ord`` 0 being the header of each map in ``params``."""
-    head = [F.col(c) for c in ("protocol", "category", "manufacturer", "model", "forced_write")]
-    header = params.select(
+    """Lines of the files, ``line_ord`` 0 being the header of each map.
+
+    Protocol and category have defaults. A map with several rows in ``params``
+    has the header of one of them, a map without a row one without names.
+    """
+    head = [F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(DEFAULTS.get(c, ""))) for c in HEADER_COLUMNS]
+    one = params.groupBy("map_id").agg(F.min(F.struct(*HEADER_COLUMNS)).alias("p")).select("map_id", "p.*")
+    maps = definition.select("map_id").distinct().join(one, "map_id", "full")
+    header = maps.select(
         "map_id",
         F.lit(0).cast("bigint").alias("line_ord"),
         _line(*head, *[F.lit("")] * HEADER_PADDING).alias("line"),

@@ -6,13 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regfleet.operators.headers import union_tables
-from regfleet.operators.ordering import ordered_scan
 from regfleet.operators.records import split_header
 from regfleet.session import freeze
-from regfleet.sources.files import FILE_CHUNK_BITS, MapId, driver_paths, file_stem, scan_order, with_table
-
-#: Files above this many bytes are read by lines, in splits.
-WHOLE_FILE_LIMIT = 64 << 20
+from regfleet.sources.files import MapId, driver_paths, file_stem, scan_order, with_table
 
 # Delimiters of the document path in order of preference, and how
 # many characters at the start of a file are searched for them.
@@ -20,7 +16,7 @@ DELIMITERS = [",", ";", "\t"]
 SNIFF_CHARACTERS = 1024
 
 #: A record up to its line end; line breaks inside closed quotes belong to it.
-_FIRST_RECORD = r'^(?:[^"\n]++|"[^"]*+")*+'
+_FIRST_RECORD = r'^(?:[^"\r\n]++|"[^"]*+")*+'
 
 _UTF16 = "(hex(substring(cast({} AS BINARY), 1, 2)) IN ('FFFE', 'FEFF'))"
 
@@ -41,7 +37,7 @@ def _register_delimiter(first: Column) -> Column:
 
 
 def _judge(heads: DataFrame, simplified: bool) -> DataFrame:
-    """(file, large, utf16, delimiter, width) from the text at the start of each file."""
+    """(file, utf16, delimiter, width) from the text at the start of each file."""
     utf16 = F.expr(_UTF16.format("head"))
     even = F.expr("substring(cast(head AS BINARY), 1, 2 * CAST(floor(octet_length(head) / 2) AS INT))")
     text = F.when(utf16, F.decode(even, "UTF-16")).otherwise(F.ltrim(F.col("head"), F.lit("\ufeff")))
@@ -52,52 +48,17 @@ def _judge(heads: DataFrame, simplified: bool) -> DataFrame:
     ]
     return (
         heads.withColumns({"utf16": utf16, "text": text})
-        .withColumns({"first": first, "line": F.regexp_extract("text", r"^[^\n]*", 0)})
+        .withColumns({"first": first, "line": F.regexp_extract("text", r"^[^\r\n]*", 0)})
         .withColumn("delimiter", delimiter)
         # With a stray quote in the header only its line end is sure.
-        .select("file", "large", "utf16", "delimiter", (F.greatest(*delimiters) + 1).alias("width"))
-    )
-
-
-def _lines(spark: SparkSession, path) -> DataFrame:
-    return (
-        spark.read.option("lineSep", "\n")
-        .text(path)
-        .filter(F.col("_metadata.file_size") > WHOLE_FILE_LIMIT)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            scan_order().alias("row_ord"),
-            "value",
-            F.col("_metadata.file_block_start").alias("split"),
-        )
-    )
-
-
-def _large_heads(lines: DataFrame) -> DataFrame:
-    """The first 1024 lines of each large file as one text; only first splits are looked at."""
-    lines = lines.filter(F.col("split") == 0)
-    start = lines.groupBy("file").agg(F.min("row_ord").alias("start"))
-    first = lines.join(start, "file").filter(F.col("row_ord") < F.col("start") + SNIFF_CHARACTERS)
-    return (
-        first.groupBy("file")
-        .agg(F.array_sort(F.collect_list(F.struct("row_ord", "value"))).alias("l"))
-        .select("file", F.array_join("l.value", "\n").alias("head"))
+        .select("file", "utf16", "delimiter", (F.greatest(*delimiters) + 1).alias("width"))
     )
 
 
 def dialects(spark: SparkSession, path, simplified: bool = False) -> DataFrame:
     """Encoding, delimiter and width of every file below ``path``."""
-    small = (
-        spark.read.text(path, wholetext=True)
-        .filter(F.col("_metadata.file_size") <= WHOLE_FILE_LIMIT)
-        .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("head"))
-    )
-    return _judge(
-        small.withColumn("large", F.lit(False)).unionByName(
-            _large_heads(_lines(spark, path)).withColumn("large", F.lit(True))
-        ),
-        simplified,
-    )
+    heads = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("head"))
+    return _judge(heads, simplified)
 
 
 def _columns(width: int) -> list[str]:
@@ -121,51 +82,23 @@ def _whole_files(spark: SparkSession, files: list[str], utf16: bool, delimiter:
     )
 
 
-def _split_files(lines: DataFrame, delimiter: str, width: int) -> DataFrame:
-    """Records of large files from lines read in splits.
-
-    A line starts a record when the quotes before it in the file are balanced;
-    running counts decide that without reading a file in one task. Quotes inside
-    unquoted cells have to be balanced for that.
-    """
-    quotes = _occurrences(F.col("value"), '"').cast("bigint")
-    counted = ordered_scan(lines, ["file"], "row_ord", sums={"_quotes": quotes}, chunk_bits=FILE_CHUNK_BITS)
-    starts = (F.col("_quotes") - quotes) % 2 == 0
-    numbered = ordered_scan(counted, ["file"], "row_ord", counts={"_record": starts}, chunk_bits=FILE_CHUNK_BITS)
-    schema = ", ".join(f"{c} STRING" for c in _columns(width))
-    return (
-        numbered.groupBy("file", "_record")
-        .agg(F.array_sort(F.collect_list(F.struct("row_ord", "value"))).alias("l"))
-        .select(
-            "file",
-            F.col("l")[0]["row_ord"].alias("row_ord"),
-            F.regexp_replace(F.array_join("l.value", "\n"), "\r$", "").alias("text"),
-        )
-        .filter(F.col("text") != "")
-        .withColumn("_c", F.from_csv("text", schema, {"sep": delimiter, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}))
-        .select("file", "row_ord", _cells(width, "_c.").alias("cells"))
-    )
-
-
 def read_delimited(
     spark: SparkSession, path, simplified: bool = False, map_id: MapId = file_stem
 ) -> tuple[DataFrame, DataFrame]:
     """Headers and records of all delimited files below ``path``, one map per file.
 
-    A first pass finds encoding, delimiter and width of each file; then each
-    combination is one scan. Only file names come to the driver, which Spark's own
-    listing keeps there as well. The records are stored, as header rules, numbering
-    and projection each read them.
+    A first pass finds encoding, delimiter and width of each file; then the files
+    of each combination are one scan. Every file, of any size, is read by the same
+    streaming parser in one task: line ends may be LF, CR LF or CR, a quote opens
+    a cell only at its start, and quoted cells may hold line breaks. Only file
+    names come to the driver, which Spark's own listing keeps there as well. The
+    records are stored, as header rules, numbering and projection each read them.
     """
     groups = defaultdict(list)
     for row in dialects(spark, path, simplified).toLocalIterator():
-        groups[row.large and not row.utf16, row.utf16, row.delimiter].append(row)
-    parts = []
-    for (in_splits, utf16, delimiter), files in groups.items():
-        width = max(f.width for f in files)
-        if in_splits:
-            lines = _lines(spark, driver_paths(files)).drop("split")
-            parts.append(_split_files(freeze(lines, "lines"), delimiter, width))
-        else:
-            parts.append(_whole_files(spark, driver_paths(files), utf16, delimiter, width))
+        groups[row.utf16, row.delimiter, row.width].append(row)
+    parts = [
+        _whole_files(spark, driver_paths(files), utf16, delimiter, width)
+        for (utf16, delimiter, width), files in groups.items()
+    ]
     return split_header(freeze(with_table(union_tables(parts), map_id), "records"))

@@ -1,5 +1,6 @@
 """What the file readers share: map ids and a row order that needs no shuffle."""
 
+import re
 from collections.abc import Callable
 from urllib.parse import unquote
 
@@ -42,7 +43,8 @@ def scan_order() -> Column:
 
 
 def driver_paths(rows: list) -> list[str]:
-    return [unquote(r.file) for r in rows]
+    """Paths of listed files for a reader, which would take brackets and the like for patterns."""
+    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(r.file)) for r in rows]
 
 
 def with_table(records: DataFrame, map_id: MapId) -> DataFrame:

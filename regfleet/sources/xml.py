@@ -9,14 +9,11 @@ from regfleet.operators.records import drop_repeats
 from regfleet.session import freeze
 from regfleet.sources.files import MapId, file_stem, scan_order, with_table
 
-ATTRIBUTE = "_"
 MIN_LEAVES = 2
 
 
 def _leaf(field: T.StructField) -> Column | None:
     """Text of a leaf child; the last one if it repeats; none for nested elements."""
-    if field.name.startswith(ATTRIBUTE):
-        return None
     c = F.col(f"`{field.name}`")
     if isinstance(field.dataType, T.StringType):
         return c
@@ -34,10 +31,10 @@ def read_xml(
     stay text. Attributes and nested elements are left out, broken rows dropped.
     """
     reader = spark.read.format("xml").options(
-        rowTag=row_tag, inferSchema="false", attributePrefix=ATTRIBUTE, columnNameOfCorruptRecord="_corrupt_record"
+        rowTag=row_tag, inferSchema="false", excludeAttribute="true", columnNameOfCorruptRecord="_corrupt_record"
     )
     rows = (reader.schema(schema) if schema is not None else reader).load(path)
-    leaves = {f.name: leaf for f in rows.schema.fields if (leaf := _leaf(f)) is not None}
+    leaves = {f.name: leaf for f in rows.schema.fields if f.name != "_corrupt_record" and (leaf := _leaf(f)) is not None}
     present = [F.when(leaf != "", R.strip(leaf)) for leaf in leaves.values()]
     records = rows.select(
         F.col("_metadata.file_path").alias("file"), scan_order().alias("row_ord"), F.array(*present).alias("cells")

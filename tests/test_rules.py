@@ -25,8 +25,12 @@ TYPES = {
     "float 64": "F32", "uint 16": "UINT16", "": "U16", "   ": "U16", None: "U16", "u32 big": "U32BIG",
     "double word": "F64_W", "int32 uint64": "U64", "I 32": "I32", "int64_b": "I64_B",
 }
-VALID = "U16 I32 F32 STRING BITS IP MAC STR10 U16_W I32_WB U8 I8 U64 I64 F64 IPV6 U16_B U32_W I64_WB u16 String str20 i32_wb ipv6 Mac".split()
-INVALID = "UNKNOWN U1 I128 STR BITS_2 STRING_W U17 I31 F16".split()
+VALID = [
+    *[f"{sign}{size}{order}" for sign in "UI" for size in (8, 16, 32, 64) for order in ("", "_W", "_B", "_WB")],
+    *[f"F{size}{order}" for size in (32, 64) for order in ("", "_W", "_B", "_WB")],
+    "STRING", "string", "BITS", "bits", "IP", "ipv6", "MAC", "STR7", "str007", "u8_wb",
+]
+INVALID = ["", "U", "U24", "I7", "F8", "F128", "STR", "STR-1", "BITS_1", "MAC_W", "U16_X", "U16_BW", "IPV4", "text"]
 
 
 def test_types(spark):
@@ -49,12 +53,13 @@ def test_address_parts(spark):
 
 def test_addresses(spark):
     moved = {"100_20": "150_20", "0x64": "150", "xyz_4": "xyz_4", "": "", "_20": "_20", "30001_0_1": "30051_0_1", "-60": "-10",
-             "A0_A0": "210_160", "1_2_3_4_5": "51_2_3_4_5"}
+             "A0_A0": "210_160", "1_2_3_4_5": "51_2_3_4_5",
+             "1_2_3_0x4": "51_2_3_4"}
     assert values(spark, lambda a: R.apply_offset(a, F.lit(50)), *moved) == list(moved.values())
-    good = [("30001", "U16"), ("0x7531", "U16"), ("7531h", "U16"), ("A0", "U16"), ("30001_10", "STRING"),
-            ("0x7531_10", "STRING"), ("A0_10", "STRING"), ("30001_0_1", "BITS"), ("0x7531_0_1", "BITS"), ("A0_0_1", "BITS")]
+    bases = ["512", "0x200", "200h", "F0"]
+    good = [(b + rest, t) for b in bases for rest, t in (("", "U16"), ("_8", "STRING"), ("_3_2", "BITS"))]
     assert all(values(spark, R.valid_address, *good))
-    bad = [("30001_10", "U16"), ("30001", "STRING"), ("xyz", "U16"), ("30001_1", "BITS"), ("", "U16")]
+    bad = [("512_8", "U16"), ("512", "STRING"), ("G1", "U16"), ("512_3", "BITS"), ("", "U16"), ("512_3_2", "STRING")]
     assert not any(values(spark, R.valid_address, *bad))
     assert values(spark, R.valid_register, ("1", "U16"), ("1_2", "STRING"), ("1_2_3", "BITS"), ("-5", "MAC"), ("9" * 19, "U16"),
                   ("1_2", "IP"), ("1", "STRING")) == [True, True, True, True, False, False, False]
@@ -84,7 +89,8 @@ def test_six_decimals(spark):
     rnd = random.Random(5)
     xs = [0.0, -0.0, 5e-7, 0.1234565, 1e-7, 2.5, -1.5e-6, 1e8, 9.9e14, 1e20, 876694022.7454225, 1e-300, -1e-9]
     xs += [rnd.randint(0, 10**9) / 1e7 * rnd.choice([1, -1]) for _ in range(5000)]
-    xs += [rnd.uniform(-1, 1) * 10 ** rnd.randint(-9, 11) for _ in range(5000)]
+    xs += [rnd.uniform(-1, 1) * 10 ** rnd.randint(-9, 37) for _ in range(9000)]
+    xs += [10000000000000.123, 9100000000000.3, 1e23, float(2**60), float(2**64), float(2**63), 9999999.9999999, 0.9999999, 1e37]
     df = spark.createDataFrame([(x,) for x in xs], "x double").select("x", R.fixed6(F.col("x")).alias("t"))
     assert [(r.x, r.t) for r in df.collect() if r.t != f"{r.x:.6f}"] == []
 
