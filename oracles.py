@@ -183,14 +183,16 @@ LINES = f"""lines AS (
 
 DIAGNOSTICS = f"""findings AS (
   SELECT map_id, line_num, status AS code, 'skip' AS severity, name, CASE status WHEN 'INVALID_TYPE' THEN type || ' -> ' || dtype
-    WHEN 'INVALID_ADDRESS' THEN info2 || ' as ' || info3 ELSE '' END AS detail, CAST(NULL AS BIGINT) AS ref_line, CAST(1 AS BIGINT) AS n
+    WHEN 'INVALID_ADDRESS' THEN info2 || ' as ' || info3 ELSE '' END AS detail, CAST(NULL AS BIGINT) AS ref_line, CAST(1 AS BIGINT) AS n,
+    CAST(NULL AS VARCHAR) AS ref_name, CAST(NULL AS VARCHAR) AS ref_range
     FROM staged WHERE status NOT IN ('OK', 'BLANK')
-  UNION ALL SELECT map_id, line_num, 'NEGATIVE_ADDRESS', 'warning', name, info2, NULL, 1 FROM staged
+  UNION ALL SELECT map_id, line_num, 'NEGATIVE_ADDRESS', 'warning', name, info2, NULL, 1, NULL, NULL FROM staged
     WHERE status IN ('OK', 'INVALID_ADDRESS') AND regexp_full_match(string_split(info2, '_')[1], '-[0-9]+')
-  UNION ALL SELECT map_id, line_num, 'UNKNOWN_REGISTER_TYPE', 'warning', name, register_type, NULL, 1 FROM kept WHERE NOT {known_type('register_type')}
-  UNION ALL SELECT * FROM (SELECT map_id, line_num, 'DUPLICATE_NAME', 'warning', name, name, min(line_num) OVER (PARTITION BY map_id, name) AS f, 1 FROM kept WHERE name <> '') WHERE f < line_num
-  UNION ALL SELECT * FROM (SELECT map_id, line_num, 'DUPLICATE_TAG', 'warning', name, tag, min(line_num) OVER (PARTITION BY map_id, tag) AS f, 1 FROM tagged WHERE tag <> '') WHERE f < line_num
-  UNION ALL SELECT map_id, line_num, 'ADDRESS_OVERLAP', 'warning', any_value(name), any_value(reg_start || '-' || reg_end), min(ref_line), count(*) FROM pairs GROUP BY map_id, line_num)"""
+  UNION ALL SELECT map_id, line_num, 'UNKNOWN_REGISTER_TYPE', 'warning', name, register_type, NULL, 1, NULL, NULL FROM kept WHERE NOT {known_type('register_type')}
+  UNION ALL SELECT * FROM (SELECT map_id, line_num, 'DUPLICATE_NAME', 'warning', name, name, min(line_num) OVER (PARTITION BY map_id, name) AS f, 1, NULL, NULL FROM kept WHERE name <> '') WHERE f < line_num
+  UNION ALL SELECT * FROM (SELECT map_id, line_num, 'DUPLICATE_TAG', 'warning', name, tag, min(line_num) OVER (PARTITION BY map_id, tag) AS f, 1, NULL, NULL FROM tagged WHERE tag <> '') WHERE f < line_num
+  UNION ALL SELECT map_id, line_num, 'ADDRESS_OVERLAP', 'warning', any_value(name), any_value(reg_start || '-' || reg_end), min(ref_line), count(*),
+    arg_min(ref_name, ref_line), arg_min(ref_start || '-' || ref_end, ref_line) FROM pairs GROUP BY map_id, line_num)"""
 
 
 

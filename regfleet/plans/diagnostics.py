@@ -13,7 +13,8 @@ from regfleet.session import freeze
 SKIP, WARNING = "skip", "warning"
 
 
-def _finding(rows: DataFrame, code: str, severity: str, detail: Column, ref_line=None, n=None) -> DataFrame:
+def _finding(rows: DataFrame, code: str, severity: str, detail: Column, ref_line=None, n=None, ref=None) -> DataFrame:
+    ref_name, ref_range = (F.lit(None), F.lit(None)) if ref is None else ref
     return rows.select(
         "map_id",
         "line_num",
@@ -22,6 +23,8 @@ def _finding(rows: DataFrame, code: str, severity: str, detail: Column, ref_line
         "name",
         detail.alias("detail"),
         (F.lit(None) if ref_line is None else ref_line).cast("bigint").alias("ref_line"),
+        ref_name.cast("string").alias("ref_name"),
+        ref_range.cast("string").alias("ref_range"),
         (F.lit(1) if n is None else n).cast("bigint").alias("n"),
     )
 
@@ -62,6 +65,8 @@ def row_findings(staged: DataFrame) -> DataFrame:
             "name",
             "f.detail",
             F.lit(None).cast("bigint").alias("ref_line"),
+            F.lit(None).cast("string").alias("ref_name"),
+            F.lit(None).cast("string").alias("ref_range"),
             F.lit(1).cast("bigint").alias("n"),
         )
     )
@@ -72,13 +77,18 @@ def diagnostics(staged: DataFrame) -> DataFrame:
 
     ``n`` is the number of warnings a finding stands for: 1, except for
     ADDRESS_OVERLAP, which has one row per register row with the number of earlier
-    rows it overlaps and the first of them. :func:`overlap_pairs` lists the pairs.
+    rows it overlaps and the line, name and registers of the first of them.
+    :func:`overlap_pairs` lists the pairs.
     """
     rows = S.surviving(staged)
     tagged = freeze(allocate_tags(rows.select("map_id", "line_num", "name", "tag", "base")), "tagged")
     spans = freeze(intervals(rows), "spans")
-    # Merge join: the counts already lie by this key, and rows are never broadcast.
-    overlaps = overlap_counts(spans).join(spans.hint("merge"), ["map_id", "info1", "line_num"])
+    registers = F.concat_ws("-", F.col("reg_start").cast("string"), F.col("reg_end").cast("string"))
+    named = spans.select("map_id", "info1", "line_num", "name", registers.alias("registers"))
+    first = named.toDF("map_id", "info1", "ref_line", "ref_name", "ref_range")
+    overlaps = (
+        overlap_counts(spans).join(named, ["map_id", "info1", "line_num"]).join(first, ["map_id", "info1", "ref_line"])
+    )
     return (
         row_findings(staged)
         .unionByName(_finding(duplicates(rows.select("map_id", "line_num", "name"), "name"), "DUPLICATE_NAME", WARNING, F.col("name"), F.col("ref_line")))
@@ -88,9 +98,10 @@ def diagnostics(staged: DataFrame) -> DataFrame:
                 overlaps,
                 "ADDRESS_OVERLAP",
                 WARNING,
-                F.concat_ws("-", F.col("reg_start").cast("string"), F.col("reg_end").cast("string")),
+                F.col("registers"),
                 F.col("ref_line"),
                 F.col("n"),
+                (F.col("ref_name"), F.col("ref_range")),
             )
         )
         .to(DIAGNOSTIC_SCHEMA)

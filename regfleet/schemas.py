@@ -80,6 +80,7 @@ DIAGNOSTIC_SCHEMA = T.StructType(
         T.StructField("line_num", T.LongType()),
         *_strings("code", "severity", "name", "detail"),
         T.StructField("ref_line", T.LongType()),
+        *_strings("ref_name", "ref_range"),
         T.StructField("n", T.LongType()),
     ]
 )
