@@ -11,15 +11,18 @@ from regfleet.sources.files import MapId, file_stem, scan_order, with_table
 
 MIN_LEAVES = 2
 
+#: Text of a child that holds elements: the reader gives their markup where another file has plain text.
+_MARKUP = r"(?s)^\s*<([A-Za-z_][^\s/>]*)[^>]*(/>|>.*</\1\s*>)\s*$"
+
 
 def _leaf(field: T.StructField) -> Column | None:
     """Text of a leaf child; the last one if it repeats; none for nested elements."""
     c = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, T.StringType):
-        return c
     if isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.StringType):
-        return F.try_element_at(c, F.lit(-1))
-    return None
+        c = F.try_element_at(F.filter(c, lambda x: ~x.rlike(_MARKUP)), F.lit(-1))
+    elif not isinstance(field.dataType, T.StringType):
+        return None
+    return F.when(~c.rlike(_MARKUP), c)
 
 
 def read_xml(
