@@ -15,9 +15,10 @@ fragments, so each set falls into segments that lie in different fragments.
    fragment of a fixed cut and the partial counts are summed per pair.
 
 Near copies come in groups of any size, so pairs are not all formed. In a group
-with an equal segment all members are first compared with one centre. Only sets
-that this leaves in different components are compared further, by a join on the
-rarest n-grams of each (prefix filter in order of frequency), which loses no
+with an equal segment each set is first compared with the best known centre of
+its groups, then, where components differ, with the centre of each group. Only
+sets that this leaves in different components are compared further, by a join on
+the rarest n-grams of each (prefix filter in order of frequency), which loses no
 link between different components. So the components are exact.
 
 Equal sets are one set from the start (named by a 64-bit digest), and nothing
@@ -258,10 +259,22 @@ def _famous(sigs: DataFrame) -> DataFrame:
     return sigs.join(fame, "set_id").select("sig", "set_id", "n", "fame", F.col("set_id").alias("component"))
 
 
+def _centred(sigs: DataFrame) -> DataFrame:
+    """Adds ``c``, the most famous member of the group."""
+    centres = sigs.groupBy("sig").agg(F.max(F.struct("fame", "set_id", "n", "component")).alias("c"))
+    return sigs.join(centres, "sig")
+
+
+def _hub_pairs(sigs: DataFrame, threshold: Threshold) -> DataFrame:
+    """Each set with the most famous centre of its groups: one pair a set, however many groups it is in."""
+    hubs = _centred(sigs).groupBy("set_id", "n").agg(F.max("c").alias("c"))
+    near = f"set_id != c.set_id AND {_near_sizes('n', 'c.n', threshold)}"
+    return hubs.filter(near).select(F.col("set_id").alias("a"), F.col("c.set_id").alias("b"))
+
+
 def _star(sigs: DataFrame, threshold: Threshold) -> tuple[DataFrame, DataFrame]:
     """Pairs of each member of a group with its most famous member, and the groups without these."""
-    centres = sigs.groupBy("sig").agg(F.max(F.struct("fame", "set_id", "n", "component")).alias("c"))
-    centred = sigs.join(centres, "sig").filter("set_id != c.set_id")
+    centred = _centred(sigs).filter("set_id != c.set_id")
     near = f"component != c.component AND {_near_sizes('n', 'c.n', threshold)}"
     pairs = centred.filter(near).select(F.col("set_id").alias("a"), F.col("c.set_id").alias("b")).distinct()
     return pairs, centred.select(*sigs.columns)
@@ -354,8 +367,10 @@ def jaccard_components(
     segments = freeze(segments, "segments")
 
     open_sigs = freeze(_famous(sigs), "famous")
+    hub_links = freeze(_linked(_hub_pairs(open_sigs, threshold), segments, threshold), "hub-links")
+    open_sigs = freeze(_still_open(open_sigs, components(hub_links)), "open-groups")
     pairs, rest = _star(open_sigs, threshold)
-    links = freeze(_linked(pairs, segments, threshold), "star-links")
+    links = freeze(hub_links.union(_linked(pairs, segments, threshold)), "star-links")
     open_sigs = freeze(_still_open(rest, components(links)), "open-groups")
     found = components(links.union(_linked(_open_pairs(open_sigs, segments, threshold), segments, threshold)))
 
