@@ -1,11 +1,15 @@
 """Cross-entropy difference of texts between a target and a background bigram model.
 
-Both models use one vocabulary, the most frequent words of the whole corpus, and
-one table of bigram slots of fixed size; the background is counted over every
-document, the target over a chosen set, and the background's counts are scaled
-to the target's, so that both are smoothed alike. A word's probability after
-another is (c(h, w) + MU * p(w)) / (c(h) + MU). Two bigrams that fall into one
-slot share their count, cut at c(h).
+Every word and every pair of words counts, with exact counts: the background is
+counted over every document, the target over all chosen ones, and the
+background's counts are scaled to the target's, so that both are smoothed alike.
+A word's probability after another is (c(h, w) + MU * p(w)) / (c(h) + MU).
+
+The counts are Spark tables that grow with the corpus. A pair that is in no row
+of the table of pairs occurs once, in the text at hand. Counts of the most
+frequent words and pairs are broadcast, with a Bloom filter of the other pairs;
+what a text holds beyond is counted and joined with the tables. The broadcasts
+only decide where a count is looked up.
 """
 
 from collections.abc import Iterator
@@ -15,111 +19,235 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import bloom_filter, freeze, in_bloom, pieces
 from .words import LETTERS, Words, mix, split_words
 
-VOCABULARY = 1 << 16
-SLOT_BITS = 21
 MU = 50.0
 
-#: Documents that the target model is made of, at most.
-TARGET_DOCUMENTS = 50_000
+#: Words, and pairs of words, whose counts are broadcast, at most. One beyond stands at most once in so many words.
+HOT = 1 << 20
 
+#: Ids of target documents up to which they are broadcast; more are joined by shuffle.
+BROADCAST_TARGETS = 500_000
 
-def _sum_by_key(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, back = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(back, weights=np.concatenate(counts)).astype(np.int64)
+#: Rows that a task holds before it hands them on.
+_HELD = 400_000
 
+_BEGIN, _UNKNOWN = np.uint64(0x3C6EF372FE94F82B), np.uint64(0xA54FF53A5F1D36F1)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _pairs(words: Words, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the word before every word, or of the begin of a text, and of the word itself."""
+    word = words.hashes()
+    if known is not None:
+        word = np.where(np.isin(word, known), word, _UNKNOWN)
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    first = np.ones(len(word), dtype=bool)
+    first[1:] = words.text[1:] != words.text[:-1]
+    before[first] = _BEGIN
+    return before, word
+
+
+def _keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(mix(before) * _ODD + word)
 
-def _word_rows(text: str):
-    """(word, n): counts of a task's words, by hash."""
 
-    def batch(keys, counts):
-        key, n = _sum_by_key(keys, counts)
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["word", "n"])
+def _signed(hashes: np.ndarray) -> pa.Array:
+    return pa.array(hashes.view(np.int64))
+
+
+def _word_rows(text: str):
+    """(word, n): words of a task by hash, counted per piece."""
 
     def rows(batches):
-        keys, counts, held = [], [], 0
         for piece in pieces(batches, text):
-            key, n = np.unique(split_words(piece.column(text), LETTERS).hashes(), return_counts=True)
-            keys.append(key)
-            counts.append(n)
-            held += len(key)
-            if held > 1_000_000:
-                yield batch(keys, counts)
-                keys, counts, held = [], [], 0
-        if held:
-            yield batch(keys, counts)
+            word, n = np.unique(split_words(piece.column(text), LETTERS).hashes(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([_signed(word), pa.array(n)], ["word", "n"])
 
     return rows
 
 
-def _ids(vocabulary: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Id of every word and of the word before it: unknown words are V, the begin of a text V + 1."""
-    hashes, size = words.hashes(), len(vocabulary)
-    at = np.searchsorted(vocabulary, hashes)
-    at[at == size] = 0
-    ids = np.where(vocabulary[at] == hashes, at, size) if size else np.zeros(len(hashes), dtype=np.int64)
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    first = np.ones(len(ids), dtype=bool)
-    first[1:] = words.text[1:] != words.text[:-1]
-    before[first] = size + 1
-    return ids, before
-
-
-def _slots(before: np.ndarray, ids: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+def _counted(names: list[str], pick, text: str, target: str, shared):
+    """Counts by the keys that ``pick`` gives for a piece's pairs, summed over the pieces of a task."""
 
+    def summed(parts):
+        key, *columns = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key, at, back = np.unique(key, return_index=True, return_inverse=True)
+        return [key] + [
+            c[at] if c.dtype == np.uint64 else np.bincount(back, weights=c, minlength=len(key)).astype(np.int64) for c in columns
+        ]
 
-def _count_rows(text: str, target: str, shared, bits: int):
-    """(place, n, n_target): a task's counts of slots, then of words after 2^bits, then of contexts after 2^32."""
+    def batch(part):
+        return pa.RecordBatch.from_arrays([_signed(c) if c.dtype == np.uint64 else pa.array(c) for c in part[1:]], names)
 
     def rows(batches):
-        vocabulary = shared.value
-        size = len(vocabulary) + 2
-        tables = [np.zeros((2, 1 << bits), dtype=np.int64), np.zeros((2, size), dtype=np.int64), np.zeros((2, size), dtype=np.int64)]
+        parts, held = [], 0
         for piece in pieces(batches, text):
             words = split_words(piece.column(text), LETTERS)
             if not len(words.start):
                 continue
-            ids, before = _ids(vocabulary, words)
-            wanted = piece.column(target).to_numpy(zero_copy_only=False).astype(bool)[words.text]
-            for table, places in zip(tables, (_slots(before, ids, bits), ids, before), strict=True):
-                table[0] += np.bincount(places, minlength=table.shape[1])
-                table[1] += np.bincount(places[wanted], minlength=table.shape[1])
-        for table, offset in zip(tables, (0, 1 << bits, 1 << 32), strict=True):
-            seen = np.flatnonzero(table[0])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(seen + offset), pa.array(table[0][seen]), pa.array(table[1][seen])], ["place", "n", "n_target"]
-            )
+            wanted = piece.column(target).to_numpy(zero_copy_only=False).astype(np.int64)[words.text]
+            parts.append(summed([pick(*_pairs(words, shared.value), wanted)]))
+            held += len(parts[-1][0])
+            if held > _HELD:
+                parts = [summed(parts)]
+                held = len(parts[0][0])
+                if held > _HELD // 2:
+                    yield batch(parts[0])
+                    parts, held = [], 0
+        if parts:
+            yield batch(summed(parts))
 
     return rows
 
 
-def _losses(shared, bits: int):
-    def rows(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocabulary, models = shared.value
-        for texts in batches:
+def _as_pairs(before, word, wanted):
+    return _keys(before, word), before, word, np.ones(len(word), dtype=np.int64), wanted
+
+
+def _as_words(before, word, wanted):
+    one, zero = np.ones(len(word), dtype=np.int64), np.zeros(len(word), dtype=np.int64)
+    key = np.concatenate([word, before])
+    return key, key, *(np.concatenate(x) for x in ((one, zero), (wanted, zero), (zero, one), (zero, wanted)))
+
+
+def _key_rows(batches):
+    """(key): one hash for each pair."""
+    for batch in batches:
+        before, word = (batch.column(c).to_numpy().view(np.uint64) for c in (0, 1))
+        yield pa.RecordBatch.from_arrays([_signed(_keys(before, word))], ["key"])
+
+
+class _Model:
+    """What is broadcast: counts of frequent words and pairs, and the filter of the other pairs of the table."""
+
+    def __init__(self, known, words, pairs, filled, constants):
+        self.known, self.words, self.pairs, self.filled, self.constants = known, words, pairs, filled, constants
+
+    def look_up(self, words: Words, wanted: np.ndarray):
+        """Word before and word, whether all is known here, and the losses of those, for the words of a piece."""
+        before, word = _pairs(words, self.known)
+        at_word, has_word = _look_up(self.words[0], word)
+        at_before, has_before = _look_up(self.words[0], before)
+        key = _keys(before, word)
+        at_pair, has_pair = _look_up(self.pairs[0], key)
+        here = has_word & has_before
+        if self.filled is not None:
+            here &= has_pair | ~in_bloom(self.filled, key)
+        has_pair, at_pair, at_word, at_before = has_pair[here], at_pair[here], at_word[here], at_before[here]
+        _, pair_n, pair_target = self.pairs
+        _, n, n_target, as_before, as_before_target = self.words
+        once = np.ones(len(at_pair), dtype=np.int64), wanted[words.text[here]]
+        losses = []
+        for pair, single, count, context, (scale, whole) in zip(
+            (pair_target, pair_n), once[::-1], (n_target, n), (as_before_target, as_before), self.constants, strict=True
+        ):
+            c = np.where(has_pair, pair[at_pair] if len(pair) else 0, single) * scale
+            p = (count[at_word] * scale + 1) / whole if len(count) else np.zeros(0)
+            h = context[at_before] * scale if len(context) else np.zeros(0)
+            losses.append(-np.log((c + MU * p) / (h + MU)))
+        return before, word, here, losses
+
+
+def _hot_losses(shared):
+    """Words of a text, those whose loss is not known here, and the summed losses of the others."""
+
+    def rows(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        model = shared.value
+        for texts, wanted in batches:
             found = []
-            for piece in pieces(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text"):
+            for piece in pieces(iter([pa.RecordBatch.from_arrays([texts, wanted], ["text", "wanted"])]), "text"):
                 words = split_words(piece.column("text"), LETTERS)
+                _, _, here, losses = model.look_up(words, piece.column("wanted").to_numpy(zero_copy_only=False).astype(np.int64))
+                of = words.text[here]
                 n = np.bincount(words.text, minlength=words.n_texts)
-                part = [n]
-                ids, before = _ids(vocabulary, words)
-                slots = _slots(before, ids, bits)
-                for slot, word, context in models:
-                    pair = np.minimum(slot[slots], context[before])
-                    loss = -np.log((pair + MU * word[ids]) / (context[before] + MU))
-                    part.append(np.bincount(words.text, weights=loss, minlength=words.n_texts) / np.maximum(n, 1))
+                part = [n, n - np.bincount(of, minlength=words.n_texts)]
+                part += [np.bincount(of, weights=x, minlength=words.n_texts) for x in losses]
                 found.append(part)
-            columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0)] * 3
+            columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0)] * 4
             yield pa.StructArray.from_arrays(
-                [pa.array(columns[0].astype(np.int64)), pa.array(columns[1]), pa.array(columns[2])],
-                names=["n", "target", "background"],
+                [pa.array(columns[0].astype(np.int64)), pa.array(columns[1].astype(np.int64)), *map(pa.array, columns[2:])],
+                names=["n", "rare", "target", "background"],
             )
 
-    return F.arrow_udf(rows, "n bigint, target double, background double")
+    return F.arrow_udf(rows, "n bigint, rare bigint, target double, background double")
+
+
+def _rare_rows(shared):
+    """(digest, wanted, before, word, n): pairs of each text whose loss is not known here, counted."""
+
+    def rows(batches):
+        model = shared.value
+        for piece in pieces(batches, "text"):
+            words = split_words(piece.column("text"), LETTERS)
+            wanted = piece.column("wanted").to_numpy(zero_copy_only=False).astype(np.int64)
+            before, word, here, _ = model.look_up(words, wanted)
+            rare = np.flatnonzero(~here)
+            key, text = _keys(before[rare], word[rare]), words.text[rare]
+            order = np.lexsort((key, text))
+            rare, key, text = rare[order], key[order], text[order]
+            new = np.ones(len(rare), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+            start = np.flatnonzero(new)
+            rare, text, n = rare[start], text[start], np.diff(np.append(start, len(rare)))
+            digest = piece.column("digest").to_numpy()[text]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(digest), pa.array(wanted[text]), _signed(before[rare]), _signed(word[rare]), pa.array(n.astype(np.int64))],
+                ["digest", "wanted", "before", "word", "times"],
+            )
+
+    return rows
+
+
+def _look_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted hash in the sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return at, keys[at] == wanted
+
+
+def _rare_losses(rare: DataFrame, pairs: DataFrame, words: DataFrame, constants) -> DataFrame:
+    """``rare`` with target and background: loss of the word after the one before, in both models."""
+    of_word = words.select("word", F.col("n").alias("c"), F.col("n_target").alias("c_target"))
+    of_before = words.select(F.col("word").alias("before"), "as_before", "as_before_target")
+    joined = rare.join(pairs, ["before", "word"], "left").join(of_word, "word").join(of_before, "before")
+
+    def loss(pair, word, before, scale, whole):
+        p = (F.col(word) * scale + 1) / F.lit(whole)
+        return -F.log((pair * scale + MU * p) / (F.col(before) * scale + MU))
+
+    counts = F.coalesce("n_target", "wanted"), F.coalesce("n", F.lit(1))
+    return joined.withColumns(
+        {
+            "target": loss(counts[0], "c_target", "as_before_target", *constants[0]),
+            "background": loss(counts[1], "c", "as_before", *constants[1]),
+        }
+    )
+
+
+def _hashed(rows: DataFrame, key, columns: list[str]) -> list[np.ndarray]:
+    """Keys of collected rows in order, and their columns."""
+    rows = rows.toArrow()
+    keys = key(*[rows.column(c).to_numpy().view(np.uint64) for c in rows.column_names if c not in columns])
+    order = np.argsort(keys)
+    return [keys[order], *[rows.column(c).to_numpy()[order] for c in columns]]
+
+
+def _hot_bound(rows: DataFrame, count, limit: int) -> int:
+    """The smallest of some counts that at most ``limit`` rows reach."""
+    step = F.floor(4 * F.log2(count)).cast("int")
+    steps = sorted(rows.groupBy(step.alias("step")).agg(F.count("*").alias("rows"), F.min(count).alias("n")).collect(), reverse=True)
+    bound, reached = (steps[0].n + (1 << 62) if steps else 1), 0
+    for _, rows, n in steps:
+        reached += rows
+        if reached > limit:
+            break
+        bound = n
+    return bound
 
 
 def score_documents(
@@ -127,67 +255,93 @@ def score_documents(
     targets: DataFrame,
     doc: str = "doc_id",
     text: str = "text",
-    vocabulary: int = VOCABULARY,
-    slot_bits: int = SLOT_BITS,
-    target_documents: int = TARGET_DOCUMENTS,
+    vocabulary: int | None = None,
+    hot: int = HOT,
+    broadcast_targets: int = BROADCAST_TARGETS,
 ) -> DataFrame:
     """``docs`` with n_tokens, loss_target, loss_background (nats per word) and score, their difference.
 
-    ``targets`` holds the ids of target documents, of which at most
-    ``target_documents`` are used, chosen by hash. A higher score is closer to the
-    target. Words are runs of letters after lower-casing A-Z. Texts that are null
-    or have no words get 0 tokens, losses and score 0. If no target document has
-    words, the target model is the uniform one over the vocabulary. Other columns
-    stay; those of the four names are replaced.
+    ``targets`` holds the ids of target documents; all of them make the target
+    model. A higher score is closer to the target. Words are runs of letters after
+    lower-casing A-Z, told apart by 64-bit hashes. All words are known unless
+    ``vocabulary`` asks for so many of the most frequent ones only. ``hot`` and
+    ``broadcast_targets`` bound what is broadcast and do not change results.
+    Texts that are null or have no words get 0 tokens, losses and score 0. If no
+    target document has words, the target model is the uniform one over the
+    vocabulary. Other columns stay; those of the four names are replaced.
     """
     context = docs.sparkSession.sparkContext
-    texts = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).filter("_text IS NOT NULL")
-    common = (
-        texts.select("_text")
-        .mapInArrow(_word_rows("_text"), "word bigint, n bigint")
+    texts = docs.select(F.col(doc).alias("id"), F.col(text).alias("text")).filter("text IS NOT NULL")
+    known = None
+    if vocabulary is not None:
+        counts = texts.select("text").mapInArrow(_word_rows("text"), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+        known = counts.orderBy(F.desc("n"), "word").limit(vocabulary).toArrow().column("word").to_numpy().view(np.uint64)
+    chosen = targets.filter(F.col(doc).isNotNull()).select(F.col(doc).alias("id")).distinct().withColumn("wanted", F.lit(True))
+    if chosen.limit(broadcast_targets + 1).count() <= broadcast_targets:
+        chosen = F.broadcast(chosen)
+    marked = texts.join(chosen, "id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    given = context.broadcast(known)
+    counts = "n bigint, n_target bigint"
+    names = ["word", "n", "n_target", "as_before", "as_before_target"]
+    words = freeze(
+        marked.mapInArrow(
+            _counted(names, _as_words, "text", "wanted", given), f"word bigint, {counts}, as_before bigint, as_before_target bigint"
+        )
         .groupBy("word")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "word")
-        .limit(vocabulary)
-        .toArrow()
+        .agg(*[F.sum(c).alias(c) for c in names[1:]]),
+        "word-counts",
+    )
+    names = ["before", "word", "n", "n_target"]
+    pairs = freeze(
+        marked.mapInArrow(_counted(names, _as_pairs, "text", "wanted", given), f"before bigint, word bigint, {counts}")
+        .groupBy("before", "word")
+        .agg(*[F.sum(c).alias(c) for c in names[2:]])
+        .filter("n > 1"),
+        "word-pairs",
+    )
+    seen = words.agg(F.count(F.when(F.col("n") > 0, 1)), F.sum("n"), F.sum("n_target")).first()
+    # With the begin of a text, and a place for unknown words.
+    size = (seen[0] if known is None else len(known)) + 2
+    total, total_target = seen[1] or 0, seen[2] or 0
+    scale = min(total_target or 1, total) / total if total else 1.0
+    constants = (1.0, float(total_target + size)), (scale, total * scale + size)
+    often = F.greatest("n", "as_before")
+    hot_words = words.filter(often >= _hot_bound(words, often, hot))
+    bound = _hot_bound(pairs, F.col("n"), hot)
+    cold = pairs.filter(F.col("n") < bound).select("before", "word")
+    filled = None if cold.isEmpty() else bloom_filter(cold.mapInArrow(_key_rows, "key bigint"), "key")
+    model = _Model(
+        known,
+        _hashed(hot_words, lambda word: word, ["n", "n_target", "as_before", "as_before_target"]),
+        _hashed(pairs.filter(F.col("n") >= bound), _keys, ["n", "n_target"]),
+        filled,
+        constants,
     )
-    known = np.sort(common.column("word").to_numpy().view(np.uint64))
-    chosen = (
-        targets.filter(F.col(doc).isNotNull()).select(F.col(doc).alias("_id")).distinct()
-        .orderBy(F.xxhash64("_id"), "_id").limit(target_documents).withColumn("_target", F.lit(True))
-    )
-    marked = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"), "left").select(
-        "_text", F.coalesce("_target", F.lit(False)).alias("_target")
+    shared = context.broadcast(model)
+    all_docs = docs.join(chosen.select(F.col("id").alias("_lm_id"), F.col("wanted").alias("_lm_wanted")), F.col(doc) == F.col("_lm_id"), "left")
+    all_docs = all_docs.withColumns(
+        {"_lm_wanted": F.coalesce("_lm_wanted", F.lit(False)), "_lm_digest": F.xxhash64(F.col(text).cast("string"))}
+    ).drop("_lm_id")
+    rare = (
+        all_docs.select(F.col("_lm_digest").alias("digest"), F.col(text).alias("text"), F.col("_lm_wanted").alias("wanted"))
+        .filter("text IS NOT NULL")
+        .mapInArrow(_rare_rows(shared), "digest bigint, wanted bigint, before bigint, word bigint, times bigint")
     )
-    shared = context.broadcast(known)
-    counts = (
-        marked.mapInArrow(_count_rows("_text", "_target", shared, slot_bits), "place bigint, n bigint, n_target bigint")
-        .groupBy("place")
-        .agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-        .toArrow()
+    # Equal texts add up to the same mean.
+    means = (
+        _rare_losses(rare, pairs, words, constants)
+        .groupBy(F.col("digest").alias("_lm_digest"))
+        .agg(*[(F.sum(F.col("times") * F.col(c)) / F.sum("times")).alias(f"_lm_{c}") for c in ("target", "background")])
     )
-    place = counts.column("place").to_numpy()
-    size, models = len(known) + 2, []
-    totals = [float(counts.column(c).to_numpy()[place >= 1 << 32].sum()) for c in ("n_target", "n")]
-    for column, total in zip(("n_target", "n"), totals, strict=True):
-        n = counts.column(column).to_numpy() * (min(totals[0] or 1.0, total) / total if total else 1.0)
-        slot, word, before = np.zeros(1 << slot_bits), np.zeros(size), np.zeros(size)
-        is_slot, is_context = place < 1 << slot_bits, place >= 1 << 32
-        is_word = ~is_slot & ~is_context
-        slot[place[is_slot]] = n[is_slot]
-        word[place[is_word] - (1 << slot_bits)] = n[is_word]
-        before[place[is_context] - (1 << 32)] = n[is_context]
-        models.append((slot.astype(np.float32), (word + 1) / (word.sum() + size), before.astype(np.float32)))
-    losses = _losses(context.broadcast((known, models)), slot_bits)
+
+    def loss(name):
+        rest = F.when(F.col("_lm.rare") > 0, F.col("_lm.rare") * F.col(f"_lm_{name}")).otherwise(F.lit(0.0))
+        return F.when(F.col("_lm.n") > 0, (F.col(f"_lm.{name}") + rest) / F.col("_lm.n")).otherwise(F.lit(0.0))
+
     return (
-        docs.withColumn("_loss", losses(F.col(text)))
-        .withColumns(
-            {
-                "n_tokens": F.col("_loss.n"),
-                "loss_target": F.col("_loss.target"),
-                "loss_background": F.col("_loss.background"),
-                "score": F.col("_loss.background") - F.col("_loss.target"),
-            }
-        )
-        .drop("_loss")
+        all_docs.withColumn("_lm", _hot_losses(shared)(F.col(text), F.col("_lm_wanted")))
+        .join(means, "_lm_digest", "left")
+        .withColumns({"n_tokens": F.col("_lm.n"), "loss_target": loss("target"), "loss_background": loss("background")})
+        .withColumn("score", F.col("loss_background") - F.col("loss_target"))
+        .drop("_lm", "_lm_digest", "_lm_wanted", "_lm_target", "_lm_background")
     )

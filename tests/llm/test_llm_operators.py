@@ -255,3 +255,43 @@ def test_lm_scores_equal_plain_counts(spark):
                 loss -= math.log((pair[h, w] * scale + MU * p) / (before[h] * scale + MU))
             assert abs(found[d][column] - loss / len(seq)) < 1e-5
     assert all(abs(r["score"] - (r["loss_background"] - r["loss_target"])) < 1e-12 for r in found.values())
+
+
+@pytest.mark.parametrize("hot, broadcast_targets", [(1 << 20, 500_000), (40, 0), (0, 0)])
+def test_lm_counts_every_word_pair_and_target(spark, hot, broadcast_targets):
+    """More than 65,536 words, wherever a loss is looked up; repeated texts and ids count as often as they occur."""
+    rng = random.Random(4)
+    common = [f"w{'abcdefghij'[k]}" for k in range(10)]
+    texts = {k: " ".join(rng.choice(common) for _ in range(40)) for k in range(30)}
+    texts[30] = texts[31] = texts[3] + " " + texts[4]
+    texts[32] = " ".join("".join("abcdefghij"[int(c)] for c in f"{k:05}") for k in range(70_000))
+    rows = [*texts.items(), (5, texts[5]), (33, None), (34, "12")]
+    docs = frame(spark, rows, odd=False)
+    target = {*range(0, 30, 3), 32, 33}
+    chosen = spark.createDataFrame([(k,) for k in [*target, 3, None]], "doc_id bigint")
+    split = {k: t.split() for k, t in texts.items()}
+
+    def model(keep):
+        pair, word, before = Counter(), Counter(), Counter()
+        for k, t in rows:
+            for h, w in zip(["<", *split[k]], split[k]) if keep(k) and k in split else ():
+                pair[h, w] += 1
+                word[w] += 1
+                before[h] += 1
+        return pair, word, before
+
+    models = model(lambda k: k in target), model(lambda k: True)
+    n_target, n = (sum(m[1].values()) for m in models)
+    size = len(models[1][1]) + 2
+    assert size > 65_538
+    out = score_documents(docs, chosen, hot=hot, broadcast_targets=broadcast_targets).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(k for k, _ in rows)
+    for r in out:
+        seq = split.get(r["doc_id"], [])
+        assert r["n_tokens"] == len(seq)
+        for column, (pair, word, before), scale in zip(("loss_target", "loss_background"), models, (1.0, n_target / n)):
+            loss = 0.0
+            for h, w in zip(["<", *seq], seq):
+                p = (word[w] * scale + 1) / (n_target + size)
+                loss -= math.log((pair[h, w] * scale + MU * p) / (before[h] * scale + MU))
+            assert abs(r[column] - loss / max(len(seq), 1)) < 1e-9
