@@ -18,6 +18,12 @@ SNIFF_CHARACTERS = 1024
 #: A record up to its line end; line breaks inside closed quotes belong to it.
 _FIRST_RECORD = r'^(?:[^"\r\n]++|"[^"]*+")*+'
 
+#: How many lines a file's first record is looked for in, and how much of each line after the first.
+HEAD_LINES, HEAD_CHARACTERS = 1024, 1 << 19
+
+#: Lines above this many bytes are not looked at, and lines with more quotes not in detail; their files are read whole.
+LINE_BYTES, LINE_QUOTES = 1 << 26, 1000
+
 _UTF16 = "(hex(substring(cast({} AS BINARY), 1, 2)) IN ('FFFE', 'FEFF'))"
 
 
@@ -55,9 +61,37 @@ def _judge(heads: DataFrame, simplified: bool) -> DataFrame:
     )
 
 
+def _lines(spark: SparkSession, path, separator: str | None = None) -> DataFrame:
+    """Lines of files read in splits; without ``separator`` LF, CR LF and CR end one. Longer ones than LINE_BYTES are left out."""
+    reader = spark.read.option("mapreduce.input.linerecordreader.line.maxlength", LINE_BYTES)
+    reader = reader.option("lineSep", separator) if separator else reader
+    return reader.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.col("_metadata.file_size").alias("size"),
+        scan_order().alias("row_ord"),
+        "value",
+    )
+
+
+def _heads(spark: SparkSession, path, separator: str | None = None) -> DataFrame:
+    """(file, head): the first lines of each file as one text."""
+    lines = _lines(spark, path, separator).filter(F.col("split") == 0)
+    start = lines.groupBy("file").agg(F.min("row_ord").alias("start"))
+    first = lines.join(start, "file").filter(F.col("row_ord") < F.col("start") + HEAD_LINES)
+    cut = F.when(F.col("row_ord") == F.col("start"), F.col("value")).otherwise(F.substring("value", 1, HEAD_CHARACTERS))
+    return (
+        first.groupBy("file")
+        .agg(F.array_sort(F.collect_list(F.struct("row_ord", cut.alias("value")))).alias("l"))
+        .select("file", F.array_join("l.value", "\n").alias("head"))
+    )
+
+
 def dialects(spark: SparkSession, path, simplified: bool = False) -> DataFrame:
-    """Encoding, delimiter and width of every file below ``path``."""
-    heads = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("head"))
+    """Encoding, delimiter and width of every file below ``path`` that is not empty."""
+    # Only LF as line end gives back the bytes of UTF-16 text.
+    exact = _heads(spark, path, "\n").filter(F.expr(_UTF16.format("head"))).withColumnRenamed("head", "exact")
+    heads = _heads(spark, path).join(exact, "file", "left").select("file", F.coalesce("exact", "head").alias("head"))
     return _judge(heads, simplified)
 
 
@@ -82,23 +116,70 @@ def _whole_files(spark: SparkSession, files: list[str], utf16: bool, delimiter:
     )
 
 
+def _by_line(spark: SparkSession, files: list[str], delimiter: str) -> set[str]:
+    """The files whose every line is a record of its own: no quoted line breaks, stray quotes or mixed line ends."""
+    other = f'[^{delimiter}"][^{delimiter}]*+'
+    cell = f'(?:"(?:[^"]|"")*+"|{other}|)'
+    record = rf"\A{cell}(?:{delimiter}{cell})*+\z"
+    line = F.regexp_replace("value", r"\r\z", "")
+    quotes = _occurrences(line, '"')
+    simple = F.when(quotes == 0, F.lit(True)).when(quotes > LINE_QUOTES, F.lit(False)).otherwise(line.rlike(record))
+    ends = F.col("value").endswith("\r").cast("int")
+    found = (
+        _lines(spark, files, "\n")
+        .groupBy("file")
+        .agg(
+            F.bool_and(simple & ~line.contains("\r")).alias("simple"),
+            # Only the last line may end otherwise than the rest.
+            (F.count("*") - F.sum(ends) <= 1).alias("crlf"),
+            (F.sum(ends) == 0).alias("lf"),
+            F.sum(F.octet_length("value") + 1).alias("seen"),
+            F.max("size").alias("size"),
+        )
+        # A byte order mark is not seen, nor is a line end that the file does not have.
+        .filter("simple AND (lf OR crlf) AND seen >= size - 3")
+    )
+    return {row.file for row in found.select("file").toLocalIterator()}
+
+
+def _split_files(spark: SparkSession, files: list[str], delimiter: str, width: int) -> DataFrame:
+    """Records of files that ``_by_line`` names, read in splits."""
+    schema = ", ".join(f"{c} STRING" for c in _columns(width))
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
+    return (
+        _lines(spark, files, "\n")
+        .select("file", "row_ord", F.regexp_replace("value", r"\r\z", "").alias("text"))
+        .filter(F.col("text") != "")
+        .withColumn("_c", F.from_csv("text", schema, options))
+        .select("file", "row_ord", _cells(width, "_c.").alias("cells"))
+    )
+
+
 def read_delimited(
     spark: SparkSession, path, simplified: bool = False, map_id: MapId = file_stem
 ) -> tuple[DataFrame, DataFrame]:
     """Headers and records of all delimited files below ``path``, one map per file.
 
-    A first pass finds encoding, delimiter and width of each file; then the files
-    of each combination are one scan. Every file, of any size, is read by the same
-    streaming parser in one task: line ends may be LF, CR LF or CR, a quote opens
-    a cell only at its start, and quoted cells may hold line breaks. Only file
-    names come to the driver, which Spark's own listing keeps there as well. The
-    records are stored, as header rules, numbering and projection each read them.
+    A first pass finds encoding, delimiter and width of each file, a second one the
+    files of one record a line; those are read in splits, so a file of any size is
+    the work of many tasks. Files with quoted line breaks, stray quotes, mixed line
+    ends, CR line ends or in UTF-16 are streamed, one task each. Both use the same
+    parser: line ends may be LF, CR LF or CR, a quote opens a cell only at its
+    start, and quoted cells may hold line breaks. Only file names come to the
+    driver, which Spark's own listing keeps there as well. The records are stored,
+    as header rules, numbering and projection each read them.
     """
     groups = defaultdict(list)
     for row in dialects(spark, path, simplified).toLocalIterator():
         groups[row.utf16, row.delimiter, row.width].append(row)
-    parts = [
-        _whole_files(spark, driver_paths(files), utf16, delimiter, width)
-        for (utf16, delimiter, width), files in groups.items()
-    ]
+    parts, by_line = [], {}
+    for delimiter in {delimiter for utf16, delimiter, _ in groups if not utf16}:
+        files = [f for (utf16, d, _), rows in groups.items() if d == delimiter and not utf16 for f in rows]
+        by_line[delimiter] = _by_line(spark, driver_paths(files), delimiter)
+    for (utf16, delimiter, width), files in groups.items():
+        simple = set() if utf16 else by_line[delimiter]
+        if split := [f for f in files if f.file in simple]:
+            parts.append(_split_files(spark, driver_paths(split), delimiter, width))
+        if whole := [f for f in files if f.file not in simple]:
+            parts.append(_whole_files(spark, driver_paths(whole), utf16, delimiter, width))
     return split_header(freeze(with_table(union_tables(parts), map_id), "records"))

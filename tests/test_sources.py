@@ -224,3 +224,39 @@ def test_repeats_keep_first(spark):
         "map_id string, table_id int, row_ord bigint, cells array<string>",
     )
     assert {(r.map_id, r.row_ord) for r in drop_repeats(df).collect()} == {("m", 2), ("m", 3), ("n", 9)}
+
+
+def test_plain_files_are_read_in_splits(spark, tmp_path, monkeypatch):
+    """Any number of tasks reads a file of one record a line; the others are streamed; records are the same."""
+    from regfleet.sources import delimited
+
+    (tmp_path / "in").mkdir()
+    rows = [["Register", "Name", "Info"], *[[str(k), f'pipe, {k} 5" é', "x" if k % 7 else ""] for k in range(2000)]]
+    quoted = [",".join('"' + c.replace('"', '""') + '"' if "," in c else c for c in r) for r in rows]
+    texts = {
+        "lf": "\n".join(quoted), "crlf": "\ufeff" + "\r\n".join(quoted) + "\r\n", "cr": "\r".join(quoted),
+        "blank": "\n\n".join(quoted) + "\n  \n", "mixed": "\n".join(quoted[:9]) + "\r\n" + "\r\n".join(quoted[9:]),
+        "breaks": "\n".join(quoted) + '\n9,"a\nb,c",\n', "stray": "\n".join(quoted) + '\n9,"a"b,\n',
+    }
+    for name, text in texts.items():
+        (tmp_path / "in" / f"{name}.csv").write_bytes(text.encode())
+    (tmp_path / "in" / "utf16.csv").write_bytes("\n".join(quoted).encode("utf-16"))
+    streamed = []
+
+    def whole(spark, files, *args, read=delimited._whole_files):
+        streamed.extend(f.rsplit("/", 1)[1].split(".")[0] for f in files)
+        return read(spark, files, *args)
+
+    monkeypatch.setattr(delimited, "_whole_files", whole)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        _, records = read_delimited(spark, str(tmp_path / "in"))
+        found = by_map(records)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(streamed) == ["breaks", "cr", "mixed", "stray", "utf16"]
+    more = {"blank": [["  ", "", ""]], "breaks": [["9", "a\nb,c", ""]]}
+    for name in [*texts.keys() - {"mixed"}, "utf16"]:
+        cells = [list(r.cells) for r in found[name]]
+        assert cells[:2000] == rows[1:] and (name == "stray" or cells[2000:] == more.get(name, []))
