@@ -1,11 +1,13 @@
 """Licence texts and notices by canonical digests, with DataFrame functions only.
 
 A text, each of its paragraphs and each of its lines are brought to a canonical
-form (lower case, no copyright lines, one spelling of words with several, only
+form (lower case, no lines that state a copyright, one spelling of words with several, only
 letters and digits) and their digests are joined with those of known texts. A
 licence is found only as an entire text, paragraph or line.
 """
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,23 +84,48 @@ KNOWN = [
     ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
 ]
 
-_COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: Entire texts, one file per licence, that are known besides.
+TEXTS = Path(__file__).parent / "licence_texts"
+
+#: Where the terms of a text end that has more, which is often left out.
+_TERMS_END = "END OF TERMS AND CONDITIONS"
+
+# A line that states a copyright: the sign, a year or a holder (a name with a capital letter) follows. Other lines
+# that begin with the word are prose.
+_PROSE = (
+    "notices?|holders?|owners?|ownership|licen[cs]\\w*|laws?|statements?|acts?|and|or|in|on|is|to|for|of|under|which|that|shall|may"
+    "|interests?|treat\\w*|permissions?|rights?|protect\\w*|infring\\w*|claims?|disclaimers?|materials?|works?|status|control\\w*"
+)
+_DATE = r"[\[{(<]?(?:[0-9]{4}|(?i:yyyy|years?)\b)"
+_SIGN = r"(?i:\(c\)|©)"
+_COPYRIGHT_LINE = (
+    r"(?m)^[^\p{L}\p{N}\n]*(?:"
+    rf"(?i:copyright)[\s&&[^\n]]*[:,]?[\s&&[^\n]]*(?:{_SIGN}|{_DATE}|(?i:by)\b|(?<=[^\p{{L}}])(?!(?i:{_PROSE})\b)\p{{Lu}})"
+    rf"|(?<=\()[cC]\)[\s&&[^\n]]*(?:{_DATE}|(?i:copyright))|(?<=©)[\s&&[^\n]]*\S|(?i:all rights reserved))[^\n]*$"
+)
 
 
 def known_licences(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "licence string, text string")
+    texts = [(path.stem, path.read_text(encoding="utf-8")) for path in sorted(TEXTS.glob("*.txt"))]
+    terms = [(name, text[: text.index(_TERMS_END) + len(end)]) for name, text in texts for end in (_TERMS_END, "") if _TERMS_END in text]
+    return spark.createDataFrame([*KNOWN, *texts, *terms], "licence string, text string")
 
 
 def canonical(text: Column) -> Column:
     """Canonical lines of a text; null for null."""
-    out = F.regexp_replace(F.lower(text), _COPYRIGHT_LINE, "")
+    out = F.lower(F.regexp_replace(text, _COPYRIGHT_LINE, ""))
     for old, new in SPELLINGS.items():
         out = F.replace(out, F.lit(old), F.lit(new))
     return F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
 
 
 def one_line(lines: Column) -> Column:
-    return F.btrim(F.regexp_replace(lines, r"[\n ]+", " "))
+    out = F.btrim(F.regexp_replace(lines, r"[\n ]+", " "))
+    # Spellings of two words that a line end stood between.
+    for old, new in SPELLINGS.items():
+        if " " in (words := old.replace("-", " ").strip()):
+            out = F.replace(out, F.lit(words), F.lit(new))
+    return out
 
 
 def find_licences(

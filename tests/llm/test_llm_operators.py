@@ -295,3 +295,24 @@ def test_lm_counts_every_word_pair_and_target(spark, hot, broadcast_targets):
                 p = (word[w] * scale + 1) / (n_target + size)
                 loss -= math.log((pair[h, w] * scale + MU * p) / (before[h] * scale + MU))
             assert abs(r[column] - loss / max(len(seq), 1)) < 1e-9
+
+
+def test_entire_licence_texts_at_any_width(spark):
+    import textwrap
+
+    from regfleet.llm.licences import KNOWN, TEXTS
+
+    texts = {p.stem: p.read_text() for p in TEXTS.glob("*.txt")}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0"} <= set(texts)
+    wrapped = {name: texts[name] for name in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0")}
+    wrapped |= {name: texts[name].split("\n\n", 1)[1] for name in wrapped if name.startswith("BSD")}
+    wrapped |= {name: next(t for n, t in KNOWN if n == name) for name in ("MIT", "ISC", "0BSD")}
+    cases = list(texts.items())
+    cases += [
+        (name, "Copyright 2021-2024 Some Body <a@b>\n(c) 2020 Other\n© Third\nCopyright The Authors\n\n" + "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n")))
+        for name, text in wrapped.items() for width in (*range(48, 90), 200)
+    ]
+    cases.append((None, "Copyright notice of nothing"))
+    found = find_licences(frame(spark, [(k, t) for k, (_, t) in enumerate(cases)]), known_licences(spark)).collect()
+    wrong = [(cases[r["doc_id"]][0], r["doc_id"], r["licence"]) for r in found if r["licence"] != cases[r["doc_id"]][0]]
+    assert not wrong and len(found) == len(cases)
