@@ -7,9 +7,10 @@
    share of the word's occurrences in the whole corpus that stand before a
    trusted instance of a kind; an instance's confidence is that of at least one
    of its patterns being right. Patterns and instances are scored in turn, and
-   instances above the bound are trusted in the next round.
-3. Tokens that look like an identifier, lie in no fixed match and are trusted at
-   the end are added as spans of that kind.
+   instances above the bound are trusted in the next round, until none is added.
+3. Tokens and runs of digits that look like an identifier, lie in no fixed match
+   and are trusted at the end are added as spans of that kind. A run may hold
+   spaces, brackets, dots and hyphens; tokens inside one that fits are no others.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,9 @@ _VALID = {
 #: Tokens with a digit or an at sign.
 _TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 
+#: Maximal runs of digits with what may stand inside, and a letter right after, which the last digits then belong to.
+_RUN = r"(?<![0-9A-Za-z_@.+(-])[+(]*+[0-9][0-9\x20().-]*+(?:(?<=[0-9])[A-Za-z_@])?+"
+
 #: What a token has to look like to be taken for an instance of a kind, the first that fits.
 _SHAPES = {
     "email": r"^[^\s@]+@[^\s@]+$",
@@ -50,10 +54,15 @@ _SHAPES = {
     "phone": r"^[(+]?[0-9]([().-]{0,2}[0-9]){6,11}$",
 }
 
+#: The same for runs.
+_RUN_SHAPES = {
+    "card": r"^[0-9]([\x20.-]?[0-9]){12,18}$",
+    "phone": r"^[(+]?[0-9]([\x20().-]{0,3}[0-9]){6,11}$",
+}
+
 MIN_INSTANCES = 3
 MIN_PATTERN = 0.5
 MIN_INSTANCE = 0.8
-ROUNDS = 3
 
 
 def _word_before(gap: str) -> str:
@@ -79,28 +88,47 @@ def _found(text: str, pattern: str, need: str = "") -> Column:
     return F.expr(f"CASE WHEN {has}rlike({text}, r'{pattern}') THEN {placed} ELSE {none} END")
 
 
+def _shaped(found: str, cut: str, shapes: dict[str, str]) -> str:
+    shape = " ".join(f"WHEN rlike(x.t, r'{p}') THEN '{k}'" for k, p in shapes.items())
+    return (
+        f"transform(transform({found}, x -> {cut}),"
+        f" x -> struct(CASE {shape} END AS kind, x.s AS s, x.s + length(x.t) AS e, x.t AS t, x.w AS w))"
+    )
+
+
 def scan(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, doc, base, tokens): matches of the fixed patterns with their kinds, and other identifier-like tokens.
+    """(row, doc, base, tokens): matches of the fixed patterns with their kinds, and other identifier-like tokens and runs.
 
     Written once, so ``row`` tells rows apart from then on.
     """
     texts = docs.select(F.col(doc).alias("doc"), F.coalesce(text, F.lit("")).alias("text"))
     found = texts.select(
-        "doc", *[_found("text", _PATTERNS[k], _NEEDS[k]).alias(k) for k in KINDS], _found("text", _TOKEN).alias("tokens")
+        "doc",
+        *[_found("text", _PATTERNS[k], _NEEDS[k]).alias(k) for k in KINDS],
+        _found("text", _TOKEN).alias("tokens"),
+        _found("text", _RUN).alias("runs"),
     )
     kept = [f"transform(filter({k}, x -> {_VALID[k]}), x -> struct('{k}' AS kind, x.s, x.e, x.t, x.w))" for k in KINDS]
     cut = r"struct(x.s + length(regexp_extract(x.t, r'^[^0-9A-Za-z+(]*', 0)) AS s, x.w AS w,"
     cut += r" regexp_extract(x.t, r'^[^0-9A-Za-z+(]*+(.*?)[^0-9A-Za-z]*$', 1) AS t)"
-    shape = " ".join(f"WHEN rlike(x.t, r'{p}') THEN '{k}'" for k, p in _SHAPES.items())
-    shaped = f"transform(transform(tokens, x -> {cut}), x -> struct(CASE {shape} END AS kind, x.s AS s, x.s + length(x.t) AS e, x.t AS t, x.w AS w))"
-    based = found.select("doc", F.expr(f"concat({', '.join(kept)})").alias("base"), F.expr(shaped).alias("tokens"))
-    free = "filter(tokens, x -> x.kind IS NOT NULL AND NOT exists(base, b -> b.s < x.e AND x.s < b.e))"
+    run = r"struct(x.s AS s, x.w AS w, regexp_replace(regexp_replace(x.t, '[0-9]+[A-Za-z_@]$', ''), '[^0-9]+$', '') AS t)"
+    runs = f"filter({_shaped('runs', run, _RUN_SHAPES)}, x -> x.kind IS NOT NULL)"
+    based = found.select(
+        "doc",
+        F.expr(f"concat({', '.join(kept)})").alias("base"),
+        F.expr(_shaped("tokens", cut, _SHAPES)).alias("tokens"),
+        F.expr(runs).alias("runs"),
+    )
+    free = "NOT exists(base, b -> b.s < x.e AND x.s < b.e)"
+    based = based.withColumn("runs", F.expr(f"filter(runs, x -> {free})"))
+    alone = f"filter(tokens, x -> x.kind IS NOT NULL AND {free} AND NOT exists(runs, r -> r.s < x.e AND x.s < r.e))"
+    free = f"concat(runs, {alone})"
     out = based.select(F.monotonically_increasing_id().alias("row"), "doc", "base", F.expr(free).alias("tokens"))
     return freeze(out, "identifiers")
 
 
 def learn_contexts(docs: DataFrame, scanned: DataFrame, text: str = "text") -> DataFrame:
-    """(kind, t): identifier texts of tokens that are trusted after the last round."""
+    """(kind, t): identifier texts that are trusted when no round adds any."""
     seen = freeze(
         scanned.select(F.inline("base")).withColumn("seed", F.lit(1))
         .union(scanned.select(F.inline("tokens")).withColumn("seed", F.lit(0)))
@@ -113,7 +141,9 @@ def learn_contexts(docs: DataFrame, scanned: DataFrame, text: str = "text") -> D
     totals = words.join(patterns.select("w").distinct(), "w").groupBy("w").agg(F.count("*").alias("total"))
     edges = freeze(seen.join(patterns, ["kind", "w"]).join(totals, "w"), "pattern-graph")
     trusted = edges.filter("seed = 1").select("kind", "t").distinct()
-    for _ in range(ROUNDS):
+    reached, before = trusted.count(), -1
+    # What is trusted only grows, so an equal number is the same table.
+    while reached > before:
         good = edges.join(trusted, ["kind", "t"]).groupBy("kind", "w").agg(
             (F.sum("n") / F.max("total")).alias("confidence"), F.count("*").alias("instances")
         )
@@ -128,6 +158,7 @@ def learn_contexts(docs: DataFrame, scanned: DataFrame, text: str = "text") -> D
         trusted = freeze(
             edges.filter("seed = 1").select("kind", "t").union(likely.select("kind", "t")).distinct(), "trusted-instances"
         )
+        reached, before = trusted.count(), reached
     return trusted
 
 

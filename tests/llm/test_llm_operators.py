@@ -316,3 +316,22 @@ def test_entire_licence_texts_at_any_width(spark):
     found = find_licences(frame(spark, [(k, t) for k, (_, t) in enumerate(cases)]), known_licences(spark)).collect()
     wrong = [(cases[r["doc_id"]][0], r["doc_id"], r["licence"]) for r in found if r["licence"] != cases[r["doc_id"]][0]]
     assert not wrong and len(found) == len(cases)
+
+
+def test_contexts_find_spaced_numbers_and_settle(spark):
+    """National forms with spaces and brackets; a chain of patterns longer than three rounds."""
+    rows = [(100 + k, f"some words here. dial: +1 (555) 555-{1000 + k} then") for k in range(24)]
+    rows += [(200 + k, f"paid with card: 4111 1111 1111 1111 and {k}") for k in range(6)]
+    rows += [(200 + k, "card: 5500 0000 0000 0004 and card: 4012 8888 8888 1881 ok") for k in range(6, 12)]
+    rows += [(1, "so dial: (555) 123-4567 now"), (2, "or dial: 555 123 4567, now"), (3, "card: 4111 1111 1111 1112 x"), (4, "in 555 123 4569 ways")]
+    rows += [(5, "dial: 555 123 4568 5th")]
+    for step in range(6):
+        word = "dial:" if step == 0 else f"step{'abcdef'[step]}:"
+        after = f"step{'abcdef'[step + 1]}:" if step < 5 else "last:"
+        rows += [(300 + step, f"{w} 555-{step}{k}77 end") for k in range(3) for w in (word, *[after] * 5)]
+    found = {}
+    for r in digest(personal_data(frame(spark, rows))).collect():
+        found.setdefault(r["doc_id"], []).append(r)
+    spans = {k: v[0]["spans"] for k, v in found.items()}
+    assert spans[1] == "phone:9:23" and spans[2] == "phone:9:21" and spans[3] == "card:6:25" and spans[4] == "" and spans[5] == "phone:6:18"
+    assert all(r["n_added"] == 1 for step in range(6) for r in found[300 + step])
