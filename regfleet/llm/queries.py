@@ -14,8 +14,11 @@ from .licences import KNOWN, SPELLINGS, find_licences, known_licences
 from .line_dedup import deduplicate_lines
 from .lm_score import score_documents
 from .mixing import mix_sources
+from .periodic_runs import periodic_runs
 from .pii import digest, personal_data
+from .suffix_dedup import remove_repeated_strings
 from .toxicity import toxicity
+from .whitening import whiten
 
 
 def op1_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
@@ -76,6 +79,49 @@ def op10_lm_score(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("doc_id", "n_tokens", "loss_target", "loss_background", "score")
 
 
+def op11_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    cut = remove_repeated_strings(table(spark, d, "documents"))
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + s["end"] - s["begin"]).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op12_embedding_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whiten(table(spark, d, "embeddings"))
+
+
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """Each tenth text, by crc32 of its id, repeats some of its words from a place on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", h.alias("h"), F.expr("h div 10").alias("g"))
+    words = F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")
+    repeats = """CASE WHEN h % 10 = 0 AND size(words) > 0 THEN array_join(transform(words, (w, i) -> CASE WHEN i < g % size(words) THEN w
+        ELSE get(words, CAST(g % size(words) + (i - g % size(words)) % (1 + (size(words) - g % size(words)) div (3 + g % 8)) AS INT)) END), ' ')
+        ELSE text END"""
+    split = chosen.withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    return split.select("doc_id", F.expr(repeats).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    found = periodic_runs(_with_periods(table(spark, d, "documents")))
+    strongest = F.expr(
+        "reduce(runs, get(runs, 0), (best, run) -> CASE WHEN run.length * best.period > best.length * run.period THEN run ELSE best END)"
+    )
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumn("best", strongest).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        *[F.col(f"best.{name}").alias(name) for name in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -88,6 +134,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mix_sources": op8_mix_sources,
         "op9_line_dedup": op9_line_dedup,
         "op10_lm_score": op10_lm_score,
+        "op11_suffix_dedup": op11_suffix_dedup,
+        "op12_embedding_whitening": op12_embedding_whitening,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
@@ -226,6 +275,52 @@ SELECT l.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(g), 0)::B
 FROM l LEFT JOIN gone USING (doc_id)
 """
 
+OP11 = """
+WITH t AS (SELECT doc_id, row_number() OVER () AS row_no, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT row_no, unnest(range(0, length(x) // 2 - 199)) AS pos, x FROM t),
+s AS (SELECT row_no, pos, md5(substring(x, 2 * pos + 1, 400)) AS piece FROM p),
+g AS (SELECT row_no, pos FROM s QUALIFY count(*) OVER (PARTITION BY piece) > 1),
+o AS (SELECT *, coalesce(pos - lag(pos) OVER (PARTITION BY row_no ORDER BY pos) > 200, true) AS opens FROM g),
+n AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY row_no ORDER BY pos) AS no FROM o),
+r AS (SELECT row_no, no, min(pos) AS lo, max(pos) + 200 AS hi FROM n GROUP BY 1, 2),
+k AS (SELECT row_no, no, hi AS keep_from, lead(lo) OVER (PARTITION BY row_no ORDER BY no) AS keep_to FROM r),
+kept AS (
+  SELECT row_no, string_agg(CASE WHEN keep_to IS NULL THEN substring(x, 2 * keep_from + 1) ELSE substring(x, 2 * keep_from + 1, 2 * (keep_to - keep_from)) END,
+    '' ORDER BY no) AS rest FROM k JOIN t USING (row_no) GROUP BY 1),
+sums AS (SELECT row_no, sum(hi - lo) AS removed, count(*) AS spans, min(lo) AS first FROM r GROUP BY 1)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN removed IS NULL THEN x ELSE substring(x, 1, 2 * first) || rest END)) AS kept_sha256
+FROM t LEFT JOIN sums USING (row_no) LEFT JOIN kept USING (row_no)
+"""
+
+OP13 = r"""
+WITH t AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS o,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) AS h FROM documents),
+u AS (SELECT *, len(o) AS n, h // 10 AS g FROM t),
+v AS (SELECT *, g % greatest(n, 1) AS a, 1 + (n - g % greatest(n, 1)) // (3 + g % 8) AS p FROM u),
+d AS (
+  SELECT doc_id, row, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(0, n), lambda i: o[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE o END AS w FROM v),
+e AS (SELECT row, n, unnest(w) AS word, unnest(range(0, n)) AS i FROM d),
+pairs AS (SELECT x.row, x.i, y.i - x.i AS q FROM e x JOIN e y ON x.row = y.row AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT row, q, i, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS island FROM pairs),
+stretches AS (SELECT row, q, min(i) AS s, count(*) + q AS len FROM islands GROUP BY row, q, island),
+runs AS (SELECT row, s, len, min(q) AS q FROM stretches WHERE len >= greatest(6, 4 * q) GROUP BY row, s, len),
+gone AS (SELECT row, list_distinct(flatten(list(range(s + q, s + len)))) AS dropped FROM runs GROUP BY row),
+listed AS (SELECT row, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY row),
+best AS (
+  SELECT a.* FROM runs a WHERE NOT EXISTS (SELECT 1 FROM runs b WHERE a.row = b.row AND (
+    b.len * a.q > a.len * b.q OR b.len * a.q = a.len * b.q AND (b.s < a.s OR b.s = a.s AND b.q < a.q)))),
+left_over AS (SELECT row, string_agg(word, ' ' ORDER BY i) AS kept FROM e LEFT JOIN gone USING (row)
+  WHERE dropped IS NULL OR NOT list_contains(dropped, i) GROUP BY row)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, len::BIGINT AS length, q::BIGINT AS period,
+  (1000 * len // q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (row) LEFT JOIN best USING (row) LEFT JOIN left_over USING (row)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -235,4 +330,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_licences": _licence_sql(),
         "op8_mix_sources": OP8,
         "op9_line_dedup": OP9,
+        "op11_suffix_dedup": OP11,
+        "op13_periodic_runs": OP13,
     }
