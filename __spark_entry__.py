@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -35,10 +34,14 @@ LINE = ["map_id", "line_num"]
 
 #: The text operators and their pipeline are optional.
 llm = corpus_pipeline = None
-if importlib.util.find_spec("regfleet.llm"):
+try:
     from regfleet.llm import queries as llm
-if importlib.util.find_spec("corpus_pipeline"):
+
     import corpus_pipeline
+except ImportError as missing:
+    # Only their absence is excused, no fault inside them.
+    if missing.name not in ("regfleet.llm", "corpus_pipeline"):
+        raise
 
 
 def col(name):

@@ -8,10 +8,14 @@ it: a tag typed in a row, or another base that spells the same (``a_1``).
 
 Only these *claims* need care. With ``y`` requests before the claim of number
 ``n`` and ``s`` smaller numbers skipped, the claim wins exactly when
-``s <= n - y``. ``s`` depends on smaller claims of the same base, and whether a
-base may use its own bare text depends on the claim it makes on a shorter base,
-so claims are settled in rounds: each keeps a lower and an upper bound of ``s``,
-and is decided as soon as the bounds agree. No group is ever collected.
+``s <= n - y``. So a claim is lost from some ``s`` on, its *threshold*: seen from
+the claim itself that is ``n - y + 1``. Neighbouring blocks of claims, sorted by
+number, are joined round by round, and the thresholds of the right block are
+moved back to the start of the left one; after log2(claims) rounds all are seen
+from the start of the base, where ``s`` is 0, or 1 if its bare text is taken.
+That again hangs on the claim which the bare text makes on a shorter base, at
+most on one other bit, so it is followed by pointer jumping. No group is ever
+collected.
 """
 
 from pyspark.sql import DataFrame
@@ -23,10 +27,6 @@ from regfleet.session import freeze
 
 _KEYS = ["map_id", "base"]
 
-#: States of a claim; null while it is open.
-SKIPPED, TAKEN = 1, 0
-
-
 def _requests(rows: DataFrame) -> DataFrame:
     return rows.filter((F.col("tag") == "") & (F.col("name") != ""))
 
@@ -68,78 +68,87 @@ def _numbered_claims(uses: DataFrame, claimed: DataFrame) -> DataFrame:
     return looked_up.filter("_claimed").drop("_claimed")
 
 
-def _bare_claims(uses: DataFrame) -> DataFrame:
+def _typed_bare(uses: DataFrame) -> DataFrame:
     """Bases whose bare text was typed in before they were first requested."""
-    return uses.filter(F.col("typed") < F.col("asked")).select(
-        "map_id", F.col("text").alias("base"), F.lit(0).cast("bigint").alias("n"), "text",
-        F.lit(0).cast("bigint").alias("slack"), F.lit(False).alias("by_request"), F.lit(SKIPPED).alias("state"),
-    )
+    return uses.filter(F.col("typed") < F.col("asked")).select("map_id", F.col("text").alias("base"))
 
 
-def _claims(rows: DataFrame, uses: DataFrame, numbered: DataFrame) -> DataFrame:
-    """All claims with their slack ``n - y``; number 0 is the bare base text.
-
-    ``state`` is SKIPPED for bare claims and open (null) for all others. ``text``
-    is what a numbered claim spells.
-    """
+def _claims(rows: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Numbered claims with their place among those of their base and their threshold ``p``."""
     marks = _requests(rows).select(
         *_KEYS, "line_num", F.lit(None).cast("bigint").alias("n"), F.lit("").alias("text"),
         F.lit(False).alias("by_request"),
     )
     asked = F.col("n").isNull()
-    slack = (
-        ordered_scan(marks.unionByName(numbered), _KEYS, "line_num", counts={"y": asked})
-        .filter(~asked)
-        .select(
-            *_KEYS, "n", "text", (F.col("n") - F.col("y")).alias("slack"), "by_request",
-            F.lit(None).cast("int").alias("state"),
-        )
-    )
-    return slack.unionByName(_bare_claims(uses))
+    before = ordered_scan(marks.unionByName(numbered), _KEYS, "line_num", counts={"y": asked}).filter(~asked)
+    alone = before.select(*_KEYS, "n", "text", "by_request", (F.col("n") - F.col("y") + 1).alias("p"))
+    return ordered_scan(freeze(alone, "tag-claims"), _KEYS, "n", counts={"place": F.lit(True)}, sparse=True)
 
 
-def _with_bare_entries(claims: DataFrame) -> DataFrame:
-    """Add the open number-0 claim of every base that may lose its text to a shorter base."""
-    spelled = claims.filter(F.col("by_request")).select(
-        "map_id", F.col("text").alias("base"), F.lit(0).cast("bigint").alias("n"), "text",
-        F.lit(0).cast("bigint").alias("slack"), F.lit(False).alias("by_request"), F.lit(None).cast("int").alias("state"),
+def _joined_blocks(claims: DataFrame, size: int) -> DataFrame:
+    """Thresholds of every second block of ``size`` claims, seen from the block before.
+
+    A left block turns ``s`` into ``s + size`` less the number of its thresholds up to ``s``. That reaches a right
+    threshold ``q`` first at ``s = t + #{k: p_k - k <= t}`` with ``t = q - size``, where ``p_0 < p_1 < ...`` are the
+    left thresholds.
+    """
+    block = F.expr(f"(place - 1) div {size}")
+    cut = claims.withColumns({"_pair": F.expr(f"(place - 1) div {2 * size}"), "_right": block % 2 == 1})
+    keys = [*_KEYS, "_pair"]
+    left, right = cut.filter(~F.col("_right")), cut.filter("_right").withColumn("_at", F.col("p") - size)
+    ranked = ordered_scan(left, keys, "p", counts={"_k": F.lit(True)}, sparse=True)
+    steps = ranked.groupBy(*keys, (F.col("p") - F.col("_k") + 1).alias("_at")).agg(F.count("*").alias("_passed"))
+    both = right.unionByName(steps, allowMissingColumns=True)
+    moved = ordered_scan(
+        both, keys, "_at", sums={"_less": F.coalesce("_passed", F.lit(0))}, ties=[F.col("_passed").isNull()], sparse=True
+    ).filter("_right")
+    shifted = moved.withColumn("p", F.col("_at") + F.col("_less"))
+    return left.select(claims.columns).unionByName(shifted.select(claims.columns))
+
+
+def _thresholds(claims: DataFrame) -> DataFrame:
+    """All claims with ``p`` seen from the start of their base."""
+    claims = freeze(claims, "tag-thresholds")
+    longest = claims.agg(F.max("place")).first()[0] or 0
+    size = 1
+    while size < longest:
+        claims = freeze(_joined_blocks(claims, size), "tag-thresholds")
+        size *= 2
+    return claims
+
+
+def _starts(claims: DataFrame, typed: DataFrame) -> DataFrame:
+    """(map, base, start): 1 where the bare text is taken before the base is first requested; other bases start at 0.
+
+    A bare text that a request claims from a shorter base is taken if that claim is lost: from threshold 0 down always,
+    from 2 up never, at 1 if the shorter base itself starts at 1.
+    """
+    given = typed.withColumns({"start": F.lit(1), "parent": F.lit(None).cast("string")})
+    spelled = claims.filter("by_request").select(
+        "map_id",
+        F.col("text").alias("base"),
+        F.when(F.col("p") <= 0, 1).when(F.col("p") > 1, 0).alias("start"),
+        F.when(F.col("p") == 1, F.col("base")).alias("parent"),
     )
-    return claims.unionByName(spelled)
+    starts = freeze(given.unionByName(spelled), "tag-starts")
+    while not starts.filter("start IS NULL").isEmpty():
+        above = starts.select("map_id", F.col("base").alias("parent"), F.col("start").alias("_start"), F.col("parent").alias("_parent"))
+        open_ = starts.filter("start IS NULL").drop("start").join(above, ["map_id", "parent"], "left")
+        start = F.when(F.col("_parent").isNull(), F.coalesce("_start", F.lit(0)))
+        jumped = open_.select("map_id", "base", start.alias("start"), F.col("_parent").alias("parent"))
+        starts = freeze(starts.filter("start IS NOT NULL").unionByName(jumped), "tag-starts")
+    return starts.select(*_KEYS, "start")
 
 
-def _settle_round(claims: DataFrame) -> DataFrame:
-    """Decide every claim whose bounds allow it."""
-    # The bare text of a base is lost (its number 0 skipped) exactly when the claim
-    # it makes on a shorter base was not: the shorter base had handed it out before.
-    spelled = claims.filter(F.col("by_request")).select(
-        "map_id", F.col("text").alias("base"), F.lit(0).cast("bigint").alias("n"), F.col("state").alias("spelled")
-    )
-    known = claims.join(spelled, ["map_id", "base", "n"], "left").withColumn(
-        "state",
-        F.when(F.col("state").isNotNull(), F.col("state"))
-        .when((F.col("n") == 0) & (F.col("spelled") == TAKEN), F.lit(SKIPPED))
-        .when((F.col("n") == 0) & (F.col("spelled") == SKIPPED), F.lit(TAKEN)),
-    ).drop("spelled")
-    skipped, open_ = F.col("state") == SKIPPED, F.col("state").isNull()
-    bounded = ordered_scan(known, _KEYS, "n", counts={"sure": skipped, "maybe": skipped | open_}, sparse=True)
-    low = F.col("sure") - F.when(skipped, 1).otherwise(0)
-    high = F.col("maybe") - F.when(skipped | open_, 1).otherwise(0)
-    return bounded.withColumn(
-        "state",
-        F.when(F.col("state").isNotNull() | (F.col("n") == 0), F.col("state"))
-        .when(high <= F.col("slack"), F.lit(SKIPPED))
-        .when(low > F.col("slack"), F.lit(TAKEN)),
-    ).withColumn("s", low).drop("sure", "maybe")
-
-
-def _settle(claims: DataFrame) -> DataFrame:
+def _settle(claims: DataFrame, typed: DataFrame) -> DataFrame:
     """Skipped numbers as (map, base, request rank from which they count, how many)."""
-    settled = freeze(_settle_round(_with_bare_entries(claims)), "tag-claims")
-    while not settled.filter(F.col("state").isNull()).isEmpty():
-        settled = freeze(_settle_round(settled.drop("s")), "tag-claims")
-    skipped = F.col("state") == SKIPPED
-    # All states are known now, so one more scan gives the exact count below each number.
-    exact = ordered_scan(settled.drop("s"), _KEYS, "n", counts={"s": skipped}, sparse=True).filter(skipped)
+    claims = _thresholds(claims)
+    starts = _starts(claims, typed)
+    started = salted_lookup(claims, starts, _KEYS, "n").fillna(0, ["start"])
+    won = started.filter(F.col("p") > F.col("start")).select(*_KEYS, "n")
+    taken = starts.filter("start = 1").select(*_KEYS, F.lit(0).cast("bigint").alias("n"))
+    skipped = freeze(won.unionByName(taken), "tag-skipped")
+    exact = ordered_scan(skipped, _KEYS, "n", counts={"s": F.lit(True)}, sparse=True)
     return (
         exact.withColumn("rank", F.col("n") - (F.col("s") - 1) + 1)
         .groupBy(*_KEYS, "rank")
@@ -165,12 +174,13 @@ def allocate_tags(rows: DataFrame) -> DataFrame:
     uses = freeze(_first_uses(rows), "tag-texts")
     claimed = freeze(_claimed_bases(uses), "tag-bases")
 
-    if claimed.isEmpty() and _bare_claims(uses).isEmpty():
+    typed = _typed_bare(uses)
+    if claimed.isEmpty() and typed.isEmpty():
         ranked = ordered_scan(requests, _KEYS, "line_num", counts={"rank": F.lit(True)})
         return given.unionByName(_tagged(ranked, F.col("rank") - 1).select(columns))
 
     numbered = freeze(_numbered_claims(uses, claimed), "tag-claims")
-    skips = freeze(_settle(_claims(rows, uses, numbered)), "tag-skips")
+    skips = freeze(_settle(_claims(rows, numbered), typed), "tag-skips")
     # A marker before line 1 tells every request whether its base has skips.
     markers = skips.select(*_KEYS).distinct().withColumn("line_num", F.lit(0).cast("bigint"))
     ranked = ordered_scan(

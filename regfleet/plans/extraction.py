@@ -12,8 +12,7 @@ from regfleet.operators.headers import (
     resolve_exact,
     source_columns,
 )
-from regfleet.operators.lookup import salted_lookup
-from regfleet.operators.staging import record_order, with_normalized_address
+from regfleet.operators.staging import record_order, with_normalized_address, with_offset
 from regfleet.plans.definition import definition, staged_table
 from regfleet.schemas import REGISTER_COLUMNS
 
@@ -29,9 +28,7 @@ def clean_extracted(projected: DataFrame, params: DataFrame | None = None) -> Da
     if params is None:
         kept = kept.withColumn("address_offset", F.lit(0).cast("bigint"))
     else:
-        kept = salted_lookup(kept, params.select("map_id", "address_offset"), ["map_id"], "row_ord").fillna(
-            0, ["address_offset"]
-        )
+        kept = with_offset(kept, params, "row_ord")
     texts = kept.withColumns({"_t": D.type_text(F.col("type")), "address": R.text(F.col("address"))})
     typed = texts.withColumn("type", D.type_of(F.col("_t")))
     composed = typed.withColumn(

@@ -1,16 +1,16 @@
-"""Order-dependent operators against row-at-a-time versions on random maps."""
+"""Order-dependent operators on random maps, held against the properties of their results."""
 
 import random
 from collections import defaultdict
 
 import pytest
+from properties import repeats, shared_registers, tag_faults
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from rowwise import allocate, overlaps
 
 from regfleet.functions import tag_base
 from regfleet.operators.checks import duplicates, overlap_counts, overlap_pairs
-from regfleet.operators import ordering
+from regfleet.operators import ordering, tagging
 from regfleet.operators.ordering import ordered_scan
 from regfleet.operators.tagging import allocate_tags
 from regfleet.session import freeze
@@ -66,28 +66,46 @@ def random_rows(seed, n_maps, length):
     return rows
 
 
-@pytest.mark.parametrize("seed,n_maps,length", [(1, 1500, 30), (2, 20, 400)])
-def test_tags_equal_sequential(spark, seed, n_maps, length):
-    rows = random_rows(seed, n_maps, length)
-    rows += [("golden", i + 2, n, t) for i, (n, t) in enumerate(MIXED)]
+def check_tags(spark, rows):
+    """The tags by (map, line) of rows (map, line, name, tag), once they are right."""
     df = with_base(spark, rows)
-    bases = {(r.map_id, r.line_num): r.base for r in df.collect()}
-    maps = defaultdict(list)
-    for m, line, name, tag in rows:
-        maps[m].append((line, name, tag, bases[m, line]))
-    expected, reports = {}, set()
-    for m, content in maps.items():
-        tags, found = allocate(content)
-        expected |= {(m, line): tag for line, tag in tags.items()}
-        reports |= {(m, *f) for f in found}
     tagged = freeze(allocate_tags(df), "test")
     got = {(r.map_id, r.line_num): r.tag for r in tagged.collect()}
-    wrong = [(k, expected[k], got.get(k)) for k in expected if expected[k] != got.get(k)]
-    assert not wrong and len(got) == len(rows)
+    assert len(got) == len(rows)
+    maps = defaultdict(list)
+    for r in df.collect():
+        maps[r.map_id].append((r.line_num, r.name, r.tag, r.base, got[r.map_id, r.line_num]))
+    assert {m: tag_faults(content) for m, content in maps.items() if tag_faults(content)} == {}
+    reports = {(m, *x) for m, content in maps.items() for x in repeats([(row[0], row[4]) for row in content])}
     assert {(r.map_id, r.line_num, r.ref_line) for r in duplicates(tagged, "tag").collect()} == reports
+    return got
+
+
+@pytest.mark.parametrize("seed,n_maps,length", [(1, 1500, 30), (2, 20, 400)])
+def test_tags_are_the_first_free_ones(spark, seed, n_maps, length):
+    rows = random_rows(seed, n_maps, length)
+    rows += [("golden", i + 2, n, t) for i, (n, t) in enumerate(MIXED)]
+    got = check_tags(spark, rows)
     assert [got["golden", i] for i in range(2, 7)] == ["a", "a_1", "a_2", "a_1_1", "a"]
 
 
+def test_many_claims_take_few_rounds(spark, monkeypatch):
+    """5,000 claims on one base, which win and lose in turns, and chains of bare texts that claim shorter bases."""
+    rnd = random.Random(3)
+    rows, line = [], 2
+    for n in range(1, 5001):
+        rows.append(("m", line, "", f"a_{n}"))
+        line += 1
+        if n % 2 or rnd.random() < 0.2:
+            rows.append(("m", line, "A", ""))
+            line += 1
+    rows += [("chain", 2 + k, "B" + " 1" * (k // 2 % 12), "" if k % 7 else "b_3") for k in range(200)]
+    stored = []
+    monkeypatch.setattr(tagging, "freeze", lambda df, label: stored.append(label) or freeze(df, label))
+    check_tags(spark, rows)
+    assert stored.count("tag-thresholds") <= 1 + 13 and len(stored) <= 25
+
+
 def test_tags_without_claims(spark):
     rows = [("m", i, "Test Variable" if i % 2 else "Other", "") for i in range(2, 300)]
     df = with_base(spark, rows)
@@ -106,7 +124,8 @@ def test_overlaps_equal_pairwise(spark):
                 kind = rnd.choice(["one", "bits", "two", "eight", "wide", "empty", "huge" if rnd.random() < 0.05 else "one"])
                 width = {"one": 1, "bits": 1, "two": 2, "eight": 8, "empty": 0, "wide": rnd.randint(1, 70), "huge": 10**12}[kind]
                 content.append((line if info1 == "3" else line + 1000, start, start + width - 1, kind == "bits"))
-            expected |= {(f"m{m}", *p) for p in overlaps(content)}
+            kept = [row for row in content if row[2] >= row[1]]
+            expected |= {(f"m{m}", *p) for p in shared_registers(kept)}
             rows += [(f"m{m}", info1, s, e, line, f"n{line}", "BITS" if b else "U16", b) for line, s, e, b in content]
     spans = spark.createDataFrame(
         rows,
