@@ -193,13 +193,13 @@ def rarest(grams: np.ndarray, filters: list[np.ndarray], threshold: Threshold) -
     return grams[order][rank[order] > 0]
 
 
-def _set_rows(doc: str, text: str, width: int, threshold: Threshold, repeated, by_segment: bool):
-    """Membership of every text, and signatures and segments of sets with a repeated signature."""
+def _set_rows(doc: str, text: str, digest: str, width: int, threshold: Threshold, repeated, by_segment: bool):
+    """Membership of every text (with its digest as ``sig``), and signatures and segments of sets with a repeated signature."""
 
     def rows(batches):
         seen, filters = set(), repeated.value
         for piece in pieces(batches, text):
-            ids, names, sizes = [], [], []
+            ids, names, sizes, digests = [], [], [], piece.column(digest).to_numpy()
             for doc_id, grams in zip(piece.column(doc).to_pylist(), gram_sets(piece.column(text), width), strict=True):
                 name = set_digest(grams)
                 ids.append(doc_id)
@@ -224,7 +224,7 @@ def _set_rows(doc: str, text: str, width: int, threshold: Threshold, repeated, b
                 f = COUNT_FRAGMENTS
                 yield _batch([_SEGMENT] * f, None, [name] * f, [len(grams)] * f, None, range(f), lists)
             k = len(ids)
-            yield _batch([_MEMBER] * k, ids, names, sizes, None, None, None)
+            yield _batch([_MEMBER] * k, ids, names, sizes, digests, None, None)
 
     return rows
 
@@ -331,17 +331,19 @@ def jaccard_components(
     threshold: Threshold = Threshold(80),  # noqa: B008
     by_segment: bool | None = None,
 ) -> DataFrame:
-    """(doc, n_shingles, component_id) of every row of ``docs``.
+    """(doc, n_shingles, component_id, digest, kept) of every row of ``docs``.
 
     Words are runs of other bytes than space and 0x09-0x0D after lower-casing
     A-Z; a set holds the distinct runs of ``width`` words, with fewer words the
     whole text. ``component_id`` is the smallest id that links reach. Texts that
     are null or have no words have the empty set and only their own id; equal
     rows and equal texts share a component; a null id keeps its row (it names a
-    component only when no row of it has an id). Other columns are ignored.
+    component only when no row of it has an id). ``digest`` is xxhash64 of the text;
+    ``kept`` marks one (id, text) of each component, the one of the smallest id
+    (null last), then digest, and all texts without words. Other columns are ignored.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(doc).cast("bigint").alias("_doc"), F.col(text).alias("_text"))
+    source = docs.select(F.col(doc).cast("bigint").alias("_doc"), F.col(text).alias("_text"), F.xxhash64(text).alias("_digest"))
     if by_segment is None:
         by_segment = threshold.part >= SEGMENTS_FROM * threshold.over
     texts = source.select("_text")
@@ -356,8 +358,8 @@ def jaccard_components(
     if not by_segment:
         filters.append(bloom_filter(repeated.filter(F.col("n") > FREQUENT), "sig", 24))
     filled = spark.sparkContext.broadcast(filters)
-    rows = freeze(source.mapInArrow(_set_rows("_doc", "_text", width, threshold, filled, by_segment), _ROWS), "gram-sets")
-    members = rows.filter(F.col("kind") == _MEMBER).select("doc", "set_id", "n")
+    rows = freeze(source.mapInArrow(_set_rows("_doc", "_text", "_digest", width, threshold, filled, by_segment), _ROWS), "gram-sets")
+    members = rows.filter(F.col("kind") == _MEMBER).select("doc", F.col("sig").alias("digest"), "set_id", "n")
     segments = rows.filter(F.col("kind") == _SEGMENT).select("set_id", "fragment", "n", "grams")
     sigs = freeze(
         rows.filter(F.col("kind") == _SIGNATURE).select("sig", "set_id", "n").distinct().join(repeated.select("sig"), "sig", "left_semi"),
@@ -375,11 +377,15 @@ def jaccard_components(
     found = components(links.union(_linked(_open_pairs(open_sigs, segments, threshold), segments, threshold)))
 
     named = members.join(found, members["set_id"] == found["node"], "left").select(
-        "doc", "n", F.coalesce("component", "set_id").alias("component")
+        "doc", "digest", "n", F.coalesce("component", "set_id").alias("component")
     )
-    smallest = freeze(named.filter("n > 0").groupBy("component").agg(F.min("doc").alias("first")), "first-documents")
+    row = F.struct(F.col("doc").isNull(), "doc", "digest")
+    firsts = named.filter("n > 0").groupBy("component").agg(F.min("doc").alias("first"), F.min(row).alias("first_row"))
+    smallest = freeze(firsts, "first-documents")
     return named.join(smallest, "component", "left").select(
         F.col("doc").alias(doc),
         F.col("n").cast("bigint").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc")).alias("component_id"),
+        "digest",
+        ((F.col("n") == 0) | (row == F.col("first_row"))).alias("kept"),
     )

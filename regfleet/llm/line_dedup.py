@@ -26,6 +26,13 @@ KEY = ["doc", "digest"]
 RUN = [*KEY, "run"]
 
 
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on equal keys, where null equals null (a document may have no id)."""
+    named = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = reduce(lambda on, k: on & F.col(k).eqNullSafe(F.col(f"_{k}")), keys, F.lit(True))
+    return left.join(named, same).drop(*[f"_{k}" for k in keys])
+
+
 def _lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, digest, row, line): the lines with words of each text, numbered with blank lines included."""
     cut = docs.filter(F.col(text).isNotNull()).select(
@@ -130,11 +137,11 @@ def repeated_runs(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_
     tails = runs.select(*RUN, F.col("pos").alias("second"), ranks.alias("tail"))
     ends = runs.select(*RUN, F.col("pos").alias("stop"), F.col("row").alias("last_row"))
     place = F.struct(*KEY, "first_row")
+    marked = _joined(_joined(sized, heads, [*RUN, "start"]), tails, [*RUN, "second"])
     intervals = freeze(
-        sized.join(heads, [*RUN, "start"])
-        .join(tails, [*RUN, "second"])
-        .join(ends, [*RUN, "stop"])
-        .select("n", F.expr("head[level]").alias("head"), F.expr("tail[level]").alias("tail"), place.alias("place"), "last_row"),
+        _joined(marked, ends, [*RUN, "stop"]).select(
+            "n", F.expr("head[level]").alias("head"), F.expr("tail[level]").alias("tail"), place.alias("place"), "last_row"
+        ),
         "lcp-intervals",
     )
     firsts = intervals.groupBy("n", "head", "tail").agg(F.min("place").alias("earliest"), F.count("*").alias("members"))

@@ -22,7 +22,8 @@ from .whitening import whiten
 
 
 def op1_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    return jaccard_components(table(spark, d, "documents"), width=3, threshold=Threshold(90, 100))
+    found = jaccard_components(table(spark, d, "documents"), width=3, threshold=Threshold(90, 100))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op2_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:

@@ -17,11 +17,13 @@ from regfleet.llm.licences import find_licences, known_licences
 from regfleet.llm.line_dedup import deduplicate_lines
 from regfleet.llm.lm_score import MU, score_documents
 from regfleet.llm.mixing import mix_sources, schedule
+from regfleet.llm.periodic_runs import periodic_runs
 from regfleet.llm.pii import digest, personal_data
+from regfleet.llm.suffix_dedup import remove_repeated_strings
 from regfleet.llm.toxicity import toxicity
 
 #: Names that operators use inside.
-ODD = "doc digest row run line words w hit hits items copies score size n _doc _id _text _gone _lines _rest _row _toxic lo hi sig".split()
+ODD = "doc digest row run line id text_key gone place kept spans runs n_words collapsed words w hit hits items copies score size n _doc _id _text _gone _lines _rest _row _toxic lo hi sig".split()
 
 SCHEMA = "doc_id bigint, text string, lang string, source string"
 
@@ -65,6 +67,8 @@ OPERATORS = {
     "mix": lambda s, d: mix_sources(d),
     "lines": lambda s, d: deduplicate_lines(d),
     "lm": lambda s, d: score_documents(d, d.select("doc_id")),
+    "strings": lambda s, d: remove_repeated_strings(d),
+    "runs": lambda s, d: periodic_runs(d),
 }
 
 
@@ -335,3 +339,18 @@ def test_contexts_find_spaced_numbers_and_settle(spark):
     spans = {k: v[0]["spans"] for k, v in found.items()}
     assert spans[1] == "phone:9:23" and spans[2] == "phone:9:21" and spans[3] == "card:6:25" and spans[4] == "" and spans[5] == "phone:6:18"
     assert all(r["n_added"] == 1 for step in range(6) for r in found[300 + step])
+
+
+def test_line_runs_of_rows_without_id(spark):
+    """Places without an id come first; all later copies of the run are cut."""
+    run = "\n".join(vocabulary_text(k, 10) for k in range(5))
+    rows = [(None, "a\n" + run), (None, "b\n" + run), (5, "c\n" + run), (6, "d\n" + run)]
+    found = [(r["doc_id"], r["n_removed"]) for r in deduplicate_lines(frame(spark, rows)).collect()]
+    assert sorted(found, key=str) == sorted([(None, 0), (None, 5), (5, 5), (6, 5)], key=str)
+
+
+def test_jaccard_keeps_one_row_of_each_group(spark):
+    copy, alone = vocabulary_text(1, 60), vocabulary_text(2, 60)
+    rows = [(1, copy), (5, alone), (5, copy), (None, copy + " x"), (None, vocabulary_text(3, 60)), (7, None), (7, "")]
+    found = jaccard_components(frame(spark, rows)).filter("kept").select("doc_id", "n_shingles")
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, 56), (5, 56), (None, 56), (7, 0), (7, 0)], key=str)

@@ -215,3 +215,11 @@ def test_stages_keep_the_columns(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns, name
+
+
+def test_near_copies_stage_tells_rows_of_an_id_apart(spark):
+    """A unique text stays though another row of its id is a copy."""
+    a, b = (" ".join(f"{k}w{n}" for n in range(50)) for k in "ab")
+    docs = spark.createDataFrame([(1, a), (5, b), (5, a), (None, a)], "doc_id bigint, text string")
+    rows = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
+    assert sorted(map(tuple, rows)) == sorted([(1, a), (5, b)])
