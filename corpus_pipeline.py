@@ -28,13 +28,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that shares 80% of its runs of five words.
+    """One document of each group that shares 80% of its runs of five words: the smallest id (null last), then text digest.
 
-    A document without id or without words stays; so do all rows of an id that stays.
+    A document without words stays. Rows that repeat both id and text are one document stored more than once.
     """
     groups = jaccard_components(docs, width=5, threshold=Threshold(80))
-    copies = groups.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    copies = groups.filter("NOT kept").select(F.col("doc_id").alias("copy_id"), F.col("digest").alias("copy_digest")).distinct()
+    same = docs["doc_id"].eqNullSafe(copies["copy_id"]) & (F.xxhash64(docs["text"]) == copies["copy_digest"])
+    return docs.join(copies, same, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
