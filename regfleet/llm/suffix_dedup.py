@@ -16,19 +16,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_filter, freeze, in_bloom
+from .common import bloom_filter, freeze, in_bloom, pieces
 from .words import mix
 
 LENGTH = 200
 
 #: Segments of a group may have so many bytes; the anchors of larger groups are avoided where a window has others.
-HOT_BYTES = 16 << 20
+HOT_BYTES = 4 << 20
 
 #: Bytes of text that are scanned at once, and of segments that are sorted at once (one text or group at least).
 _SCAN = 1 << 18
-_SORT = 1 << 20
+_SORT = 1 << 19
 #: Occurrences of segments that a task counts together.
-_COUNTED = 200_000
+_COUNTED = 50_000
 
 _HOT_BIT = np.uint64(1 << 63)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
@@ -210,28 +210,32 @@ def _sort_directly(at: np.ndarray, key: np.ndarray, depth: int) -> np.ndarray:
     return at
 
 
-def two_stage_order(data: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
+def two_stage_order(data: np.ndarray, key: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     """Places where ``wanted`` is set, sorted by the ``depth`` bytes from them on.
 
-    ``data`` ends with ``depth`` + 8 bytes that are not wanted, the first of them smaller than the second. A suffix is
+    ``key`` holds ``_keys(data)``. ``data`` ends with ``depth`` + 8 bytes that are not wanted, the first of them smaller than the second. A suffix is
     rising if it is smaller than its successor. Rising suffixes are sorted directly. The others are induced: the
     buckets of first bytes are scanned in order, and the place before each suffix, if not rising, is next in its
     bucket. A bucket holds the induced suffixes first. Needed beside the wanted places are only those up to the next
     rising one.
     """
-    n = len(data)
-    change = np.flatnonzero(data[1:] != data[:-1])
-    rises = np.zeros(n, dtype=bool)
-    rises[: change[-1] + 1] = np.repeat(data[change + 1] > data[change], np.diff(np.append(-1, change)))
-    # The first rising place from each place on bounds what is needed.
-    rising = np.flatnonzero(rises)
-    after = rising[np.searchsorted(rising, np.flatnonzero(wanted))]
-    step = np.zeros(n + 1, dtype=np.int32)
-    np.add.at(step, np.flatnonzero(wanted), 1)
-    np.add.at(step, after + 1, -1)
-    needed = np.cumsum(step[:-1]) > 0
-    key = _keys(data)
-    direct = _sort_directly(np.flatnonzero(needed & rises), key, depth)
+    rises = np.append(data[:-1] < data[1:], False)
+    equal = np.flatnonzero(data[:-1] == data[1:])
+    if len(equal):
+        # In a stretch of equal bytes all rise or none does, as its last one.
+        last = np.flatnonzero(np.append(equal[1:] - equal[:-1] > 1, True))
+        rises[equal] = rises[np.repeat(equal[last] + 1, np.diff(last, prepend=-1))]
+    # From each wanted place up to the next rising one.
+    rising = np.flatnonzero(rises).astype(np.int32)
+    begin = np.flatnonzero(wanted).astype(np.int32)
+    end = rising[np.searchsorted(rising, begin)]
+    first = np.flatnonzero(np.diff(end, prepend=-1))
+    step = np.zeros(len(data) + 1, dtype=np.int8)
+    step[begin[first]] += 1
+    step[end[first] + 1] -= 1
+    needed = np.cumsum(step[:-1], dtype=np.int8) > 0
+    del rising, begin, end, step
+    direct = _sort_directly(np.flatnonzero(needed & rises).astype(np.int32), key, depth)
     first = data[direct]
     cuts = np.searchsorted(first, np.arange(257))
     induce = np.append(needed & ~rises, False)  # place -1 is none
@@ -263,13 +267,12 @@ def two_stage_order(data: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndar
             starts = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
             for part, at in zip(np.split(before, starts[1:]), starts.tolist()):
                 coming[value[at]].append(part)
-    order = np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+    order = np.concatenate(out) if out else np.zeros(0, dtype=np.int32)
     return order[wanted[order]]
 
 
-def _shared(order: np.ndarray, data: np.ndarray, length: int) -> np.ndarray:
+def _shared(order: np.ndarray, key: np.ndarray, length: int) -> np.ndarray:
     """Whether the common prefix of each place with the next in order has ``length`` bytes."""
-    key = _keys(data)
     equal = np.arange(max(len(order) - 1, 0))
     for done in range(0, length, 8):
         rest = np.uint64(8 * max(0, 8 - (length - done)))
@@ -288,13 +291,15 @@ def repeated_windows(segments: list[bytes], times: np.ndarray, length: int) -> l
     begin = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join([*segments, b"\x00\xff", bytes(length + 8)]), dtype=np.uint8)
     windows = sizes - length + 1
-    owner = np.repeat(np.arange(len(segments)), windows)
-    inner = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    place = begin[owner] + inner
+    owner = np.repeat(np.arange(len(segments), dtype=np.int32), windows)
+    inner = np.arange(len(owner), dtype=np.int32) - np.repeat((np.cumsum(windows) - windows).astype(np.int32), windows)
+    place = begin.astype(np.int32)[owner] + inner
     wanted = np.zeros(len(data), dtype=bool)
     wanted[place] = True
-    order = two_stage_order(data, wanted, length)
-    shared = _shared(order, data, length)
+    key = _keys(data)
+    order = two_stage_order(data, key, wanted, length)
+    shared = _shared(order, key, length)
+    del key
     repeated = np.zeros(len(data), dtype=bool)
     repeated[order[shared]] = True
     repeated[order[1:][shared[:-1]]] = True
@@ -373,19 +378,20 @@ def remove_repeated_strings(
 
     def cut(batches):
         for batch in batches:
-            n_bytes, spans, kept = [], [], []
-            for text, found in zip(batch.column("text").cast(pa.large_binary()), batch.column("gone")):
-                text = text.as_py() or b""
-                merged = _merged(found.as_py() or [], length)
-                parts = zip([0, *(e for _, e in merged)], [*(b for b, _ in merged), len(text)])
-                n_bytes.append(len(text))
-                spans.append([{"begin": b, "end": e} for b, e in merged])
-                kept.append(b"".join([text[b:e] for b, e in parts]))
-            span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n_bytes, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())],
-                ["id", "n_bytes", "spans", "kept"],
-            )
+            for piece in pieces([batch], "text"):
+                n_bytes, spans, kept = [], [], []
+                for text, found in zip(piece.column("text").cast(pa.large_binary()), piece.column("gone")):
+                    text = text.as_py() or b""
+                    merged = _merged(found.as_py() or [], length)
+                    parts = zip([0, *(e for _, e in merged)], [*(b for b, _ in merged), len(text)])
+                    n_bytes.append(len(text))
+                    spans.append([{"begin": b, "end": e} for b, e in merged])
+                    kept.append(b"".join([text[b:e] for b, e in parts]))
+                span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("id"), pa.array(n_bytes, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())],
+                    ["id", "n_bytes", "spans", "kept"],
+                )
 
     joined = named.join(gone, "text_key", "left").select("id", "text", "gone")
     schema = f"id {kind}, n_bytes bigint, spans array<struct<begin:bigint,end:bigint>>, kept binary"

@@ -82,7 +82,7 @@ def test_order_of_suffixes():
         data = np.frombuffer(body + b"\x00\xff" + bytes(depth + 8), dtype=np.uint8)
         wanted = np.zeros(len(data), dtype=bool)
         wanted[[k for k in range(len(body)) if rng.random() < 0.7]] = True
-        order = two_stage_order(data, wanted, depth)
+        order = two_stage_order(data, suffix_dedup._keys(data), wanted, depth)
         raw = data.tobytes()
         assert sorted(order.tolist()) == np.flatnonzero(wanted).tolist()
         strings = [raw[k : k + depth] for k in order]
