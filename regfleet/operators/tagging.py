@@ -9,10 +9,10 @@ it: a tag typed in a row, or another base that spells the same (``a_1``).
 Only these *claims* need care. With ``y`` requests before the claim of number
 ``n`` and ``s`` smaller numbers skipped, the claim wins exactly when
 ``s <= n - y``. So a claim is lost from some ``s`` on, its *threshold*: seen from
-the claim itself that is ``n - y + 1``. Neighbouring blocks of claims, sorted by
-number, are joined round by round, and the thresholds of the right block are
-moved back to the start of the left one; after log2(claims) rounds all are seen
-from the start of the base, where ``s`` is 0, or 1 if its bare text is taken.
+the claim itself that is ``n - y + 1``. Blocks of 128 claims, sorted by number, are
+worked out at once; then neighbouring blocks are joined round by round, and the
+thresholds of the right block are moved back to the start of the left one. After
+log2(blocks) rounds all are seen from the start of the base, where ``s`` is 0, or 1 if its bare text is taken.
 That again hangs on the claim which the bare text makes on a shorter base, at
 most on one other bit, so it is followed by pointer jumping. No group is ever
 collected.
@@ -27,6 +27,9 @@ from regfleet.session import freeze
 
 _KEYS = ["map_id", "base"]
 
+#: Neighbouring claims that one row holds while their thresholds are worked out.
+BLOCK = 128
+
 def _requests(rows: DataFrame) -> DataFrame:
     return rows.filter((F.col("tag") == "") & (F.col("name") != ""))
 
@@ -106,11 +109,31 @@ def _joined_blocks(claims: DataFrame, size: int) -> DataFrame:
     return left.select(claims.columns).unionByName(shifted.select(claims.columns))
 
 
+def _inside_blocks(claims: DataFrame) -> DataFrame:
+    """Thresholds seen from the start of each block of ``BLOCK`` claims, one claim after the other."""
+    # acc.seen is sorted; the threshold of the next claim follows from it as in _joined_blocks.
+    earlier = "c.p - size(acc.seen)"
+    moved = f"{earlier} + size(filter(acc.seen, (x, k) -> x - k <= {earlier}))"
+    fold = f"""
+      aggregate(block,
+        struct(CAST(array() AS ARRAY<BIGINT>) AS seen, filter(block, c -> false) AS done),
+        (acc, c) -> struct(
+          array_sort(array_append(acc.seen, {moved})) AS seen,
+          array_append(acc.done, named_struct('place', c.place, 'n', c.n, 'text', c.text, 'by_request', c.by_request, 'p', {moved})) AS done),
+        acc -> acc.done)"""
+    block = F.array_sort(F.collect_list(F.struct("place", "n", "text", "by_request", "p")))
+    return (
+        claims.groupBy(*_KEYS, F.expr(f"(place - 1) div {BLOCK}").alias("_block"))
+        .agg(block.alias("block"))
+        .select(*_KEYS, F.expr(f"inline({fold})"))
+    )
+
+
 def _thresholds(claims: DataFrame) -> DataFrame:
     """All claims with ``p`` seen from the start of their base."""
-    claims = freeze(claims, "tag-thresholds")
+    claims = freeze(_inside_blocks(claims), "tag-thresholds")
     longest = claims.agg(F.max("place")).first()[0] or 0
-    size = 1
+    size = BLOCK
     while size < longest:
         claims = freeze(_joined_blocks(claims, size), "tag-thresholds")
         size *= 2

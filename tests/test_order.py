@@ -81,8 +81,9 @@ def check_tags(spark, rows):
     return got
 
 
-@pytest.mark.parametrize("seed,n_maps,length", [(1, 1500, 30), (2, 20, 400)])
-def test_tags_are_the_first_free_ones(spark, seed, n_maps, length):
+@pytest.mark.parametrize("seed,n_maps,length,block", [(1, 1500, 30, 128), (2, 20, 400, 2), (3, 20, 200, 1)])
+def test_tags_are_the_first_free_ones(spark, monkeypatch, seed, n_maps, length, block):
+    monkeypatch.setattr(tagging, "BLOCK", block)
     rows = random_rows(seed, n_maps, length)
     rows += [("golden", i + 2, n, t) for i, (n, t) in enumerate(MIXED)]
     got = check_tags(spark, rows)
@@ -103,7 +104,7 @@ def test_many_claims_take_few_rounds(spark, monkeypatch):
     stored = []
     monkeypatch.setattr(tagging, "freeze", lambda df, label: stored.append(label) or freeze(df, label))
     check_tags(spark, rows)
-    assert stored.count("tag-thresholds") <= 1 + 13 and len(stored) <= 25
+    assert stored.count("tag-thresholds") <= 1 + 6 and len(stored) <= 18
 
 
 def test_tags_without_claims(spark):
