@@ -280,7 +280,12 @@ def oracle_sql():
             f"{R}, {staged()}",
             "SELECT * FROM (SELECT map_id, line_num, tag, min(line_num) OVER (PARTITION BY map_id, tag) AS ref_line FROM tagged WHERE tag <> '') WHERE ref_line < line_num",
         ),
-        "reg_overlaps": select(f"{R}, {staged()}", "SELECT * FROM pairs"),
+        "reg_overlaps": select(
+            f"{R}, {staged()}",
+            """SELECT map_id, info1, line_num, any_value(name) AS name, any_value(reg_start) AS reg_start, any_value(reg_end) AS reg_end, count(*) AS n,
+              min(ref_line) AS ref_line, arg_min(ref_name, ref_line) AS ref_name, arg_min(ref_start, ref_line) AS ref_start,
+              arg_min(ref_end, ref_line) AS ref_end FROM pairs GROUP BY map_id, info1, line_num""",
+        ),
         "reg_overlap_counts": select(
             f"{R}, {staged()}",
             "SELECT map_id, info1, line_num, count(*) AS n, min(ref_line) AS ref_line FROM pairs GROUP BY map_id, info1, line_num",

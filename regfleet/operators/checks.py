@@ -130,16 +130,45 @@ def overlap_pairs(spans: DataFrame) -> DataFrame:
     )
 
 
+def sharing_rows(spans: DataFrame) -> DataFrame:
+    """The rows that share a register with any other, but for BITS that only meet BITS.
+
+    Rows are judged by their first register, of which each counts once: an earlier one reaches it, it reaches a later
+    one, or rows of it include one that is no BITS. Most rows of a sound map go here, before anything is compared.
+    """
+    space = ["map_id", "info1"]
+    firsts = spans.groupBy(*space, "reg_start").agg(
+        F.max("reg_end").alias("_end"), F.count("*").alias("_rows"), F.count(F.when(~F.col("is_bits"), 1)).alias("_plain")
+    )
+    firsts = freeze(firsts.withColumn("_back", -F.col("reg_start")), "first-registers")
+    reached = ordered_scan(firsts, space, "reg_start", minima={"_far": -F.col("_end")}, sparse=True, before=True)
+    both = ordered_scan(reached, space, "_back", minima={"_next": F.col("reg_start")}, totals=firsts, sparse=True, before=True)
+    alone = (F.col("_rows") == 1) | (F.col("_plain") == 0)
+    met = both.filter(~alone | (-F.col("_far") >= F.col("reg_start")) | (F.col("_next") <= F.col("_end")))
+    return spans.join(met.select(*space, "reg_start"), [*space, "reg_start"], "left_semi").select(*spans.columns)
+
+
 def overlap_counts(spans: DataFrame) -> DataFrame:
     """Per row: how many earlier rows it overlaps, and the first of them.
 
-    ``spans`` is read several times and should be a stored table.
-
-    The same pairs as :func:`overlap_pairs`, counted instead of listed. An earlier
-    row overlaps either by holding the start of this one, or by starting inside
-    the rest of it. Both are running counts in line order per node, so the cost
-    stays linear in the rows and no node is handled by one task.
+    The same pairs as :func:`overlap_pairs`, counted instead of listed, among the
+    rows that share registers at all. An earlier row overlaps either by holding the
+    start of this one, or by starting inside the rest of it. Both are running counts
+    in line order per node, so the cost stays linear in the rows and no node is
+    handled by one task.
     """
+    return _counted(freeze(sharing_rows(spans), "sharing-rows"))
+
+
+def overlaps(spans: DataFrame) -> DataFrame:
+    """``overlap_counts`` with name and registers of the row and of the first one that it overlaps."""
+    sharing = freeze(sharing_rows(spans), "sharing-rows")
+    own = sharing.select("map_id", "info1", "line_num", "name", "reg_start", "reg_end")
+    first = own.toDF("map_id", "info1", "ref_line", "ref_name", "ref_start", "ref_end")
+    return _counted(sharing).join(own, ["map_id", "info1", "line_num"]).join(first, ["map_id", "info1", "ref_line"])
+
+
+def _counted(spans: DataFrame) -> DataFrame:
     held = _covering_nodes(spans, "reg_start", "reg_end")
     rest = _covering_nodes(spans.withColumn("_second", F.col("reg_start") + 1), "_second", "reg_end").drop("_second")
     keys = ["map_id", "info1", "side", "level", "node"]

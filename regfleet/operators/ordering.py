@@ -55,9 +55,10 @@ def ordered_scan(
     ties: Sequence[str | Column] = (),
     totals: DataFrame | None = None,
     sparse: bool = False,
+    before: bool = False,
     chunk_bits: int = CHUNK_BITS,
 ) -> DataFrame:
-    """Add running values per ``keys`` in ``order``, the current row included.
+    """Add running values per ``keys`` in ``order``, of the rows before and, unless ``before`` is set, the current one.
 
     ``counts`` maps a new column to a condition and counts the rows so far for
     which it holds, ``sums`` adds up a BIGINT expression, ``minima`` keeps the
@@ -76,7 +77,7 @@ def ordered_scan(
     so_far = (
         Window.partitionBy(*keys, _CHUNK)
         .orderBy(order, *ties)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        .rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
     )
     local = df.withColumn(_CHUNK, chunk).withColumns(
         {n: F.sum(e).over(so_far) for n, e in sums.items()} | {n: F.min(e).over(so_far) for n, e in minima.items()}
@@ -94,6 +95,6 @@ def ordered_scan(
     # The rows already lie by (keys, chunk), so a merge join moves only the totals.
     return local.hint("merge").join(carry, [*keys, _CHUNK]).select(
         *[c for c in df.columns if c not in names],
-        *[(F.col(n) + F.col(n + "_carry")).alias(n) for n in sums],
+        *[(F.coalesce(n, F.lit(0)) + F.col(n + "_carry")).alias(n) for n in sums],
         *[F.least(n, n + "_carry").alias(n) for n in minima],
     )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from regfleet import functions as R
 from regfleet.operators import staging as S
-from regfleet.operators.checks import duplicates, intervals, overlap_counts
+from regfleet.operators.checks import duplicates, intervals, overlaps
 from regfleet.operators.tagging import allocate_tags
 from regfleet.schemas import DIAGNOSTIC_SCHEMA
 from regfleet.session import freeze
@@ -82,26 +82,24 @@ def diagnostics(staged: DataFrame) -> DataFrame:
     """
     rows = S.surviving(staged)
     tagged = freeze(allocate_tags(rows.select("map_id", "line_num", "name", "tag", "base")), "tagged")
-    spans = freeze(intervals(rows), "spans")
-    registers = F.concat_ws("-", F.col("reg_start").cast("string"), F.col("reg_end").cast("string"))
-    named = spans.select("map_id", "info1", "line_num", "name", registers.alias("registers"))
-    first = named.toDF("map_id", "info1", "ref_line", "ref_name", "ref_range")
-    overlaps = (
-        overlap_counts(spans).join(named, ["map_id", "info1", "line_num"]).join(first, ["map_id", "info1", "ref_line"])
-    )
+    met = overlaps(freeze(intervals(rows), "spans"))
+
+    def registers(first, last):
+        return F.concat_ws("-", F.col(first).cast("string"), F.col(last).cast("string"))
+
     return (
         row_findings(staged)
         .unionByName(_finding(duplicates(rows.select("map_id", "line_num", "name"), "name"), "DUPLICATE_NAME", WARNING, F.col("name"), F.col("ref_line")))
         .unionByName(_finding(duplicates(tagged, "tag"), "DUPLICATE_TAG", WARNING, F.col("tag"), F.col("ref_line")))
         .unionByName(
             _finding(
-                overlaps,
+                met,
                 "ADDRESS_OVERLAP",
                 WARNING,
-                F.col("registers"),
+                registers("reg_start", "reg_end"),
                 F.col("ref_line"),
                 F.col("n"),
-                (F.col("ref_name"), F.col("ref_range")),
+                (F.col("ref_name"), registers("ref_start", "ref_end")),
             )
         )
         .to(DIAGNOSTIC_SCHEMA)
