@@ -24,10 +24,11 @@ from regfleet.plans.diagnostics import diagnostics  # noqa: E402
 from regfleet.plans.extraction import extract, run, simplified  # noqa: E402
 from regfleet.schemas import REGISTER_COLUMNS, REGISTER_HEADERS, TARGET_COLUMNS  # noqa: E402
 from regfleet.session import freeze, new_path  # noqa: E402
-from regfleet.sinks.definition import definition_lines, with_slug, write_definitions  # noqa: E402
+from regfleet.sinks.definition import definition_lines, file_names, read_definitions, with_slug, write_definitions  # noqa: E402
 from regfleet.sinks.registers import write_registers  # noqa: E402
 from regfleet.sources.delimited import read_delimited  # noqa: E402
 from regfleet.sources.files import partition_value  # noqa: E402
+from regfleet.sources.mapping import read_mapping  # noqa: E402
 from regfleet.sources.xml import read_xml  # noqa: E402
 
 LINE = ["map_id", "line_num"]
@@ -72,6 +73,19 @@ def address_normalize(spark, d):
     ).drop("dtype")
 
 
+def long_addresses(spark, d):
+    """Addresses of up to 60 digits through normalization, offsets and the judgement of rows."""
+    rows = X.registers(spark, d).withColumns({"address": F.expr(X.LONG_ADDRESS), "type": F.lit("U16"), "name": F.lit("x")})
+    moved = rows.select(
+        *LINE,
+        "address",
+        R.decimal_part(col("address")).alias("decimal"),
+        R.apply_offset(col("address"), F.lit(50)).alias("off_up"),
+        R.apply_offset(col("address"), F.lit(-50000)).alias("off_down"),
+    )
+    return moved.join(staged_table(rows).select(*LINE, "status", "info2"), LINE)
+
+
 def str_expand(spark, d):
     typed = X.registers(spark, d).withColumn("dtype", R.normalize_type(col("type")))
     return typed.select(
@@ -82,11 +96,7 @@ def str_expand(spark, d):
 
 
 def bits_compose(spark, d):
-    rows = X.registers(spark, d).selectExpr(
-        "*",
-        "CASE line_num % 5 WHEN 0 THEN '' ELSE CAST(line_num % 16 AS STRING) END AS start_bit",
-        "CASE line_num % 3 WHEN 0 THEN '' ELSE '2' END AS length",
-    )
+    rows = X.registers(spark, d).selectExpr("*", f"{X.START_BIT} AS start_bit", f"{X.BIT_LENGTH} AS length")
     typed = rows.withColumn("dtype", R.normalize_type(col("type")))
     return typed.select(
         *LINE, "dtype", R.bits_address(col("dtype"), col("address"), col("start_bit"), col("length")).alias("address")
@@ -198,10 +208,8 @@ def brand_lines(spark, d):
 
 def brand_files(spark, d):
     path = new_path(spark, "definitions")
-    write_definitions(brand_lines(spark, d), path)
-    return spark.read.text(f"{path}/*").select(
-        partition_value(col("_metadata.file_path")).alias("map_id"), col("value").alias("line")
-    )
+    write_definitions(brand_lines(spark, d), path, file_names(X.parameters(X.registers(spark, d))))
+    return read_definitions(spark, path, "file")
 
 
 def file_slug(spark, d):
@@ -231,6 +239,32 @@ def header_mapping(spark, d):
     return _long(resolve_columns(source_columns(headers, records), mapping))
 
 
+def mapping_files(spark, d):
+    """Mappings from files: one for every map, and one of its own for each map of two wordings."""
+    headers, records = _grid(spark, d)
+    own = X.header_cells(headers.select("map_id")).filter(f"{X.VARIANT} < 3")
+    swapped = F.to_json(F.create_map(F.lit("Tag"), F.get("header", F.lit(7)), F.lit("Unit"), F.get("header", F.lit(1))))
+    path = new_path(spark, "mappings")
+    own.select("map_id", swapped.alias("value")).write.partitionBy("map_id").text(f"{path}/own")
+    common = F.to_json(F.create_map(F.lit("Factor"), F.lit("ScaleFactor"), F.lit("Unit"), F.lit("No such header")))
+    headers.limit(1).select(common.alias("value")).coalesce(1).write.text(f"{path}/all")
+    mapping = read_mapping(spark, f"{path}/all").unionByName(read_mapping(spark, f"{path}/own/*", partition_value))
+    resolved = resolve_columns(source_columns(headers, records), freeze(mapping, "mapping"))
+    return project_records(records, resolved).select("map_id", "row_ord", *REGISTER_COLUMNS)
+
+
+def multi_table(spark, d):
+    """Definitions of documents with two tables, numbered across them."""
+    return run(*grid_records(freeze(X.two_tables(X.registers(spark, d)), "cells"), style="page"))
+
+
+def extract_bits(spark, d):
+    """Start bit and length from columns that headers name, composed into addresses and moved by the map's offset."""
+    rows = X.registers(spark, d)
+    found = extract(*grid_records(freeze(X.bit_cells(rows), "cells"), style="page"), params=X.parameters(rows))
+    return number_lines(found, "record").select(*LINE, "name", "type", "address")
+
+
 def cell_grid(spark, d):
     return _projected(*_grid(spark, d))
 
@@ -260,15 +294,15 @@ def grid_run(spark, d):
 # --- files -----------------------------------------------------------------
 
 
-def _write_documents(spark, d, delimiter, canonical=False, commas=True):
+def _write_documents(spark, d, delimiter, canonical=False):
     rows = X.documents(spark, d)
-    if not commas:
-        rows = rows.withColumns({c: F.replace(col(c), F.lit(","), F.lit("")) for c in REGISTER_COLUMNS})
     maps = rows.select("map_id").distinct()
     if canonical:
         headers = maps.withColumn("header", F.array(*[F.lit(REGISTER_HEADERS[c]) for c in REGISTER_COLUMNS]))
     else:
-        headers = X.header_cells(maps)
+        # A long last header keeps the commas of the records out of the text that is searched for a delimiter.
+        long = F.when(F.expr(delimiter) != ",", F.array(F.lit("z" * 1100))).otherwise(F.array().cast("array<string>"))
+        headers = X.header_cells(maps).withColumn("header", F.concat("header", long))
     path = new_path(spark, "documents")
     write_definitions(X.document_lines(rows, F.expr(delimiter), headers), path)
     return f"{path}/*"
@@ -276,7 +310,7 @@ def _write_documents(spark, d, delimiter, canonical=False, commas=True):
 
 def csv_roundtrip(spark, d):
     delimiter = f"CASE {X.VARIANT} WHEN 1 THEN ',' WHEN 2 THEN ';' ELSE '\t' END"
-    path = _write_documents(spark, d, delimiter, commas=False)
+    path = _write_documents(spark, d, delimiter)
     headers, records = read_delimited(spark, path, map_id=partition_value)
     projected = project_records(records, resolve_columns(source_columns(headers, records)))
     return number_lines(projected, "row_ord").select(*LINE, *REGISTER_COLUMNS)
@@ -297,22 +331,12 @@ def register_files(spark, d):
 
 
 def xml_roundtrip(spark, d):
-    """Every record is written twice, in line order, and read back once."""
-    rows = X.documents(spark, d)
+    """Every record is written twice, in line order, as an element of one of two names, and read back once."""
     path = new_path(spark, "xml")
-    (
-        rows.unionByName(rows)
-        .repartitionByRange("map_id")
-        .sortWithinPartitions("map_id", "line_num")
-        .select("map_id", *[col(c).alias(REGISTER_HEADERS[c]) for c in REGISTER_COLUMNS])
-        .write.format("xml")
-        .options(rootTag="map", rowTag="row")
-        .partitionBy("map_id")
-        .save(path)
-    )
-    headers, records = read_xml(spark, f"{path}/*", "row", map_id=partition_value)
+    write_definitions(X.xml_lines(X.documents(spark, d)), path)
+    headers, records = read_xml(spark, f"{path}/*", ["row", "point"], map_id=partition_value)
     projected = project_records(records, resolve_columns(source_columns(headers, records)))
-    return projected.select("map_id", *[F.coalesce(c, F.lit("")).alias(c) for c in REGISTER_COLUMNS])
+    return projected.select("map_id", "table_id", *[F.coalesce(c, F.lit("")).alias(c) for c in REGISTER_COLUMNS])
 
 
 # --- fleet -----------------------------------------------------------------
@@ -366,6 +390,10 @@ def _register_queries():
         "reg_file_slug": file_slug,
         "reg_header_detect": header_detect,
         "reg_header_mapping": header_mapping,
+        "reg_mapping_files": mapping_files,
+        "reg_multi_table": multi_table,
+        "reg_extract_bits": extract_bits,
+        "reg_long_addresses": long_addresses,
         "reg_cell_grid": cell_grid,
         "reg_select_pages": selected_pages,
         "reg_extract": grid_extract,

@@ -6,14 +6,18 @@ shares code with the package except the texts that define the input tables.
 
 from regfleet.fixtures import (
     ADDRESS_RULE,
+    BIT_LENGTH,
     DOCUMENT_ID,
     FLEET_NAME,
     FLEET_TYPE,
     HEADER_VARIANTS,
+    LONG_ADDRESS,
     MIXED_NAME,
     MIXED_TAG,
     PARAMETER_RULES,
+    POINT,
     ROW_RULES,
+    START_BIT,
     TYPE_RULE,
     VARIANT,
 )
@@ -197,11 +201,11 @@ DIAGNOSTICS = f"""findings AS (
 
 
 
-def run_ctes(source, offset):
+def run_ctes(source, offset, order="line_num"):
     """CTEs of the one-step run: extraction rules first, then the same chain again."""
     return f"""
 extracted0 AS (SELECT *, {n_type('type')} AS type1, {offset} AS off FROM {source} WHERE NOT (name = '' AND address = '')),
-extracted AS (SELECT map_id, row_number() OVER (PARTITION BY map_id ORDER BY line_num) + 1 AS line_num, name, tag,
+extracted AS (SELECT map_id, row_number() OVER (PARTITION BY map_id ORDER BY {order}) + 1 AS line_num, name, tag,
   coalesce(nullif(register_type, ''), 'Holding Register') AS register_type, {n_offset('address', 'off')} AS address, type1 AS type,
   factor, offset_raw, unit, action, scale_factor FROM extracted0),
 """ + staged("extracted", "0").strip()
@@ -211,9 +215,13 @@ def select(ctes, body):
     return f"WITH {ctes.strip().strip(',')} {body}"
 
 
-def no_commas(source="raw"):
-    cells = ", ".join(f"replace({c}, ',', '') AS {c}" for c in COLUMNS)
-    return f"plain AS (SELECT map_id, line_num, {cells} FROM {source})"
+SLUG = """lower(regexp_replace(manufacturer, '[^a-zA-Z0-9]', '_', 'g')) || '_' || lower(regexp_replace(model, '[^a-zA-Z0-9]', '_', 'g')) || '_definition'"""
+
+
+def long_moved(offset):
+    """A long decimal text moved by a number that its last 18 digits can hold."""
+    low = "CAST(right(decimal, 18) AS BIGINT)"
+    return f"""left(decimal, -18) || lpad(CAST(CASE WHEN decimal LIKE '-%' THEN {low} - ({offset}) ELSE {low} + ({offset}) END AS VARCHAR), 18, '0')"""
 
 
 R = REGISTERS
@@ -225,7 +233,9 @@ ALL = ", ".join(COLUMNS)
 def oracle_sql():
     once, twice = n_type("type"), n_type("once")
     part = n_part("string_split(address, '_')[1]")
-    bits = "SELECT *, CASE line_num % 5 WHEN 0 THEN '' ELSE CAST(line_num % 16 AS VARCHAR) END AS start_bit, CASE line_num % 3 WHEN 0 THEN '' ELSE '2' END AS length, {} AS dtype FROM raw".format(once)
+    bits = f"SELECT *, {START_BIT} AS start_bit, {BIT_LENGTH} AS length, {once} AS dtype FROM raw"
+    composed = """CASE WHEN dtype = 'BITS' AND start_bit <> '' THEN string_split(address, '_')[1] || '_' || start_bit || '_'
+              || CASE length WHEN '' THEN '1' ELSE length END ELSE address END"""
     header_values = ", ".join(
         f"({v}, '{target}', CAST({i} AS INTEGER))" for v, h in HEADER_VARIANTS.items() for i, target in enumerate(COLUMNS)
     )
@@ -252,8 +262,7 @@ def oracle_sql():
         ),
         "reg_bits_compose": select(
             f"{R}, a AS ({bits})",
-            """SELECT map_id, line_num, dtype, CASE WHEN dtype = 'BITS' AND start_bit <> '' THEN string_split(address, '_')[1] || '_' || start_bit || '_'
-              || CASE length WHEN '' THEN '1' ELSE length END ELSE address END AS address FROM a""",
+            f"SELECT map_id, line_num, dtype, {composed} AS address FROM a",
         ),
         "reg_register_count": select(
             f"{R}, {staged()}", f"SELECT map_id, line_num, info3, info2, {count_registers('info3', 'info2')} AS registers FROM kept"
@@ -297,10 +306,14 @@ def oracle_sql():
         ),
         "reg_definition": select(f"{RP}, {WITH_OFFSET}", "SELECT * FROM definition"),
         "reg_definition_lines": select(f"{RP}, {WITH_OFFSET}, {LINES}", "SELECT * FROM lines"),
-        "reg_definition_files": select(f"{RP}, {WITH_OFFSET}, {LINES}", "SELECT map_id, line FROM lines"),
+        "reg_definition_files": select(
+            f"{RP}, {WITH_OFFSET}, {LINES}, slugs AS (SELECT map_id, {SLUG} AS slug FROM params)",
+            """SELECT CASE WHEN count(DISTINCT map_id) OVER (PARTITION BY slug) > 1 THEN slug || '_' || sha256(map_id)[:12] ELSE slug END AS file,
+              line_ord AS position, line FROM lines JOIN slugs USING (map_id)""",
+        ),
         "reg_file_slug": select(
             RP,
-            "SELECT map_id, lower(regexp_replace(manufacturer, '[^a-zA-Z0-9]', '_', 'g')) || '_' || lower(regexp_replace(model, '[^a-zA-Z0-9]', '_', 'g')) || '_definition' AS slug FROM params",
+            f"SELECT map_id, {SLUG} AS slug FROM params",
         ),
         "reg_header_detect": select(
             R,
@@ -313,6 +326,25 @@ def oracle_sql():
               FROM (SELECT DISTINCT map_id, {VARIANT} AS variant FROM raw) m JOIN (VALUES {header_values}) t(variant, target, ordinal) USING (variant)
               WHERE NOT (t.target = 'scale_factor' AND m.variant IN (1, 3))""",
         ),
+        "reg_mapping_files": select(
+            R,
+            f"""SELECT map_id, line_num - 1 AS row_ord, name, CASE WHEN {VARIANT} < 3 THEN unit ELSE tag END AS tag, register_type, address, type,
+              CASE WHEN {VARIANT} = 3 THEN scale_factor ELSE factor END AS factor, offset_raw, CASE WHEN {VARIANT} < 3 THEN tag ELSE unit END AS unit,
+              action, CASE WHEN {VARIANT} < 3 THEN scale_factor END AS scale_factor FROM raw""",
+        ),
+        "reg_multi_table": select(f"{R}, {run_ctes('raw', '0', 'line_num % 2, line_num')}", "SELECT * FROM definition"),
+        "reg_extract_bits": select(
+            f"{RP}, a AS ({bits}), b AS (SELECT *, {composed} AS whole, {OFFSETS.format('a')} AS off FROM a WHERE NOT (name = '' AND address = ''))",
+            f"""SELECT map_id, row_number() OVER (PARTITION BY map_id ORDER BY line_num) + 1 AS line_num, name, dtype AS type,
+              {n_offset('whole', 'off')} AS address FROM b""",
+        ),
+        "reg_long_addresses": select(
+            f"""{R}, a AS (SELECT map_id, line_num, {LONG_ADDRESS} AS address FROM raw),
+              b AS (SELECT *, CASE WHEN address LIKE '0x%' THEN CAST(list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(substr(address, 3), ''),
+                lambda c: (strpos('0123456789ABCDEF', c) - 1)::HUGEINT)), lambda x, y: x * 16 + y) AS VARCHAR) ELSE address END AS decimal FROM a)""",
+            f"""SELECT map_id, line_num, address, decimal, {long_moved(50)} AS off_up, {long_moved(-50000)} AS off_down, 'OK' AS status,
+              decimal AS info2 FROM b""",
+        ),
         "reg_cell_grid": select(R, f"SELECT map_id, line_num - 1 AS row_ord, {ALL} FROM raw"),
         "reg_select_pages": select(R, f"SELECT map_id, line_num - 1 AS row_ord, {ALL} FROM raw"),
         "reg_extract": select(
@@ -320,16 +352,18 @@ def oracle_sql():
             f"SELECT map_id, line_num, name, tag, register_type, address, type, {n_number('factor', 1.0)} AS factor, offset_raw, unit, action, scale_factor FROM extracted",
         ),
         "reg_run": select(f"{RP}, {run_ctes('raw', OFFSETS.format('raw'))}", "SELECT * FROM definition"),
-        "reg_csv_roundtrip": select(f"{D}, {no_commas()}", f"SELECT map_id, line_num, {ALL} FROM plain"),
+        "reg_csv_roundtrip": select(D, f"SELECT map_id, line_num, {ALL} FROM raw"),
         "reg_simplified_csv": select(f"{D}, {staged()}", "SELECT map_id, line_num, status, info2, info3 FROM staged"),
         "reg_register_files": select(f"{D}, {run_ctes('raw', '0')}", "SELECT * FROM definition"),
         # Only child tags found in the first five distinct records of a map exist.
         "reg_xml_roundtrip": select(
-            f"""{D}, distinct_rows AS (SELECT map_id, {ALL}, min(line_num) AS line_num FROM raw
-                WHERE {" + ".join(f"CAST({c} <> '' AS INTEGER)" for c in COLUMNS)} >= 2 GROUP BY ALL),
-              heads AS (SELECT map_id, {", ".join(f"bool_or({c} <> '') AS has_{c}" for c in COLUMNS)} FROM
-                (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY line_num) AS n FROM distinct_rows) WHERE n <= 5 GROUP BY map_id)""",
-            f"SELECT map_id, {', '.join(f'CASE WHEN has_{c} THEN {c} ELSE {chr(39)}{chr(39)} END AS {c}' for c in COLUMNS)} FROM distinct_rows JOIN heads USING (map_id)",
+            f"""{D}, placed AS (SELECT *, CASE WHEN {POINT} THEN 1 ELSE 0 END AS table_id FROM raw),
+              distinct_rows AS (SELECT map_id, {ALL}, min(table_id) AS table_id, arg_min(line_num, (table_id, line_num)) AS line_num FROM placed
+                WHERE {" + ".join(f"CAST({c} <> '' AS INTEGER)" for c in COLUMNS)} >= 2 GROUP BY map_id, {ALL}),
+              heads AS (SELECT map_id, table_id, {", ".join(f"bool_or({c} <> '') AS has_{c}" for c in COLUMNS)} FROM
+                (SELECT *, row_number() OVER (PARTITION BY map_id, table_id ORDER BY line_num) AS n FROM distinct_rows) WHERE n <= 5 GROUP BY map_id, table_id)""",
+            f"""SELECT map_id, table_id, {', '.join(f'CASE WHEN has_{c} THEN {c} ELSE {chr(39)}{chr(39)} END AS {c}' for c in COLUMNS)}
+              FROM distinct_rows JOIN heads USING (map_id, table_id)""",
         ),
         "reg_fleet_definition": select(f"{FLEET}, {staged()}", "SELECT * FROM definition"),
         "reg_fleet_diagnostic_counts": select(

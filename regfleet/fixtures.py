@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from regfleet.functions import tag_base
 from regfleet.operators.ordering import ordered_scan
 from regfleet.operators.staging import FIRST_LINE
-from regfleet.schemas import REGISTER_COLUMNS
+from regfleet.schemas import REGISTER_COLUMNS, REGISTER_HEADERS
 
 #: Register columns from ``k``, ``p_name``, ``p_type`` and ``line_num``; the same
 #: text also runs in the checking engine.
@@ -147,6 +147,67 @@ def cells(registers: DataFrame) -> DataFrame:
     )
 
 
+def two_tables(registers: DataFrame) -> DataFrame:
+    """Cells of documents with two tables of records: even lines, then odd ones in another order and wording of columns."""
+    maps = registers.select("map_id").distinct()
+    wording = {0: HEADER_VARIANTS[1], 1: HEADER_VARIANTS[2][::-1]}
+    order = {0: REGISTER_COLUMNS, 1: REGISTER_COLUMNS[::-1]}
+    parts = []
+    for table_id in (0, 1):
+        header = F.array(*[F.lit(t) for t in wording[table_id]])
+        heads = maps.select("map_id", F.lit(0).cast("bigint").alias("row_ord"), F.posexplode(header).alias("col_ord", "value"))
+        body = registers.filter(F.col("line_num") % 2 == table_id).select(
+            "map_id", F.col("line_num").alias("row_ord"), F.posexplode(F.array(*order[table_id])).alias("col_ord", "value")
+        )
+        parts.append(heads.unionByName(body).withColumn("table_id", F.lit(table_id)))
+    return parts[0].unionByName(parts[1])
+
+
+#: Bit columns of the register rows, and the wording of their headers.
+START_BIT = "CASE line_num % 5 WHEN 0 THEN '' ELSE CAST(line_num % 16 AS STRING) END"
+BIT_LENGTH = "CASE line_num % 3 WHEN 0 THEN '' ELSE '2' END"
+BIT_HEADERS = {1: ["Start Bit", "Length"], 2: ["Bit", "Size"], 3: ["First bit", "Bit Count"]}
+
+
+def bit_cells(registers: DataFrame) -> DataFrame:
+    """Cells of tables whose two last columns are start bit and length."""
+    heads = header_cells(registers.select("map_id").distinct())
+    more = F.create_map(*[v for i, h in BIT_HEADERS.items() for v in (F.lit(i), F.array(*[F.lit(t) for t in h]))])
+    header = F.concat("header", F.element_at(more, F.expr(VARIANT)))
+    top = heads.select("map_id", F.lit(0).cast("bigint").alias("row_ord"), F.posexplode(header).alias("col_ord", "value"))
+    cells = F.array(*REGISTER_COLUMNS, F.expr(START_BIT), F.expr(BIT_LENGTH))
+    body = registers.select("map_id", F.col("line_num").alias("row_ord"), F.posexplode(cells).alias("col_ord", "value"))
+    return top.unionByName(body).withColumn("table_id", F.lit(0))
+
+
+#: Addresses of 16 to 60 digits, some hexadecimal, some negative.
+LONG_ADDRESS = """CASE line_num % 3 WHEN 0 THEN repeat(CAST(40000 + line_num AS STRING), CAST(4 + line_num % 8 AS INT))
+  WHEN 1 THEN '0x' || repeat(hex(4096 + line_num), CAST(4 + line_num % 4 AS INT))
+  ELSE '-' || repeat(CAST(40000 + line_num AS STRING), CAST(4 + line_num % 8 AS INT)) END"""
+
+#: Which records of an XML file are elements of the second name.
+POINT = "line_num % 3 = 0"
+
+
+def xml_lines(registers: DataFrame) -> DataFrame:
+    """Lines of XML files with elements of two names, each record twice, with an attribute and a nested child."""
+
+    def escaped(c):
+        text = F.col(c)
+        for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            text = F.replace(text, F.lit(plain), F.lit(entity))
+        return text
+
+    leaves = [F.concat(F.lit(f"<{h}>"), escaped(c), F.lit(f"</{h}>")) for c, h in REGISTER_HEADERS.items()]
+    nested = F.concat(F.lit("<Range><Low>"), F.col("line_num").cast("string"), F.lit("</Low></Range>"))
+    name = F.when(F.expr(POINT), F.lit("point")).otherwise(F.lit("row"))
+    line = F.concat(F.lit("<"), name, F.lit(' no="'), F.col("line_num").cast("string"), F.lit('">'), *leaves, nested, F.lit("</"), name, F.lit(">"))
+    rows = registers.select("map_id", F.explode(F.array(2 * F.col("line_num"), 2 * F.col("line_num") + 1)).alias("line_ord"), line.alias("line"))
+    ends = registers.groupBy("map_id").agg((2 * F.max("line_num") + 2).alias("last"))
+    tags = F.inline(F.arrays_zip(F.array(F.lit(0).cast("bigint"), "last").alias("line_ord"), F.array(F.lit("<map>"), F.lit("</map>")).alias("line")))
+    return rows.unionByName(ends.select("map_id", tags))
+
+
 def document_lines(registers: DataFrame, delimiter: Column, headers: DataFrame) -> DataFrame:
     """Text lines of delimited files; ``delimiter`` may depend on ``map_id``."""
 

@@ -1,8 +1,8 @@
 """Register addresses: spelling, offset, compound forms, size.
 
 An address is ``base``, ``base_length`` (STRING) or ``base_bit_length`` (BITS).
-Numbers are kept within 18 decimal digits so that every interval computation
-fits a BIGINT; longer ones fail validation.
+Numbers have any length: up to 18 digits they are BIGINTs, longer ones are added
+up in groups of nine digits. Registers that do not fit a BIGINT are in no interval.
 """
 
 from pyspark.sql import Column
@@ -28,6 +28,94 @@ DECIMAL = r"^[+-]?0*[0-9]{1,18}$"
 HEXADECIMAL = r"^(?:0x(?!.*h$)|[+-](?:0x)?(?=.*h$))?0*[0-9a-f]{1,15}\s*h?$"
 INTEGER = r"^-?[0-9]{1,18}$"
 
+# The same beyond 18 decimal and 15 hexadecimal digits.
+LONG_DECIMAL = r"^[+-]?[0-9]{19,}$"
+LONG_HEXADECIMAL = r"^(?:0x(?!.*h$)|[+-](?:0x)?(?=.*h$))?[0-9a-f]{16,}\s*h?$"
+LONG_INTEGER = r"^-?[0-9]{19,}$"
+
+#: Decimal digits of a group, and hexadecimal digits that are read at once.
+_GROUP, _HEX = 9, 7
+_BASE = 10**_GROUP
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)``, in which the value is worked out once and its formula stands once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _groups(digits: Column, size: int, radix: int) -> Column:
+    """Groups of ``size`` digits as BIGINTs, the least significant first; leading zeros make the last one whole."""
+    padded = F.concat(F.lit("0" * size), digits)
+    ends = F.sequence(F.length(digits) + 1, F.lit(2), F.lit(-size))
+    return F.transform(ends, lambda i: F.conv(F.substring(padded, i, F.lit(size)), radix, 10).cast("bigint"))
+
+
+def _carried(groups: Column, value) -> Column:
+    """Groups after ``value(group, carry)`` for each, with what is carried in the end."""
+    start = F.struct(F.lit(0).cast("bigint").alias("carry"), F.array().cast("array<bigint>").alias("done"))
+
+    def step(acc, group):
+        def split(total):
+            low = F.pmod(total, F.lit(_BASE))
+            carry = F.call_function("div", total - low, F.lit(_BASE))
+            return F.struct(carry.alias("carry"), F.array_append(acc["done"], low).alias("done"))
+
+        return _let(value(group, acc["carry"]), split)
+
+    return F.aggregate(groups, start, step, lambda acc: F.array_append(acc["done"], acc["carry"]))
+
+
+def _digits(groups: Column) -> Column:
+    """Decimal text of groups, the least significant first."""
+    texts = F.transform(F.reverse(groups), lambda g: F.lpad(g.cast("string"), _GROUP, "0"))
+    return F.regexp_replace(F.array_join(texts, ""), "^0+(?=[0-9])", "")
+
+
+def _hexadecimal(digits: Column) -> Column:
+    """Seven digits at a time: all groups times 16^7, plus the next seven."""
+
+    def step(groups, seven):
+        shifted = F.transform(groups, lambda g, i: g * F.lit(16**_HEX) + F.when(i == 0, seven).otherwise(F.lit(0)))
+        return _carried(shifted, lambda g, carry: g + carry)
+
+    return _digits(F.aggregate(F.reverse(_groups(digits, _HEX, 16)), F.array(F.lit(0).cast("bigint")), step))
+
+
+def _added(digits: Column, offset: Column) -> Column:
+    """Decimal text of ``digits``, which are worth more than 10^18 times 10^9, plus a BIGINT."""
+    size = F.abs(offset.cast("decimal(20,0)")).cast("string")
+    others = F.transform(_groups(size, _GROUP, 10), lambda g: F.when(offset < 0, -g).otherwise(g))
+    sums = F.zip_with(_groups(digits, _GROUP, 10), others, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+    return _digits(_carried(sums, lambda g, carry: g + carry))
+
+
+def _long_number(s: Column) -> Column:
+    """``part_number`` beyond 18 decimal or 15 hexadecimal digits."""
+
+    def read(low):
+        digits = F.translate(low, "+-xh" + WHITESPACE, "")
+        number = F.when(low.rlike(LONG_DECIMAL), F.regexp_replace(digits, "^0+(?=[0-9])", "")).when(
+            low.rlike(LONG_HEXADECIMAL), _let(digits, _hexadecimal)
+        )
+        negative = low.startswith("-")
+        return _let(number, lambda n: F.when(negative & (n != "0"), F.concat(F.lit("-"), n)).otherwise(n))
+
+    return _let(F.lower(s), read)
+
+
+def _long_sum(base: Column, offset: Column) -> Column:
+    """Decimal text of a long base moved by a BIGINT: as DECIMAL while the sign may change, by groups beyond."""
+
+    def move(text):
+        near = (text.try_cast("decimal(38,0)") + offset.cast("decimal(19,0)")).cast("decimal(38,0)").cast("string")
+        digits = F.ltrim(text, F.lit("-"))
+        far = F.when(
+            text.startswith("-"), F.concat(F.lit("-"), _let(digits, lambda d: _added(d, -offset)))
+        ).otherwise(_let(digits, lambda d: _added(d, offset)))
+        return F.when(F.length(text) <= 36, near).otherwise(far)
+
+    return _let(base, move)
+
 
 def without_thousands(address: Column) -> Column:
     """Drop commas that group digits by three."""
@@ -49,19 +137,27 @@ def part_number(s: Column) -> Column:
     )
 
 
+def cleaned_number(s: Column) -> Column:
+    """A part as decimal text if it is a number, else as it is."""
+    return F.coalesce(part_number(s), F.when(F.length(s) >= 16, _long_number(s)), s)
+
+
 def decimal_part(c: Column) -> Column:
     """One address part to decimal text; text that is no number is unchanged.
 
     Thousands commas go first.
     """
-    s = without_thousands(strip(c))
-    return F.coalesce(part_number(s), s)
+    return cleaned_number(without_thousands(strip(c)))
 
 
 def shifted_base(base: Column, offset: Column) -> Column:
     """A numeric base moved by ``offset``; other text is unchanged, a negative result kept."""
-    moved = base.try_cast("bigint") + offset.cast("bigint")
-    return F.when(base.rlike(INTEGER), moved.cast("string")).otherwise(base)
+    moved = F.try_add(base.try_cast("bigint"), offset.cast("bigint")).cast("string")
+    return (
+        F.when(base.rlike(INTEGER), F.coalesce(moved, _long_sum(base, offset)))
+        .when((F.length(base) >= 19) & base.rlike(LONG_INTEGER), _long_sum(base, offset))
+        .otherwise(base)
+    )
 
 
 def _part(address: Column, n: int) -> Column:
@@ -72,7 +168,7 @@ def apply_offset(address: Column, offset: Column) -> Column:
     """Normalize the parts of an address and shift its base by ``offset``."""
     parts = F.split(address, "_")
     base, second, third = [decimal_part(F.get(parts, F.lit(n))) for n in range(3)]
-    return F.concat_ws("_", shifted_base(base, offset), second, third, rest_of(parts))
+    return F.concat_ws("_", _let(base, lambda b: shifted_base(b, offset)), second, third, rest_of(parts))
 
 
 def rest_of(parts: Column) -> Column:
@@ -95,8 +191,8 @@ def valid_address(address: Column, dtype: Column) -> Column:
 
 
 def valid_register(address: Column, dtype: Column) -> Column:
-    """``valid_address`` for a normalized address, whose numbers must also fit a BIGINT."""
-    number = "[0-9]{1,18}"
+    """``valid_address`` for a normalized address."""
+    number = "[0-9]+"
     shapes = f"STRING:-?{number}_{number}|BITS:-?{number}_{number}_{number}|(?!STRING:|BITS:)[^:]*:-?{number}"
     return F.concat_ws(":", dtype, address).rlike(f"^({shapes})$")
 

@@ -90,7 +90,7 @@ def with_normalized_address(rows: DataFrame, address: str, offset: Column, out:
     """``functions.apply_offset`` as steps, each text worked out once per row."""
     split = rows.withColumn("_parts", F.split(A.without_thousands(F.col(address)), "_"))
     cut = split.withColumns({f"_p{n}": R.strip(F.get("_parts", F.lit(n))) for n in range(3)})
-    read = cut.withColumns({f"_p{n}": F.coalesce(A.part_number(F.col(f"_p{n}")), F.col(f"_p{n}")) for n in range(3)})
+    read = cut.withColumns({f"_p{n}": A.cleaned_number(F.col(f"_p{n}")) for n in range(3)})
     joined = F.concat_ws("_", A.shifted_base(F.col("_p0"), offset), "_p1", "_p2", A.rest_of(F.col("_parts")))
     return read.withColumn(out, joined).drop("_p0", "_p1", "_p2", "_parts")
 

@@ -1,11 +1,14 @@
 """Definition files: one header line and the indexed rows of a map, as text."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regfleet.functions import definition_slug
-from regfleet.operators.ordering import CHUNK_BITS
+from regfleet.operators.lookup import salted_lookup
+from regfleet.operators.ordering import CHUNK_BITS, ordered_scan
 from regfleet.schemas import DEFINITION_COLUMNS
+from regfleet.session import freeze
+from regfleet.sources.files import partition_value, scan_order
 
 # Separator, and how many empty fields end the header line.
 SEPARATOR = ";"
@@ -53,15 +56,52 @@ def with_slug(params: DataFrame) -> DataFrame:
     return params.withColumn("slug", definition_slug(F.col("manufacturer"), F.col("model")))
 
 
-def write_definitions(lines: DataFrame, path: str) -> None:
-    """One folder per map. A map below 2^16 lines is one file, a larger one is cut
-    into files whose name order is the line order, so no task writes it alone.
+def file_names(params: DataFrame) -> DataFrame:
+    """(map_id, file): the slug of each map; maps that share one add 12 hexadecimal digits of their id's SHA-256.
+
+    A slug ends in a word, a longer name in digits, so the names of two maps are never equal.
+    """
+    one = params.groupBy("map_id").agg(F.min(F.struct("manufacturer", "model")).alias("p")).select("map_id", "p.*")
+    slugs = with_slug(one.fillna("", ["manufacturer", "model"])).select("map_id", "slug")
+    shared = slugs.groupBy("slug").agg(F.count("*").alias("maps")).filter("maps > 1").select("slug", F.lit(True).alias("shared"))
+    longer = F.concat_ws("_", "slug", F.substring(F.sha2(F.col("map_id"), 256), 1, 12))
+    return slugs.join(shared, "slug", "left").select("map_id", F.when(F.col("shared"), longer).otherwise(F.col("slug")).alias("file"))
+
+
+def write_definitions(lines: DataFrame, path: str, names: DataFrame | None = None) -> None:
+    """One folder per map: by its id, or by ``file`` in ``names``.
+
+    Many small maps are written by one task. A map below 2^16 lines is one file, a
+    larger one is cut into files whose name order is the line order, so no task
+    writes it alone.
     """
+    folder = "map_id"
+    if names is not None:
+        folder = "file"
+        lines = salted_lookup(lines, names, ["map_id"], "line_ord").withColumn("file", F.coalesce("file", "map_id"))
     (
         lines.withColumn("_chunk", F.shiftright("line_ord", CHUNK_BITS))
-        .repartitionByRange("map_id", "_chunk")
-        .sortWithinPartitions("map_id", "line_ord")
-        .select("map_id", "line")
-        .write.partitionBy("map_id")
+        .repartitionByRange(folder, "_chunk")
+        .sortWithinPartitions(folder, "line_ord")
+        .select(folder, "line")
+        .write.partitionBy(folder)
         .text(path)
     )
+
+
+def read_definitions(spark: SparkSession, path: str, folder: str = "map_id") -> DataFrame:
+    """(folder, position, line) of written files, counted from 0 along the files of each folder."""
+    lines = spark.read.text(f"{path}/*").select(
+        partition_value(F.col("_metadata.file_path"), folder).alias(folder),
+        F.col("_metadata.file_path").alias("_path"),
+        scan_order().alias("_at"),
+        F.col("value").alias("line"),
+    )
+    stored = freeze(lines, "definition-lines")
+    # A task counts rows across the files that it reads, so the first row of each file is its zero.
+    files = stored.groupBy(folder, "_path").agg(F.min("_at").alias("_zero"), F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(folder).orderBy("_path").rowsBetween(Window.unboundedPreceding, -1))
+    placed = files.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_rows")
+    joined = salted_lookup(stored, placed, [folder, "_path"], "_at")
+    ranked = ordered_scan(joined, [folder, "_path", "_zero", "_before"], "_at", counts={"_n": F.lit(True)}, sparse=True)
+    return ranked.select(folder, (F.col("_before") + F.col("_n") - 1).alias("position"), "line")

@@ -2,10 +2,11 @@
 
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regfleet.operators.headers import union_tables
+from regfleet.operators.lookup import salted_lookup
 from regfleet.operators.records import split_header
 from regfleet.session import freeze
 from regfleet.sources.files import MapId, driver_paths, file_stem, scan_order, with_table
@@ -18,8 +19,9 @@ SNIFF_CHARACTERS = 1024
 #: A record up to its line end; line breaks inside closed quotes belong to it.
 _FIRST_RECORD = r'^(?:[^"\r\n]++|"[^"]*+")*+'
 
-#: How many lines a file's first record is looked for in, and how much of each line after the first.
-HEAD_LINES, HEAD_CHARACTERS = 1024, 1 << 19
+#: How many lines a file's first record is looked for in (Spark cuts groups before the shuffle up to 1,000 rows), and how
+#: much of each line after the first.
+HEAD_LINES, HEAD_CHARACTERS = 1000, 1 << 19
 
 #: Lines above this many bytes are not looked at, and lines with more quotes not in detail; their files are read whole.
 LINE_BYTES, LINE_QUOTES = 1 << 26, 1000
@@ -47,6 +49,7 @@ def _judge(heads: DataFrame, simplified: bool) -> DataFrame:
     utf16 = F.expr(_UTF16.format("head"))
     even = F.expr("substring(cast(head AS BINARY), 1, 2 * CAST(floor(octet_length(head) / 2) AS INT))")
     text = F.when(utf16, F.decode(even, "UTF-16")).otherwise(F.ltrim(F.col("head"), F.lit("\ufeff")))
+    text = F.regexp_replace(text, "\r\n?", "\n")
     first = F.regexp_extract("text", _FIRST_RECORD, 0)
     delimiter = _register_delimiter(F.col("first")) if simplified else _document_delimiter(F.col("text"))
     delimiters = [
@@ -74,25 +77,33 @@ def _lines(spark: SparkSession, path, separator: str | None = None) -> DataFrame
     )
 
 
-def _heads(spark: SparkSession, path, separator: str | None = None) -> DataFrame:
-    """(file, head): the first lines of each file as one text."""
-    lines = _lines(spark, path, separator).filter(F.col("split") == 0)
-    start = lines.groupBy("file").agg(F.min("row_ord").alias("start"))
-    first = lines.join(start, "file").filter(F.col("row_ord") < F.col("start") + HEAD_LINES)
-    cut = F.when(F.col("row_ord") == F.col("start"), F.col("value")).otherwise(F.substring("value", 1, HEAD_CHARACTERS))
+def _heads(spark: SparkSession, path) -> DataFrame:
+    """(file, head): the lines at the start of each file that may belong to its first record or first characters.
+
+    Lines end at LF only, which gives back the bytes of UTF-16 text. One scan; each task hands on the first lines only.
+    """
+    order = Window.partitionBy("file").orderBy("row_ord")
+    first = (
+        _lines(spark, path, "\n")
+        .filter(F.col("split") == 0)
+        .withColumn("n", F.row_number().over(order))
+        .filter(F.col("n") <= HEAD_LINES)
+    )
+    so_far = order.rowsBetween(Window.unboundedPreceding, -1)
+    needed = first.withColumns(
+        {"open": F.sum(_occurrences(F.col("value"), '"')).over(so_far) % 2 == 1, "size": F.sum(F.length("value") + 1).over(so_far)}
+    ).filter((F.col("n") == 1) | F.col("open") | (F.col("size") < 2 * SNIFF_CHARACTERS))
+    cut = F.when(F.col("n") == 1, F.col("value")).otherwise(F.substring("value", 1, HEAD_CHARACTERS))
     return (
-        first.groupBy("file")
-        .agg(F.array_sort(F.collect_list(F.struct("row_ord", cut.alias("value")))).alias("l"))
+        needed.groupBy("file")
+        .agg(F.array_sort(F.collect_list(F.struct("n", cut.alias("value")))).alias("l"))
         .select("file", F.array_join("l.value", "\n").alias("head"))
     )
 
 
 def dialects(spark: SparkSession, path, simplified: bool = False) -> DataFrame:
     """Encoding, delimiter and width of every file below ``path`` that is not empty."""
-    # Only LF as line end gives back the bytes of UTF-16 text.
-    exact = _heads(spark, path, "\n").filter(F.expr(_UTF16.format("head"))).withColumnRenamed("head", "exact")
-    heads = _heads(spark, path).join(exact, "file", "left").select("file", F.coalesce("exact", "head").alias("head"))
-    return _judge(heads, simplified)
+    return _judge(_heads(spark, path), simplified)
 
 
 def _columns(width: int) -> list[str]:
@@ -142,7 +153,7 @@ def _by_line(spark: SparkSession, files: list[str], delimiter: str) -> set[str]:
     return {row.file for row in found.select("file").toLocalIterator()}
 
 
-def _split_files(spark: SparkSession, files: list[str], delimiter: str, width: int) -> DataFrame:
+def _split_files(spark: SparkSession, files: list[str], utf16: bool, delimiter: str, width: int) -> DataFrame:
     """Records of files that ``_by_line`` names, read in splits."""
     schema = ", ".join(f"{c} STRING" for c in _columns(width))
     options = {"sep": delimiter, "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
@@ -160,8 +171,8 @@ def read_delimited(
 ) -> tuple[DataFrame, DataFrame]:
     """Headers and records of all delimited files below ``path``, one map per file.
 
-    A first pass finds encoding, delimiter and width of each file, a second one the
-    files of one record a line; those are read in splits, so a file of any size is
+    A first scan finds encoding, delimiter and width of each file, a second one the
+    files of one record a line, a third one reads them; those are read in splits, so a file of any size is
     the work of many tasks. Files with quoted line breaks, stray quotes, mixed line
     ends, CR line ends or in UTF-16 are streamed, one task each. Both use the same
     parser: line ends may be LF, CR LF or CR, a quote opens a cell only at its
@@ -169,17 +180,27 @@ def read_delimited(
     driver, which Spark's own listing keeps there as well. The records are stored,
     as header rules, numbering and projection each read them.
     """
+    found = freeze(dialects(spark, path, simplified), "dialects")
     groups = defaultdict(list)
-    for row in dialects(spark, path, simplified).toLocalIterator():
-        groups[row.utf16, row.delimiter, row.width].append(row)
+    for row in found.toLocalIterator():
+        # Files are read in classes of widths, so their number does not grow with that of the widths.
+        groups[row.utf16, row.delimiter, 1 << (row.width - 1).bit_length()].append(row)
     parts, by_line = [], {}
     for delimiter in {delimiter for utf16, delimiter, _ in groups if not utf16}:
         files = [f for (utf16, d, _), rows in groups.items() if d == delimiter and not utf16 for f in rows]
         by_line[delimiter] = _by_line(spark, driver_paths(files), delimiter)
-    for (utf16, delimiter, width), files in groups.items():
+    for (utf16, delimiter, class_), files in groups.items():
+        widths = {f.width for f in files}
+        width = widths.pop() if len(widths) == 1 else class_
         simple = set() if utf16 else by_line[delimiter]
-        if split := [f for f in files if f.file in simple]:
-            parts.append(_split_files(spark, driver_paths(split), delimiter, width))
-        if whole := [f for f in files if f.file not in simple]:
-            parts.append(_whole_files(spark, driver_paths(whole), utf16, delimiter, width))
+        for chosen, read in (([f for f in files if f.file in simple], _split_files), ([f for f in files if f.file not in simple], _whole_files)):
+            if chosen:
+                rows = read(spark, driver_paths(chosen), utf16, delimiter, width)
+                parts.append(rows if not widths else _cut(rows, found))
     return split_header(freeze(with_table(union_tables(parts), map_id), "records"))
+
+
+def _cut(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with the cells that the header of their file has."""
+    sized = salted_lookup(rows, found.select("file", "width"), ["file"], "row_ord")
+    return sized.select("file", "row_ord", F.slice("cells", F.lit(1), F.col("width")).alias("cells"))

@@ -26,9 +26,9 @@ def file_stem(path: Column) -> Column:
     return _decoded(F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1))
 
 
-def partition_value(path: Column) -> Column:
-    """Value of the ``map_id=...`` folder that partitioned sinks write, which is escaped twice."""
-    return _decoded(_decoded(F.regexp_extract(path, r"map_id=([^/]+)/", 1)))
+def partition_value(path: Column, name: str = "map_id") -> Column:
+    """Value of the ``name=...`` folder that partitioned sinks write, which is escaped twice."""
+    return _decoded(_decoded(F.regexp_extract(path, rf"{name}=([^/]+)/", 1)))
 
 
 def scan_order() -> Column:

@@ -56,18 +56,41 @@ def test_addresses(spark):
              "A0_A0": "210_160", "1_2_3_4_5": "51_2_3_4_5",
              "1_2_3_0x4": "51_2_3_4"}
     assert values(spark, lambda a: R.apply_offset(a, F.lit(50)), *moved) == list(moved.values())
-    bases = ["512", "0x200", "200h", "F0"]
-    good = [(b + rest, t) for b in bases for rest, t in (("", "U16"), ("_8", "STRING"), ("_3_2", "BITS"))]
-    assert all(values(spark, R.valid_address, *good))
-    bad = [("512_8", "U16"), ("512", "STRING"), ("G1", "U16"), ("512_3", "BITS"), ("", "U16"), ("512_3_2", "STRING")]
-    assert not any(values(spark, R.valid_address, *bad))
-    assert values(spark, R.valid_register, ("1", "U16"), ("1_2", "STRING"), ("1_2_3", "BITS"), ("-5", "MAC"), ("9" * 19, "U16"),
-                  ("1_2", "IP"), ("1", "STRING")) == [True, True, True, True, False, False, False]
+    # As many parts as the type asks for, whatever the spelling of the base; nothing else.
+    rnd = random.Random(11)
+    parts = {"STRING": 2, "BITS": 3, "U16": 1, "IPV6": 1}
+    cases = {}
+    for kind, wanted in parts.items():
+        for count in range(1, 5):
+            number = rnd.randrange(1, 10**6)
+            for base in (f"{number}", f"-{number}", f"0x{number:X}", f"{number:x}H", f"{number:X}"):
+                cases["_".join([base, *(str(rnd.randrange(50)) for _ in range(count - 1))]), kind] = count == wanted
+        tail = "_1" * (wanted - 1)
+        cases |= {(base + tail, kind): False for base in ("", "0x", "7G", "1.5", "--1", "1 2", "h")}
+    assert values(spark, R.valid_address, *cases) == list(cases.values())
+    assert values(spark, R.valid_register, ("1", "U16"), ("1_2", "STRING"), ("1_2_3", "BITS"), ("-5", "MAC"), ("9" * 59, "U16"),
+                  ("1_2", "IP"), ("1", "STRING")) == [True, True, True, True, True, False, False]
     counts = {("U16", "1"): 1, ("I8_B", "1"): 1, ("U32", "1"): 2, ("F32_WB", "1"): 2, ("IP", "1"): 2, ("U64", "1"): 4, ("MAC", "1"): 3,
               ("IPV6", "1"): 8, ("STRING", "30000_10"): 5, ("STRING", "30000_11"): 6, ("STRING", "30000"): 0, ("STRING", "1_0"): 0, ("BITS", "1_0_1"): 1}
     assert values(spark, R.register_count, *counts) == list(counts.values())
 
 
+def test_addresses_of_any_length(spark):
+    """Against Python's integers: reading, and moving up, down and across zero."""
+    rnd = random.Random(12)
+    numbers = [rnd.randrange(10 ** (n - 1), 10**n) * rnd.choice([1, -1]) for n in range(15, 61) for _ in range(3)]
+    numbers += [sign * (10**n + d) for n in (18, 19, 27, 36, 37, 38, 45) for d in (-1, 0, 1) for sign in (1, -1)]
+    spelled = {f"{n}": str(n) for n in numbers}
+    spelled |= {f"00{abs(n)}": str(abs(n)) for n in numbers} | {f"+{abs(n)}": str(abs(n)) for n in numbers}
+    spelled |= {f"0x{abs(n):X}": str(abs(n)) for n in numbers} | {f"{n:x}h": str(n) for n in numbers}
+    spelled |= {"-0x" + "1" * 20: "-0x" + "1" * 20, "1" * 30 + ".0": "1" * 30 + ".0", "-" + "0" * 25: "0"}
+    assert values(spark, R.decimal_part, *spelled) == list(spelled.values())
+    for offset in (50, -50_000, 2**63 - 1, -(2**63) + 1):
+        moved = values(spark, lambda a, o=offset: R.apply_offset(a, F.lit(o)), *map(str, numbers))
+        fits = [(m, n + offset) for m, n in zip(moved, numbers, strict=True) if abs(n) >= 10**18 or abs(offset) < 10**18]
+        assert all(m == str(total) for m, total in fits)
+
+
 def test_str_and_bits(spark):
     assert values(spark, R.expand_str_address, ("STR20", "100"), ("STR020", "100"), ("STR20", "100_5"), ("U16", "7"), ("STR20", "")) == [
         "100_20", "100_20", "100_5", "7", "_20"]
@@ -104,8 +127,8 @@ def test_codes(spark):
 
 
 def test_names(spark):
-    bases = {"AC Power": "ac_power", "[Energy] Running  status": "energy_running_status", "3 phase": "v_3_phase", "": "var", "°": "var",
-             "_a__b_": "a_b", "Rated power (Pn)": "rated_power_pn", "two\nlines": "twolines"}
+    bases = {"Fan Speed": "fan_speed", "<Aux>  Relay 2": "aux_relay_2", "9 lives": "v_9_lives", "": "var", "°": "var",
+             "_x__y_": "x_y", "Flow [l/s] (max)": "flow_ls_max", "two\nlines": "twolines"}
     assert values(spark, R.tag_base, *bases) == list(bases.values())
     assert values(spark, R.definition_slug, ("Acme & Co", "X-1")) == ["acme___co_x_1_definition"]
 
@@ -130,7 +153,7 @@ def test_status_order(spark):
         )
     )
     assert [r.status for r in staged.orderBy("line_num").collect()] == [
-        "OK", "BLANK", "MISSING_NAME_AND_ADDRESS", "INVALID_TYPE", "INVALID_ADDRESS", "INVALID_ADDRESS", "INVALID_TYPE", "OK"]
+        "OK", "BLANK", "MISSING_NAME_AND_ADDRESS", "INVALID_TYPE", "INVALID_ADDRESS", "OK", "INVALID_TYPE", "OK"]
     last = staged.filter("line_num = 9").first()
     assert (last.info2, last.info3) == ("16_20", "STRING")
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from regfleet.operators.headers import resolve_columns, source_columns
+from regfleet.operators.headers import project_records, resolve_columns, source_columns
 from regfleet.operators.records import drop_repeats, grid_records, select_tables
 from regfleet.plans.definition import generate
 from regfleet.plans.extraction import extract, run, simplified
@@ -33,16 +33,19 @@ def by_map(records):
     return found
 
 
-SAMPLE = "Register,Name,Data Type,Unit,Scale,Access\n100,Motor Speed,uint16,rpm,1,R\n102,Tank Level,uint16,mm,0.1,R\n104,Oil Heat,int16,°C,0.1,R\n"
-AMBIGUOUS = (
-    "Signal Name,Register Offset,Data Format,Measurement Unit,Ratio\nFlow_A,0x1F40,float32 swap,l,0.1\nState,8001,BITS,READ,\n"
-    'Label,8002,STR24,7,\nPulse,"8,050",unsigned int 32 big endian,0.02,Hz\n'
+PUMP = (
+    "Access mode,Bias,Parameter name,Modbus type,Addr,Format,Measuring unit,Multiplier\n"
+    "rw,,Valve 1,coil,0x20,uint8,,\nr,-40,Inlet,input,33,signed int 16,°C,1/8\n"
+    "r,,Runtime,holding,0100h,unsigned integer 32 word,h,\n"
+)
+#: A name column that looks like a tag, two scales, bits in columns of their own, and a row without a usable address.
+TRAPS = (
+    "Remarks,Size,Register,Tag name,Reg type,Kind of format,Start bit,Scale factor,Scale\n"
+    'x,2,0x0A,Gate,1,bits,3,0,1\ny,,"1,024",Depth,weird,STR12,,1,2.5\nz,,20-21,Bad,,uint16,,,\n,,0C,Spare,4,float 64,,-2,4\n'
 )
 SIMPLE = (
-    "Name,Tag,RegisterType,Address,Type,Factor,Offset,Unit,Action\n"
-    "Plate Text,PlateTag,Holding Register,500_16,STRING,1,0,,4\n"
-    "Peak load (Lp),PeakLoad,Holding Register,520,U32,0.001,0,kW,4\n"
-    "[Pump group 2] Valve state,,3,560,U16,1,0,,1\n"
+    "Address;Unit;Name;Type;Action;ScaleFactor;Tag\n"
+    "7_9;;Serial text;string;;;\n0x30;kWh;Total out;u64;R;3;E_TOT\n61;;Total out;mac;W;;\n"
 )
 
 
@@ -50,13 +53,13 @@ SIMPLE = (
 def docs(tmp_path):
     folder = tmp_path / "docs"
     folder.mkdir()
-    (folder / "sample.csv").write_text(SAMPLE, encoding="utf-8")
-    (folder / "ambiguous.csv").write_text(AMBIGUOUS, encoding="utf-8")
-    (folder / "bom.csv").write_bytes(SAMPLE.replace(",", ";").encode("utf-8-sig"))
-    (folder / "wide.csv").write_bytes(SAMPLE.replace(",", "\t").encode("utf-16"))
-    (folder / "big_endian.csv").write_bytes(b"\xfe\xff" + SAMPLE.encode("utf-16-be"))
+    (folder / "pump.csv").write_text(PUMP, encoding="utf-8")
+    (folder / "traps.csv").write_text(TRAPS, encoding="utf-8")
+    (folder / "bom.csv").write_bytes(PUMP.replace(",", ";").encode("utf-8-sig"))
+    (folder / "wide.csv").write_bytes(PUMP.replace(",", "\t").encode("utf-16"))
+    (folder / "big_endian.csv").write_bytes(b"\xfe\xff" + PUMP.encode("utf-16-be"))
     (folder / "stray.csv").write_text('Size 5",Name,Address\n1,a,2\n')
-    (folder / "[old] {mac}.csv").write_bytes(SAMPLE.replace("\n", "\r").encode())
+    (folder / "[old] {mac}.csv").write_bytes(PUMP.replace("\n", "\r").encode())
     (folder / "inches.csv").write_text("Register,Name,Data Type\n1,rack 19\" a,U16\n2,rack 20\" b,U16\n3,plain,U16\n")
     (folder / "broken lines.csv").write_bytes(
         b'Address;Name;Type\r\n1;"two\r\nlines; ""quoted""";U16\r\n\r\n2;plain;U16\r\n'
@@ -67,41 +70,41 @@ def docs(tmp_path):
 def test_dialects(spark, docs):
     found = {r.file.rsplit("/", 1)[1]: (r.utf16, r.delimiter, r.width) for r in dialects(spark, docs).collect()}
     assert found == {
-        "sample.csv": (False, ",", 6),
-        "ambiguous.csv": (False, ",", 5),
-        "bom.csv": (False, ";", 6),
-        "wide.csv": (True, "\t", 6),
-        "big_endian.csv": (True, ",", 6),
+        "pump.csv": (False, ",", 8),
+        "traps.csv": (False, ",", 9),
+        "bom.csv": (False, ";", 8),
+        "wide.csv": (True, "\t", 8),
+        "big_endian.csv": (True, ",", 8),
         "broken%20lines.csv": (False, ";", 3),
         "stray.csv": (False, ",", 3),
-        "%5Bold%5D%20%7Bmac%7D.csv": (False, ",", 6),
+        "%5Bold%5D%20%7Bmac%7D.csv": (False, ",", 8),
         "inches.csv": (False, ",", 3),
     }
 
 
-GOLDEN_SAMPLE = [
-    "1;3;100;U16;;Motor Speed;motor_speed;1.000000;0.000000;rpm;4",
-    "2;3;102;U16;;Tank Level;tank_level;0.100000;0.000000;mm;4",
-    "3;3;104;I16;;Oil Heat;oil_heat;0.100000;0.000000;°C;4",
+PUMP_ROWS = [
+    "1;1;32;U8;;Valve 1;valve_1;1.000000;0.000000;;1",
+    "2;4;33;I16;;Inlet;inlet;0.125000;-40.000000;°C;4",
+    "3;3;256;U32_W;;Runtime;runtime;1.000000;0.000000;h;4",
 ]
-GOLDEN_AMBIGUOUS = [
-    "1;3;8000;F32_WB;;Flow_A;flow_a;0.100000;0.000000;l;1",
-    "2;3;8002_24;STRING;;Label;label;1.000000;0.000000;7;1",
-    "3;3;8050;U32_WB;;Pulse;pulse;1.000000;0.000000;0.02;1",
+TRAP_ROWS = [
+    "1;1;10_3_2;BITS;;Gate;gate;1.000000;0.000000;;1",
+    "2;3;1024_12;STRING;;Depth;depth;25.000000;0.000000;;1",
+    "3;4;12;F32;;Spare;spare;0.040000;0.000000;;1",
 ]
 
 
 def test_documents_to_definitions(spark, docs):
     headers, records = read_delimited(spark, docs)
-    p = params(spark, *[(m, "M", "X", 0) for m in ("sample", "ambiguous", "bom", "wide", "big_endian", "broken lines", "[old] {mac}")])
+    p = params(spark, *[(m, "M", "X", 0) for m in ("pump", "traps", "bom", "wide", "big_endian", "broken lines", "[old] {mac}")])
     lines = definition_lines(run(headers, records, params=p), p).cache()
     head = "modbusRTU;Inverter;M;X;;;;;;;"
-    for m in ("sample", "bom", "wide", "big_endian", "[old] {mac}"):
-        assert lines_of(lines, m) == [head, *GOLDEN_SAMPLE], m
+    for m in ("pump", "bom", "wide", "big_endian", "[old] {mac}"):
+        assert lines_of(lines, m) == [head, *PUMP_ROWS], m
     found = {m: [r.cells[1] for r in rows] for m, rows in by_map(records).items()}
     assert found["inches"] == ['rack 19" a', 'rack 20" b', "plain"]
     assert {len(r.cells) for r in by_map(records)["stray"]} == {3}
-    assert lines_of(lines, "ambiguous") == [head, *GOLDEN_AMBIGUOUS]
+    assert lines_of(lines, "traps") == [head, *TRAP_ROWS]
     assert lines_of(lines, "broken lines") == [
         head,
         '1;3;1;U16;;"two\nlines; ""quoted""";twolines_quoted;1.000000;0.000000;;1',
@@ -112,7 +115,7 @@ def test_documents_to_definitions(spark, docs):
 def test_simplified_file(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_text(SIMPLE)
-    (tmp_path / "in" / "b.csv").write_text(AMBIGUOUS)
+    (tmp_path / "in" / "b.csv").write_text(TRAPS)
     (tmp_path / "in" / "c.csv").write_text(" NAME ;address;TYPE;x\nText;100;STR20;\n;;;y\n;;;\nLow;10;U16;\n")
     headers, records = read_delimited(spark, str(tmp_path / "in"), simplified=True)
     p = params(spark, ("a", "M", "X", 0), ("b", "M", "X", 0), ("c", "M", "X", 50))
@@ -120,9 +123,9 @@ def test_simplified_file(spark, tmp_path):
     head = "modbusRTU;Inverter;M;X;;;;;;;"
     assert lines_of(lines, "a") == [
         head,
-        "1;3;500_16;STRING;;Plate Text;PlateTag;1.000000;0.000000;;4",
-        "2;3;520;U32;;Peak load (Lp);PeakLoad;0.001000;0.000000;kW;4",
-        "3;3;560;U16;;[Pump group 2] Valve state;pump_group_2_valve_state;1.000000;0.000000;;1",
+        "1;3;7_9;STRING;;Serial text;serial_text;1.000000;0.000000;;1",
+        "2;3;48;U64;;Total out;E_TOT;1000.000000;0.000000;kWh;4",
+        "3;3;61;MAC;;Total out;total_out;1.000000;0.000000;;1",
     ]
     assert lines_of(lines, "b") == [head]
     assert lines_of(lines, "c") == [
@@ -135,6 +138,64 @@ def test_simplified_file(spark, tmp_path):
     assert "".join(f.read_text() for f in sorted(written)).splitlines() == lines_of(lines, "c")
 
 
+def test_folders_by_slug(spark, tmp_path):
+    """Maps that share a slug get names of their own; positions count across the files of a long map."""
+    from regfleet.sinks.definition import file_names, read_definitions
+
+    p = params(spark, ("a", "X & Y", "1", 0), ("b", "X + Y", "1", 0), ("c", "Z", "2", 0), ("c", "Z", "3", 0))
+    names = {r.map_id: r.file for r in file_names(p).collect()}
+    assert names["c"] == "z_2_definition" and names["a"].startswith("x___y_1_definition_") and len(set(names.values())) == 3
+    n = 150_000
+    lines = spark.range(n).select(F.lit("c").alias("map_id"), F.col("id").alias("line_ord"), F.col("id").cast("string").alias("line"))
+    few = spark.createDataFrame([("a", 0, "head"), ("a", 1, "row"), ("d", 0, "unnamed")], lines.schema)
+    write_definitions(lines.union(few), str(tmp_path / "out"), file_names(p))
+    read = read_definitions(spark, str(tmp_path / "out"), "file")
+    assert read.filter("file = 'z_2_definition' AND CAST(position AS STRING) = line").count() == n
+    rest = sorted(map(tuple, read.filter("file != 'z_2_definition'").collect()))
+    assert rest == sorted([(names["a"], 0, "head"), (names["a"], 1, "row"), ("d", 0, "unnamed")])
+
+
+def test_plan_does_not_grow_with_the_widths(spark, tmp_path, monkeypatch):
+    """Forty widths are read in a handful of scans, each row with the cells of its own header."""
+    from regfleet.sources import delimited
+
+    (tmp_path / "in").mkdir()
+    for width in range(3, 43):
+        rows = [[f"h{c}" for c in range(width)], [f"{width}-{c}" for c in range(width)], ["short"], ["x"] * (width + 2)]
+        (tmp_path / "in" / f"w{width}.csv").write_text("\n".join(map(",".join, rows)) + "\n")
+    parts = []
+    monkeypatch.setattr(delimited, "union_tables", lambda tables, union=delimited.union_tables: parts.extend(tables) or union(tables))
+    _, records = read_delimited(spark, str(tmp_path / "in"))
+    found = by_map(records)
+    assert len(parts) <= 5
+    for width in range(3, 43):
+        cells = [list(r.cells) for r in found[f"w{width}"]]
+        assert cells == [[f"{width}-{c}" for c in range(width)], ["short"] + [""] * (width - 1), ["x"] * width]
+
+
+def test_files_are_scanned_once_for_their_heads(spark, docs):
+    """The first lines are cut to a few per file before anything is shuffled."""
+    text = dialects(spark, docs)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and "WindowGroupLimit" in text
+
+
+def test_repeated_parameters_count_once(spark):
+    header = spark.createDataFrame([("m", 0, ["Name", "Address"])], "map_id string, table_id int, header array<string>")
+    records = spark.createDataFrame([("m", 0, 1, ["a", "10"])], "map_id string, table_id int, row_ord bigint, cells array<string>")
+    p = params(spark, ("m", "M", "X", 7), ("m", "M", "X", 5))
+    assert [r.info2 for r in run(header, records, params=p).collect()] == ["15"]
+
+
+def test_xml_rows_of_two_names(spark, tmp_path):
+    (tmp_path / "m.xml").write_text(
+        '<map><coil no="1"><Name>A</Name><Addr>1</Addr></coil><word><Addr>2</Addr><Unit>V</Unit><Name>B</Name></word>'
+        "<coil><Name>A</Name><Addr>1</Addr></coil><word><Name>A</Name><Addr>1</Addr></word></map>"
+    )
+    headers, records = read_xml(spark, str(tmp_path), ["coil", "word"])
+    found = sorted((r.table_id, r.name, r.address, r.unit) for r in project_records(records, resolve_columns(source_columns(headers, records))).collect())
+    assert found == [(0, "A", "1", None), (1, "B", "2", "V")]
+
+
 def test_definition_headers(spark):
     """Defaults, one header for repeated parameters, a header for a map without any."""
     from regfleet.schemas import DEFINITION_COLUMNS
