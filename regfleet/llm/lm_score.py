@@ -5,15 +5,19 @@ counted over every document, the target over all chosen ones, and the
 background's counts are scaled to the target's, so that both are smoothed alike.
 A word's probability after another is (c(h, w) + MU * p(w)) / (c(h) + MU).
 
-The counts are Spark tables that grow with the corpus. A pair that is in no row
-of the table of pairs occurs once, in the text at hand. Counts of the most
-frequent words and pairs are broadcast, with a Bloom filter of the other pairs;
-what a text holds beyond is counted and joined with the tables. The broadcasts
-only decide where a count is looked up.
+The counts are tables that grow with the corpus. Pairs are told apart by 64-bit
+hashes; the leading bits of a hash name its bucket, and there are so many buckets
+that each holds some two million words of text. Between stages a row is a block:
+the sorted pairs that a task has for one bucket, as arrays. Such a block takes
+some seven bytes a pair, and adding blocks up is a merge of sorted arrays.
+
+A pair that is in no block of the table occurs once, in the text at hand. Counts of
+the most frequent words and pairs are broadcast, with Bloom filters of the others
+that occur more than once; what a text holds of those goes to the bucket of its
+pair, and the losses come back to the text. The broadcasts only decide where a
+count is looked up.
 """
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,21 +28,92 @@ from .words import LETTERS, Words, mix, split_words
 
 MU = 50.0
 
-#: Words, and pairs of words, whose counts are broadcast, at most. One beyond stands at most once in so many words.
-HOT = 1 << 20
+#: Pairs of words whose counts are broadcast, at most, and half as many words. One beyond stands at most once in so many.
+HOT = 1 << 21
 
 #: Ids of target documents up to which they are broadcast; more are joined by shuffle.
 BROADCAST_TARGETS = 500_000
 
-#: Rows that a task holds before it hands them on.
-_HELD = 400_000
+#: Rows that a task holds before it hands them on, and words of text for each bucket.
+_HELD, _BUCKET = 1 << 20, 1 << 21
+
+#: Texts whose losses are added up together, as a power of two.
+_TEXT_BITS = 13
 
 _BEGIN, _UNKNOWN = np.uint64(0x3C6EF372FE94F82B), np.uint64(0xA54FF53A5F1D36F1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
+#: Kinds of blocks: counts of pairs, pairs of texts to look up, words and words before to look up, sums of texts, losses.
+_COUNTS, _PAIRS, _WORDS, _BEFORE, _TEXTS, _LOSSES = range(6)
+_BLOCK = ["kind", "bucket", "a", "b", "c", "d", "e"]
+_BLOCK_SCHEMA = "kind int, bucket bigint, a binary, b binary, c binary, d binary, e binary"
+
+
+# --- blocks ----------------------------------------------------------------
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """64-bit values byte by byte: all lowest bytes, then all next ones, so that what is equal lies together."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(scalar: pa.Scalar, dtype=np.uint64) -> np.ndarray:
+    planes = np.frombuffer(scalar.as_buffer(), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=np.uint64(0))
+
+
+def _keys_of(scalar: pa.Scalar) -> np.ndarray:
+    return np.cumsum(_unpacked(scalar), dtype=np.uint64)
+
+
+def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
+
+
+def _cut(kind: int, bucket: np.ndarray, columns: list[np.ndarray], rising: bool = False) -> pa.RecordBatch:
+    """A block for each stretch of equal buckets; the first column as steps if it is ``rising``."""
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    rows = [[] for _ in range(5)]
+    for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)]):
+        for k in range(5):
+            part = columns[k][low:high] if k < len(columns) else None
+            rows[k].append(None if part is None else _packed(_steps(part) if rising and k == 0 else part))
+    arrays = [pa.array(np.full(len(starts), kind, dtype=np.int32)), pa.array(bucket[starts]), *(pa.array(r, pa.binary()) for r in rows)]
+    return pa.RecordBatch.from_arrays(arrays, _BLOCK)
+
+
+def _by_bucket(batches):
+    """(bucket, rows of it) of blocks that come sorted by bucket."""
+    current, held = None, []
+    for batch in batches:
+        columns = [batch.column(c) for c in range(7)]
+        for k, bucket in enumerate(columns[1].to_pylist()):
+            if bucket != current:
+                if held:
+                    yield current, held
+                current, held = bucket, []
+            held.append((columns[0][k].as_py(), *(c[k] for c in columns[2:])))
+    if held:
+        yield current, held
+
+
+def _added(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct keys in order, and the columns added up by them."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
+    return keys[first], [np.add.reduceat(c[order], first) if len(first) else c for c in columns]
+
 
-def _pairs(words: Words, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the word before every word, or of the begin of a text, and of the word itself."""
+# --- words and pairs -------------------------------------------------------
+
+
+def _pairs(words: Words, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the word before every word, or of the begin of a text, of the word itself, and whether it ends its text."""
     word = words.hashes()
     if known is not None:
         word = np.where(np.isin(word, known), word, _UNKNOWN)
@@ -47,7 +122,7 @@ def _pairs(words: Words, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarr
     first = np.ones(len(word), dtype=bool)
     first[1:] = words.text[1:] != words.text[:-1]
     before[first] = _BEGIN
-    return before, word
+    return before, word, np.append(first[1:], True)[: len(word)]
 
 
 def _keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -58,196 +133,307 @@ def _signed(hashes: np.ndarray) -> pa.Array:
     return pa.array(hashes.view(np.int64))
 
 
-def _word_rows(text: str):
-    """(word, n): words of a task by hash, counted per piece."""
+def _pieces_of(batches):
+    """Words of each piece of the texts, and which of them are in target documents."""
+    for piece in pieces(batches, "text"):
+        words = split_words(piece.column("text"), LETTERS)
+        yield piece, words, piece.column("wanted").to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def rows(batches):
-        for piece in pieces(batches, text):
-            word, n = np.unique(split_words(piece.column(text), LETTERS).hashes(), return_counts=True)
-            yield pa.RecordBatch.from_arrays([_signed(word), pa.array(n)], ["word", "n"])
 
-    return rows
+def _known_rows(batches):
+    """(word, n): words by hash, counted per piece."""
+    for piece in pieces(batches, "text"):
+        word, n = np.unique(split_words(piece.column("text"), LETTERS).hashes(), return_counts=True)
+        yield pa.RecordBatch.from_arrays([_signed(word), pa.array(n)], ["word", "n"])
+
+
+def _held(parts, emit):
+    """What ``emit`` makes of (keys, columns) added up over pieces, whenever enough are held, and at the end."""
+    kept, size = [], 0
+
+    def together():
+        return _added(np.concatenate([k for k, _ in kept]), [np.concatenate(c) for c in zip(*(c for _, c in kept))])
+
+    for keys, columns in parts:
+        kept.append(_added(keys, columns))
+        size += len(kept[-1][0])
+        if size > _HELD:
+            kept = [together()]
+            size = len(kept[0][0])
+            if size > _HELD // 2:
+                yield emit(*kept[0])
+                kept, size = [], 0
+    if kept:
+        yield emit(*together())
+
+
+_WORD_COLUMNS = ["n", "n_target", "last", "last_target"]
+
 
+def _word_rows(shared):
+    """(word, n, n_target, last, last_target): words, and how many of them end a text; texts end the begin once less."""
 
-def _counted(names: list[str], pick, text: str, target: str, shared):
-    """Counts by the keys that ``pick`` gives for a piece's pairs, summed over the pieces of a task."""
+    def parts(batches):
+        for _, words, wanted in _pieces_of(batches):
+            if len(words.start):
+                _, word, last = _pairs(words, shared.value)
+                target, last = wanted[words.text], last.astype(np.int64)
+                ends = np.array([last.sum(), (last * target).sum()])
+                keys = np.append(word, _BEGIN)
+                yield keys, [np.append(c, x) for c, x in zip((np.ones_like(last), target, last, last * target), (0, 0, -ends[0], -ends[1]))]
 
-    def summed(parts):
-        key, *columns = (np.concatenate(x) for x in zip(*parts, strict=True))
-        key, at, back = np.unique(key, return_index=True, return_inverse=True)
-        return [key] + [
-            c[at] if c.dtype == np.uint64 else np.bincount(back, weights=c, minlength=len(key)).astype(np.int64) for c in columns
-        ]
+    def emit(keys, columns):
+        return pa.RecordBatch.from_arrays([_signed(keys), *map(pa.array, columns)], ["word", *_WORD_COLUMNS])
 
-    def batch(part):
-        return pa.RecordBatch.from_arrays([_signed(c) if c.dtype == np.uint64 else pa.array(c) for c in part[1:]], names)
+    return lambda batches: _held(parts(batches), emit)
+
+
+def _pair_blocks(shared, bits: int):
+    """Blocks of counted pairs: key, n, n in targets."""
+
+    def parts(batches):
+        for _, words, wanted in _pieces_of(batches):
+            if len(words.start):
+                before, word, _ = _pairs(words, shared.value)
+                yield _keys(before, word), [np.ones(len(word), dtype=np.int64), wanted[words.text]]
+
+    def emit(keys, columns):
+        return _cut(_COUNTS, _bucket(keys, bits), [keys, *columns], rising=True)
+
+    return lambda batches: _held(parts(batches), emit)
+
+
+def _repeated_pairs(batches):
+    """One block for each bucket with the pairs that occur more than once."""
+    for bucket, rows in _by_bucket(batches):
+        keys, (n, target) = _added(
+            np.concatenate([_keys_of(r[1]) for r in rows]), [np.concatenate([_unpacked(r[k], np.int64) for r in rows]) for k in (2, 3)]
+        )
+        some = n > 1
+        yield _cut(_COUNTS, np.full(int(some.sum()), bucket), [keys[some], n[some], target[some]], rising=True)
+
+
+def _pair_rows(low: int, high: int):
+    """(key, n, n_target) of the pairs of blocks with a count from ``low`` to below ``high``."""
 
     def rows(batches):
-        parts, held = [], 0
-        for piece in pieces(batches, text):
-            words = split_words(piece.column(text), LETTERS)
-            if not len(words.start):
-                continue
-            wanted = piece.column(target).to_numpy(zero_copy_only=False).astype(np.int64)[words.text]
-            parts.append(summed([pick(*_pairs(words, shared.value), wanted)]))
-            held += len(parts[-1][0])
-            if held > _HELD:
-                parts = [summed(parts)]
-                held = len(parts[0][0])
-                if held > _HELD // 2:
-                    yield batch(parts[0])
-                    parts, held = [], 0
-        if parts:
-            yield batch(summed(parts))
+        for batch in batches:
+            for k in range(batch.num_rows):
+                keys, n, target = _keys_of(batch.column(2)[k]), *(_unpacked(batch.column(c)[k], np.int64) for c in (3, 4))
+                some = (n >= low) & (n < high)
+                yield pa.RecordBatch.from_arrays([_signed(keys[some]), pa.array(n[some]), pa.array(target[some])], ["key", "n", "n_target"])
 
     return rows
 
 
-def _as_pairs(before, word, wanted):
-    return _keys(before, word), before, word, np.ones(len(word), dtype=np.int64), wanted
+def _pair_steps(batches):
+    """(step, rows, n): how many pairs have a count from n on, by steps of a quarter of its doubling."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            n = _unpacked(batch.column(3)[k], np.int64)
+            if len(n):
+                step, at, rows = np.unique(np.floor(4 * np.log2(n)).astype(np.int32), return_inverse=True, return_counts=True)
+                least = np.full(len(step), np.iinfo(np.int64).max)
+                np.minimum.at(least, at, n)
+                yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(rows), pa.array(least)], ["step", "rows", "n"])
+
+
+def _hot_bound(steps: DataFrame, limit: int) -> int:
+    """The smallest of some counts that at most ``limit`` rows reach, from (step, rows, n)."""
+    found = sorted(steps.groupBy("step").agg(F.sum("rows").alias("rows"), F.min("n").alias("n")).collect(), reverse=True)
+    bound, reached = (found[0].n + (1 << 62) if found else 1), 0
+    for _, rows, n in found:
+        reached += rows
+        if reached > limit:
+            break
+        bound = n
+    return bound
 
 
-def _as_words(before, word, wanted):
-    one, zero = np.ones(len(word), dtype=np.int64), np.zeros(len(word), dtype=np.int64)
-    key = np.concatenate([word, before])
-    return key, key, *(np.concatenate(x) for x in ((one, zero), (wanted, zero), (zero, one), (zero, wanted)))
+# --- scores ----------------------------------------------------------------
 
 
-def _key_rows(batches):
-    """(key): one hash for each pair."""
-    for batch in batches:
-        before, word = (batch.column(c).to_numpy().view(np.uint64) for c in (0, 1))
-        yield pa.RecordBatch.from_arrays([_signed(_keys(before, word))], ["key"])
+class _Table:
+    """Counts by 64-bit hash. The leading bits of a hash lead to its place."""
+
+    def __init__(self, rows: pa.Table):
+        keys = rows.column(0).to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        self.size = len(keys)
+        self.keys = np.append(keys[order], ~np.uint64(0))
+        self.columns = []
+        for c in range(1, rows.num_columns):
+            values = rows.column(c).to_numpy()[order]
+            self.columns.append(np.append(values, 0).astype(np.min_scalar_type(int(values.max(initial=0)))))
+        self.first = None
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each hash, and whether it is there."""
+        bits = max(1, self.size.bit_length())
+        if self.first is None:
+            self.first = np.searchsorted(self.keys[:-1], np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+        at = self.first[wanted >> np.uint64(64 - bits)]
+        key = self.keys[at]
+        behind = np.flatnonzero(key < wanted)
+        while len(behind):
+            at[behind] += 1
+            key[behind] = self.keys[at[behind]]
+            behind = behind[key[behind] < wanted[behind]]
+        return at, (key == wanted) & (at < self.size)
 
 
 class _Model:
-    """What is broadcast: counts of frequent words and pairs, and the filter of the other pairs of the table."""
-
-    def __init__(self, known, words, pairs, filled, constants):
-        self.known, self.words, self.pairs, self.filled, self.constants = known, words, pairs, filled, constants
-
-    def look_up(self, words: Words, wanted: np.ndarray):
-        """Word before and word, whether all is known here, and the losses of those, for the words of a piece."""
-        before, word = _pairs(words, self.known)
-        at_word, has_word = _look_up(self.words[0], word)
-        at_before, has_before = _look_up(self.words[0], before)
-        key = _keys(before, word)
-        at_pair, has_pair = _look_up(self.pairs[0], key)
-        here = has_word & has_before
-        if self.filled is not None:
-            here &= has_pair | ~in_bloom(self.filled, key)
-        has_pair, at_pair, at_word, at_before = has_pair[here], at_pair[here], at_word[here], at_before[here]
-        _, pair_n, pair_target = self.pairs
-        _, n, n_target, as_before, as_before_target = self.words
-        once = np.ones(len(at_pair), dtype=np.int64), wanted[words.text[here]]
-        losses = []
-        for pair, single, count, context, (scale, whole) in zip(
-            (pair_target, pair_n), once[::-1], (n_target, n), (as_before_target, as_before), self.constants, strict=True
-        ):
-            c = np.where(has_pair, pair[at_pair] if len(pair) else 0, single) * scale
-            p = (count[at_word] * scale + 1) / whole if len(count) else np.zeros(0)
-            h = context[at_before] * scale if len(context) else np.zeros(0)
-            losses.append(-np.log((c + MU * p) / (h + MU)))
-        return before, word, here, losses
-
-
-def _hot_losses(shared):
-    """Words of a text, those whose loss is not known here, and the summed losses of the others."""
-
-    def rows(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        model = shared.value
-        for texts, wanted in batches:
-            found = []
-            for piece in pieces(iter([pa.RecordBatch.from_arrays([texts, wanted], ["text", "wanted"])]), "text"):
-                words = split_words(piece.column("text"), LETTERS)
-                _, _, here, losses = model.look_up(words, piece.column("wanted").to_numpy(zero_copy_only=False).astype(np.int64))
-                of = words.text[here]
-                n = np.bincount(words.text, minlength=words.n_texts)
-                part = [n, n - np.bincount(of, minlength=words.n_texts)]
-                part += [np.bincount(of, weights=x, minlength=words.n_texts) for x in losses]
-                found.append(part)
-            columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0)] * 4
-            yield pa.StructArray.from_arrays(
-                [pa.array(columns[0].astype(np.int64)), pa.array(columns[1].astype(np.int64)), *map(pa.array, columns[2:])],
-                names=["n", "rare", "target", "background"],
-            )
-
-    return F.arrow_udf(rows, "n bigint, rare bigint, target double, background double")
-
-
-def _rare_rows(shared):
-    """(digest, wanted, before, word, n): pairs of each text whose loss is not known here, counted."""
+    """What is broadcast: counts of frequent words and pairs, and filters of the others that occur more than once."""
+
+    def __init__(self, known, words, pairs, word_filter, pair_filter, constants):
+        self.known, self.words, self.pairs, self.constants = known, words, pairs, constants
+        self.word_filter, self.pair_filter = word_filter, pair_filter
+
+    def words_of(self, hashes: np.ndarray, wanted: np.ndarray, columns: tuple[int, int]):
+        """Two counts of words, in the corpus and in targets, and whether they are known here."""
+        at, hot = self.words.find(hashes)
+        counts = [np.where(hot, self.words.columns[c][at], once) for c, once in zip(columns, (1, wanted), strict=True)]
+        once = ~hot if self.word_filter is None else ~hot & ~in_bloom(self.word_filter, hashes)
+        return counts, hot | once
+
+    def pairs_of(self, keys: np.ndarray, wanted: np.ndarray):
+        """The same of pairs."""
+        at, hot = self.pairs.find(keys)
+        counts = [np.where(hot, self.pairs.columns[c][at], once) for c, once in zip((0, 1), (1, wanted), strict=True)]
+        once = ~hot if self.pair_filter is None else ~hot & ~in_bloom(self.pair_filter, keys)
+        return counts, hot | once
+
+
+def _share(pair, word, constant):
+    """Loss of a word by the counts of its pair and of itself, but for the count of the word before."""
+    scale, whole = constant
+    return -np.log(pair * scale + MU * (word * scale + 1) / whole)
+
+
+def _text_blocks(shared, bits: int):
+    """Sums of every text over what is known here, and blocks of what has to be looked up."""
 
     def rows(batches):
-        model = shared.value
-        for piece in pieces(batches, "text"):
-            words = split_words(piece.column("text"), LETTERS)
-            wanted = piece.column("wanted").to_numpy(zero_copy_only=False).astype(np.int64)
-            before, word, here, _ = model.look_up(words, wanted)
-            rare = np.flatnonzero(~here)
-            key, text = _keys(before[rare], word[rare]), words.text[rare]
-            order = np.lexsort((key, text))
-            rare, key, text = rare[order], key[order], text[order]
-            new = np.ones(len(rare), dtype=bool)
-            new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-            start = np.flatnonzero(new)
-            rare, text, n = rare[start], text[start], np.diff(np.append(start, len(rare)))
-            digest = piece.column("digest").to_numpy()[text]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(digest), pa.array(wanted[text]), _signed(before[rare]), _signed(word[rare]), pa.array(n.astype(np.int64))],
-                ["digest", "wanted", "before", "word", "times"],
-            )
+        model, kept, size = shared.value, [], 0
+        constants = model.constants[::-1]  # background first, as the counts
+        for piece, words, wanted in _pieces_of(batches):
+            target = wanted[words.text]
+            before, word, _ = _pairs(words, model.known)
+            key = _keys(before, word)
+            word_n, word_known = model.words_of(word, target, (0, 1))
+            before_n, before_known = model.words_of(before, target, (2, 3))
+            pair_n, pair_known = model.pairs_of(key, target)
+            here = word_known & pair_known
+            sums = []
+            for p, w, h, constant in zip(pair_n, word_n, before_n, constants, strict=True):
+                loss = np.where(here, _share(p, w, constant), 0.0) + np.where(before_known, np.log(h * constant[0] + MU), 0.0)
+                sums.append(np.bincount(words.text, weights=loss, minlength=words.n_texts))
+            number = piece.column("number").to_numpy()
+            counts = np.bincount(words.text, minlength=words.n_texts).astype(np.int64)
+            yield _cut(_TEXTS, number >> _TEXT_BITS, [number, piece.column("digest").to_numpy(), counts, sums[1], sums[0]])
+            marked = 2 * number[words.text] + target
+            cold = np.flatnonzero(word_known & ~pair_known)
+            kept.append((key[cold], marked[cold], word_n[0][cold].astype(np.int64), word_n[1][cold].astype(np.int64)))
+            size += len(cold)
+            for kind, open_, parts in ((_WORDS, ~word_known, (word, marked, key)), (_BEFORE, ~before_known, (before, marked))):
+                if open_.any():
+                    parts = [x[open_] for x in parts]
+                    yield _cut(kind, np.zeros(len(parts[0]), dtype=np.int64), parts)
+            if size > _HELD // 2:
+                yield _pair_requests(kept, bits)
+                kept, size = [], 0
+        if size:
+            yield _pair_requests(kept, bits)
 
     return rows
 
 
-def _look_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each wanted hash in the sorted keys, and whether it is there."""
-    if not len(keys):
-        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return at, keys[at] == wanted
+def _pair_requests(kept, bits: int) -> pa.RecordBatch:
+    columns = [np.concatenate(x) for x in zip(*kept)]
+    order = np.argsort(columns[0])
+    columns = [c[order] for c in columns]
+    return _cut(_PAIRS, _bucket(columns[0], bits), columns, rising=True)
 
 
-def _rare_losses(rare: DataFrame, pairs: DataFrame, words: DataFrame, constants) -> DataFrame:
-    """``rare`` with target and background: loss of the word after the one before, in both models."""
-    of_word = words.select("word", F.col("n").alias("c"), F.col("n_target").alias("c_target"))
-    of_before = words.select(F.col("word").alias("before"), "as_before", "as_before_target")
-    joined = rare.join(pairs, ["before", "word"], "left").join(of_word, "word").join(of_before, "before")
+def _open_rows(kind: int):
+    """Rows of the blocks of open words: (word, marked, key), or (word, marked) for words before."""
+    names = ["word", "marked", "key"][: 3 if kind == _WORDS else 2]
 
-    def loss(pair, word, before, scale, whole):
-        p = (F.col(word) * scale + 1) / F.lit(whole)
-        return -F.log((pair * scale + MU * p) / (F.col(before) * scale + MU))
+    def rows(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array(_unpacked(batch.column(2 + c)[k], np.int64)) for c in range(len(names))], names)
 
-    counts = F.coalesce("n_target", "wanted"), F.coalesce("n", F.lit(1))
-    return joined.withColumns(
-        {
-            "target": loss(counts[0], "c_target", "as_before_target", *constants[0]),
-            "background": loss(counts[1], "c", "as_before", *constants[1]),
-        }
-    )
+    return rows
 
 
-def _hashed(rows: DataFrame, key, columns: list[str]) -> list[np.ndarray]:
-    """Keys of collected rows in order, and their columns."""
-    rows = rows.toArrow()
-    keys = key(*[rows.column(c).to_numpy().view(np.uint64) for c in rows.column_names if c not in columns])
-    order = np.argsort(keys)
-    return [keys[order], *[rows.column(c).to_numpy()[order] for c in columns]]
+def _request_rows(bits: int):
+    """Blocks of pairs to look up from rows (key, marked, n, n_target)."""
 
+    def rows(batches):
+        for batch in batches:
+            if batch.num_rows:
+                key, *rest = (batch.column(c).to_numpy() for c in range(4))
+                yield _pair_requests([(key.view(np.uint64), *rest)], bits)
 
-def _hot_bound(rows: DataFrame, count, limit: int) -> int:
-    """The smallest of some counts that at most ``limit`` rows reach."""
-    step = F.floor(4 * F.log2(count)).cast("int")
-    steps = sorted(rows.groupBy(step.alias("step")).agg(F.count("*").alias("rows"), F.min(count).alias("n")).collect(), reverse=True)
-    bound, reached = (steps[0].n + (1 << 62) if steps else 1), 0
-    for _, rows, n in steps:
-        reached += rows
-        if reached > limit:
-            break
-        bound = n
-    return bound
+    return rows
+
+
+def _losses(constants):
+    """Blocks of losses of texts from the blocks of a bucket: the counts of its pairs come first, then what is asked for."""
+
+    def rows(batches):
+        for _, found in _by_bucket(batches):
+            table = [r for r in found if r[0] == _COUNTS]
+            keys = np.append(_keys_of(table[0][1]) if table else np.zeros(0, dtype=np.uint64), ~np.uint64(0))
+            n, target = (np.append(_unpacked(table[0][c], np.int64) if table else np.zeros(0, np.int64), 0) for c in (2, 3))
+            kept, size = [], 0
+            for r in found:
+                if r[0] == _COUNTS:
+                    continue
+                key, marked, c, c_target = _keys_of(r[1]), *(_unpacked(r[k], np.int64) for k in (2, 3, 4))
+                at = np.searchsorted(keys[:-1], key)
+                there = keys[at] == key
+                p, p_target = np.where(there, n[at], 1), np.where(there, target[at], marked & 1)
+                kept.append((marked >> 1, _share(p_target, c_target, constants[0]), _share(p, c, constants[1])))
+                size += len(key)
+                if size > _HELD:
+                    yield _loss_block(kept)
+                    kept, size = [], 0
+            if kept:
+                yield _loss_block(kept)
+
+    return rows
+
+
+def _loss_block(kept) -> pa.RecordBatch:
+    number, target, background = (np.concatenate(x) for x in zip(*kept))
+    number, sums = _added(number, [target, background])
+    return _cut(_LOSSES, number >> _TEXT_BITS, [number, *sums])
+
+
+def _loss_rows(batches):
+    """Blocks from rows (number, target, background)."""
+    for batch in batches:
+        if batch.num_rows:
+            yield _loss_block([tuple(batch.column(c).to_numpy() for c in range(3))])
+
+
+def _means(batches):
+    """(digest, n, target, background): words and mean losses of each text."""
+    for _, rows in _by_bucket(batches):
+        texts = [r for r in rows if r[0] == _TEXTS]
+        number, digest, n = (np.concatenate([_unpacked(r[k], np.int64) for r in texts]) for k in (1, 2, 3))
+        sums = [np.concatenate([_unpacked(r[k], np.float64) for r in texts]) for k in (4, 5)]
+        order = np.argsort(number)
+        number, digest, n, sums = number[order], digest[order], n[order], [s[order] for s in sums]
+        for r in rows:
+            if r[0] == _LOSSES:
+                at = np.searchsorted(number, _unpacked(r[1], np.int64))
+                for total, k in zip(sums, (2, 3)):
+                    total[at] += _unpacked(r[k], np.float64)
+        means = [np.divide(s, n, out=np.zeros(len(n)), where=n > 0) for s in sums]
+        yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(n), *map(pa.array, means)], ["digest", "n", "target", "background"])
 
 
 def score_documents(
@@ -274,30 +460,18 @@ def score_documents(
     texts = docs.select(F.col(doc).alias("id"), F.col(text).alias("text")).filter("text IS NOT NULL")
     known = None
     if vocabulary is not None:
-        counts = texts.select("text").mapInArrow(_word_rows("text"), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+        counts = texts.select("text").mapInArrow(_known_rows, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
         known = counts.orderBy(F.desc("n"), "word").limit(vocabulary).toArrow().column("word").to_numpy().view(np.uint64)
     chosen = targets.filter(F.col(doc).isNotNull()).select(F.col(doc).alias("id")).distinct().withColumn("wanted", F.lit(True))
     if chosen.limit(broadcast_targets + 1).count() <= broadcast_targets:
         chosen = F.broadcast(chosen)
     marked = texts.join(chosen, "id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
     given = context.broadcast(known)
-    counts = "n bigint, n_target bigint"
-    names = ["word", "n", "n_target", "as_before", "as_before_target"]
+
+    summed = marked.mapInArrow(_word_rows(given), "word bigint, " + ", ".join(f"{c} bigint" for c in _WORD_COLUMNS))
+    summed = summed.groupBy("word").agg(*[F.sum(c).alias(c) for c in _WORD_COLUMNS])
     words = freeze(
-        marked.mapInArrow(
-            _counted(names, _as_words, "text", "wanted", given), f"word bigint, {counts}, as_before bigint, as_before_target bigint"
-        )
-        .groupBy("word")
-        .agg(*[F.sum(c).alias(c) for c in names[1:]]),
-        "word-counts",
-    )
-    names = ["before", "word", "n", "n_target"]
-    pairs = freeze(
-        marked.mapInArrow(_counted(names, _as_pairs, "text", "wanted", given), f"before bigint, word bigint, {counts}")
-        .groupBy("before", "word")
-        .agg(*[F.sum(c).alias(c) for c in names[2:]])
-        .filter("n > 1"),
-        "word-pairs",
+        summed.selectExpr("word", "n", "n_target", "n - last AS as_before", "n_target - last_target AS as_before_target"), "word-counts"
     )
     seen = words.agg(F.count(F.when(F.col("n") > 0, 1)), F.sum("n"), F.sum("n_target")).first()
     # With the begin of a text, and a place for unknown words.
@@ -305,43 +479,62 @@ def score_documents(
     total, total_target = seen[1] or 0, seen[2] or 0
     scale = min(total_target or 1, total) / total if total else 1.0
     constants = (1.0, float(total_target + size)), (scale, total * scale + size)
+    bits = max(0, (total // _BUCKET).bit_length())
+
+    counted = marked.mapInArrow(_pair_blocks(given, bits), _BLOCK_SCHEMA).repartition("bucket").sortWithinPartitions("bucket")
+    pairs = freeze(counted.mapInArrow(_repeated_pairs, _BLOCK_SCHEMA), "word-pairs")
+
     often = F.greatest("n", "as_before")
-    hot_words = words.filter(often >= _hot_bound(words, often, hot))
-    bound = _hot_bound(pairs, F.col("n"), hot)
-    cold = pairs.filter(F.col("n") < bound).select("before", "word")
-    filled = None if cold.isEmpty() else bloom_filter(cold.mapInArrow(_key_rows, "key bigint"), "key")
+    steps = words.filter(often > 0).select(F.floor(4 * F.log2(often)).cast("int").alias("step"), often.alias("n"))
+    word_bound = _hot_bound(steps.groupBy("step").agg(F.count("*").alias("rows"), F.min("n").alias("n")), hot // 2)
+    cold_words = words.filter((often < word_bound) & (often > 1))
+    pair_bound = _hot_bound(pairs.mapInArrow(_pair_steps, "step int, rows bigint, n bigint"), hot)
+    pair_schema = "key bigint, n bigint, n_target bigint"
+    cold_pairs = pairs.mapInArrow(_pair_rows(2, pair_bound), pair_schema).select("key")
     model = _Model(
         known,
-        _hashed(hot_words, lambda word: word, ["n", "n_target", "as_before", "as_before_target"]),
-        _hashed(pairs.filter(F.col("n") >= bound), _keys, ["n", "n_target"]),
-        filled,
+        _Table(words.filter(often >= word_bound).toArrow()),
+        _Table(pairs.mapInArrow(_pair_rows(pair_bound, 1 << 62), pair_schema).toArrow()),
+        None if cold_words.isEmpty() else bloom_filter(cold_words.select("word"), "word"),
+        None if cold_pairs.isEmpty() else bloom_filter(cold_pairs, "key"),
         constants,
     )
     shared = context.broadcast(model)
-    all_docs = docs.join(chosen.select(F.col("id").alias("_lm_id"), F.col("wanted").alias("_lm_wanted")), F.col(doc) == F.col("_lm_id"), "left")
-    all_docs = all_docs.withColumns(
-        {"_lm_wanted": F.coalesce("_lm_wanted", F.lit(False)), "_lm_digest": F.xxhash64(F.col(text).cast("string"))}
-    ).drop("_lm_id")
-    rare = (
-        all_docs.select(F.col("_lm_digest").alias("digest"), F.col(text).alias("text"), F.col("_lm_wanted").alias("wanted"))
-        .filter("text IS NOT NULL")
-        .mapInArrow(_rare_rows(shared), "digest bigint, wanted bigint, before bigint, word bigint, times bigint")
-    )
-    # Equal texts add up to the same mean.
+    numbered = marked.select("text", "wanted", F.xxhash64("text").alias("digest"), F.monotonically_increasing_id().alias("number"))
+    blocks = freeze(numbered.mapInArrow(_text_blocks(shared, bits), _BLOCK_SCHEMA), "text-losses")
+
+    def of_kind(kind):
+        return blocks.filter(F.col("kind") == kind)
+
+    def counted_words(rows, columns):
+        """Rows with the counts of their rare word; one that is not in the table occurs once."""
+        found = rows.join(cold_words.select("word", *columns), "word", "left")
+        return found.withColumns({columns[0]: F.coalesce(columns[0], F.lit(1)), columns[1]: F.coalesce(columns[1], F.col("marked") % 2)})
+
+    open_words = of_kind(_WORDS).mapInArrow(_open_rows(_WORDS), "word bigint, marked bigint, key bigint")
+    requests = counted_words(open_words, ["n", "n_target"]).select("key", "marked", "n", "n_target")
+    asked = of_kind(_PAIRS).union(requests.mapInArrow(_request_rows(bits), _BLOCK_SCHEMA))
+    open_before = of_kind(_BEFORE).mapInArrow(_open_rows(_BEFORE), "word bigint, marked bigint")
+    joined = counted_words(open_before, ["as_before", "as_before_target"])
+    after = [F.log(F.col(c) * constant[0] + MU) for c, constant in zip(("as_before_target", "as_before"), constants, strict=True)]
+    lost_before = joined.select(F.shiftright("marked", 1).alias("number"), after[0].alias("target"), after[1].alias("background"))
+
+    matched = pairs.union(asked).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_losses(constants), _BLOCK_SCHEMA)
+    sums = of_kind(_TEXTS).union(matched).union(lost_before.mapInArrow(_loss_rows, _BLOCK_SCHEMA))
     means = (
-        _rare_losses(rare, pairs, words, constants)
-        .groupBy(F.col("digest").alias("_lm_digest"))
-        .agg(*[(F.sum(F.col("times") * F.col(c)) / F.sum("times")).alias(f"_lm_{c}") for c in ("target", "background")])
-    )
+        sums.repartition("bucket").sortWithinPartitions("bucket")
+        .mapInArrow(_means, "digest bigint, n bigint, target double, background double")
+        # Equal texts have equal means.
+        .groupBy(F.col("digest").alias("_lm_digest")).agg(*[F.max(c).alias(f"_lm_{c}") for c in ("n", "target", "background")])
+    )
 
     def loss(name):
-        rest = F.when(F.col("_lm.rare") > 0, F.col("_lm.rare") * F.col(f"_lm_{name}")).otherwise(F.lit(0.0))
-        return F.when(F.col("_lm.n") > 0, (F.col(f"_lm.{name}") + rest) / F.col("_lm.n")).otherwise(F.lit(0.0))
+        return F.coalesce(f"_lm_{name}", F.lit(0.0))
 
     return (
-        all_docs.withColumn("_lm", _hot_losses(shared)(F.col(text), F.col("_lm_wanted")))
+        docs.withColumn("_lm_digest", F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text).cast("string"))))
         .join(means, "_lm_digest", "left")
-        .withColumns({"n_tokens": F.col("_lm.n"), "loss_target": loss("target"), "loss_background": loss("background")})
+        .withColumns({"n_tokens": F.coalesce("_lm_n", F.lit(0)), "loss_target": loss("target"), "loss_background": loss("background")})
         .withColumn("score", F.col("loss_background") - F.col("loss_target"))
-        .drop("_lm", "_lm_digest", "_lm_wanted", "_lm_target", "_lm_background")
+        .drop("_lm_digest", "_lm_n", "_lm_target", "_lm_background")
     )
