@@ -59,17 +59,23 @@ def _place(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return spread >> np.uint64(64 - (bits - 6)), ones
 
 
-def bloom_filter(keys: DataFrame, key: str, max_bits: int = 27) -> np.ndarray:
+def _first_column(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield batch.column(0).to_numpy().view(np.uint64)
+
+
+def bloom_filter(keys: DataFrame, key: str | list[str], max_bits: int = 27, count: int | None = None, hashes=_first_column) -> np.ndarray:
     """Blocked Bloom filter of a BIGINT column of hashes, as 64-bit words.
 
     It has at most 2^max_bits bits (16 MB), whatever the number of keys. A full
     filter lets more rows pass, so it may only save work, never decide a result.
+    Where rows hold many hashes, ``hashes`` gives those of a batch of the columns
+    ``key``, and ``count`` says how many there are.
     """
-    bits = min(max_bits, max(16, int(keys.count()).bit_length() + 5))
+    bits = min(max_bits, max(16, int(keys.count() if count is None else count).bit_length() + 5))
 
     def words(batches):
-        for batch in batches:
-            place, ones = _place(batch.column(0).to_numpy().view(np.uint64), bits)
+        for found in (found for batch in batches for found in hashes(batch)):
+            place, ones = _place(found, bits)
             word, at = np.unique(place, return_inverse=True)
             together = np.zeros(len(word), dtype=np.uint64)
             np.bitwise_or.at(together, at, ones)
@@ -78,7 +84,7 @@ def bloom_filter(keys: DataFrame, key: str, max_bits: int = 27) -> np.ndarray:
             )
 
     set_words = (
-        keys.select(key).mapInArrow(words, "word bigint, ones bigint").groupBy("word").agg(F.bit_or("ones").alias("ones"))
+        keys.select(*([key] if isinstance(key, str) else key)).mapInArrow(words, "word bigint, ones bigint").groupBy("word").agg(F.bit_or("ones").alias("ones"))
     ).toArrow()
     filled = np.zeros(1 << (bits - 6), dtype=np.uint64)
     filled[set_words.column("word").to_numpy()] = set_words.column("ones").to_numpy().view(np.uint64)

@@ -7,7 +7,7 @@ A word's probability after another is (c(h, w) + MU * p(w)) / (c(h) + MU).
 
 The counts are tables that grow with the corpus. Pairs are told apart by 64-bit
 hashes; the leading bits of a hash name its bucket, and there are so many buckets
-that each holds some two million words of text. Between stages a row is a block:
+that each holds some 500,000 words of text. Between stages a row is a block:
 the sorted pairs that a task has for one bucket, as arrays. Such a block takes
 some seven bytes a pair, and adding blocks up is a merge of sorted arrays.
 
@@ -28,14 +28,14 @@ from .words import LETTERS, Words, mix, split_words
 
 MU = 50.0
 
-#: Pairs of words whose counts are broadcast, at most, and half as many words. One beyond stands at most once in so many.
-HOT = 1 << 21
+#: Pairs of words, and words, whose counts are broadcast, at most. One beyond stands at most once in so many.
+HOT = 1 << 20
 
 #: Ids of target documents up to which they are broadcast; more are joined by shuffle.
 BROADCAST_TARGETS = 500_000
 
 #: Rows that a task holds before it hands them on, and words of text for each bucket.
-_HELD, _BUCKET = 1 << 20, 1 << 21
+_HELD, _BUCKET = 1 << 19, 1 << 19
 
 #: Texts whose losses are added up together, as a power of two.
 _TEXT_BITS = 13
@@ -53,13 +53,18 @@ _BLOCK_SCHEMA = "kind int, bucket bigint, a binary, b binary, c binary, d binary
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """64-bit values byte by byte: all lowest bytes, then all next ones, so that what is equal lies together."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """64-bit values byte by byte: all lowest bytes, then all next ones, without the high ones that are zero throughout."""
+    values = np.ascontiguousarray(values)
+    width = max(1, (int(values.view(np.uint64).max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def _unpacked(scalar: pa.Scalar, dtype=np.uint64) -> np.ndarray:
-    planes = np.frombuffer(scalar.as_buffer(), dtype=np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+    raw = np.frombuffer(scalar.as_buffer(), dtype=np.uint8)
+    planes = raw[1:].reshape(raw[0], -1)
+    values = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    values[:, : raw[0]] = planes.T
+    return values.view(dtype).ravel()
 
 
 def _steps(keys: np.ndarray) -> np.ndarray:
@@ -195,10 +200,10 @@ def _pair_blocks(shared, bits: int):
         for _, words, wanted in _pieces_of(batches):
             if len(words.start):
                 before, word, _ = _pairs(words, shared.value)
-                yield _keys(before, word), [np.ones(len(word), dtype=np.int64), wanted[words.text]]
+                yield _keys(before, word), [np.ones(len(word), dtype=np.int32), wanted[words.text].astype(np.int32)]
 
     def emit(keys, columns):
-        return _cut(_COUNTS, _bucket(keys, bits), [keys, *columns], rising=True)
+        return _cut(_COUNTS, _bucket(keys, bits), [keys, *(c.astype(np.int64) for c in columns)], rising=True)
 
     return lambda batches: _held(parts(batches), emit)
 
@@ -213,19 +218,29 @@ def _repeated_pairs(batches):
         yield _cut(_COUNTS, np.full(int(some.sum()), bucket), [keys[some], n[some], target[some]], rising=True)
 
 
-def _pair_rows(low: int, high: int):
-    """(key, n, n_target) of the pairs of blocks with a count from ``low`` to below ``high``."""
+def _hot_pairs(bound: int):
+    """(key, n, n_target) of the pairs of blocks with a count from ``bound`` on."""
 
     def rows(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 keys, n, target = _keys_of(batch.column(2)[k]), *(_unpacked(batch.column(c)[k], np.int64) for c in (3, 4))
-                some = (n >= low) & (n < high)
-                yield pa.RecordBatch.from_arrays([_signed(keys[some]), pa.array(n[some]), pa.array(target[some])], ["key", "n", "n_target"])
+                hot = n >= bound
+                yield pa.RecordBatch.from_arrays([_signed(keys[hot]), pa.array(n[hot]), pa.array(target[hot])], ["key", "n", "n_target"])
 
     return rows
 
 
+def _rare_keys(bound: int):
+    """Keys of the pairs of blocks (keys, counts) with a count below ``bound``."""
+
+    def hashes(batch):
+        for keys, n in zip(batch.column(0), batch.column(1)):
+            yield _keys_of(keys)[_unpacked(n, np.int64) < bound]
+
+    return hashes
+
+
 def _pair_steps(batches):
     """(step, rows, n): how many pairs have a count from n on, by steps of a quarter of its doubling."""
     for batch in batches:
@@ -238,16 +253,15 @@ def _pair_steps(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(rows), pa.array(least)], ["step", "rows", "n"])
 
 
-def _hot_bound(steps: DataFrame, limit: int) -> int:
-    """The smallest of some counts that at most ``limit`` rows reach, from (step, rows, n)."""
+def _hot_bound(steps: DataFrame, limit: int) -> tuple[int, int]:
+    """The smallest of some counts that at most ``limit`` rows reach, from (step, rows, n), and how many do not reach it."""
     found = sorted(steps.groupBy("step").agg(F.sum("rows").alias("rows"), F.min("n").alias("n")).collect(), reverse=True)
-    bound, reached = (found[0].n + (1 << 62) if found else 1), 0
+    bound, reached = 1 << 62, 0
     for _, rows, n in found:
-        reached += rows
-        if reached > limit:
+        if reached + rows > limit:
             break
-        bound = n
-    return bound
+        bound, reached = n, reached + rows
+    return bound, sum(r.rows for r in found) - reached
 
 
 # --- scores ----------------------------------------------------------------
@@ -383,11 +397,11 @@ def _losses(constants):
     """Blocks of losses of texts from the blocks of a bucket: the counts of its pairs come first, then what is asked for."""
 
     def rows(batches):
+        kept, size = [], 0
         for _, found in _by_bucket(batches):
             table = [r for r in found if r[0] == _COUNTS]
             keys = np.append(_keys_of(table[0][1]) if table else np.zeros(0, dtype=np.uint64), ~np.uint64(0))
             n, target = (np.append(_unpacked(table[0][c], np.int64) if table else np.zeros(0, np.int64), 0) for c in (2, 3))
-            kept, size = [], 0
             for r in found:
                 if r[0] == _COUNTS:
                     continue
@@ -397,11 +411,11 @@ def _losses(constants):
                 p, p_target = np.where(there, n[at], 1), np.where(there, target[at], marked & 1)
                 kept.append((marked >> 1, _share(p_target, c_target, constants[0]), _share(p, c, constants[1])))
                 size += len(key)
-                if size > _HELD:
+                if size > 2 * _HELD:
                     yield _loss_block(kept)
                     kept, size = [], 0
-            if kept:
-                yield _loss_block(kept)
+        if kept:
+            yield _loss_block(kept)
 
     return rows
 
@@ -486,17 +500,15 @@ def score_documents(
 
     often = F.greatest("n", "as_before")
     steps = words.filter(often > 0).select(F.floor(4 * F.log2(often)).cast("int").alias("step"), often.alias("n"))
-    word_bound = _hot_bound(steps.groupBy("step").agg(F.count("*").alias("rows"), F.min("n").alias("n")), hot // 2)
+    word_bound, _ = _hot_bound(steps.groupBy("step").agg(F.count("*").alias("rows"), F.min("n").alias("n")), hot)
     cold_words = words.filter((often < word_bound) & (often > 1))
-    pair_bound = _hot_bound(pairs.mapInArrow(_pair_steps, "step int, rows bigint, n bigint"), hot)
-    pair_schema = "key bigint, n bigint, n_target bigint"
-    cold_pairs = pairs.mapInArrow(_pair_rows(2, pair_bound), pair_schema).select("key")
+    pair_bound, rare_pairs = _hot_bound(pairs.mapInArrow(_pair_steps, "step int, rows bigint, n bigint"), hot)
     model = _Model(
         known,
         _Table(words.filter(often >= word_bound).toArrow()),
-        _Table(pairs.mapInArrow(_pair_rows(pair_bound, 1 << 62), pair_schema).toArrow()),
+        _Table(pairs.mapInArrow(_hot_pairs(pair_bound), "key bigint, n bigint, n_target bigint").toArrow()),
         None if cold_words.isEmpty() else bloom_filter(cold_words.select("word"), "word"),
-        None if cold_pairs.isEmpty() else bloom_filter(cold_pairs, "key"),
+        bloom_filter(pairs, ["a", "b"], count=rare_pairs, hashes=_rare_keys(pair_bound)) if rare_pairs else None,
         constants,
     )
     shared = context.broadcast(model)
