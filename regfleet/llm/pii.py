@@ -13,6 +13,8 @@
    spaces, brackets, dots and hyphens; tokens inside one that fits are no others.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +62,13 @@ _RUN_SHAPES = {
     "phone": r"^[(+]?[0-9]([\x20().-]{0,3}[0-9]){6,11}$",
 }
 
+# What is cut off the end of a token and of a run. No character before the first one, so that only one place is tried.
+_TAIL = r"(?<![^0-9A-Za-z])[^0-9A-Za-z]++$"
+_RUN_TAIL = r"(?<![^0-9])[^0-9]++$"
+
+#: Values of a block of running sums.
+_BLOCK = 256
+
 MIN_INSTANCES = 3
 MIN_PATTERN = 0.5
 MIN_INSTANCE = 0.8
@@ -70,60 +79,112 @@ def _word_before(gap: str) -> str:
     return f"lower(substring_index(rtrim({plain}), ' ', -1))"
 
 
-def _found(text: str, pattern: str, need: str = "") -> Column:
-    """array<struct<s, e, t, w>>: begin, end, text and word before of each match, in order."""
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, step: Callable[[Column, Column], Column], first: int, levels: int = 2) -> Column:
+    """The running combination of an array of numbers, by blocks, so that no step copies what all before it gave."""
+
+    def scanned(block: Column, start: Column) -> Column:
+        grown = F.aggregate(block, F.array(start), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
+        return F.slice(grown, F.lit(2), F.size(block))
+
+    def by_blocks(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, F.lit(first), step))
+        starts = F.concat(F.array(F.lit(first)), _running(totals, step, first, levels - 1))
+        return F.flatten(F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), scanned))
+
+    def chosen(xs: Column) -> Column:
+        whole = scanned(xs, F.lit(first))
+        if levels == 1:
+            return whole
+        last = F.floor((F.size(xs) - 1) / _BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(xs, b * _BLOCK + 1, F.lit(_BLOCK)))
+        return F.when(F.size(xs) <= _BLOCK, whole).otherwise(_let(blocks, by_blocks))
+
+    return _let(values, chosen)
+
+
+def _matches(text: str, pattern: str, need: str = "") -> Column:
+    """array<struct<t, w, n>>: text of each match, word before, length with the gap before, in order."""
     match = (
         f"zip_with(regexp_extract_all({text}, r'{pattern}', 0), split({text}, r'{pattern}'),"
-        f" (m, g) -> struct(m AS t, length(g) AS gap, {_word_before('g')} AS w))"
+        f" (m, g) -> struct(m AS t, {_word_before('g')} AS w, length(g) + length(m) AS n))"
     )
-    placed = f"""
-      aggregate(filter({match}, x -> x.t IS NOT NULL),
-        struct(0 AS at, CAST(array() AS ARRAY<STRUCT<s: INT, e: INT, t: STRING, w: STRING>>) AS found),
-        (acc, x) -> struct(
-          acc.at + x.gap + length(x.t) AS at,
-          concat(acc.found, array(struct(acc.at + x.gap AS s, acc.at + x.gap + length(x.t) AS e, x.t AS t, x.w AS w))) AS found),
-        acc -> acc.found)"""
-    none = "CAST(array() AS ARRAY<STRUCT<s: INT, e: INT, t: STRING, w: STRING>>)"
+    none = "CAST(array() AS ARRAY<STRUCT<t: STRING, w: STRING, n: INT>>)"
     has = f"contains({text}, '{need}') AND " if need else ""
-    return F.expr(f"CASE WHEN {has}rlike({text}, r'{pattern}') THEN {placed} ELSE {none} END")
+    return F.expr(f"CASE WHEN {has}rlike({text}, r'{pattern}') THEN filter({match}, x -> x.t IS NOT NULL) ELSE {none} END")
+
+
+def _placed(matches: str) -> Column:
+    """array<struct<s, e, t, w>>: the matches with their begins and ends."""
+    ends = _running(F.col(f"{matches}.n"), lambda a, b: a + b, 0)
+    placed = F.zip_with(
+        matches, ends, lambda m, e: F.struct((e - F.length(m["t"])).alias("s"), e.alias("e"), m["t"].alias("t"), m["w"].alias("w"))
+    )
+    none = F.expr("CAST(array() AS ARRAY<STRUCT<s: INT, e: INT, t: STRING, w: STRING>>)")
+    return F.when(F.size(matches) > 0, placed).otherwise(none)
 
 
 def _shaped(found: str, cut: str, shapes: dict[str, str]) -> str:
     shape = " ".join(f"WHEN rlike(x.t, r'{p}') THEN '{k}'" for k, p in shapes.items())
-    return (
+    shaped = (
         f"transform(transform({found}, x -> {cut}),"
         f" x -> struct(CASE {shape} END AS kind, x.s AS s, x.s + length(x.t) AS e, x.t AS t, x.w AS w))"
     )
+    return f"filter({shaped}, x -> x.kind IS NOT NULL)"
+
+
+def _apart(spans: Column, taken: Column) -> Column:
+    """Those of the disjoint, ordered ``spans`` that share no character with any of ``taken``.
+
+    A span is free if, of the taken ones that begin before its end, none ends
+    after its begin: ends of spans and begins of taken ones are sorted together
+    and the furthest end so far is carried along.
+    """
+    ends = F.transform(spans, lambda x, i: F.struct(x["e"].alias("at"), F.lit(0).alias("taken"), F.lit(-1).alias("e"), i.alias("i")))
+    begins = F.transform(taken, lambda x: F.struct(x["s"].alias("at"), F.lit(1).alias("taken"), x["e"].alias("e"), F.lit(-1).alias("i")))
+
+    def walk(events: Column) -> Column:
+        furthest = _running(F.transform(events, lambda v: v["e"]), lambda a, b: F.greatest(a, b), -1)
+        seen = F.zip_with(events, furthest, lambda v, far: F.struct(v["i"].alias("i"), far.alias("far")))
+        free = F.filter(seen, lambda v: (v["i"] >= 0) & (v["far"] <= F.get(spans, v["i"])["s"]))
+        return F.transform(free, lambda v: F.get(spans, v["i"]))
+
+    both = (F.size(spans) > 0) & (F.size(taken) > 0)
+    return F.when(both, _let(F.sort_array(F.concat(ends, begins)), walk)).otherwise(spans)
 
 
 def scan(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, doc, base, tokens): matches of the fixed patterns with their kinds, and other identifier-like tokens and runs.
 
-    Written once, so ``row`` tells rows apart from then on.
+    Written once, so ``row`` tells rows apart from then on. Time is linear in
+    the length of a text up to some millions of matches, but for their sort.
     """
     texts = docs.select(F.col(doc).alias("doc"), F.coalesce(text, F.lit("")).alias("text"))
-    found = texts.select(
+    matched = texts.select(
         "doc",
-        *[_found("text", _PATTERNS[k], _NEEDS[k]).alias(k) for k in KINDS],
-        _found("text", _TOKEN).alias("tokens"),
-        _found("text", _RUN).alias("runs"),
+        *[_matches("text", _PATTERNS[k], _NEEDS[k]).alias(k) for k in KINDS],
+        _matches("text", _TOKEN).alias("tokens"),
+        _matches("text", _RUN).alias("runs"),
     )
+    found = matched.select("doc", *[_placed(c).alias(c) for c in [*KINDS, "tokens", "runs"]])
     kept = [f"transform(filter({k}, x -> {_VALID[k]}), x -> struct('{k}' AS kind, x.s, x.e, x.t, x.w))" for k in KINDS]
-    cut = r"struct(x.s + length(regexp_extract(x.t, r'^[^0-9A-Za-z+(]*', 0)) AS s, x.w AS w,"
-    cut += r" regexp_extract(x.t, r'^[^0-9A-Za-z+(]*+(.*?)[^0-9A-Za-z]*$', 1) AS t)"
-    run = r"struct(x.s AS s, x.w AS w, regexp_replace(regexp_replace(x.t, '[0-9]+[A-Za-z_@]$', ''), '[^0-9]+$', '') AS t)"
-    runs = f"filter({_shaped('runs', run, _RUN_SHAPES)}, x -> x.kind IS NOT NULL)"
+    head = r"regexp_extract(x.t, r'^[^0-9A-Za-z+(]*+', 0)"
+    cut = f"struct(x.s + length({head}) AS s, x.w AS w, regexp_replace(substring(x.t, length({head}) + 1), r'{_TAIL}', '') AS t)"
+    run = rf"struct(x.s AS s, x.w AS w, regexp_replace(regexp_replace(x.t, r'(?<![0-9])[0-9]++[A-Za-z_@]$', ''), r'{_RUN_TAIL}', '') AS t)"
     based = found.select(
         "doc",
         F.expr(f"concat({', '.join(kept)})").alias("base"),
         F.expr(_shaped("tokens", cut, _SHAPES)).alias("tokens"),
-        F.expr(runs).alias("runs"),
+        F.expr(_shaped("runs", run, _RUN_SHAPES)).alias("runs"),
     )
-    free = "NOT exists(base, b -> b.s < x.e AND x.s < b.e)"
-    based = based.withColumn("runs", F.expr(f"filter(runs, x -> {free})"))
-    alone = f"filter(tokens, x -> x.kind IS NOT NULL AND {free} AND NOT exists(runs, r -> r.s < x.e AND x.s < r.e))"
-    free = f"concat(runs, {alone})"
-    out = based.select(F.monotonically_increasing_id().alias("row"), "doc", "base", F.expr(free).alias("tokens"))
+    based = based.withColumn("runs", _apart(F.col("runs"), F.col("base")))
+    based = based.withColumn("taken", F.concat("base", "runs"))
+    alone = _apart(F.col("tokens"), F.col("taken"))
+    out = based.select(F.monotonically_increasing_id().alias("row"), "doc", "base", F.concat("runs", alone).alias("tokens"))
     return freeze(out, "identifiers")
 
 
