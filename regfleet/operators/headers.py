@@ -77,9 +77,25 @@ def resolve_columns(columns: DataFrame, mapping: DataFrame | None = None) -> Dat
     exists and keep their column from the other targets. Then each target, in a
     fixed order, takes the best unused header: equal to a pattern before containing
     one, earlier pattern first, then leftmost.
+
+    Maps of one device family share their headers, so the rules run once per distinct
+    list of columns and wishes, and the tables take the result by its digest.
     """
-    state = _explicit(columns, mapping)
-    state = state.withColumns({f"_{t}": _asked(t) for t in DETECTION_ORDER})
+    tables = _explicit(columns, mapping).withColumn("_form", _form())
+    forms = tables.groupBy("_form").agg(F.any_value("columns").alias("columns"), F.any_value("wanted").alias("wanted"))
+    named = tables.select(*TABLE, "_form", F.xxhash64(*TABLE).alias("_table"))
+    return salted_lookup(named, _resolve(forms), ["_form"], "_table").drop("_form", "_table")
+
+
+def _form() -> Column:
+    """Digest of what decides a table's result: its columns and the user's wishes for it."""
+    wishes = F.array_sort(F.map_entries("wanted"))
+    return F.sha2(F.to_json(F.struct(F.col("columns"), wishes.alias("wishes"))), 256)
+
+
+def _resolve(forms: DataFrame) -> DataFrame:
+    """Per form and target the ordinal of the source column, or null."""
+    state = forms.withColumns({f"_{t}": _asked(t) for t in DETECTION_ORDER})
     sources = F.coalesce(F.map_values("wanted"), F.array().cast("array<string>"))
     reserved = F.filter("columns", lambda c: F.array_contains(sources, c["header"]))
     state = state.withColumn("_used", F.transform(reserved, lambda c: c["position"]))
@@ -87,7 +103,7 @@ def resolve_columns(columns: DataFrame, mapping: DataFrame | None = None) -> Dat
         state = state.withColumn(f"_{target}", F.coalesce(f"_{target}", _best(target))).withColumn(
             "_used", F.array_compact(F.array_append("_used", F.col(f"_{target}.position")))
         )
-    return state.select(*TABLE, *[F.col(f"_{t}.ordinal").alias(TARGET_COLUMNS[t]) for t in DETECTION_ORDER])
+    return state.select("_form", *[F.col(f"_{t}.ordinal").alias(TARGET_COLUMNS[t]) for t in DETECTION_ORDER])
 
 
 def _asked(target: str) -> Column:

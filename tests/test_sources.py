@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from regfleet.operators import headers as headers_module
 from regfleet.operators.headers import project_records, resolve_columns, source_columns
 from regfleet.operators.records import drop_repeats, grid_records, select_tables
 from regfleet.plans.definition import generate
@@ -321,3 +322,32 @@ def test_plain_files_are_read_in_splits(spark, tmp_path, monkeypatch):
     for name in [*texts.keys() - {"mixed"}, "utf16"]:
         cells = [list(r.cells) for r in found[name]]
         assert cells[:2000] == rows[1:] and (name == "stray" or cells[2000:] == more.get(name, []))
+
+def test_headers_are_resolved_once_per_form(spark, monkeypatch):
+    """10,000 maps of two header lists; one map and then all maps wish for another name column."""
+    lists = [["Description", "Reg", "Format", "Label"], ["Scale", "Name", "Address"]]
+    heads = F.array(*[F.array(*map(F.lit, names)) for names in lists])
+    maps = spark.range(10000).select(F.format_string("m%05d", "id").alias("map_id"), (F.col("id") % 2).cast("int").alias("kind"))
+    headers = maps.select("map_id", F.lit(0).alias("table_id"), F.get(heads, "kind").alias("header"))
+    records = headers.select("map_id", "table_id", F.lit(0).cast("bigint").alias("row_ord"), F.col("header").alias("cells"))
+    sizes = []
+    resolve = headers_module._resolve
+
+    def counted(forms):
+        sizes.append(forms.count())
+        return resolve(forms)
+
+    monkeypatch.setattr(headers_module, "_resolve", counted)
+    columns = source_columns(headers, records)
+    for owner, names, forms in ((None, {3, 1}, 2), ("m00002", {0, 1, 3}, 3)):
+        wishes = [("m00002", "Name", "Label")] if owner else [(None, "Name", "Label")]
+        mapping = spark.createDataFrame(wishes, "map_id string, target string, source string")
+        found = {r.map_id: r.asDict() for r in resolve_columns(columns, mapping).collect()}
+        assert len(found) == 10000 and sizes.pop() == forms
+        assert {r["name"] for r in found.values()} == names
+        assert {found[f"m{n:05d}"]["address"] for n in range(0, 10000, 2)} == {1}
+        assert found["m00002"]["name"] == 3 and found["m00004"]["name"] == (0 if owner else 3)
+        alone = columns.filter("map_id IN ('m00002', 'm00003')")
+        for r in resolve_columns(alone, mapping).collect():
+            assert r.asDict() == found[r.map_id]
+        sizes.clear()
