@@ -92,7 +92,7 @@ _TERMS_END = "END OF TERMS AND CONDITIONS"
 
 # A line that states a copyright: the sign, a year or a holder (a name with a capital letter) follows. Other lines
 # that begin with the word are prose.
-_PROSE = (
+PROSE = (
     "notices?|holders?|owners?|ownership|licen[cs]\\w*|laws?|statements?|acts?|and|or|in|on|is|to|for|of|under|which|that|shall|may"
     "|interests?|treat\\w*|permissions?|rights?|protect\\w*|infring\\w*|claims?|disclaimers?|materials?|works?|status|control\\w*"
 )
@@ -100,15 +100,20 @@ _DATE = r"[\[{(<]?(?:[0-9]{4}|(?i:yyyy|years?)\b)"
 _SIGN = r"(?i:\(c\)|©)"
 _COPYRIGHT_LINE = (
     r"(?m)^[^\p{L}\p{N}\n]*(?:"
-    rf"(?i:copyright)[\s&&[^\n]]*[:,]?[\s&&[^\n]]*(?:{_SIGN}|{_DATE}|(?i:by)\b|(?<=[^\p{{L}}])(?!(?i:{_PROSE})\b)\p{{Lu}})"
+    rf"(?i:copyright)[\s&&[^\n]]*[:,]?[\s&&[^\n]]*(?:{_SIGN}|{_DATE}|(?i:by)\b|(?<=[^\p{{L}}])(?!(?i:{PROSE})\b)\p{{Lu}})"
     rf"|(?<=\()[cC]\)[\s&&[^\n]]*(?:{_DATE}|(?i:copyright))|(?<=©)[\s&&[^\n]]*\S|(?i:all rights reserved))[^\n]*$"
 )
 
 
-def known_licences(spark: SparkSession) -> DataFrame:
+def known_texts() -> list[tuple[str, str]]:
+    """(licence, text) of every text that is looked for."""
     texts = [(path.stem, path.read_text(encoding="utf-8")) for path in sorted(TEXTS.glob("*.txt"))]
     terms = [(name, text[: text.index(_TERMS_END) + len(end)]) for name, text in texts for end in (_TERMS_END, "") if _TERMS_END in text]
-    return spark.createDataFrame([*KNOWN, *texts, *terms], "licence string, text string")
+    return [*KNOWN, *texts, *terms]
+
+
+def known_licences(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(known_texts(), "licence string, text string")
 
 
 def canonical(text: Column) -> Column:

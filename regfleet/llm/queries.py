@@ -10,7 +10,7 @@ from .decontaminate import contamination
 from .embedding_dedup import near_vectors
 from .jaccard_join import Threshold, jaccard_components
 from .language import identify_languages
-from .licences import KNOWN, SPELLINGS, find_licences, known_licences
+from .licences import PROSE, SPELLINGS, find_licences, known_licences, known_texts
 from .line_dedup import deduplicate_lines
 from .lm_score import score_documents
 from .mixing import mix_sources
@@ -198,27 +198,51 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+def _copyright_sql() -> tuple[str, str]:
+    """The rule for lines that state a copyright, for patterns without look-around.
+
+    The first pattern finds prose after the word; a character that is neither letter nor number, put before the prose,
+    keeps the second one from taking it for a holder, and is lost with the space beside it.
+    """
+    space = r"[\x20\x09\x0B-\x0D]"
+    prose = rf"((?i:copyright)(?:{space}+[:,]?|[:,]){space}*)((?i:{PROSE})\b)"
+    date = r"[\[{(<]?(?:[0-9]{4}|(?i:yyyy|years?)\b)"
+    holder = rf"(?:{space}+[:,]?|[:,]){space}*\p{{Lu}}"
+    word = rf"(?i:copyright)(?:{space}*[:,]?{space}*(?:(?i:\(c\)|©)|{date}|(?i:by)\b)|{holder})"
+    sign = rf"\([cC]\){space}*(?:{date}|(?i:copyright))|©{space}*[^\x20\x09-\x0D]"
+    return prose, rf"(?m)^[^\p{{L}}\p{{N}}\n]*(?:{word}|{sign}|(?i:all rights reserved))[^\n]*$"
+
+
 def _canonical_sql(text: str) -> str:
-    out = rf"regexp_replace(lower({text}), '(?m)^[^\p{{L}}\p{{N}}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$', '', 'g')"
+    prose, line = _copyright_sql()
+    marked = rf"regexp_replace({text}, '{prose}', '\1' || chr(57344) || '\2', 'g')"
+    out = rf"lower(regexp_replace({marked}, '{line}', '', 'g'))"
     for old, new in SPELLINGS.items():
         out = f"replace({out}, '{old}', '{new}')"
     return rf"regexp_replace({out}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
 
 
+def _one_line_sql(lines: str) -> str:
+    out = rf"trim(regexp_replace({lines}, '[\n ]+', ' ', 'g'))"
+    for old, new in SPELLINGS.items():
+        if " " in (words := old.replace("-", " ").strip()):
+            out = f"replace({out}, '{words}', '{new}')"
+    return out
+
+
 def _licence_sql() -> str:
-    quoted = [text.replace("'", "''") for _, text in KNOWN]
-    known = ", ".join(f"('{name}', '{text}')" for (name, _), text in zip(KNOWN, quoted, strict=True))
-    line = r"trim(regexp_replace({}, '[\n ]+', ' ', 'g'))"
+    known = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in known_texts())
     return rf"""
 WITH known AS (
-  SELECT {line.format(_canonical_sql("t"))} AS canon, min(licence) AS licence FROM (VALUES {known}) k(licence, t) GROUP BY 1),
+  SELECT canon, min(licence) AS licence FROM (
+    SELECT {_one_line_sql(_canonical_sql("t"))} AS canon, licence FROM (VALUES {known}) k(licence, t)) WHERE canon <> '' GROUP BY 1),
 d AS (SELECT doc_id, coalesce({_canonical_sql("text")}, '') AS canon FROM documents),
 parts AS (
   SELECT doc_id, unnest(list_concat(string_split(canon, chr(10)), string_split_regex(canon, '\n *\n[\n ]*'))) AS part FROM d),
 notices AS (
-  SELECT doc_id, list_sort(list(DISTINCT licence)) AS ls FROM parts JOIN known ON {line.format("part")} = known.canon GROUP BY 1)
+  SELECT doc_id, list_sort(list(DISTINCT licence)) AS ls FROM parts JOIN known ON {_one_line_sql("part")} = known.canon GROUP BY 1)
 SELECT d.doc_id, k.licence, coalesce(array_to_string(ls, ','), '') AS notices, coalesce(len(ls), 0)::BIGINT AS n_notices
-FROM d LEFT JOIN known k ON {line.format("d.canon")} = k.canon AND k.canon <> '' LEFT JOIN notices USING (doc_id)
+FROM d LEFT JOIN known k ON {_one_line_sql("d.canon")} = k.canon LEFT JOIN notices USING (doc_id)
 """
 
 
