@@ -62,10 +62,10 @@ def op7_licences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op8_mix_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Per document what the mix takes and the training positions of its copies, null where there are fewer."""
     mixed = mix_sources(table(spark, d, "documents"))
-    rows = mixed.select(
-        "doc_id", "size", "source_size", "target", "taken", F.expr("get(copies, 0).position").alias("position")
-    )
+    positions = [F.expr(f"get(copies, {n}).position").alias(name) for n, name in enumerate(("position", "position_2", "position_3"))]
+    rows = mixed.select("doc_id", "size", "source_size", "target", "taken", *positions)
     return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
@@ -250,8 +250,8 @@ OP8 = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
     md5(coalesce(doc_id::VARCHAR, md5(text), '')) AS name FROM documents),
-t AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
-n AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS no FROM t),
+q AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+n AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS no FROM q),
 w AS (SELECT *, [1.0::DOUBLE, 2.0, 3.0][1 + no % 3] AS weight, [-0.5::DOUBLE, 0.0, 0.5][1 + no % 3] AS ramp FROM n),
 f AS (
   SELECT *, row_number() OVER o AS place,
@@ -267,11 +267,12 @@ p AS (
 c AS (
   SELECT *, (greatest(least(take - before, size), 0) + greatest(least(take - before - source_size, size), 0)
     + greatest(least(take - before - 2 * source_size, size), 0))::BIGINT AS taken,
-    least(before::DOUBLE / greatest(take, 1)::DOUBLE, 1.0::DOUBLE) AS u FROM p)
-SELECT doc_id, size, source_size, target, taken,
-  CASE WHEN taken > 0 THEN
-    CASE WHEN ramp = 0 THEN u ELSE (sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * u) - (1 - ramp)) / (2 * ramp) END END AS position
-FROM c
+    list_transform(range(3), lambda n: CASE WHEN size > 0 AND before + n * source_size < take THEN
+      least((before + n * source_size)::DOUBLE / greatest(take, 1)::DOUBLE, 1.0::DOUBLE) END) AS us FROM p),
+t AS (
+  SELECT *, list_transform(us, lambda u:
+    CASE WHEN ramp = 0 THEN u ELSE (sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * u) - (1 - ramp)) / (2 * ramp) END) AS ts FROM c)
+SELECT doc_id, size, source_size, target, taken, ts[1] AS position, ts[2] AS position_2, ts[3] AS position_3 FROM t
 """
 
 OP9 = r"""
