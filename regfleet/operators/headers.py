@@ -23,6 +23,7 @@ KEY_RECORDS = 5
 def source_columns(headers: DataFrame, records: DataFrame) -> DataFrame:
     """Columns a table really has: those present in one of its first five records.
 
+    A table whose header row is ``complete`` has all columns of its header if it has a record.
     ``columns`` holds (ordinal, header) per distinct header text; the last cell of
     a repeated header wins, its position is that of the first.
     """
@@ -35,10 +36,11 @@ def source_columns(headers: DataFrame, records: DataFrame) -> DataFrame:
         .groupBy(*TABLE)
         .agg(F.collect_set("ordinal").alias("present"))
     )
-    named = headers.select(*TABLE, F.posexplode("header").alias("ordinal", "header"))
+    complete = F.coalesce(F.col("complete"), F.lit(False)) if "complete" in headers.columns else F.lit(False)
+    named = headers.select(*TABLE, complete.alias("complete"), F.posexplode("header").alias("ordinal", "header"))
     kept = (
         named.join(present, TABLE)
-        .filter(F.array_contains("present", F.col("ordinal")))
+        .filter(F.col("complete") | F.array_contains("present", F.col("ordinal")))
         .groupBy(*TABLE, "header")
         .agg(F.min("ordinal").alias("position"), F.max("ordinal").alias("ordinal"))
     )

@@ -110,20 +110,33 @@ def _columns(width: int) -> list[str]:
     return [f"c{i}" for i in range(width)]
 
 
-def _cells(width: int, prefix: str = "") -> Column:
-    """All cells of a row; an empty or missing one is '', line ends are uniform."""
+def _given(record: Column, delimiter: str) -> Column:
+    """How many cells the text of a record gives; delimiters in quoted cells are not counted."""
+    quoted = rf'(^|{delimiter})"(?:[^"]|"")*+"'
+    bare = F.when(record.contains('"'), F.regexp_replace(record, quoted, "$1")).otherwise(record)
+    return _occurrences(bare, delimiter) + 1
+
+
+def _cells(width: int, given: Column, prefix: str = "") -> Column:
+    """All cells of a row with uniform line ends; an empty one is '', one that a short row does not give is null."""
     return F.array(
-        *[F.coalesce(F.regexp_replace(prefix + c, "\r\n?", "\n"), F.lit("")) for c in _columns(width)]
+        *[
+            F.coalesce(F.regexp_replace(prefix + c, "\r\n?", "\n"), F.when(F.coalesce(given > i, F.lit(True)), F.lit("")))
+            for i, c in enumerate(_columns(width))
+        ]
     )
 
 
 def _whole_files(spark: SparkSession, files: list[str], utf16: bool, delimiter: str, width: int) -> DataFrame:
-    schema = ", ".join(f"{c} STRING" for c in _columns(width))
+    # Spark hands out the text of the records whose number of cells is not that of the schema.
+    schema = ", ".join(f"{c} STRING" for c in [*_columns(width), "_text"])
     return (
         spark.read.schema(schema)
         .options(sep=delimiter, quote='"', escape='"', multiLine=True, encoding="UTF-16" if utf16 else "UTF-8")
+        .option("columnNameOfCorruptRecord", "_text")
         .csv(files)
-        .select(F.col("_metadata.file_path").alias("file"), scan_order().alias("row_ord"), _cells(width).alias("cells"))
+        .select(F.col("_metadata.file_path").alias("file"), scan_order().alias("row_ord"), *_columns(width), _given(F.col("_text"), delimiter).alias("_given"))
+        .select("file", "row_ord", _cells(width, F.col("_given")).alias("cells"))
     )
 
 
@@ -161,8 +174,8 @@ def _split_files(spark: SparkSession, files: list[str], utf16: bool, delimiter:
         _lines(spark, files, "\n")
         .select("file", "row_ord", F.regexp_replace("value", r"\r\z", "").alias("text"))
         .filter(F.col("text") != "")
-        .withColumn("_c", F.from_csv("text", schema, options))
-        .select("file", "row_ord", _cells(width, "_c.").alias("cells"))
+        .withColumns({"_c": F.from_csv("text", schema, options), "_given": _given(F.col("text"), delimiter)})
+        .select("file", "row_ord", _cells(width, F.col("_given"), "_c.").alias("cells"))
     )
 
 
@@ -178,7 +191,8 @@ def read_delimited(
     parser: line ends may be LF, CR LF or CR, a quote opens a cell only at its
     start, and quoted cells may hold line breaks. Only file names come to the
     driver, which Spark's own listing keeps there as well. The records are stored,
-    as header rules, numbering and projection each read them.
+    as header rules, numbering and projection each read them. A cell that a short row
+    does not give is null; the column exists nevertheless, as the flag ``complete`` of the headers says.
     """
     found = freeze(dialects(spark, path, simplified), "dialects")
     groups = defaultdict(list)
@@ -197,7 +211,8 @@ def read_delimited(
             if chosen:
                 rows = read(spark, driver_paths(chosen), utf16, delimiter, width)
                 parts.append(rows if not widths else _cut(rows, found))
-    return split_header(freeze(with_table(union_tables(parts), map_id), "records"))
+    headers, records = split_header(freeze(with_table(union_tables(parts), map_id), "records"))
+    return headers.withColumn("complete", F.lit(True)), records
 
 
 def _cut(rows: DataFrame, found: DataFrame) -> DataFrame:

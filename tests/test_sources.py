@@ -113,6 +113,31 @@ def test_documents_to_definitions(spark, docs):
     ]
 
 
+def test_short_rows_keep_their_factor_open(spark, tmp_path):
+    """A cell that a row does not give is null, an empty one is not: only the latter has a factor."""
+    body = 'Register,Name,"Unit",Access\n1,"a,b"\n2,c,"","r"\n3,d,,\n4,"e""f, g",V\n5,h,,rw,more,still\n'
+    wide = body.replace("Access", "Access," + "n/a " * 3 + ",Multiplier").replace("d,,", "d,,,,")
+    (tmp_path / "lines.csv").write_text(body)
+    (tmp_path / "streamed.csv").write_text(body + '6,"i\nj, k"\n7,"l\nm",,\n')
+    (tmp_path / "wide.csv").write_text(wide)
+    (tmp_path / "wide_streamed.csv").write_text(wide + '6,"i\nj, k"\n7,"l\nm",,,,\n')
+    (tmp_path / "wide16.csv").write_bytes(wide.encode("utf-16"))
+    headers, records = read_delimited(spark, str(tmp_path))
+    cells = {m: [r.cells for r in rows] for m, rows in by_map(records).items()}
+    plain = [["1", "a,b", None, None], ["2", "c", "", "r"], ["3", "d", "", ""], ["4", 'e"f, g', "V", None], ["5", "h", "", "rw"]]
+    assert cells["lines"] == plain
+    assert cells["streamed"] == [*plain, ["6", "i\nj, k", None, None], ["7", "l\nm", "", ""]]
+    assert [r[5] for r in cells["wide"]] == [None, None, "", None, "still"] and cells["wide16"] == cells["wide"]
+    assert cells["wide_streamed"] == [*cells["wide"], ["6", "i\nj, k", *[None] * 4], ["7", "l\nm", *[""] * 4]]
+    found = {(r.map_id, r.name): r.factor for r in extract(headers, records).collect()}
+    assert found["wide", "a,b"] is None and found["wide", "d"] == "1.0" and found["wide_streamed", "l\nm"] == "1.0"
+    short = tmp_path / "short"
+    short.mkdir()
+    (short / "s.csv").write_text("Register,Name,Multiplier\n" + "1,a\n" * 6 + "2,b,4\n")
+    headers, records = read_delimited(spark, str(short))
+    assert [r.factor for r in extract(headers, records).orderBy("record").collect()] == [None] * 6 + ["4.0"]
+
+
 def test_simplified_file(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_text(SIMPLE)
@@ -171,7 +196,7 @@ def test_plan_does_not_grow_with_the_widths(spark, tmp_path, monkeypatch):
     assert len(parts) <= 5
     for width in range(3, 43):
         cells = [list(r.cells) for r in found[f"w{width}"]]
-        assert cells == [[f"{width}-{c}" for c in range(width)], ["short"] + [""] * (width - 1), ["x"] * width]
+        assert cells == [[f"{width}-{c}" for c in range(width)], ["short"] + [None] * (width - 1), ["x"] * width]
 
 
 def test_files_are_scanned_once_for_their_heads(spark, docs):
@@ -318,7 +343,7 @@ def test_plain_files_are_read_in_splits(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sorted(streamed) == ["breaks", "cr", "mixed", "stray", "utf16"]
-    more = {"blank": [["  ", "", ""]], "breaks": [["9", "a\nb,c", ""]]}
+    more = {"blank": [["  ", None, None]], "breaks": [["9", "a\nb,c", ""]]}
     for name in [*texts.keys() - {"mixed"}, "utf16"]:
         cells = [list(r.cells) for r in found[name]]
         assert cells[:2000] == rows[1:] and (name == "stray" or cells[2000:] == more.get(name, []))
