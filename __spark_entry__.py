@@ -20,11 +20,11 @@ from regfleet.operators.records import grid_records, select_tables  # noqa: E402
 from regfleet.operators.staging import number_lines, surviving  # noqa: E402
 from regfleet.operators.tagging import allocate_tags  # noqa: E402
 from regfleet.plans.definition import definition, generate, staged_table  # noqa: E402
-from regfleet.plans.diagnostics import diagnostics  # noqa: E402
+from regfleet.plans.diagnostics import diagnostics, refusals  # noqa: E402
 from regfleet.plans.extraction import extract, run, simplified  # noqa: E402
 from regfleet.schemas import REGISTER_COLUMNS, REGISTER_HEADERS, TARGET_COLUMNS  # noqa: E402
 from regfleet.session import freeze, new_path  # noqa: E402
-from regfleet.sinks.definition import definition_lines, file_names, read_definitions, with_slug, write_definitions  # noqa: E402
+from regfleet.sinks.definition import accepted, definition_lines, file_names, read_definitions, with_slug, write_definitions  # noqa: E402
 from regfleet.sinks.registers import write_registers  # noqa: E402
 from regfleet.sources.delimited import read_delimited  # noqa: E402
 from regfleet.sources.files import partition_value  # noqa: E402
@@ -212,6 +212,16 @@ def brand_files(spark, d):
     return read_definitions(spark, path, "file")
 
 
+def refused_maps(spark, d):
+    """Per map its findings and how many lines are written, with parameters that lack names."""
+    rows = X.registers(spark, d)
+    params = X.parameters(rows)
+    stated = spark.sql(f"SELECT {X.INCOMPLETE_RULES} FROM {{params}} WHERE {X.INCOMPLETE}", params=params)
+    lines = accepted(definition_lines(generate(rows, params), stated), stated).groupBy("map_id").agg(F.count("*").alias("lines"))
+    found = refusals(rows, stated).groupBy("map_id").agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("findings"))
+    return params.select("map_id").join(lines, "map_id", "left").join(found, "map_id", "left").fillna(0, ["lines"]).fillna("", ["findings"])
+
+
 def file_slug(spark, d):
     return with_slug(X.parameters(X.registers(spark, d))).select("map_id", "slug")
 
@@ -387,6 +397,7 @@ def _register_queries():
         "reg_definition": brand_definition,
         "reg_definition_lines": brand_lines,
         "reg_definition_files": brand_files,
+        "reg_refused_maps": refused_maps,
         "reg_file_slug": file_slug,
         "reg_header_detect": header_detect,
         "reg_header_mapping": header_mapping,

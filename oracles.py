@@ -11,6 +11,8 @@ from regfleet.fixtures import (
     FLEET_NAME,
     FLEET_TYPE,
     HEADER_VARIANTS,
+    INCOMPLETE,
+    INCOMPLETE_RULES,
     LONG_ADDRESS,
     MIXED_NAME,
     MIXED_TAG,
@@ -311,6 +313,13 @@ def oracle_sql():
             """SELECT CASE WHEN count(DISTINCT map_id) OVER (PARTITION BY slug) > 1 THEN slug || '_' || sha256(map_id)[:12] ELSE slug END AS file,
               line_ord AS position, line FROM lines JOIN slugs USING (map_id)""",
         ),
+        "reg_refused_maps": select(
+            f"{RP}, {WITH_OFFSET}, stated AS (SELECT {INCOMPLETE_RULES.replace('STRING', 'VARCHAR')} FROM params WHERE {INCOMPLETE})",
+            """SELECT p.map_id, CASE WHEN coalesce(s.manufacturer, '') = '' OR coalesce(s.model, '') = '' THEN 0 ELSE 1 + coalesce(d.n, 0) END::BIGINT AS lines,
+              concat_ws(',', CASE WHEN coalesce(s.manufacturer, '') = '' THEN 'MISSING_MANUFACTURER' END,
+                CASE WHEN coalesce(s.model, '') = '' THEN 'MISSING_MODEL' END) AS findings
+            FROM params p LEFT JOIN stated s USING (map_id) LEFT JOIN (SELECT map_id, count(*) AS n FROM definition GROUP BY 1) d USING (map_id)""",
+        ),
         "reg_file_slug": select(
             RP,
             f"SELECT map_id, {SLUG} AS slug FROM params",

@@ -81,6 +81,15 @@ PARAMETER_RULES = """
   CAST(CASE WHEN map_id LIKE '%1' THEN 50 WHEN map_id LIKE '%3' THEN -50000 ELSE 0 END AS BIGINT) AS address_offset
 """
 
+#: Parameters that some maps state in part or not at all.
+INCOMPLETE_RULES = """
+  map_id,
+  CASE WHEN map_id LIKE '%2' THEN '' ELSE manufacturer END AS manufacturer,
+  CASE WHEN map_id LIKE '%3' OR map_id LIKE '%22' THEN CAST(NULL AS STRING) ELSE model END AS model,
+  protocol, category, forced_write, address_offset
+"""
+INCOMPLETE = "map_id NOT LIKE '%4'"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,8 +9,9 @@ from regfleet.operators.checks import duplicates, intervals, overlaps
 from regfleet.operators.tagging import allocate_tags
 from regfleet.schemas import DIAGNOSTIC_SCHEMA
 from regfleet.session import freeze
+from regfleet.sinks.definition import HEADER_COLUMNS
 
-SKIP, WARNING = "skip", "warning"
+SKIP, WARNING, REFUSED = "skip", "warning", "refused"
 
 
 def _finding(rows: DataFrame, code: str, severity: str, detail: Column, ref_line=None, n=None, ref=None) -> DataFrame:
@@ -72,6 +73,29 @@ def row_findings(staged: DataFrame) -> DataFrame:
     )
 
 
+def refusals(maps: DataFrame, params: DataFrame) -> DataFrame:
+    """One finding for each name that a map of ``maps`` must state and does not; ``sinks.definition.accepted`` leaves it out.
+
+    Of several parameter rows of a map one holds, the one that its header is made of.
+    """
+    one = params.groupBy("map_id").agg(F.min(F.struct(*HEADER_COLUMNS)).alias("p")).select("map_id", "p.*")
+    stated = maps.select("map_id").distinct().join(one, "map_id", "left")
+    missing = [
+        F.when(F.coalesce(name, F.lit("")) == "", F.struct(F.lit(f"MISSING_{name.upper()}").alias("code")))
+        for name in ("manufacturer", "model")
+    ]
+    found = stated.select("map_id", F.inline(F.array_compact(F.array(*missing))))
+    nothing = {"line_num": "bigint", "name": "string", "ref_line": "bigint", "ref_name": "string", "ref_range": "string"}
+    return found.withColumns(
+        {
+            **{column: F.lit(None).cast(kind) for column, kind in nothing.items()},
+            "severity": F.lit(REFUSED),
+            "detail": F.lit(""),
+            "n": F.lit(1).cast("bigint"),
+        }
+    ).to(DIAGNOSTIC_SCHEMA)
+
+
 def diagnostics(staged: DataFrame) -> DataFrame:
     """All eight kinds of findings.
 

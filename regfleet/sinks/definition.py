@@ -52,6 +52,23 @@ def definition_lines(definition: DataFrame, params: DataFrame) -> DataFrame:
     return header.unionByName(body)
 
 
+def named_maps(params: DataFrame) -> DataFrame:
+    """(map_id): maps whose parameters state both a manufacturer and a model."""
+    both = (F.coalesce("manufacturer", F.lit("")) != "") & (F.coalesce("model", F.lit("")) != "")
+    one = params.groupBy("map_id").agg(F.min(F.struct(*HEADER_COLUMNS)).alias("p")).select("map_id", "p.*")
+    return one.filter(both).select("map_id")
+
+
+def accepted(lines: DataFrame, params: DataFrame) -> DataFrame:
+    """Lines of the maps that have a manufacturer and a model; the others get no file.
+
+    ``plans.diagnostics.refusals`` tells which and why. A map that holds many lines is not moved to
+    one task: the named maps are a lookup.
+    """
+    named = named_maps(params).withColumn("_named", F.lit(True))
+    return salted_lookup(lines, named, ["map_id"], "line_ord").filter("_named").drop("_named")
+
+
 def with_slug(params: DataFrame) -> DataFrame:
     return params.withColumn("slug", definition_slug(F.col("manufacturer"), F.col("model")))
 

@@ -376,3 +376,18 @@ def test_headers_are_resolved_once_per_form(spark, monkeypatch):
         for r in resolve_columns(alone, mapping).collect():
             assert r.asDict() == found[r.map_id]
         sizes.clear()
+
+
+def test_maps_without_names_are_refused(spark):
+    from regfleet.plans.diagnostics import refusals
+    from regfleet.sinks.definition import accepted
+
+    p = spark.createDataFrame(
+        [("a", "M", "X", None, "", "", 0), ("b", "", "X", None, "", "", 0), ("c", None, None, None, "", "", 0)], PARAMETER_SCHEMA
+    )
+    lines = spark.createDataFrame([(m, n, "x") for m in "abcd" for n in range(3)], "map_id string, line_ord bigint, line string")
+    assert sorted((r.map_id, r.line_ord) for r in accepted(lines, p).collect()) == [("a", 0), ("a", 1), ("a", 2)]
+    found = sorted((r.map_id, r.code, r.severity, r.n) for r in refusals(lines, p).collect())
+    man, mod = "MISSING_MANUFACTURER", "MISSING_MODEL"
+    assert found == [(m, c, "refused", 1) for m, c in [("b", man), ("c", man), ("c", mod), ("d", man), ("d", mod)]]
+    assert refusals(lines.limit(0), p).isEmpty() and accepted(lines, p.limit(0)).isEmpty()
