@@ -50,6 +50,9 @@ def intervals(rows: DataFrame) -> DataFrame:
 #: Intervals up to this many registers are covered register by register.
 NARROW = 16
 
+#: Rows of one node that a task pairs with as many others when pairs are listed.
+DEALT = 1 << 12
+
 
 def _shift(value: Column, level: Column) -> Column:
     return F.call_function("shiftright", value, level)
@@ -94,6 +97,7 @@ def overlap_pairs(spans: DataFrame) -> DataFrame:
     of the join is an overlap (pairs with equal starts match once per direction,
     one is kept), so the work follows the size of the listing. That size is
     quadratic where many rows share registers; :func:`overlap_counts` is not.
+    The pairs of such a node are dealt over many tasks.
     """
     held = _covering_nodes(spans, "reg_start", "reg_end")
     starts = _start_nodes(spans, held)
@@ -107,7 +111,8 @@ def overlap_pairs(spans: DataFrame) -> DataFrame:
         "map_id", "info1", "level", "node", F.col("is_bits").alias("other_bits"),
         *[F.col(c).alias("b_" + c) for c in ("reg_start", "reg_end", "line_num", "name")],
     )
-    pairs = a.join(b, key).filter(
+    a, b = _dealt(a, b, key)
+    pairs = a.join(b, [*key, "_a_part", "_b_part"]).filter(
         (F.col("b_reg_start") > F.col("a_reg_start"))
         | ((F.col("b_reg_start") == F.col("a_reg_start")) & (F.col("b_line_num") > F.col("a_line_num")))
     )
@@ -130,6 +135,31 @@ def overlap_pairs(spans: DataFrame) -> DataFrame:
     )
 
 
+def _dealt(a: DataFrame, b: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_a_part`` and ``_b_part``, so that a key with many rows is joined in cells of some ``DEALT`` rows a side.
+
+    A row meets each part of the other side, which repeats it once for every
+    ``DEALT`` partners: less than the pairs by that factor.
+    """
+
+    def parts(side, name):
+        return side.groupBy(*key).agg((F.expr(f"count(*) div {DEALT}") + 1).alias(name))
+
+    large = parts(a, "_a_parts").join(parts(b, "_b_parts"), key).filter((F.col("_a_parts") > 1) | (F.col("_b_parts") > 1))
+    large = freeze(large, "overlap-parts")
+
+    def dealt(side, own, other):
+        known = salted_lookup(side, large, key, f"{own}_line_num").fillna(1, [f"_{own}_parts", f"_{other}_parts"])
+        return known.withColumns(
+            {
+                f"_{own}_part": F.pmod(F.hash(f"{own}_line_num"), F.col(f"_{own}_parts")),
+                f"_{other}_part": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"_{other}_parts") - 1)),
+            }
+        ).drop("_a_parts", "_b_parts")
+
+    return dealt(a, "a", "b"), dealt(b, "b", "a")
+
+
 def sharing_rows(spans: DataFrame) -> DataFrame:
     """The rows that share a register with any other, but for BITS that only meet BITS.
 

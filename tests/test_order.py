@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from regfleet.functions import tag_base
+from regfleet.operators import checks
 from regfleet.operators.checks import duplicates, overlap_counts, overlap_pairs
 from regfleet.operators import ordering, tagging
 from regfleet.operators.ordering import ordered_scan
@@ -140,3 +141,13 @@ def test_overlaps_equal_pairwise(spark):
         firsts[m, line] = min(ref, firsts.get((m, line), ref))
     got = {(r.map_id, r.line_num): (r.n, r.ref_line) for r in overlap_counts(spans).collect()}
     assert got == {k: (counts[k], firsts[k]) for k in counts}
+
+
+def test_pairs_of_a_full_register_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(checks, "DEALT", 7)
+    spans = spark.range(90).selectExpr(
+        "'m' AS map_id", "'3' AS info1", "5L AS reg_start", "5 + id % 2 AS reg_end", "id AS line_num", "'x' AS name", "'U16' AS type", "id % 3 = 0 AS is_bits"
+    )
+    pairs = [(r.line_num, r.ref_line) for r in overlap_pairs(spans).collect()]
+    want = [(i, j) for i in range(90) for j in range(i) if i % 3 or j % 3]
+    assert sorted(pairs) == sorted(want)

@@ -26,6 +26,14 @@ def test_query_equals_sql(spark, con, name):
     assert difference(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) is None
 
 
+def test_overlaps_list_every_pair(spark):
+    """One row per pair, so a row that overlaps several earlier ones stands several times."""
+    found = entry.queries()
+    pairs = found["reg_overlaps"](spark, SF).groupBy("map_id", "info1", "line_num").agg(F.count("*").alias("n"), F.min("ref_line").alias("ref_line"))
+    counts = sorted(map(tuple, found["reg_overlap_counts"](spark, SF).select(pairs.columns).collect()))
+    assert sorted(map(tuple, pairs.collect())) == counts and max(c[3] for c in counts) > 1
+
+
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
 
