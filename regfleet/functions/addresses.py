@@ -119,7 +119,8 @@ def _long_sum(base: Column, offset: Column) -> Column:
 
 def without_thousands(address: Column) -> Column:
     """Drop commas that group digits by three."""
-    return F.regexp_replace(address, r"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))", "")
+    plain = F.regexp_replace(address, r"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))", "")
+    return F.when(address.contains(","), plain).otherwise(address)
 
 
 def part_number(s: Column) -> Column:
@@ -173,7 +174,7 @@ def apply_offset(address: Column, offset: Column) -> Column:
 
 def rest_of(parts: Column) -> Column:
     """The parts past the third, which no valid address has."""
-    return F.transform(F.slice(parts, F.lit(4), F.greatest(F.size(parts), F.lit(0))), decimal_part)
+    return F.when(F.size(parts) > 3, F.transform(F.slice(parts, F.lit(4), F.size(parts)), decimal_part))
 
 
 def is_negative(address: Column) -> Column:
@@ -197,8 +198,13 @@ def valid_register(address: Column, dtype: Column) -> Column:
     return F.concat_ws(":", dtype, address).rlike(f"^({shapes})$")
 
 
+def _sized(dtype: Column) -> Column:
+    """Whether a type may be ``STR<n>``; cheap, as most are not."""
+    return F.upper(F.substring(dtype, 1, 3)) == "STR"
+
+
 def expand_str_type(dtype: Column) -> Column:
-    return F.regexp_replace(dtype, "(?i)^STR[0-9]+$", "STRING")
+    return F.when(_sized(dtype), F.regexp_replace(dtype, "(?i)^STR[0-9]+$", "STRING")).otherwise(dtype)
 
 
 def expand_str_address(dtype: Column, address: Column) -> Column:
@@ -206,7 +212,7 @@ def expand_str_address(dtype: Column, address: Column) -> Column:
     size = F.regexp_extract(dtype, "(?i)^STR0*([0-9]+)$", 1)
     # With no size, the added separator is all there is to strip.
     extended = F.rtrim(F.concat_ws("_", address, size), F.lit("_"))
-    return F.when(address.contains("_"), address).otherwise(extended)
+    return F.when(address.contains("_") | ~_sized(dtype), address).otherwise(extended)
 
 
 def bits_address(dtype: Column, address: Column, start_bit: Column, length: Column) -> Column:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 def tag_base(name: Column) -> Column:
     """Name to tag text: ``[a-z0-9_]`` only, never empty, never digit-first."""
     words = F.regexp_replace(F.translate(F.lower(name), " ", "_"), "[^a-z0-9_]+", "")
-    slug = F.btrim(F.regexp_replace(words, "_+", "_"), F.lit("_"))
-    return F.regexp_replace(F.regexp_replace(slug, "^$", "var"), "^(?=[0-9])", "v_")
+    single = F.when(words.contains("__"), F.regexp_replace(words, "_+", "_")).otherwise(words)
+    slug = F.btrim(single, F.lit("_"))
+    first = F.substring(slug, 1, 1)
+    return F.when(first == "", F.lit("var")).when(first.between("0", "9"), F.concat(F.lit("v_"), slug)).otherwise(slug)
 
 
 def _slug(c: Column) -> Column:

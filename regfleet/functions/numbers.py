@@ -13,8 +13,8 @@ COMMA_BEFORE_DOT = r"^[^.]*,.*\."
 
 
 def _to_double(s: Column) -> Column:
-    # Text outside the grammar becomes '', for which a cast fails cheaply.
-    return F.regexp_extract(s, FLOAT, 0).try_cast("double")
+    # A cast that fails inside raises and catches an exception, so only text of the grammar is cast.
+    return F.when(s.rlike(FLOAT), s.try_cast("double"))
 
 
 def number_of(s: Column) -> Column:
@@ -75,6 +75,23 @@ def _whole_text(units: Column) -> Column:
 def fixed6(x: Column) -> Column:
     """Six-decimal text of a DOUBLE, rounding its exact binary value half-even.
 
+    Below 10^6 the product with 10^6 is off by less than 2^-13, so its nearest whole number is right unless it lies
+    close to the middle of two. Other numbers go through :func:`_fixed6_exact`, in a lambda: its code is long, and
+    generated methods of more than 8,000 bytes of code are never compiled.
+    """
+    scaled = F.abs(x) * 1e6
+    middle = F.abs(scaled % 1.0 - 0.5)
+    micros = F.rint(scaled).cast("bigint")
+    whole = F.call_function("div", micros, F.lit(1000000).cast("bigint")).cast("string")
+    digits = F.concat(whole, F.lit("."), F.lpad((micros % 1000000).cast("string"), 6, "0"))
+    sign = F.when((x < 0) | ((x == 0) & (x.cast("string") == "-0.0")), F.lit("-")).otherwise(F.lit(""))
+    exact = F.get(F.transform(F.array(x), _fixed6_exact), F.lit(0))
+    return F.when((scaled < 1e12) & (middle > 0.001), F.concat(sign, digits)).otherwise(exact)
+
+
+def _fixed6_exact(x: Column) -> Column:
+    """``fixed6`` of any DOUBLE.
+
     ``format_string('%.6f')`` rounds the shortest decimal instead, which differs
     on ties and shows other digits of large numbers. The fraction of a double is
     exact; ``fraction * 10^7`` is formed as product plus error term (Dekker

@@ -60,7 +60,9 @@ def stage(rows: DataFrame) -> DataFrame:
     if "address_offset" not in rows.columns:
         rows = rows.withColumn("address_offset", F.lit(0).cast("bigint"))
     if "blank" not in rows.columns:
-        rows = rows.withColumn("blank", F.concat_ws("", *REGISTER_COLUMNS) == "")
+        # Being a lambda, it also ends the generated method of the steps before, which is not compiled beyond 8,000 bytes.
+        empty = F.forall(F.array(*[F.col(c).cast("string") for c in REGISTER_COLUMNS]), lambda c: F.coalesce(c, F.lit("")) == "")
+        rows = rows.withColumn("blank", empty)
 
     # One projection per step: a formula used twice is a column of the step before,
     # so that it is evaluated once.

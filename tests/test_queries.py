@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 from regfleet import fixtures as X
 from regfleet.operators.checks import duplicates, intervals, overlap_counts
 from regfleet.operators.headers import source_columns
+from regfleet.operators.staging import stage, surviving, with_coefficient_text, with_values
 from regfleet.plans.definition import definition, staged_table
 from regfleet.session import freeze
 
@@ -85,3 +86,16 @@ def test_one_hot_map(spark):
     assert counts.agg(F.sum("n")).first()[0] == sum(
         (k * (k - 1)) // 2 for a in range(1000) for k in [sum(1 for i in range(a, n, 1000) if i % 3)]
     )
+
+
+def test_generated_methods_are_compiled(spark):
+    """The JVM only interprets methods of more than 8,000 bytes of code, which costs several times the CPU."""
+    fleet = X.fleet(spark, SF)
+    values = with_coefficient_text(spark.range(9).select(F.rand().alias("coef_a_num"), F.rand().alias("coef_b_num")))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (stage(fleet), with_values(surviving(staged_table(fleet))), values):
+            found = df._jdf.queryExecution().debug().codegenToSeq()
+            assert max(found.apply(k)._3().maxMethodCodeSize() for k in range(found.size())) <= 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")

@@ -163,3 +163,11 @@ def test_coefficients(spark, factor, offset, scale, a, b):
     rows = rows_of(spark, {"name": "a", "address": "1", "factor": factor, "offset_raw": offset, "scale_factor": scale})
     row = with_coefficient_text(with_values(surviving(stage(rows)))).first()
     assert (row.coef_a, row.coef_b) == (a, b)
+
+
+def test_fixed6_near_ties_and_bounds(spark):
+    """The short way and the exact one give what C gives."""
+    ties = [(2 * k + 1) / 2**7 for k in range(40)]
+    values = [s * v for v in [0.0, 5e-7, 1e-7, 0.1, 1.0005, 999999.9999995, 1e6, 1234567.0078125, 123456.0078125, 2.0**53, 1e300, *ties] for s in (1.0, -1.0)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", R.fixed6(F.col("x")).alias("t")).collect()
+    assert [(r.x, r.t) for r in rows if abs(r.x) < 1e38 and r.t != "%.6f" % r.x] == []
