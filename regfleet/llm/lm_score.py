@@ -37,6 +37,9 @@ BROADCAST_TARGETS = 500_000
 #: Rows that a task holds before it hands them on, and words of text for each bucket.
 _HELD, _BUCKET = 1 << 19, 1 << 19
 
+#: Bytes of text that are split at once; a worker holds some hundred bytes of arrays for each.
+_PIECE = 1 << 18
+
 #: Texts whose losses are added up together, as a power of two.
 _TEXT_BITS = 13
 
@@ -140,14 +143,14 @@ def _signed(hashes: np.ndarray) -> pa.Array:
 
 def _pieces_of(batches):
     """Words of each piece of the texts, and which of them are in target documents."""
-    for piece in pieces(batches, "text"):
+    for piece in pieces(batches, "text", _PIECE):
         words = split_words(piece.column("text"), LETTERS)
         yield piece, words, piece.column("wanted").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _known_rows(batches):
     """(word, n): words by hash, counted per piece."""
-    for piece in pieces(batches, "text"):
+    for piece in pieces(batches, "text", _PIECE):
         word, n = np.unique(split_words(piece.column("text"), LETTERS).hashes(), return_counts=True)
         yield pa.RecordBatch.from_arrays([_signed(word), pa.array(n)], ["word", "n"])
 

@@ -204,3 +204,23 @@ def test_toxicity_equals_a_plain_version(spark):
         r, ratio = found[d["doc_id"]], mean_ratio(d["text"], final, cache)
         assert abs(r["score"] - 1 / (1 + math.exp(-(ratio * model.slope + model.intercept)))) < 1e-6
         assert r["held_out"] == (d["h"] % 4 == 2) and r["predicted"] == (r["score"] >= 0.3)
+
+
+def test_language_model_workers_hold_little_of_a_batch():
+    """The arrays that a worker holds while it counts words do not grow with the batch."""
+    import random
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from regfleet.llm import lm_score
+
+    rng = random.Random(1)
+    texts = [" ".join("w" + "".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "wanted": [True] * len(texts)})
+    tracemalloc.start()
+    list(lm_score._word_rows(SimpleNamespace(value=None))(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
