@@ -1,6 +1,6 @@
 """Findings about a map: repeated names and tags, overlapping registers."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regfleet import functions as R
@@ -26,6 +26,12 @@ def duplicates(rows: DataFrame, column: str) -> DataFrame:
     return repeated.select(*rows.columns, "ref_line")
 
 
+def repeat_counts(rows: DataFrame, column: str) -> DataFrame:
+    """Per map and text how many rows ``duplicates`` lists: all but the first of those that use it."""
+    uses = rows.filter(F.col(column) != "").groupBy("map_id", column).agg(F.count("*").alias("_uses"))
+    return uses.filter(F.col("_uses") > 1).select("map_id", (F.col("_uses") - 1).alias("n"))
+
+
 def intervals(rows: DataFrame) -> DataFrame:
     """Registers each surviving row occupies; rows that occupy none are left out."""
     start = R.base_register(F.col("info2"))
@@ -53,6 +59,12 @@ NARROW = 16
 #: Rows of one node that a task pairs with as many others when pairs are listed.
 DEALT = 1 << 12
 
+#: Maps of up to this many intervals are sorted by register in one task each.
+WHOLE = 1 << 16
+
+#: Rows that share registers in a row are compared directly up to this many.
+ISLAND = 64
+
 
 def _shift(value: Column, level: Column) -> Column:
     return F.call_function("shiftright", value, level)
@@ -181,21 +193,79 @@ def sharing_rows(spans: DataFrame) -> DataFrame:
 def overlap_counts(spans: DataFrame) -> DataFrame:
     """Per row: how many earlier rows it overlaps, and the first of them.
 
-    The same pairs as :func:`overlap_pairs`, counted instead of listed, among the
-    rows that share registers at all. An earlier row overlaps either by holding the
-    start of this one, or by starting inside the rest of it. Both are running counts
-    in line order per node, so the cost stays linear in the rows and no node is
-    handled by one task.
+    The same pairs as :func:`overlap_pairs`, counted instead of listed. ``spans`` is read several times and should be a
+    stored table. Maps of bounded size are sorted by register, and the rows of short islands are compared with each
+    other. For larger maps and longer islands an earlier row overlaps either by holding the start of this one, or by
+    starting inside the rest of it. Both are running counts in line order per node, so the cost stays linear in the
+    rows and no node is handled by one task.
     """
-    return _counted(freeze(sharing_rows(spans), "sharing-rows"))
+    columns = ["map_id", "info1", "reg_start", "reg_end", "line_num", "is_bits"]
+    compared, others = _compared(spans.select(columns))
+    found = compared.select("map_id", "info1", "line_num", "n", "ref.line_num").toDF("map_id", "info1", "line_num", "n", "ref_line")
+    return found if others is None else found.unionByName(_counted(freeze(sharing_rows(others), "sharing-rows")))
 
 
 def overlaps(spans: DataFrame) -> DataFrame:
     """``overlap_counts`` with name and registers of the row and of the first one that it overlaps."""
-    sharing = freeze(sharing_rows(spans), "sharing-rows")
+    columns = ["map_id", "info1", "reg_start", "reg_end", "line_num", "is_bits", "name"]
+    compared, others = _compared(spans.select(columns))
+    refs = [F.col("ref." + c).alias("ref_" + c.removeprefix("reg_").replace("_num", "")) for c in ("line_num", "name", "reg_start", "reg_end")]
+    found = compared.select("map_id", "info1", "line_num", "n", "name", "reg_start", "reg_end", *refs)
+    if others is None:
+        return found
+    sharing = freeze(sharing_rows(others), "sharing-rows")
     own = sharing.select("map_id", "info1", "line_num", "name", "reg_start", "reg_end")
     first = own.toDF("map_id", "info1", "ref_line", "ref_name", "ref_start", "ref_end")
-    return _counted(sharing).join(own, ["map_id", "info1", "line_num"]).join(first, ["map_id", "info1", "ref_line"])
+    joined = _counted(sharing).join(own, ["map_id", "info1", "line_num"]).join(first, ["map_id", "info1", "ref_line"])
+    return found.unionByName(joined)
+
+
+def _compared(spans: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of short islands in maps of bounded size that overlap earlier ones, with number and first; and all other rows."""
+    large = freeze(spans.groupBy("map_id").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > WHOLE), "large-maps")
+    others = None if large.isEmpty() else spans.join(large, "map_id", "left_semi")
+    islands = freeze(_islands(spans if others is None else spans.join(large, "map_id", "left_anti")), "islands")
+    long = islands.filter(F.col("size") > ISLAND)
+    if not long.isEmpty():
+        rows = long.select("map_id", "info1", F.inline("rows")).select(spans.columns)
+        others = rows if others is None else others.unionByName(rows)
+
+    def earlier(row):
+        def met(other):
+            shared = (other["reg_start"] <= row["reg_end"]) & (other["reg_end"] >= row["reg_start"])
+            return (other["line_num"] < row["line_num"]) & shared & ~(row["is_bits"] & other["is_bits"])
+
+        return F.struct(row.alias("row"), F.filter("rows", met).alias("met"))
+
+    each = islands.filter(F.col("size") <= ISLAND).select("map_id", "info1", F.inline(F.transform("rows", earlier)))
+    return (
+        each.filter(F.size("met") > 0)
+        .select("map_id", "info1", "row.*", F.size("met").cast("bigint").alias("n"), F.array_min("met").alias("ref")),
+        others,
+    )
+
+
+def _islands(spans: DataFrame) -> DataFrame:
+    """Lists of the rows that share registers, one for each stretch of registers that intervals cover without a gap."""
+    space = ["map_id", "info1"]
+    so_far = Window.partitionBy(*space).orderBy("reg_start")
+    reached = spans.withColumn("_far", F.max("reg_end").over(so_far.rowsBetween(Window.unboundedPreceding, -1)))
+    opens = F.col("_far").isNull() | (F.col("reg_start") > F.col("_far"))
+    placed = reached.withColumns(
+        {
+            "_island": F.max(F.when(opens, F.col("reg_start"))).over(so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            "_next": F.lead("reg_start").over(so_far),
+        }
+    )
+    # The line comes first, so that the smallest row is the earliest.
+    row = F.struct("line_num", *[c for c in spans.columns if c not in (*space, "line_num")])
+    return (
+        placed.filter(~opens | (F.col("_next") <= F.col("reg_end")))
+        .groupBy(*space, "_island")
+        .agg(F.collect_list(row).alias("rows"), F.count("*").alias("size"), F.count(F.when(~F.col("is_bits"), 1)).alias("_plain"))
+        .filter(F.col("_plain") > 0)
+        .select(*space, "rows", "size")
+    )
 
 
 def _counted(spans: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def _first_uses(rows: DataFrame) -> DataFrame:
         "map_id", F.col("base").alias("text"), F.lit(None).cast("bigint").alias("typed"), F.col("line_num").alias("asked")
     )
     return typed.unionByName(asked).groupBy("map_id", "text").agg(
-        F.min("typed").alias("typed"), F.min("asked").alias("asked")
+        F.min("typed").alias("typed"), F.min("asked").alias("asked"), F.count("typed").alias("times")
     )
 
 
@@ -163,12 +163,17 @@ def _starts(claims: DataFrame, typed: DataFrame) -> DataFrame:
     return starts.select(*_KEYS, "start")
 
 
+def _won(claims: DataFrame, starts: DataFrame) -> DataFrame:
+    """Claims with their thresholds and ``won``: whether the text was taken before the requests reached its number."""
+    started = salted_lookup(claims, starts, _KEYS, "n").fillna(0, ["start"])
+    return started.withColumn("won", F.col("p") > F.col("start"))
+
+
 def _settle(claims: DataFrame, typed: DataFrame) -> DataFrame:
     """Skipped numbers as (map, base, request rank from which they count, how many)."""
     claims = _thresholds(claims)
     starts = _starts(claims, typed)
-    started = salted_lookup(claims, starts, _KEYS, "n").fillna(0, ["start"])
-    won = started.filter(F.col("p") > F.col("start")).select(*_KEYS, "n")
+    won = _won(claims, starts).filter("won").select(*_KEYS, "n")
     taken = starts.filter("start = 1").select(*_KEYS, F.lit(0).cast("bigint").alias("n"))
     skipped = freeze(won.unionByName(taken), "tag-skipped")
     exact = ordered_scan(skipped, _KEYS, "n", counts={"s": F.lit(True)}, sparse=True)
@@ -224,3 +229,22 @@ def allocate_tags(rows: DataFrame) -> DataFrame:
         given.unionByName(_tagged(plain, F.col("rank") - 1).select(columns))
         .unionByName(_tagged(shifted, F.col("rank") - 1 + F.col("shift")).select(columns))
     )
+
+
+def tag_repeats(rows: DataFrame) -> DataFrame:
+    """Per map and text how many rows of ``allocate_tags`` have a tag that an earlier line has, worked out without the tags.
+
+    A request gets a tag that no earlier line has, so only typed ones repeat: all but the first of a text, and the
+    first as well if the text was requested before (that request has it or found it taken), or if its claim of a
+    number is lost, as then a request has it.
+    """
+    uses = freeze(_first_uses(rows), "tag-texts")
+    claimed = freeze(_claimed_bases(uses), "tag-bases")
+    requested = F.when(F.col("asked") < F.col("typed"), 1).otherwise(0)
+    repeated = uses.filter("typed IS NOT NULL").select("map_id", (F.col("times") - 1 + requested).alias("n"))
+    if not claimed.isEmpty():
+        numbered = freeze(_numbered_claims(uses, claimed), "tag-claims")
+        claims = _thresholds(_claims(rows, numbered))
+        lost = _won(claims, _starts(claims, _typed_bare(uses))).filter(~F.col("won") & ~F.col("by_request"))
+        repeated = repeated.unionByName(lost.select("map_id", F.lit(1).cast("bigint").alias("n")))
+    return repeated.filter(F.col("n") > 0)

@@ -17,17 +17,21 @@ from regfleet.schemas import DEFINITION_SCHEMA
 from regfleet.session import freeze
 
 
-def staged_table(rows: DataFrame, params: DataFrame | None = None, order: str | None = None) -> DataFrame:
+def staged_table(
+    rows: DataFrame, params: DataFrame | None = None, order: str | None = None, columns: list[str] | None = None
+) -> DataFrame:
     """Numbered, cleaned and judged rows, stored once for all later passes.
 
     ``rows`` carry ``line_num``, or the ``order`` column names a BIGINT that sorts
-    the records of a map. ``params`` gives each map its address offset.
+    the records of a map. ``params`` gives each map its address offset. With
+    ``columns`` only those are stored.
     """
     if order is not None:
         rows = number_lines(rows, order)
     if params is not None:
         rows = with_offset(rows, params)
-    return freeze(stage(rows), "staged")
+    staged = stage(rows)
+    return freeze(staged if columns is None else staged.select(columns), "staged")
 
 
 def definition(staged: DataFrame) -> DataFrame:

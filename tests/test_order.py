@@ -151,3 +151,44 @@ def test_pairs_of_a_full_register_are_dealt(spark, monkeypatch):
     pairs = [(r.line_num, r.ref_line) for r in overlap_pairs(spans).collect()]
     want = [(i, j) for i in range(90) for j in range(i) if i % 3 or j % 3]
     assert sorted(pairs) == sorted(want)
+
+
+@pytest.mark.parametrize("whole,island", [(1 << 16, 64), (40, 3), (0, 64), (1 << 16, 0)])
+def test_overlaps_whichever_way_rows_are_compared(spark, monkeypatch, whole, island):
+    """Maps in one window, in islands of any length and by running counts agree with the listed pairs."""
+    monkeypatch.setattr(checks, "WHOLE", whole)
+    monkeypatch.setattr(checks, "ISLAND", island)
+    rnd = random.Random(11)
+    rows = []
+    for m in range(40):
+        for line in range(2, 2 + rnd.randint(1, 90)):
+            start = rnd.choice([0, 40000, -20, 10**17]) + rnd.randint(0, rnd.choice([5, 400]))
+            bits = rnd.random() < 0.3
+            end = start + (0 if bits else rnd.choice([0, 0, 1, 3, 7, rnd.randint(0, 70), 10**12 * (rnd.random() < 0.01)]))
+            rows.append((f"m{m}", rnd.choice("34"), start, int(end), line, f"n{line}", "BITS" if bits else "U16", bits))
+    spans = freeze(
+        spark.createDataFrame(
+            rows,
+            "map_id string, info1 string, reg_start bigint, reg_end bigint, line_num bigint, name string, type string, is_bits boolean",
+        ),
+        "test",
+    )
+    firsts, counts = {}, defaultdict(int)
+    for r in sorted(overlap_pairs(spans).collect(), key=lambda r: r.ref_line):
+        counts[r.map_id, r.line_num] += 1
+        firsts.setdefault((r.map_id, r.line_num), tuple(r))
+    assert len(counts) > 300
+    assert {(r.map_id, r.line_num): (r.n, r.ref_line) for r in overlap_counts(spans).collect()} == {k: (counts[k], firsts[k][6]) for k in counts}
+    columns = ["map_id", "info1", "line_num", "name", "reg_start", "reg_end", "ref_line", "ref_name", "ref_start", "ref_end"]
+    assert {tuple(r) for r in checks.overlaps(spans).select(columns).collect()} == set(firsts.values())
+
+
+@pytest.mark.parametrize("seed,n_maps,length,block", [(4, 800, 30, 128), (5, 20, 300, 2)])
+def test_repeated_tags_are_counted_without_allocating(spark, monkeypatch, seed, n_maps, length, block):
+    monkeypatch.setattr(tagging, "BLOCK", block)
+    rows = random_rows(seed, n_maps, length) + [("golden", i + 2, n, t) for i, (n, t) in enumerate(MIXED)]
+    df = with_base(spark, rows)
+    listed = duplicates(freeze(allocate_tags(df), "test"), "tag").groupBy("map_id").agg(F.count("*").alias("n"))
+    counted = tagging.tag_repeats(df).groupBy("map_id").agg(F.sum("n").alias("n"))
+    want = {tuple(r) for r in listed.collect()}
+    assert len(want) > n_maps // 2 and {tuple(r) for r in counted.collect()} == want

@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from regfleet import fixtures as X
+from regfleet.operators import checks, tagging
 from regfleet.operators.checks import duplicates, intervals, overlap_counts
 from regfleet.operators.headers import source_columns
 from regfleet.operators.staging import stage, surviving, with_coefficient_text, with_values
+from regfleet.plans import definition as definitions
+from regfleet.plans import diagnostics as plans
 from regfleet.plans.definition import definition, staged_table
+from regfleet.plans.diagnostics import FINDING_COLUMNS, diagnostic_counts, diagnostics
 from regfleet.session import freeze
 
 SF = "/root/testdata/sf0.001"
@@ -99,3 +103,18 @@ def test_generated_methods_are_compiled(spark):
             assert max(found.apply(k)._3().maxMethodCodeSize() for k in range(found.size())) <= 8000
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_counts_are_those_of_the_listing(spark, monkeypatch):
+    """Counting findings lists nothing: no tags are allocated and rows are not compared by events per register."""
+    rows = X.registers(spark, SF)
+    mixed = rows.withColumns({"name": F.expr(X.MIXED_NAME.replace("k %", "line_num %")), "tag": F.expr(X.MIXED_TAG.replace("k %", "line_num %"))})
+    staged = staged_table(rows.unionByName(mixed.withColumn("map_id", F.concat("map_id", F.lit(" mixed")))), columns=FINDING_COLUMNS)
+    listed = diagnostics(staged).groupBy("map_id", "code", "severity").agg(F.count("*").alias("rows"), F.sum("n").alias("warnings"))
+    assert sorted(map(tuple, diagnostic_counts(staged).collect())) == sorted(map(tuple, listed.collect()))
+
+    stored = []
+    for module in (checks, tagging, plans, definitions):
+        monkeypatch.setattr(module, "freeze", lambda df, label: stored.append(label) or freeze(df, label))
+    entry.queries()["reg_fleet_diagnostic_counts"](spark, SF).collect()
+    assert stored == ["staged", "spans", "large-maps", "islands", "tag-texts", "tag-bases"]
