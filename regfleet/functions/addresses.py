@@ -195,7 +195,8 @@ def valid_register(address: Column, dtype: Column) -> Column:
     """``valid_address`` for a normalized address."""
     number = "[0-9]+"
     shapes = f"STRING:-?{number}_{number}|BITS:-?{number}_{number}_{number}|(?!STRING:|BITS:)[^:]*:-?{number}"
-    return F.concat_ws(":", dtype, address).rlike(f"^({shapes})$")
+    common = F.substring(dtype, 1, 1).isin("U", "I", "F", "M") & ~dtype.contains(":") & address.rlike(f"^-?{number}$")
+    return common | F.concat_ws(":", dtype, address).rlike(f"^({shapes})$")
 
 
 def _sized(dtype: Column) -> Column:
@@ -232,7 +233,7 @@ def register_count(dtype: Column, address: Column) -> Column:
     length = _part(address, 2)
     chars = F.when(length.rlike(r"^[+-]?[0-9]{1,18}$"), length.try_cast("bigint"))
     return (
-        F.when(u.rlike(ONE_REGISTER), F.lit(1))
+        F.when(u.isin("U16", "I16", "U8", "I8", "BITS") | u.rlike(ONE_REGISTER), F.lit(1))
         .when(u.rlike(TWO_REGISTERS), F.lit(2))
         .when(u.rlike(FOUR_REGISTERS), F.lit(4))
         .when(u == "MAC", F.lit(MAC_REGISTERS))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from regfleet import functions as R
 from regfleet.functions import addresses as A
 from regfleet.functions import datatypes as D
+from regfleet.functions import naming as T
 from regfleet.functions import numbers as N
 from regfleet.operators.lookup import salted_lookup
 from regfleet.operators.ordering import ordered_scan
@@ -62,7 +63,7 @@ def stage(rows: DataFrame) -> DataFrame:
     if "blank" not in rows.columns:
         # Being a lambda, it also ends the generated method of the steps before, which is not compiled beyond 8,000 bytes.
         empty = F.forall(F.array(*[F.col(c).cast("string") for c in REGISTER_COLUMNS]), lambda c: F.coalesce(c, F.lit("")) == "")
-        rows = rows.withColumn("blank", empty)
+        rows = rows.withColumn("blank", (R.text(F.col("name")) == "") & empty)
 
     # One projection per step: a formula used twice is a column of the step before,
     # so that it is evaluated once.
@@ -83,7 +84,7 @@ def stage(rows: DataFrame) -> DataFrame:
         .when(~R.valid_register(F.col("info2"), F.col("info3")), INVALID_ADDRESS)
         .otherwise(OK)
     )
-    return parts.withColumns({"status": status, "base": R.tag_base(F.col("name"))}).drop(
+    return T.with_tag_base(parts.withColumn("status", status), "name", "base").drop(
         "address", "address_offset", "blank", "_address"
     )
 

@@ -49,12 +49,13 @@ def _first_uses(rows: DataFrame) -> DataFrame:
 
 def _numbered_texts(uses: DataFrame) -> DataFrame:
     """Texts that spell ``base_n``: what they may claim, from which line on."""
-    pattern = r"^(.*)_([1-9][0-9]{0,17})$"
-    return uses.filter(F.col("text").rlike(pattern)).select(
+    number = F.substring_index("text", "_", -1)
+    base = F.left("text", F.length("text") - F.length(number) - 1)
+    return uses.filter(F.col("text").contains("_") & number.rlike("^[1-9][0-9]{0,17}$")).select(
         "map_id",
         "text",
-        F.regexp_extract("text", pattern, 1).alias("base"),
-        F.regexp_extract("text", pattern, 2).cast("bigint").alias("n"),
+        base.alias("base"),
+        number.cast("bigint").alias("n"),
         F.least("typed", "asked").alias("line_num"),
         F.coalesce(F.col("asked") <= F.least("typed", "asked"), F.lit(False)).alias("by_request"),
     )

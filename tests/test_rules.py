@@ -1,5 +1,6 @@
 """Row rules on listed cases."""
 
+import re
 import random
 
 import pytest
@@ -171,3 +172,10 @@ def test_fixed6_near_ties_and_bounds(spark):
     values = [s * v for v in [0.0, 5e-7, 1e-7, 0.1, 1.0005, 999999.9999995, 1e6, 1234567.0078125, 123456.0078125, 2.0**53, 1e300, *ties] for s in (1.0, -1.0)]
     rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", R.fixed6(F.col("x")).alias("t")).collect()
     assert [(r.x, r.t) for r in rows if abs(r.x) < 1e38 and r.t != "%.6f" % r.x] == []
+
+
+def test_plain_drops_what_the_regular_expression_drops(spark):
+    from regfleet.functions.text import plain
+
+    texts = ["", "a", "a_1", "[af]_x", "é1", "𝄞a𝄞b", "a\nb", "\\$a", "]^-a-z", "ABC", "a\x00b", "--", "a--b--a"]
+    assert values(spark, plain, *texts) == [re.sub("[^a-z0-9_]+", "", x) for x in texts]
