@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regfleet.session import batches_of
+
 from .common import bloom_filter, freeze, in_bloom, pieces
 from .words import LETTERS, Words, mix, split_words
 
@@ -40,6 +42,9 @@ _HELD, _BUCKET = 1 << 19, 1 << 19
 #: Bytes of text that are split at once; a worker holds some hundred bytes of arrays for each.
 _PIECE = 1 << 18
 
+#: Bytes of a batch of rows on its way to a worker, and rows of words on their way back.
+_BATCH, _SENT = 1 << 22, 1 << 16
+
 #: Texts whose losses are added up together, as a power of two.
 _TEXT_BITS = 13
 
@@ -160,7 +165,9 @@ def _held(parts, emit):
     kept, size = [], 0
 
     def together():
-        return _added(np.concatenate([k for k, _ in kept]), [np.concatenate(c) for c in zip(*(c for _, c in kept))])
+        keys, columns = np.concatenate([k for k, _ in kept]), [np.concatenate(c) for c in zip(*(c for _, c in kept))]
+        kept.clear()
+        return _added(keys, columns)
 
     for keys, columns in parts:
         kept.append(_added(keys, columns))
@@ -193,7 +200,12 @@ def _word_rows(shared):
     def emit(keys, columns):
         return pa.RecordBatch.from_arrays([_signed(keys), *map(pa.array, columns)], ["word", *_WORD_COLUMNS])
 
-    return lambda batches: _held(parts(batches), emit)
+    def rows(batches):
+        for batch in _held(parts(batches), emit):
+            for low in range(0, batch.num_rows, _SENT):
+                yield batch.slice(low, _SENT)
+
+    return rows
 
 
 def _pair_blocks(shared, bits: int):
@@ -288,7 +300,10 @@ class _Table:
         """Place of each hash, and whether it is there."""
         bits = max(1, self.size.bit_length())
         if self.first is None:
-            self.first = np.searchsorted(self.keys[:-1], np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+            self.first = np.empty(1 << bits, dtype=np.int32)
+            for low in range(0, 1 << bits, _SENT):
+                leading = np.arange(low, min(low + _SENT, 1 << bits), dtype=np.uint64)
+                self.first[low : low + _SENT] = np.searchsorted(self.keys[:-1], leading << np.uint64(64 - bits))
         at = self.first[wanted >> np.uint64(64 - bits)]
         key = self.keys[at]
         behind = np.flatnonzero(key < wanted)
@@ -453,33 +468,15 @@ def _means(batches):
         yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(n), *map(pa.array, means)], ["digest", "n", "target", "background"])
 
 
-def score_documents(
-    docs: DataFrame,
-    targets: DataFrame,
-    doc: str = "doc_id",
-    text: str = "text",
-    vocabulary: int | None = None,
-    hot: int = HOT,
-    broadcast_targets: int = BROADCAST_TARGETS,
-) -> DataFrame:
-    """``docs`` with n_tokens, loss_target, loss_background (nats per word) and score, their difference.
-
-    ``targets`` holds the ids of target documents; all of them make the target
-    model. A higher score is closer to the target. Words are runs of letters after
-    lower-casing A-Z, told apart by 64-bit hashes. All words are known unless
-    ``vocabulary`` asks for so many of the most frequent ones only. ``hot`` and
-    ``broadcast_targets`` bound what is broadcast and do not change results.
-    Texts that are null or have no words get 0 tokens, losses and score 0. If no
-    target document has words, the target model is the uniform one over the
-    vocabulary. Other columns stay; those of the four names are replaced.
-    """
+def _text_means(docs: DataFrame, targets: DataFrame, vocabulary: int | None, hot: int, broadcast_targets: int) -> DataFrame:
+    """Digest, words and mean losses of the texts of (id, text) that are not null, stored; one row for each."""
     context = docs.sparkSession.sparkContext
-    texts = docs.select(F.col(doc).alias("id"), F.col(text).alias("text")).filter("text IS NOT NULL")
+    texts = docs.filter("text IS NOT NULL")
     known = None
     if vocabulary is not None:
         counts = texts.select("text").mapInArrow(_known_rows, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
         known = counts.orderBy(F.desc("n"), "word").limit(vocabulary).toArrow().column("word").to_numpy().view(np.uint64)
-    chosen = targets.filter(F.col(doc).isNotNull()).select(F.col(doc).alias("id")).distinct().withColumn("wanted", F.lit(True))
+    chosen = targets.filter("id IS NOT NULL").distinct().withColumn("wanted", F.lit(True))
     if chosen.limit(broadcast_targets + 1).count() <= broadcast_targets:
         chosen = F.broadcast(chosen)
     marked = texts.join(chosen, "id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
@@ -536,12 +533,35 @@ def score_documents(
 
     matched = pairs.union(asked).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_losses(constants), _BLOCK_SCHEMA)
     sums = of_kind(_TEXTS).union(matched).union(lost_before.mapInArrow(_loss_rows, _BLOCK_SCHEMA))
-    means = (
-        sums.repartition("bucket").sortWithinPartitions("bucket")
-        .mapInArrow(_means, "digest bigint, n bigint, target double, background double")
-        # Equal texts have equal means.
-        .groupBy(F.col("digest").alias("_lm_digest")).agg(*[F.max(c).alias(f"_lm_{c}") for c in ("n", "target", "background")])
-    )
+    means = sums.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_means, "digest bigint, n bigint, target double, background double")
+    return freeze(means, "text-means")
+
+
+def score_documents(
+    docs: DataFrame,
+    targets: DataFrame,
+    doc: str = "doc_id",
+    text: str = "text",
+    vocabulary: int | None = None,
+    hot: int = HOT,
+    broadcast_targets: int = BROADCAST_TARGETS,
+) -> DataFrame:
+    """``docs`` with n_tokens, loss_target, loss_background (nats per word) and score, their difference.
+
+    ``targets`` holds the ids of target documents; all of them make the target
+    model. A higher score is closer to the target. Words are runs of letters after
+    lower-casing A-Z, told apart by 64-bit hashes. All words are known unless
+    ``vocabulary`` asks for so many of the most frequent ones only. ``hot`` and
+    ``broadcast_targets`` bound what is broadcast and do not change results.
+    Texts that are null or have no words get 0 tokens, losses and score 0. If no
+    target document has words, the target model is the uniform one over the
+    vocabulary. Other columns stay; those of the four names are replaced.
+    """
+    texts, chosen = docs.select(F.col(doc).alias("id"), F.col(text).alias("text")), targets.select(F.col(doc).alias("id"))
+    with batches_of(docs.sparkSession, _BATCH):
+        means = _text_means(texts, chosen, vocabulary, hot, broadcast_targets)
+    # Equal texts have equal means.
+    means = means.groupBy(F.col("digest").alias("_lm_digest")).agg(*[F.max(c).alias(f"_lm_{c}") for c in ("n", "target", "background")])
 
     def loss(name):
         return F.coalesce(f"_lm_{name}", F.lit(0.0))

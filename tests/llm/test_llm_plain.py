@@ -224,3 +224,38 @@ def test_language_model_workers_hold_little_of_a_batch():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 30e6
+
+
+def test_language_model_rows_reach_workers_in_small_batches(spark):
+    """Neither the workers nor the JVM hold a large batch, whatever the texts; the session's setting is as before."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from regfleet.llm import lm_score
+    from regfleet.session import batches_of
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes], "rows": [batch.num_rows]})
+
+    with batches_of(spark, lm_score._BATCH):
+        texts = spark.range(0, 8000, 1, 2).selectExpr("repeat('some words ', 200) AS text")
+        found = texts.mapInArrow(sizes, "bytes bigint, rows bigint").collect()
+        assert spark.conf.get(name) == str(lm_score._BATCH)
+    assert sum(r["rows"] for r in found) == 8000 and max(r["bytes"] for r in found) < 2 * lm_score._BATCH
+
+    docs = spark.createDataFrame([(k, f"red green {'blue ' * k}") for k in range(20)], "doc_id bigint, text string")
+    scored = lm_score.score_documents(docs, docs.filter("doc_id < 5").select("doc_id"))
+    assert spark.conf.get(name) == before
+    # No step with a worker is left to run with the session's own batches.
+    assert "MapInArrow" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert scored.count() == 20
+
+    words = " ".join("".join("abcdefghij"[int(c)] for c in f"{k:06}") for k in range(200_000))
+    batch = pa.RecordBatch.from_pydict({"text": [words], "wanted": [True]})
+    sent = list(lm_score._word_rows(SimpleNamespace(value=None))(iter([batch])))
+    assert max(b.nbytes for b in sent) < 3e6 and sum(b.num_rows for b in sent) == 200_001
